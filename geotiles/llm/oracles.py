@@ -30,6 +30,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
+_OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size,
+  md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+v AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap FROM w),
+lv AS (SELECT 0 AS i, -1::BIGINT AS n, 0::BIGINT AS full_n,
+         (SELECT 1.5::DOUBLE * sum(source_size) / sum(weight) FROM v) AS level
+       UNION ALL
+       SELECT i + 1, full_n, (SELECT count(*) FROM v WHERE cap < lv.level * weight),
+         (SELECT (1.5::DOUBLE * sum(source_size) - sum(CASE WHEN cap < lv.level * weight THEN cap ELSE 0 END))
+                 / nullif(sum(CASE WHEN cap < lv.level * weight THEN 0 ELSE weight END), 0) FROM v)
+       FROM lv WHERE n <> full_n AND level IS NOT NULL AND i < 1000),
+fin AS (SELECT level FROM lv WHERE level IS NOT NULL ORDER BY i DESC LIMIT 1),
+t AS (SELECT v.*, CASE WHEN cap < level * weight THEN cap::DOUBLE ELSE level * weight END AS target FROM v, fin),
+h AS (SELECT sum(target) AS total, floor(sum(target) / 32 + 0.5)::BIGINT AS house FROM t),
+q AS (SELECT rank, source, unnest(range(0, (2 * source_size / 32)::BIGINT + 3)) AS k, target FROM t WHERE target > 0),
+seat AS (SELECT rank, count(*) AS blocks FROM (SELECT rank, row_number() OVER (ORDER BY (2 * k + 1) / target, rank) AS place FROM q)
+         WHERE place <= (SELECT house FROM h) GROUP BY rank),
+g AS (SELECT t.*, coalesce(blocks, 0) AS blocks FROM t LEFT JOIN seat USING (rank)),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, blocks * 32 - start))
+   + greatest(0, least(size, greatest(0, blocks - ceil(source_size / 32.0)::BIGINT) * 32 - start)))::BIGINT AS taken,
+  blocks
+FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
+"""
+
 ORACLES = {
+    "op1_source_mixing": _OP1,
     "op5_quality_rules": _OP5,
 }
