@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing
+from . import chat_format, language_id, line_dedup, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing
 from .common import held_out
 
 
@@ -29,6 +29,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digests(docs, model_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = quality_rules.rule_ledger(docs)
@@ -60,6 +66,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
     "op2_language_id": op2_language_id,
     "op9_chat_format": op9_chat_format,
     "op1_source_mixing": op1_source_mixing,
