@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, line_dedup, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing
+from . import (
+    chat_format,
+    language_id,
+    line_dedup,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    simhash_dedup,
+    source_mixing,
+)
 from .common import held_out
 
 
@@ -44,6 +53,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.passes("strict.v2").alias("kept"), "failed")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out())
+    model = quality_classifier.fit(docs, labels)
+    return quality_classifier.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -66,6 +83,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_quality_classifier": op6_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op2_language_id": op2_language_id,
     "op9_chat_format": op9_chat_format,
