@@ -100,7 +100,18 @@ FROM documents JOIN k ON documents.doc_id IS NOT DISTINCT FROM k.doc_id AND docu
 LEFT JOIN g USING (key)
 """
 
+_OP8 = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id, score FROM p) WHERE rank <= 5
+"""
+
 ORACLES = {
+    "op8_topk_search": _OP8,
     "op4_line_dedup": _OP4,
     "op9_chat_format": _OP9,
     "op1_source_mixing": _OP1,
