@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat_format,
+    html_extract,
     language_id,
     line_dedup,
     quality_classifier,
@@ -92,7 +93,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(extra)))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op10_html_extract": op10_html_extract,
     "op8_topk_search": op8_topk_search,
     "op6_quality_classifier": op6_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
