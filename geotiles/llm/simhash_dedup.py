@@ -6,8 +6,9 @@
 2. Screening: with three differing bits at most, one 32-bit half differs in one
    bit at most.  Every fingerprint emits the variants of each half within half
    the radius (the half itself and its 32 one-bit flips).  A fingerprint whose
-   variants all stay alone has no partner; the others go on.  (A variant held
-   by two fingerprints shows as min <> max, a map-side combined aggregate.)
+   variants all stay alone has no partner; the others go on.  (Halves one bit apart
+   meet where one of them stands unflipped; a variant so held by two fingerprints
+   shows in map-side combined minima and maxima.)
 3. Balls: each remaining fingerprint emits its 64-bit variants: itself, the 64
    one-bit flips (inner) and the two-bit flips inside one half (outer).  Of
    three differing bits two always share a half, so any two fingerprints within
@@ -89,11 +90,14 @@ def _screened(fps: DataFrame) -> DataFrame:
     halves = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)),
                      F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))
     emitted = (fps.select("fp", F.explode(halves).alias("half"))
-               .select("fp", F.explode(F.transform(flips, lambda x: F.col("half").bitwiseXOR(x))).alias("variant")))
-    shared = (emitted.groupBy("variant").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-              .where("lo <> hi"))
+               .select("fp", F.posexplode(F.transform(flips, lambda x: F.col("half").bitwiseXOR(x))).alias("flip", "variant")))
+    # two halves one bit apart meet where one of them stands unflipped
+    shared = (emitted.groupBy("variant")
+              .agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("flip").alias("flip"))
+              .where("lo <> hi AND flip = 0"))
     # every member of a shared variant, without keeping a bucket together
-    return emitted.join(shared.select("variant"), "variant", "left_semi").select("fp").distinct()
+    return emitted.select("variant", "fp").join(
+        shared.select("variant").hint("shuffle_hash"), "variant", "left_semi").select("fp").distinct()
 
 
 def _edges(candidates: DataFrame) -> DataFrame:
@@ -109,7 +113,7 @@ def _edges(candidates: DataFrame) -> DataFrame:
     hubs = (emitted.groupBy("variant")
             .agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("hub"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
             .where("hub IS NOT NULL AND lo <> hi").select("variant", "hub"))
-    return (emitted.select("variant", "fp").join(hubs, "variant").where("fp <> hub")
+    return (emitted.select("variant", "fp").join(hubs.hint("shuffle_hash"), "variant").where("fp <> hub")
             .where(distance(F.col("fp"), F.col("hub")) <= RADIUS)
             .select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct())
 
@@ -125,11 +129,11 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: neighbours above a node move to its minimum
-        large = (both.join(least, "a").where("b > a")
+        large = (both.join(least.hint("merge"), "a").where("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: a node and its lower neighbours move to their minimum
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a")
+        small = (large.join(low.hint("merge"), "a")
                  .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                                            F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
                  .select("e.*").where("a <> b").distinct())
@@ -152,8 +156,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     reps = prints.groupBy("fp").agg(F.min(id_col).alias("rep"))
     candidates = written(_screened(prints.select("fp").distinct()), "candidates")
     roots = components(_edges(candidates), "near-links")
-    classes = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+    classes = reps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(
+    named = classes.join(classes.groupBy("root").agg(F.min("rep").alias("component_id")).hint("merge"), "root").select(
         "fp", "component_id")
-    return prints.join(named, "fp").select(id_col, *keep, "fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select(id_col, *keep, "fp", "component_id")
