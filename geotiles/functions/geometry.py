@@ -6,8 +6,6 @@ lines, as parts of one ring) made of rings made of points.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +16,11 @@ GEOMETRY = f"struct<kind:string,parts:{PARTS}>"
 EARTH_M = 6_371_008.8
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once: inside array functions an expression is otherwise repeated per element."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _geometry(kind: str, parts: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), parts.cast(PARTS).alias("parts"))
 
@@ -125,7 +128,10 @@ def point_in_rings(x: Column, y: Column, rings: Column) -> Column:
 
 def line_midpoint(coords: Column) -> Column:
     """Point half-way along a line."""
-    half = line_length(coords) / 2
+    return let(line_length(coords) / 2, lambda half: _point_at(coords, half))
+
+
+def _point_at(coords: Column, half: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
 
     def step(a: Column, i: Column) -> Column:
@@ -141,14 +147,15 @@ def line_midpoint(coords: Column) -> Column:
 
 def representative_point(geom: Column) -> Column:
     """Point for pois: a line's midpoint; a polygon's vertex mean if inside, else its first vertex; else the box centre."""
-    ring = largest_polygon(geom)[0]
-    n = F.size(ring) - 1
-    mean = lambda f: F.aggregate(F.slice(ring, 1, n), F.lit(0.0), lambda a, p: a + p[f]) / n
+    def inside_or_first(ring: Column) -> Column:
+        n = F.size(ring) - 1
+        mean = lambda f: F.aggregate(F.slice(ring, 1, n), F.lit(0.0), lambda a, p: a + p[f]) / n
+        return let(xy(mean("x"), mean("y")), lambda m: F.when(point_in_ring(m["x"], m["y"], ring), m).otherwise(ring[0]))
+
     b = bbox(geom)
     return (F.when(geom["kind"] == "Point", all_points(geom)[0])
-            .when(geom["kind"].isin("LineString", "MultiLineString"), line_midpoint(longest_line(geom)))
-            .when(geom["kind"].isin("Polygon", "MultiPolygon"),
-                  F.when(point_in_ring(mean("x"), mean("y"), ring), xy(mean("x"), mean("y"))).otherwise(ring[0]))
+            .when(geom["kind"].isin("LineString", "MultiLineString"), let(longest_line(geom), line_midpoint))
+            .when(geom["kind"].isin("Polygon", "MultiPolygon"), let(largest_polygon(geom)[0], inside_or_first))
             .otherwise(xy((b["minx"] + b["maxx"]) / 2, (b["miny"] + b["maxy"]) / 2)))
 
 
@@ -190,5 +197,3 @@ def region(minx: Column, miny: Column, maxx: Column, maxy: Column, low: Column,
     return F.struct(F.radians(minx).alias("west"), F.radians(miny).alias("south"), F.radians(maxx).alias("east"),
                     F.radians(maxy).alias("north"), low.alias("low"), high.alias("high"))
 
-
-TAU = 2 * math.pi

@@ -57,19 +57,18 @@ def designators(ref: Column) -> Column:
 
 
 def expected_heading(designator: Column) -> Column:
-    """Ten times the runway number, 36 as 0; null if there is none from 1 to 36."""
-    n = F.regexp_extract(designator, r"^(\d{1,2})", 1).try_cast("int") if hasattr(Column, "try_cast") else \
-        F.regexp_extract(designator, r"^(\d{1,2})", 1).cast("int")
-    return F.when((n >= 1) & (n <= 36), F.pmod(n * 10, F.lit(360)).cast("double"))
+    """Ten times the runway number, 36 as 0; null if the designator is not a number with L, C, R or T."""
+    n = F.regexp_extract(designator, r"^(\d{1,2})[LCRT]?$", 1)
+    return F.when(n != "", F.when(n.cast("int") == 36, 0.0).otherwise(n.cast("int") * 10.0))
 
 
 def elevation_m(col: Column) -> Column:
-    """Metres of ``100``, ``100 m`` or ``330 ft``; null otherwise."""
-    s = F.trim(F.lower(col.cast("string")))
-    number = F.regexp_extract(s, r"^([+-]?\d+(?:[.,]\d+)?)\s*(m|ft|feet|'|metres|meters)?$", 1)
-    unit = F.regexp_extract(s, r"^[+-]?\d+(?:[.,]\d+)?\s*(m|ft|feet|'|metres|meters)?$", 1)
-    value = F.when(number != "", F.replace(number, F.lit(","), F.lit(".")).cast("double"))
-    return F.when(unit.isin("ft", "feet", "'"), F.round(value * 0.3048, 2)).otherwise(value)
+    """Metres of a number, ``100``, ``100 m`` or ``330 ft``; null otherwise."""
+    s = F.trim(col.cast("string"))
+    number = F.regexp_extract(s, r"(?i)^(-?\d+(?:\.\d+)?)\s*(m|ft)?$", 1)
+    unit = F.lower(F.regexp_extract(s, r"(?i)^(-?\d+(?:\.\d+)?)\s*(m|ft)?$", 2))
+    value = F.when(number != "", number.cast("double"))
+    return F.when(unit == "ft", value * 0.3048).otherwise(value)
 
 
 def building_height(height: Column, levels: Column, default: float = 9.0) -> Column:

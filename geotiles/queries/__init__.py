@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import planning
+from . import catalogue, features, planning
 
-AREAS = (planning,)
+AREAS = (planning, features, catalogue)
 QUERIES = {k: v for area in AREAS for k, v in area.QUERIES.items()}
 ORACLES = {k: v for area in AREAS for k, v in area.ORACLES.items()}
