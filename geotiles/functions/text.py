@@ -29,7 +29,13 @@ def first_text(*cols: Column) -> Column:
 
 
 #: Words that are classes, not names (compared in lower case, spaces as underscores).
-GENERIC = frozenset("""yes no true false 0 1""".split())
+GENERIC = frozenset("""
+yes no true false unknown none generator tower line plant substation transformer mast antenna station airport aerodrome runway taxiway
+terminal apron pharmacy fuel charging_station hospital clinic police fire_station fire_hydrant defibrillator fire_extinguisher shelter
+railway_station train_station subway_station bus_station ferry_terminal townhall courthouse prison bunker checkpoint communications_tower
+protected_area nature_reserve restaurant cafe bar fast_food pub shop retail commercial tourism attraction hotel transport emergency
+government energy communications protected industrial military operational consumer 0 1
+""".split())
 
 
 def is_label(col: Column, generic: frozenset[str] = GENERIC) -> Column:
