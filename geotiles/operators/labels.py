@@ -115,7 +115,7 @@ def _scan_anchor(parts: list) -> tuple[float, float] | None:
     """Middle of the widest stretch inside a polygon, over at most 32 scan lines; holes are left out."""
     best = None
     for rings in parts:
-        ys = [p["y"] for p in rings[0]] if rings else []
+        ys = [p["y"] for p in rings[0]] if len(rings) else []
         if not ys:
             continue
         lo, hi = min(ys), max(ys)
