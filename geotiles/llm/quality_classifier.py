@@ -71,7 +71,9 @@ def encode_passages(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     grams /= np.maximum(grams.sum(axis=1, keepdims=True), 1)
     # words: rolling hash of each word, and whether it equals the word before
     gap = cls == 0
-    first = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    opens = np.zeros(count, bool)
+    opens[starts] = True  # a word cut by a passage's end counts in both
+    first = np.flatnonzero(~gap & (opens | np.concatenate(([True], gap[:-1]))))
     if len(first):
         mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(31)
