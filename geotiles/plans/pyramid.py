@@ -48,12 +48,13 @@ def top_per_tile(df: DataFrame, budget: Column, priority: str = "priority", laye
 def _radial(p: np.ndarray, tol_sq: float) -> np.ndarray:
     if len(p) <= 2 or tol_sq <= 0:
         return p
-    keep, last = [0], p[0]
-    for i in range(1, len(p) - 1):
-        d = p[i] - last
-        if d @ d > tol_sq:
+    pts = p.tolist()
+    keep, (lx, ly) = [0], pts[0]
+    for i in range(1, len(pts) - 1):
+        x, y = pts[i]
+        if (x - lx) ** 2 + (y - ly) ** 2 > tol_sq:
             keep.append(i)
-            last = p[i]
+            lx, ly = x, y
     return p[[*keep, len(p) - 1]]
 
 
@@ -134,24 +135,23 @@ def _cut_ring(p: np.ndarray, axis: int, at: float, below: bool) -> np.ndarray:
 
 
 def _cut_line(p: np.ndarray, lo: float, hi: float) -> list[np.ndarray]:
-    """Stretches of a line inside the square [lo, hi]."""
-    out: list[list[np.ndarray]] = []
-    for a, b in zip(p[:-1], p[1:]):
-        d, t0, t1 = b - a, 0.0, 1.0
-        for axis in (0, 1):
-            for edge, sign in ((lo, -1), (hi, 1)):
-                num, den = sign * (edge - a[axis]), sign * d[axis]
-                if den == 0:
-                    if num < 0:
-                        t0, t1 = 1.0, 0.0
-                elif den > 0:
-                    t1 = min(t1, num / den)
-                else:
-                    t0 = max(t0, num / den)
+    """Stretches of a line inside the square [lo, hi], by Liang and Barsky."""
+    out: list[list[tuple[float, float]]] = []
+    pts = p.tolist()
+    for (ax, ay), (bx, by) in zip(pts, pts[1:]):
+        dx, dy, t0, t1 = bx - ax, by - ay, 0.0, 1.0
+        for num, den in ((ax - lo, -dx), (hi - ax, dx), (ay - lo, -dy), (hi - ay, dy)):
+            if den == 0:
+                if num < 0:
+                    t0, t1 = 1.0, 0.0
+            elif den > 0:
+                t1 = min(t1, num / den)
+            else:
+                t0 = max(t0, num / den)
         if t0 > t1:
             continue
-        one, two = a + t0 * d, a + t1 * d
-        if out and t0 == 0 and np.array_equal(out[-1][-1], one):
+        one, two = (ax + t0 * dx, ay + t0 * dy), (ax + t1 * dx, ay + t1 * dy)
+        if out and t0 == 0 and out[-1][-1] == one:
             out[-1].append(two)
         else:
             out.append([one, two])
@@ -166,7 +166,9 @@ def clip_to_tile(kind: str, parts: list[list[np.ndarray]], z: int, x: int, y: in
         got = []
         for ring in rings:
             p = to_tile(ring, z, x, y)
-            if kind == "Point":
+            if p.min() >= lo and p.max() <= hi:
+                got.append(np.rint(p).astype(np.int64))
+            elif kind == "Point":
                 keep = p[((p >= lo) & (p <= hi)).all(axis=1)]
                 if len(keep):
                     got.append(np.rint(keep).astype(np.int64))
@@ -189,11 +191,11 @@ def _parts(value) -> list[list[np.ndarray]]:
     return [[np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in rings] for rings in value["parts"]]
 
 
-_SHAPE = "tile_parts array<array<array<array<bigint>>>>, plain_parts array<array<array<array<bigint>>>>, vertices int, simplified int, unusable boolean"
+_SHAPE = "tile_shape binary, plain_shape binary, vertices int, simplified int, unusable boolean"
 
 
 def shape_features(df: DataFrame) -> DataFrame:
-    """Adds the simplified and the plain shape in tile units to rows (geom, small, tol, z, x, y, ...)."""
+    """Adds the simplified and the plain shape, as tile geometry commands, to rows (geom, small, tol, z, x, y, ...); empty if nothing is left."""
     names = [f.name for f in df.schema.fields if f.name != "geom"]
     schema = df.select(*names).schema
     from pyspark.sql.types import StructType
@@ -204,20 +206,20 @@ def shape_features(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(n) for n in b.schema.names}
-            out: dict[str, list] = {"tile_parts": [], "plain_parts": [], "vertices": [], "simplified": [], "unusable": []}
+            out: dict[str, list] = {"tile_shape": [], "plain_shape": [], "vertices": [], "simplified": [], "unusable": []}
             for geom, small, tol, z, x, y in zip(*(cols[c].to_pylist() for c in ("geom", "small", "tol", "z", "x", "y"))):
                 kind, parts = geom["kind"], _parts(geom)
                 size = lambda ps: sum(len(r) for rings in ps for r in rings)
                 made = [] if small else simplify_parts(kind, parts, tol)
                 bad = not small and not usable(kind, made)
-                lists = lambda ps: [[r.tolist() for r in rings] for rings in ps]
-                out["tile_parts"].append(lists(clip_to_tile(kind, made, z, x, y)) if not (small or bad) else [])
-                out["plain_parts"].append(lists(clip_to_tile(kind, parts, z, x, y)))
+                shape = commands(kind, clip_to_tile(kind, made, z, x, y)) if not (small or bad) else b""
+                out["tile_shape"].append(shape)
+                # only a layer without any shape in the tile falls back, so only lost features need their plain one
+                out["plain_shape"].append(b"" if shape else commands(kind, clip_to_tile(kind, parts, z, x, y)))
                 out["vertices"].append(size(parts))
                 out["simplified"].append(0 if small or bad else size(made))
                 out["unusable"].append(bad)
-            deep = pa.list_(pa.list_(pa.list_(pa.list_(pa.int64()))))
-            types = {"tile_parts": deep, "plain_parts": deep, "vertices": pa.int32(), "simplified": pa.int32(), "unusable": pa.bool_()}
+            types = {"tile_shape": pa.binary(), "plain_shape": pa.binary(), "vertices": pa.int32(), "simplified": pa.int32(), "unusable": pa.bool_()}
             yield pa.RecordBatch.from_arrays([*(cols[n] for n in names), *(pa.array(v, types[k]) for k, v in out.items())], [*names, *out])
 
     return df.mapInArrow(run, schema)
@@ -225,8 +227,8 @@ def shape_features(df: DataFrame) -> DataFrame:
 
 def with_fallback(df: DataFrame) -> DataFrame:
     """A layer whose features all vanished in a tile gets their plain shapes back; still counted as dropped."""
-    some = F.max(F.size("tile_parts") > 0).over(Window.partitionBy("z", "x", "y", "layer"))
-    return df.withColumn("parts", F.when(some, F.col("tile_parts")).otherwise(F.col("plain_parts")))
+    some = F.max(F.length("tile_shape") > 0).over(Window.partitionBy("z", "x", "y", "layer"))
+    return df.withColumn("shape", F.when(some, F.col("tile_shape")).otherwise(F.col("plain_shape")))
 
 
 def _varint(n: int) -> bytes:
@@ -242,39 +244,40 @@ def _field(number: int, payload: bytes) -> bytes:
     return _varint(number << 3 | 2) + _varint(len(payload)) + payload
 
 
-def _commands(kind: str, parts: list) -> bytes:
-    """Geometry commands: MoveTo 1, LineTo 2, ClosePath 7, with zigzag deltas."""
-    zig = lambda v: (v << 1) ^ (v >> 63)
-    out, cx, cy = [], 0, 0
+def commands(kind: str, parts: list[list[np.ndarray]]) -> bytes:
+    """Geometry commands of whole-unit parts: MoveTo 1, LineTo 2, ClosePath 7, with zigzag deltas."""
+    area = kind in ("Polygon", "MultiPolygon")
+    out: list[int] = []
+    cx = cy = 0
     for rings in parts:
         for k, ring in enumerate(rings):
-            pts = [tuple(p) for p in ring]
-            if kind == "polygon":
+            pts = ring.tolist()
+            if area:
                 pts = pts[:-1]
-                area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1]))
-                if (area > 0) != (k == 0):
+                twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1]))
+                if (twice > 0) != (k == 0):
                     pts = pts[::-1]
             for n, (px, py) in enumerate(pts):
                 if n < 2:
-                    left = len(pts) - 1
-                    out.append(9 if n == 0 else left << 3 | 2)
-                out += [zig(px - cx), zig(py - cy)]
+                    out.append(9 if n == 0 else len(pts) - 1 << 3 | 2)
+                dx, dy = px - cx, py - cy
+                out.append((dx << 1) ^ (dx >> 63))
+                out.append((dy << 1) ^ (dy >> 63))
                 cx, cy = px, py
-            if kind == "polygon":
+            if area:
                 out.append(15)
     return b"".join(map(_varint, out))
 
 
-def encode_layer(name: str, features: list[tuple[int, str, list, dict[str, str]]]) -> bytes:
-    """One layer of (fid, kind, parts, props), vector tile version 2."""
+def encode_layer(name: str, features: list[tuple[int, str, bytes, dict[str, str]]]) -> bytes:
+    """One layer of (fid, kind, commands, props), vector tile version 2."""
     keys: dict[str, int] = {}
     values: dict[str, int] = {}
     body = [_varint(15 << 3) + _varint(2), _field(1, name.encode())]
-    for fid, kind, parts, props in features:
+    for fid, kind, made, props in features:
         shape = 1 if kind == "Point" else 2 if kind in ("LineString", "MultiLineString") else 3
         tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(v, len(values)))
                         for k, v in sorted((props or {}).items()) if v is not None)
-        made = _commands({1: "point", 2: "line", 3: "polygon"}[shape], parts)
         body.append(_field(2, _varint(1 << 3) + _varint(fid) + _field(2, tags) + _varint(3 << 3) + _varint(shape) + _field(4, made)))
     body += [_field(3, k.encode()) for k in keys]
     body += [_field(4, _field(1, v.encode())) for v in values]
@@ -283,7 +286,7 @@ def encode_layer(name: str, features: list[tuple[int, str, list, dict[str, str]]
 
 
 def encode_tiles(df: DataFrame) -> DataFrame:
-    """(z, x, y, payload): gzip vector tiles of rows (z, x, y, layer, layer_order, fid, kind, parts, props).
+    """(z, x, y, payload): gzip vector tiles of rows (z, x, y, layer, layer_order, fid, kind, shape, props).
 
     A tile's features are bounded by the tile budget, so one group is one tile.
     """
@@ -295,13 +298,13 @@ def encode_tiles(df: DataFrame) -> DataFrame:
         pdf = pdf.sort_values(["layer_order", "fid"], kind="stable")
         layers = []
         for name, rows in pdf.groupby("layer", sort=False):
-            feats = [(int(f), k, [[[list(map(int, p)) for p in ring] for ring in rings] for rings in ps], dict(pr) if pr is not None else {})
-                     for f, k, ps, pr in zip(rows["fid"], rows["kind"], rows["parts"], rows["props"])]
+            feats = [(int(f), k, made, dict(pr) if pr is not None else {})
+                     for f, k, made, pr in zip(rows["fid"], rows["kind"], rows["shape"], rows["props"])]
             layers.append(_field(3, encode_layer(str(name), feats)))
         first = pdf.iloc[0]
         return pd.DataFrame({"z": [first["z"]], "x": [first["x"]], "y": [first["y"]], "payload": [gzip.compress(b"".join(layers), 1, mtime=0)]})
 
-    full = df.where(F.size("parts") > 0).select("z", "x", "y", "layer", "layer_order", "fid", "kind", "parts", "props")
+    full = df.where(F.length("shape") > 0).select("z", "x", "y", "layer", "layer_order", "fid", "kind", "shape", "props")
     return full.groupBy("z", "x", "y").applyInPandas(run, "z int, x long, y long, payload binary")
 
 
@@ -336,7 +339,10 @@ def tile_pyramid(features: DataFrame, zmin: int, zmax: int, policy: pol.LayerPol
     how = F.lit(detail) if detail else tm.detail_for_zoom(F.col("z"))
     tol = span / tm.EXTENT * policy.tolerance(F.col("layer"), F.col("kind"), F.col("z"), how)
     ready = kept.withColumns({"small": small, "tol": tol}).drop("_t", "minx", "miny", "maxx", "maxy")
-    shaped = with_fallback(shape_features(ready.join(features.select("layer", "fid", "geom"), ["layer", "fid"])))
+    met = ready.join(features.select("layer", "fid", "geom"), ["layer", "fid"])
+    # shaping is the costly part: deal features out evenly, whatever the size of their bytes
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shaped = with_fallback(shape_features(met.repartition(tasks, "layer", "fid", "z", "x", "y")))
     stats = tile_stats(original, shaped)
     return encode_tiles(shaped), stats
 
@@ -344,7 +350,7 @@ def tile_pyramid(features: DataFrame, zmin: int, zmax: int, policy: pol.LayerPol
 def tile_stats(original: DataFrame, shaped: DataFrame) -> DataFrame:
     """(z, x, y, original, encoded, dropped, dropped_small, vertices, simplified, tolerance, empty_reason)."""
     per = shaped.groupBy("z", "x", "y").agg(
-        F.count("*").alias("kept"), F.count_if(F.size("parts") > 0).alias("encoded"), F.count_if(F.col("small") | F.col("unusable")).alias("dropped_small"),
+        F.count("*").alias("kept"), F.count_if(F.length("shape") > 0).alias("encoded"), F.count_if(F.col("small") | F.col("unusable")).alias("dropped_small"),
         F.sum("vertices").alias("vertices"), F.sum("simplified").alias("simplified"), F.max(F.when(~F.col("small"), F.col("tol"))).alias("tolerance"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     df = original.join(per, ["z", "x", "y"], "left")

@@ -28,7 +28,6 @@ def test_query(spark, sf, db, name):
     df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     rows = sorted(tuple(text(r[c]) for c in cols) for r in df.collect())
-    assert rows or name in ("box_overlaps", "coverage_selection", "airports_nearest", "airports_containing", "box_query")
     if name in ORACLES:
         got = db.execute(ORACLES[name])
         names = [c[0] for c in got.description]
