@@ -1 +1 @@
-
+"""Multi-step plans."""

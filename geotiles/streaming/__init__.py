@@ -1 +1 @@
-
+"""Nothing here yet: the rebuilt operations have no streaming semantics."""

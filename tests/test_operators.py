@@ -260,3 +260,45 @@ def test_coverage_prefers_siblings_then_containers(spark):
     boxes = spark.createDataFrame([(1, -5.0, -5.0, 5.0, 5.0), (2, 2.0, 2.0, 3.0, 3.0), (3, 20.0, 20.0, 30.0, 30.0), (4, 60.0, 60.0, 61.0, 61.0)], "box long, minx double, miny double, maxx double, maxy double")
     assert {r.box: r.ids for r in cov.select_coverage(boxes, ex).collect()} == {1: ["west", "east"], 2: ["east"], 3: ["world"]}
     assert {(r.box, r.id, r.ok) for r in cov.coverage_by_id(boxes, ex, ["east"]).collect()} == {(1, "east", True), (2, "east", True), (3, "east", False), (4, "east", False)}
+
+
+def _samples(spark, n):
+    df = spark.range(n).select(F.lit("samples").alias("layer"), F.lit(0).alias("layer_order"), F.col("id").alias("fid"),
+                               (10 + F.col("id") / 1000).alias("minx"), F.lit(10.0).alias("miny"))
+    df = df.withColumns({"maxx": F.col("minx"), "maxy": F.col("miny"), "props": F.create_map(F.lit("rank"), F.col("fid").cast("string"))})
+    return df.withColumn("geom", g.point(g.xy(F.col("minx"), F.col("miny"))))
+
+
+def test_budget_and_policy_hooks(spark):
+    from geotiles.functions.policy import LayerPolicy
+
+    _, plain = pyramid.tile_pyramid(_samples(spark, 650), 0, 0)
+    r = plain.where("original > 0").first()
+    assert (r.original, r.encoded, r.dropped) == (650, 650, 0)
+    _, cut = pyramid.tile_pyramid(_samples(spark, 650), 0, 0, max_features=2)
+    r = cut.where("original > 0").first()
+    assert (r.original, r.encoded, r.dropped) == (650, 2, 648)
+    mine = LayerPolicy(read=lambda df, z: df.where(F.col("fid") < 100 * (z + 1)), limit=lambda layer, z: F.lit(5),
+                       priority=lambda layer, kind, box, z: box["minx"])
+    _, hooked = pyramid.tile_pyramid(_samples(spark, 650), 0, 1, mine)
+    got = {r.z: (r.original, r.encoded) for r in hooked.where("original > 0").collect()}
+    assert got == {0: (100, 5), 1: (200, 5)}
+
+
+def test_catalogue_is_written_as_json(spark, tmp_path):
+    df = spark.createDataFrame([("TEST", [("09", 90.0)])], "id string, runways array<struct<designator:string,heading:double>>")
+    cat.write_catalog(df, str(tmp_path / "c"))
+    back = spark.read.json(str(tmp_path / "c")).first()
+    assert back.id == "TEST" and back.runways[0].designator == "09"
+
+
+def test_sources_of_layers():
+    specs = schema.resolve_layers(["roads", {"id": "labels", "source": "roads"}])
+    assert schema.resolve_source(specs, "labels").id == "roads" and schema.resolve_source(specs, "streets", {"streets": "roads"}).id == "roads"
+    assert schema.resolve_source(specs, "none") is None
+
+
+def test_tile_properties_are_chosen(spark):
+    spec = schema.LayerSpec("a", columns={"x": "TEXT", "y": "TEXT"}, tile_properties=("y",))
+    df = spark.createDataFrame([("1", "2", "way/1")], "x string, y string, id string").withColumn("geom", g.point(g.xy(F.lit(0.0), F.lit(0.0))))
+    assert schema.project_tile_props(df, spec).first().props == {"y": "2", "id": "way/1", "geometry_type": "Point"}
