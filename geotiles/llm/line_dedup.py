@@ -40,7 +40,9 @@ class TreeSpec:
 
 
 def _tokens(line: Column) -> Column:
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")
+    # few lines hold a digit: only those pay for the masking
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(
+        line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(line)
     return F.filter(F.split(masked, GAP), lambda w: w != "")
 
 
