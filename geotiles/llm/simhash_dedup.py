@@ -84,12 +84,17 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A few MB of fingerprints dealt to as many tasks as what they emit needs."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def _screened(fps: DataFrame) -> DataFrame:
     """Fingerprints that may have a partner: some half-variant of theirs is held by another one too."""
     flips = F.array(*[F.lit(f).cast("long") for f in (0, *(1 << i for i in range(32)))])
     halves = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)),
                      F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))
-    emitted = (fps.select("fp", F.explode(halves).alias("half"))
+    emitted = (_spread(fps).select("fp", F.explode(halves).alias("half"))
                .select("fp", F.posexplode(F.transform(flips, lambda x: F.col("half").bitwiseXOR(x))).alias("flip", "variant")))
     # two halves one bit apart meet where one of them stands unflipped
     shared = (emitted.groupBy("variant")
@@ -106,6 +111,7 @@ def _edges(candidates: DataFrame) -> DataFrame:
     outer = [(1 << i) | (1 << j) for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     table = lambda vs: F.array(*[F.lit(signed(v)).cast("long") for v in vs])
+    candidates = _spread(candidates)
     spread = lambda vs, kind: candidates.select(
         "fp", F.explode(table(vs)).alias("flip")).select(
         F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp", F.lit(kind).alias("inner"))
