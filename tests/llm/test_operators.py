@@ -330,3 +330,38 @@ def test_site_templates_go(spark):
     by = {r.page_id: r.text for r in got}
     assert by[3] == "Own 3" and by[100] == "" and by[101] == "" and len(by[102]) == 50_000 * 5 - 1
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_are_grouped(spark):
+    """Pairs at a Jaccard similarity of 0.8 to 0.95 are found, pairs below never are."""
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows, near, far = [], [], []
+    for n in range(300):
+        text = [rng.choice(vocabulary) for _ in range(rng.choice([60, 150, 350]))]
+        copy = list(text)
+        for at in rng.sample(range(len(text)), max(1, int(len(text) * rng.uniform(0.002, 0.04)))):
+            copy[at] = "changed" + str(rng.random())
+        similarity = jaccard(five_words(" ".join(text)), five_words(" ".join(copy)))
+        (near if 0.8 <= similarity <= 0.95 else far if similarity < 0.8 else []).append((2 * n, 2 * n + 1))
+        rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(copy))]
+    got = {r.key: r.group for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "key long, text string"), "key").collect()}
+    found = sum(got[a] == got[b] for a, b in near)
+    assert len(near) > 80 and len(far) > 20 and found >= 0.97 * len(near)
+    assert not any(got[a] == got[b] for a, b in far)
+    assert len({got[a] for a in range(0, 600, 2)}) == 300
+
+
+def test_similar_documents_on_edges(spark, edge):
+    rows = simhash_dedup.similar_groups(edge.withColumn("key", F.xxhash64("doc_id", "text")), "key").collect()
+    assert len(rows) == 9 and len({r.group for r in rows}) == 5
+    assert simhash_dedup.similar_groups(edge.limit(0).withColumn("key", F.lit(1).cast("long")), "key").count() == 0

@@ -93,3 +93,13 @@ def test_repeated_rows_in_the_pipeline(spark, sf):
         assert twice.columns == list(corpus_pipeline.COLUMNS)
         if name == "simhash_dedup":
             assert twice.count() == twice.select("doc_id").distinct().count()
+
+
+def test_near_duplicate_stage_keeps_one_of_each_similar_pair(spark, sf, db):
+    from .test_operators import five_words, jaccard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {i: five_words(t) for i, t in db.execute("select doc_id, text from documents").fetchall()}
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, sf).collect()}
+    assert not any(a < b and jaccard(sets[a], sets[b]) >= 0.8 for a in left for b in left)
+    assert all(any(a < b and jaccard(sets[a], sets[b]) >= 0.8 for a in sets) for b in set(sets) - left)
