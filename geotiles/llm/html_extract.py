@@ -3,13 +3,18 @@
 1. Every page is read into a light element tree.  Elements that hold text are
    hashed with their whole subtree (tags, text, order).
 2. Spark counts, per host, the distinct pages that hold each hash; a subtree found
-   on ``min_pages`` pages and ``min_share`` of the host's pages is template.
+   on ``min_pages`` distinct pages is template, however many pages the host has.  On
+   hosts of fewer than 2 * ``min_pages`` pages more than half of them suffice, but
+   three at least.
 3. Each page meets its list of template hashes, is read again, loses those
    subtrees and everything that is never main text (menus, headers, footers, side
    bars, notices, adverts, forms, scripts, styles, reader comments), and what the
    main element holds becomes text: references decoded, white space inside a block
    one space, blocks joined by an empty line.
 
+A class, id or role that marks an element as never text does not count where the
+element holds the main element.
+
 The main element is the article, else main, else the body.  Paragraphs, headings and
 the like inside an article are its text and are kept even where they repeat;
 subtrees that may go there are containers.  Without an article any repeated block may go.
@@ -64,7 +69,7 @@ class Node:
     parent: int
     never: bool
     kids: list  # child node numbers, or texts
-    hidden: bool = False
+    marked: bool = False  # never by a class, id or role, not by its tag
 
 
 def _never(tag: str, attrs: str) -> bool:
@@ -126,7 +131,8 @@ def read_tree(page: str) -> list[Node]:
         if tag in CLOSES:
             close(CLOSES[tag], frozenset(("table", "ul", "ol", "dl", "select")))
         number = len(nodes)
-        nodes.append(Node(tag, stack[-1], _never(tag, m[3] or ""), []))
+        never = _never(tag, m[3] or "")
+        nodes.append(Node(tag, stack[-1], never, [], never and tag not in NEVER))
         nodes[stack[-1]].kids.append(number)
         if tag in VOID:
             continue
@@ -137,9 +143,35 @@ def read_tree(page: str) -> list[Node]:
             continue
         if not (m[3] or "").endswith("/"):
             stack.append(number)
+    _unmark(nodes)
     return nodes
 
 
+def _unmark(nodes: list[Node]) -> None:
+    """Marks go from what holds the article (or else the main): the one under the fewest marks, if none is free of them."""
+    for n in nodes:
+        if n.tag in ("html", "body"):
+            n.never = n.marked = False
+    above: list[tuple[int, bool, bool]] = []  # marks, whether a tag is never text, whether a main without either is above
+    for n in nodes:
+        marks, tagged, inside = above[n.parent] if n.parent >= 0 else (0, False, False)
+        marks, tagged = marks + n.marked, tagged or n.never and not n.marked
+        above.append((marks, tagged, inside or n.tag == "main" and not marks and not tagged))
+    free_main = any(n.tag == "main" and a[2] for n, a in zip(nodes, above))
+    for tag in ("article", "main"):
+        got = [k for k, n in enumerate(nodes) if n.tag == tag and not n.never and not above[k][1]
+               and (tag == "main" or not free_main or above[k][2])]
+        if got:
+            least = min(above[k][0] for k in got)
+            for k in got if least else ():
+                if above[k][0] == least:
+                    up = nodes[k].parent
+                    while up > 0:
+                        nodes[up].never = nodes[up].marked = False
+                        up = nodes[up].parent
+            return
+
+
 def _main(nodes: list[Node]) -> tuple[list[int], bool]:
     """(main elements, whether they are an article or main)."""
     for tag in ("article", "main"):
@@ -263,20 +295,21 @@ def page_subtrees(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
     return slim.mapInArrow(run, "host string, page_key long, hash long")
 
 
-def site_templates(subtrees: DataFrame, pages: DataFrame, url: str = "url", min_pages: int = 10,
-                   min_share: float = 0.05) -> DataFrame:
-    """(host, hash) of subtrees that recur across many pages of their host."""
-    sizes = pages.groupBy(host(F.col(f"`{url}`")).alias("host")).agg(F.count("*").alias("pages"))
-    seen = (subtrees.distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-            .where(F.col("n") >= min_pages))
-    return seen.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+def site_templates(subtrees: DataFrame, pages: DataFrame, url: str = "url", page: str = "html",
+                   min_pages: int = 10) -> DataFrame:
+    """(host, hash) of subtrees that recur across many distinct pages of their host."""
+    keyed = pages.select(host(F.col(f"`{url}`")).alias("host"), row_key(url, page).alias("page_key"))
+    sizes = keyed.distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    seen = subtrees.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where("n >= 3")
+    enough = F.least(F.lit(min_pages), F.floor(F.col("pages") / 2) + 1)
+    return seen.join(sizes, "host").where(F.col("n") >= enough).select("host", "hash")
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url"),
-            min_pages: int = 10, min_share: float = 0.05) -> DataFrame:
+            min_pages: int = 10) -> DataFrame:
     """(*keep, text, n_chars): one row per page."""
     subtrees = written(page_subtrees(pages, url, page), "subtrees")
-    templates = site_templates(subtrees, pages, url, min_pages, min_share)
+    templates = site_templates(subtrees, pages, url, page, min_pages)
     drops = (subtrees.join(templates, ["host", "hash"], "left_semi").groupBy("page_key")
              .agg(F.collect_set("hash").alias("_drop")))
     slim = pages.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],

@@ -365,3 +365,21 @@ def test_similar_documents_on_edges(spark, edge):
     rows = simhash_dedup.similar_groups(edge.withColumn("key", F.xxhash64("doc_id", "text")), "key").collect()
     assert len(rows) == 9 and len({r.group for r in rows}) == 5
     assert simhash_dedup.similar_groups(edge.limit(0).withColumn("key", F.lit(1).cast("long")), "key").count() == 0
+
+
+def test_marks_do_not_drop_the_article():
+    text = lambda h: html_extract.main_text(html_extract.read_tree(h), set())
+    assert text('<body><div class="page with-sidebar"><article><p>Body</p></article></div></body>') == "Body"
+    assert text('<div class="with-sidebar"><article><p>real</p></article><div id="comments"><article><p>said</p></article></div></div>') == "real"
+    assert text('<div class="comments"><article><p>said</p></article></div><article><p>real</p></article>') == "real"
+    assert text('<main><p>m</p></main><div class="related"><article><p>other</p></article></div>') == "m"
+
+
+def test_site_templates_do_not_depend_on_host_size(spark):
+    block = "<div class=x><p>Same words</p></div>"
+    pages = [(i, f"http://big.org/{i}", f"<body>{block if i < 12 else ''}<p>Own {i}</p></body>") for i in range(600)]
+    pages += [(1000 + i, f"http://small.org/{i}", f"<body>{block}<p>Own {i}</p></body>") for i in range(5)]
+    pages += [(2000, "http://rep.org/0", "<body><p>Own</p></body>")] * 400
+    pages += [(2001 + i, f"http://rep.org/{i + 1}", f"<body>{block}<p>Own {i}</p></body>") for i in range(10)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Own 3" and got[1002] == "Own 2" and got[2003] == "Own 2"
