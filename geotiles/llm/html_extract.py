@@ -1,8 +1,9 @@
 """HTML extraction with site template removal.
 
-1. Every page is read into a light element tree.  Elements that hold text are
-   hashed with their whole subtree (tags, text, order).
-2. Spark counts, per host, the distinct pages that hold each hash; a subtree found
+1. Every page is read into a light element tree, in time linear in its length.
+   Elements that hold text are hashed with their whole subtree (tags, text, order).
+2. Spark counts, per host, the distinct pages that hold each hash; pages with the same
+   main element count as one, so mirrored copies of an article are no template.  A subtree found
    on ``min_pages`` distinct pages is template, however many pages the host has.  On
    hosts of fewer than 2 * ``min_pages`` pages more than half of them suffice, but
    three at least.
@@ -12,16 +13,20 @@
    main element holds becomes text: references decoded, white space inside a block
    one space, blocks joined by an empty line.
 
-A class, id or role that marks an element as never text does not count where the
-element holds the main element.
+A class or id marks an element as never text only if the element is a container
+(``CONTAINERS``) and a whole class name or the whole id is in ``MARKS``; headings,
+paragraphs and inline elements are never dropped for their names, nor are elements that
+hold the main element.
 
 The main element is the article, else main, else the body.  Paragraphs, headings and
 the like inside an article are its text and are kept even where they repeat;
 subtrees that may go there are containers.  Without an article any repeated block may go.
 
 Defined results: null or empty html gives an empty text; broken markup is read as
-browsers do in the common cases (implied end tags, unclosed elements, cut-off
-pages); a null or odd url is a host of its own; repeated rows give equal rows; an
+browsers do in the common cases (implied end tags, unclosed elements, stray end tags,
+cut-off pages); from the first attribute whose quote never closes on, tags end at the first ``>``; a
+very long page costs time and memory in proportion to its length; a null or odd url is a host of its
+own; repeated rows give equal rows, and ties cannot occur (no order decides); an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -46,21 +51,34 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section "
                   "summary table tbody tfoot thead tr ul".split())
-NEVER = frozenset("nav footer aside form script style noscript template svg math button select option iframe textarea "
-                  "head title menu dialog object embed canvas audio video input label".split())
+NEVER = frozenset("nav footer aside form script style noscript template svg button iframe textarea "
+                  "head title menu dialog canvas audio video".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption tr tbody thead table".split())
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner sidebar sidebars menu nav navbar navigation "
-                  "cookie cookies consent notice notices comment comments promo sponsor sponsored share sharing social "
-                  "newsletter popup modal related breadcrumb breadcrumbs footer masthead disqus skip".split())
+CONTAINERS = frozenset("div section article header ul ol dl table center fieldset details".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising ad-banner ad-box ad-container ad-slot banner promo "
+                  "sponsor sponsored sidebar side-bar sidebars menu main-menu nav navbar navigation site-nav breadcrumb "
+                  "breadcrumbs cookie cookies cookie-banner cookie-consent cookie-notice consent notice notices popup "
+                  "modal newsletter comment comments comment-list comments-list comments-area user-comments "
+                  "reader-comments disqus disqus_thread share share-box share-buttons sharing social social-share "
+                  "related footer site-footer page-footer site-header page-header masthead".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
-CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-          "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
-SCOPE = frozenset("table td th article section div main body html ul ol dl button template".split())
-
-_TAG = re.compile(r"""<(?:(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|!--(.*?)(?:-->|$)|[!?/][^>]*(?:>|$))""", re.S)
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")  # a tag with an unbalanced quote
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_WORD = re.compile(r"[A-Za-z0-9]+")
+CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
+          "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
+#: Where the search for an element to close ends: for an implied end of p, of list items and cells, and for stray end tags.
+P_SCOPE = frozenset("table td th article section div main body html ul ol dl button template".split())
+LISTS = frozenset("table ul ol dl select".split())
+CELLS = frozenset("table td th template".split())
+TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+
+# possessive throughout: a tag is matched or refused in one forward scan
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["']))|["'])*+)>""")
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_KINDS = (P_SCOPE, LISTS, CELLS, BLOCK)
+_KINDS_OF = {tag: tuple(kind for kind in _KINDS if tag in kind) for tag in frozenset().union(*_KINDS)}
+#: Tasks that share the rows of one template.
+SALTS = 16
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 
 
 @dataclass(slots=True)
@@ -72,77 +90,111 @@ class Node:
     marked: bool = False  # never by a class, id or role, not by its tag
 
 
-def _never(tag: str, attrs: str) -> bool:
-    if tag in NEVER:
-        return True
-    if "=" not in attrs:
-        return False
+def _marked(attrs: str) -> bool:
     for name, *values in _ATTR.findall(attrs):
-        name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id") and not MARKS.isdisjoint(_WORD.findall(value)):
-            return True
-        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
-            return True
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            said = next((v for v in values if v), "").lower().split()
+            if name == "class" and not MARKS.isdisjoint(said) or name == "id" and len(said) == 1 and said[0] in MARKS:
+                return True
+            if name == "role" and not ROLES.isdisjoint(said):
+                return True
     return False
 
 
+class _Open:
+    """The open elements, with the stack positions of each name and of each kind of barrier."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack, self.at = nodes, [0], {}
+        self.barriers = {kind: [0] for kind in _KINDS}
+
+    def push(self, number: int) -> None:
+        tag, place = self.nodes[number].tag, len(self.stack)
+        self.stack.append(number)
+        self.at.setdefault(tag, []).append(place)
+        for kind in _KINDS_OF.get(tag, ()):
+            self.barriers[kind].append(place)
+
+    def close(self, names: tuple[str, ...], kind: frozenset[str] | None = None) -> None:
+        """Ends the innermost element of these names, with all inside it, if no barrier of the kind is further in."""
+        place = max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+        # an element of the kind is no barrier to itself
+        if place < 0 or kind is not None and place < self.barriers[kind][-1]:
+            return
+        while len(self.stack) > place:
+            tag = self.nodes[self.stack.pop()].tag
+            self.at[tag].pop()
+            for mine in _KINDS_OF.get(tag, ()):
+                self.barriers[mine].pop()
+
+
 def read_tree(page: str) -> list[Node]:
     """Nodes in page order; node 0 is the root."""
     nodes = [Node("", -1, False, [])]
-    stack = [0]
-    at, end = 0, len(page)
-
-    def close(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> bool:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in names:
-                del stack[k:]
-                return True
-            if tag in stop:
-                return False
-        return False
+    held = _Open(nodes)
+    at, end, last, quotes = 0, len(page), page.rfind(">"), True
+
+    def add(tag: str, never: bool = False, marked: bool = False) -> int:
+        nodes.append(Node(tag, held.stack[-1], never, [], marked))
+        nodes[held.stack[-1]].kids.append(len(nodes) - 1)
+        return len(nodes) - 1
 
     while at < end:
         found = page.find("<", at)
         if found < 0:
-            nodes[stack[-1]].kids.append(page[at:])
+            nodes[held.stack[-1]].kids.append(page[at:])
             break
         if found > at:
-            nodes[stack[-1]].kids.append(page[at:found])
-        m = _TAG.match(page, found) or _LOOSE.match(page, found)
-        if not m:
-            nxt = page[found + 1:found + 2]
-            if nxt.isalpha() or nxt in "/!?" and nxt:  # a tag cut off by the end of the page
-                rest = page.find("<", found + 1)
-                at = end if rest < 0 else rest
+            nodes[held.stack[-1]].kids.append(page[at:found])
+        nxt = page[found + 1:found + 2]
+        if nxt in ("!", "?") or nxt == "/" and not page[found + 2:found + 3].isalpha():
+            if page.startswith("<!--", found):
+                empty = page.startswith((">", "->"), found + 4)
+                stop = page.find(">" if empty else "-->", found + 4)
+                at = end if stop < 0 else stop + (1 if empty else 3)
             else:
-                nodes[stack[-1]].kids.append("<")
-                at = found + 1
+                at = end if found > last else page.find(">", found) + 1
             continue
-        at = m.end()
-        if not m[2]:
+        if not (nxt == "/" or "a" <= nxt.lower() <= "z"):
+            nodes[held.stack[-1]].kids.append("<")
+            at = found + 1
             continue
+        m = None
+        if found < last:
+            m = _TAG.match(page, found) if quotes else None
+            if m is None:
+                quotes = False
+                m = _LOOSE.match(page, found)
+        if m is None:  # a tag cut off by the end of the page
+            rest = page.find("<", found + 1)
+            at = end if rest < 0 else rest
+            continue
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
-            close({tag})
+            if tag == "br":
+                add(tag)
+            else:
+                held.close((tag,), P_SCOPE if tag == "p" else LISTS if tag == "li" else None if tag in TABLE
+                           else CELLS if tag in BLOCK else BLOCK)
             continue
         if tag in BLOCK and tag != "html" and tag != "body":
-            close({"p"}, SCOPE)
+            held.close(("p",), P_SCOPE)
         if tag in CLOSES:
-            close(CLOSES[tag], frozenset(("table", "ul", "ol", "dl", "select")))
-        number = len(nodes)
-        never = _never(tag, m[3] or "")
-        nodes.append(Node(tag, stack[-1], never, [], never and tag not in NEVER))
-        nodes[stack[-1]].kids.append(number)
+            held.close(CLOSES[tag], LISTS)
+        attrs = m[3]
+        marked = tag not in NEVER and tag in CONTAINERS and "=" in attrs and _marked(attrs)
+        number = add(tag, marked or tag in NEVER, marked)
         if tag in VOID:
             continue
         if tag in RAW:
-            m_end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            m_end = _RAW_END[tag].search(page, at)
             nodes[number].kids.append(page[at:m_end.start() if m_end else end])
             at = m_end.end() if m_end else end
             continue
-        if not (m[3] or "").endswith("/"):
-            stack.append(number)
+        if not attrs.endswith("/"):
+            held.push(number)
     _unmark(nodes)
     return nodes
 
@@ -159,35 +211,30 @@ def _unmark(nodes: list[Node]) -> None:
         above.append((marks, tagged, inside or n.tag == "main" and not marks and not tagged))
     free_main = any(n.tag == "main" and a[2] for n, a in zip(nodes, above))
     for tag in ("article", "main"):
-        got = [k for k, n in enumerate(nodes) if n.tag == tag and not n.never and not above[k][1]
+        got = [k for k, n in enumerate(nodes) if n.tag == tag and not above[k][1]
                and (tag == "main" or not free_main or above[k][2])]
         if got:
             least = min(above[k][0] for k in got)
+            freed: set[int] = set()
             for k in got if least else ():
                 if above[k][0] == least:
-                    up = nodes[k].parent
-                    while up > 0:
-                        nodes[up].never = nodes[up].marked = False
-                        up = nodes[up].parent
+                    while k > 0 and k not in freed:
+                        freed.add(k)
+                        nodes[k].never = nodes[k].marked = False
+                        k = nodes[k].parent
             return
 
 
 def _main(nodes: list[Node]) -> tuple[list[int], bool]:
     """(main elements, whether they are an article or main)."""
     for tag in ("article", "main"):
-        got = [k for k, n in enumerate(nodes) if n.tag == tag and not n.never]
-        if got:
-            inner = set()
-            for k in got:  # nested ones belong to the outer one
-                up = nodes[k].parent
-                while up > 0:
-                    if nodes[up].tag == tag or nodes[up].never:
-                        inner.add(k)
-                        break
-                    up = nodes[up].parent
-            left = [k for k in got if k not in inner]
-            if left:
-                return left, True
+        left, shut = [], [False] * len(nodes)  # nested ones belong to the outer one
+        for k, n in enumerate(nodes):
+            shut[k] = n.parent >= 0 and (shut[n.parent] or nodes[n.parent].tag == tag or nodes[n.parent].never)
+            if n.tag == tag and not n.never and not shut[k]:
+                left.append(k)
+        if left:
+            return left, True
     body = [k for k, n in enumerate(nodes) if n.tag == "body"]
     return body[:1] or [0], False
 
@@ -218,7 +265,7 @@ def _removable(nodes: list[Node]) -> list[bool]:
     main, article = _main(nodes)
     keep = {0}
     for k in main:
-        while k > 0:
+        while k not in keep:
             keep.add(k)
             k = nodes[k].parent
     inside = [False] * len(nodes)
@@ -240,7 +287,7 @@ def main_text(nodes: list[Node], drop: set[int]) -> str:
     run: list[str] = []
 
     def flush() -> None:
-        if said := " ".join(_html.unescape("".join(run)).split()):
+        if said := " ".join("".join(run).split()):
             blocks.append(said)
         run.clear()
 
@@ -252,7 +299,7 @@ def main_text(nodes: list[Node], drop: set[int]) -> str:
             if item is None:
                 flush()
             elif isinstance(item, str):
-                run.append(item)
+                run.append(_html.unescape(item))
             else:
                 n = nodes[item]
                 if n.tag == "br" or n.tag in ("td", "th"):
@@ -276,31 +323,33 @@ def host(url):
 
 
 def page_subtrees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, page_key, hash): one row per distinct removable subtree of a page."""
+    """(host, page_key, main, hash): one row per distinct removable subtree of a page; ``main`` is the hash of its main elements."""
     slim = pages.select(host(F.col(f"`{url}`")).alias("host"), row_key(url, page).alias("page_key"),
                         F.col(f"`{page}`").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, keys, found = [], [], []
+            hosts, keys, mains, found = [], [], [], []
             for h, k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 nodes = read_tree(text.as_py() or "")
-                mine = {m for m, may in zip(subtree_hashes(nodes), _removable(nodes)) if may and m is not None}
+                marks = subtree_hashes(nodes)
+                main = xxhash.xxh64_intdigest(repr([marks[k] for k in _main(nodes)[0]])) - (1 << 63)
+                mine = {m for m, may in zip(marks, _removable(nodes)) if may and m is not None}
                 hosts += [h] * len(mine)
                 keys += [k] * len(mine)
+                mains += [main] * len(mine)
                 found += mine
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "page_key": pa.array(keys, pa.int64()),
-                                              "hash": pa.array(found, pa.int64())})
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(mains, pa.int64()),
+                                              pa.array(found, pa.int64())], ["host", "page_key", "main", "hash"])
 
-    return slim.mapInArrow(run, "host string, page_key long, hash long")
+    return slim.mapInArrow(run, "host string, page_key long, main long, hash long")
 
 
-def site_templates(subtrees: DataFrame, pages: DataFrame, url: str = "url", page: str = "html",
-                   min_pages: int = 10) -> DataFrame:
-    """(host, hash) of subtrees that recur across many distinct pages of their host."""
-    keyed = pages.select(host(F.col(f"`{url}`")).alias("host"), row_key(url, page).alias("page_key"))
-    sizes = keyed.distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = subtrees.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where("n >= 3")
+def site_templates(subtrees: DataFrame, min_pages: int = 10) -> DataFrame:
+    """(host, hash) of subtrees that recur across many pages of their host; pages of one main element are one."""
+    sizes = subtrees.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    seen = (subtrees.select("host", "hash", "main").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+            .where("n >= 3"))
     enough = F.least(F.lit(min_pages), F.floor(F.col("pages") / 2) + 1)
     return seen.join(sizes, "host").where(F.col("n") >= enough).select("host", "hash")
 
@@ -309,12 +358,15 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[
             min_pages: int = 10) -> DataFrame:
     """(*keep, text, n_chars): one row per page."""
     subtrees = written(page_subtrees(pages, url, page), "subtrees")
-    templates = site_templates(subtrees, pages, url, page, min_pages)
-    drops = (subtrees.join(templates, ["host", "hash"], "left_semi").groupBy("page_key")
+    # a template of a large host stands on all its pages: its rows are dealt over SALTS tasks
+    templates = written(site_templates(subtrees, min_pages), "templates").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = subtrees.withColumn("salt", F.pmod("page_key", F.lit(SALTS)).cast("int"))
+    drops = (salted.join(templates, ["host", "hash", "salt"], "left_semi").groupBy("page_key")
              .agg(F.collect_set("hash").alias("_drop")))
     slim = pages.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],
                         F.col(f"`{page}`").alias("_html"), row_key(url, page).alias("page_key"))
-    met = slim.join(drops.hint("shuffle_hash"), "page_key", "left").drop("page_key")
+    met = slim.join(drops, "page_key", "left").drop("page_key")
     fields = [T.StructField(c, pages.schema[c].dataType) for c in keep]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
