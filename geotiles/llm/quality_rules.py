@@ -7,7 +7,8 @@ number of policies and ablations are bit operations over the stored ledger and
 the texts are never read again.
 
 Defined results: null text counts as empty (no words); nulls in other columns
-pass through; repeated rows are judged one by one; an empty table gives an empty
+pass through; texts of any length are measured exactly, in memory of a small multiple
+of the text; there are no ties to break; repeated rows are judged one by one; an empty table gives an empty
 ledger; extra columns are kept, and a column whose name clashes with a ledger
 column is replaced by it.
 """
@@ -24,36 +25,52 @@ from .common import GAP, text_or_empty
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "n_lines", "n_upper", "n_bangs")
 
-#: Low bits of a packed window that hold its position: texts up to 4M words.
-_POSITION_BITS = 22
+#: Bits of a window's hash that are looked at; a position takes the bits it needs out of the 64.
+_HASH_BITS = 64
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds MEASURES; one pass, no shuffle, array functions only.
+def _repeats(df: DataFrame) -> DataFrame:
+    """Adds ``_rep``: positions of the three-word windows of ``_w`` that stand twice or more, sorted; exact at any length.
 
-    Three-word windows become BIGINTs, hash above and position below, so that one
-    primitive sort brings equal windows together; neighbours that share a hash
-    are confirmed on the words themselves.
+    Windows become BIGINTs, hash above and position below, so that one primitive
+    sort brings equal hashes together; the position has as many bits as the number of
+    words has.  ``_t`` holds the windows that share their hash with a neighbour.  Where
+    neighbours of one hash hold the same words all of that hash do; where any two
+    differ, the windows of that text are sorted as texts instead.
     """
-    t = text_or_empty(text)
-    base = docs.drop(*MEASURES, "_w", "_s", "_lines", "_rep")
-    low = (1 << _POSITION_BITS) - 1
-    window = lambda i: F.xxhash64(F.col("_w")[i], F.col("_w")[i + 1], F.col("_w")[i + 2]).bitwiseAND(
-        F.lit(~low)).bitwiseOR(i.cast("long"))
-    df = base.withColumn("_w", F.filter(F.split(t, GAP), lambda w: w != ""))
-    df = df.withColumn("_s", F.when(F.size("_w") >= 3, F.sort_array(
-        F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window))))
-    w, s = F.col("_w"), F.col("_s")
-    at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+    w, t, mask = F.col("_w"), F.col("_t"), F.col("_mask")
+    starts = F.sequence(F.lit(0), F.size(w) - 3)
+    some = F.size(w) >= 3
+    window = lambda i: F.call_function(
+        "shiftleft", F.xxhash64(w[i], w[i + 1], w[i + 2]).bitwiseAND(F.lit((1 << _HASH_BITS) - 1 if _HASH_BITS < 63 else -1)),
+        F.col("_bits")).bitwiseOR(i.cast("long"))
+    at = lambda x: x.bitwiseAND(mask).cast("int")
+    alike = lambda x, y: F.coalesce(x.bitwiseXOR(y).between(F.lit(0), mask), F.lit(False))
     same = lambda i, j: (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
+    df = df.withColumn("_bits", F.length(F.bin(F.size(w).cast("long")))).withColumn(
+        "_mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
+    s = F.col("_s")
+    df = df.withColumn("_s", F.when(some, F.sort_array(F.transform(starts, window))))
+    df = df.withColumn("_t", F.filter(s, lambda x, k: alike(F.get(s, k - 1), x) | alike(F.get(s, k + 1), x)))
+    differ = F.filter(t, lambda x, k: alike(F.get(t, k - 1), x) & ~F.coalesce(same(at(F.get(t, k - 1)), at(x)), F.lit(True)))
+    said = F.sort_array(F.transform(starts, lambda i: F.struct(
+        F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("i"))))
+    df = df.withColumn("_g", F.when(F.size(differ) > 0, said))
+    g = F.col("_g")
+    twin = lambda k, x: F.coalesce(F.get(g, k)["g"] == x["g"], F.lit(False))
+    slow = F.transform(F.filter(g, lambda x, k: twin(k - 1, x) | twin(k + 1, x)), lambda x: x["i"])
+    return df.withColumn("_rep", F.sort_array(F.when(g.isNotNull(), slow).otherwise(F.transform(t, at))))
 
-    def twin(x: Column, k: Column) -> Column:
-        def like(y: Column) -> Column:
-            return F.coalesce((F.shiftright(y, _POSITION_BITS) == F.shiftright(x, _POSITION_BITS))
-                              & same(at(y), at(x)), F.lit(False))
-        return like(F.get(s, k - 1)) | like(F.get(s, k + 1))
 
-    df = df.withColumn("_rep", F.sort_array(F.transform(F.filter(s, twin), at)))
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds MEASURES; one pass, no shuffle, array functions only."""
+    t = text_or_empty(text)
+    base = docs.drop(*MEASURES)
+    given = {f"_given{k}": c for k, c in enumerate(base.columns)}  # so that no column of the input can clash
+    named = base.select(*[F.col(f"`{c}`").alias(g) for g, c in given.items()], t.alias("_text"))
+    t = F.col("_text")
+    df = _repeats(named.withColumn("_w", F.filter(F.split(t, GAP), lambda w: w != "")))
+    w = F.col("_w")
     # each repeated window covers its three words; words it shares with the previous one count once
     rep = F.col("_rep")
     cover = F.aggregate(
@@ -71,8 +88,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(t, F.lit("!!")).cast("long").alias("n_bangs"),
     )
     # one row out of one: filters on the measures stay above this, so nothing is measured twice
-    kept = [F.col(f"`{c}`") for c in base.columns]
-    return df.select(*kept, F.explode(F.array(measures)).alias("_m")).select(*kept, "_m.*")
+    kept = df.select(*given, F.explode(F.array(measures)).alias("_m"))
+    return kept.select(*[F.col(g).alias(c) for g, c in given.items()], "_m.*")
 
 
 @dataclass(frozen=True)
