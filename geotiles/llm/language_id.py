@@ -4,14 +4,21 @@ Features are the 1-, 2- and 3-grams of code points after lower-casing, with ever
 non-letter read as one space.  Fitting counts features per label over a bounded
 sample of labelled rows: tasks emit sparse partial counts that Spark sums, so the
 driver receives at most labels x buckets cells.  The log-probability matrix
-(labels x buckets, float32) is broadcast; scoring gathers its columns for all
-features of an Arrow batch and sums them per text with ``np.add.reduceat``, piece
-by piece, so a very long text needs no more memory than a short one.
+(buckets x labels, float32) is broadcast and holds at most ``CELLS`` cells: the more
+labels, the fewer buckets.
+
+Scoring takes the texts of an Arrow batch as the rows of a sparse matrix: feature ids one
+after the other and where each row begins.  Its product with the matrix is a gather
+of rows and one ``np.add.reduceat``.  Long texts are rows of ``PIECE`` first positions
+each (their n-grams reach past the end of the piece, so none is lost), which are summed
+per text in order; a text's score does not depend on the batch it comes in.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 null labels are not learnt from; without any labelled row every text is ``und``;
-ties go to the label that comes first in code-point order; repeated rows are
-scored one by one; an empty table gives an empty result; extra columns are ignored.
+ties go to the label that comes first in code-point order; texts of any length are
+scored whole, in bounded memory besides the text; repeated rows are
+scored one by one (and learnt from once); null ids are rows like any other; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +30,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 UNKNOWN = "und"
 #: Bound of the labelled sample a model is fitted on.
 FIT_ROWS = 20_000
 BUCKETS = 1 << 15
-_PIECE = 1 << 18  # code points scored at a time
+#: Bound of the broadcast matrix.
+CELLS = 1 << 25
+#: First positions of the n-grams of one sparse row.
+PIECE = 1 << 16
 _NGRAMS = 3
+_AT_ONCE = 1 << 21  # matrix cells gathered at a time
 
 
 @lru_cache(maxsize=1)
@@ -48,27 +61,36 @@ def _letters() -> np.ndarray:
 
 
 def _points(text: str) -> np.ndarray:
-    return _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return _letters().take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+
 
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """Stretches of PIECE code points, each with the few that its last n-grams reach into."""
+    for a in range(0, len(text), PIECE):
+        yield _points(text[a:a + PIECE + _NGRAMS - 1])
 
-def _features(points: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, bucket ids) of all n-grams that hold a letter, by first position."""
-    ids, at = [], []
+
+def _features(points: np.ndarray, owner: np.ndarray, first: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n, (row, bucket) of the n-grams, row by row: ``owner`` names each code point's row, n-grams begin where ``first``.
+
+    Single characters count only if they are letters.
+    """
     h = np.zeros(len(points), np.uint64)
-    for n in range(_NGRAMS):
-        if len(points) <= n:
-            break
-        h = h[:len(points) - n] * np.uint64(0x9E3779B97F4A7C15) + points[n:].astype(np.uint64) + np.uint64(n + 1)
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        keep = np.flatnonzero(points[:len(h)] != 32) if n == 0 else np.arange(len(h))
-        ids.append((mixed >> np.uint64(40)).astype(np.int64)[keep] % buckets)
-        at.append(keep)
-    return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(ids or [np.zeros(0, np.int64)])
+    wide = points.astype(np.uint64)
+    for n in range(min(_NGRAMS, len(points))):
+        h = h[:len(points) - n] * np.uint64(0x9E3779B97F4A7C15) + wide[n:] + np.uint64(n + 1)
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
+        keep = first & (points != 32) if n == 0 else first[:len(h)] & (owner[:len(h)] == owner[n:])
+        keep = np.flatnonzero(keep)
+        yield owner.take(keep), mixed.take(keep).astype(np.int64) % buckets
 
 
-def _pieces(points: np.ndarray) -> Iterator[np.ndarray]:
-    for a in range(0, len(points), _PIECE):
-        yield points[a:a + _PIECE]
+def _stacked(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(points, owner, first) of several rows laid end to end."""
+    size = np.array([len(p) for p in pieces])
+    owner = np.repeat(np.arange(len(pieces)), size)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    return np.concatenate(pieces), owner, place < PIECE
 
 
 @dataclass(frozen=True)
@@ -79,62 +101,88 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Label and posterior of each text."""
-        out, n = np.zeros((len(texts), len(self.labels))), len(self.labels)
-        cps = [_points(t) if t else np.zeros(0, np.uint32) for t in texts]
-        some = np.array([bool((p != 32).any()) for p in cps])
-        for k, points in enumerate(cps):
-            if not n or not some[k]:
-                continue
-            for piece in _pieces(points):
-                out[k] += np.bincount(_features(piece, len(self.log_prob))[1],
-                                      minlength=len(self.log_prob)) @ self.log_prob if len(piece) > 20_000 else \
-                    self.log_prob[_features(piece, len(self.log_prob))[1]].sum(axis=0, dtype=np.float64)
+        n, buckets = len(self.labels), len(self.log_prob)
+        out, some = np.zeros((len(texts), n)), np.zeros(len(texts), bool)
         if not n:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        held: list[np.ndarray] = []
+        who: list[int] = []
+
+        def flush() -> None:
+            points, owner, first = _stacked(held)
+            part = np.zeros((len(held), n))
+            some[np.array(who)[owner[points != 32]]] = True
+            for row, ids in _features(points, owner, first, buckets):
+                if len(row):
+                    starts = np.flatnonzero(np.diff(row, prepend=-1))
+                    sums = np.add.reduceat(self.log_prob.take(ids, axis=0), starts, axis=0, dtype=np.float64)
+                    np.add.at(part, row[starts], sums)
+            np.add.at(out, who, part)  # pieces in order
+            held.clear()
+            who.clear()
+
+        room = max(1, _AT_ONCE // (_NGRAMS * n))
+        for k, text in enumerate(texts):
+            for piece in _pieces(text or ""):
+                if held and sum(map(len, held)) + len(piece) > room:
+                    flush()
+                held.append(piece)
+                who.append(k)
+        if held:
+            flush()
         out += self.prior
         best = out.argmax(axis=1)
         share = 1.0 / np.exp(out - out.max(axis=1, keepdims=True)).sum(axis=1)
         return ([self.labels[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, share, 0.0))
 
 
-def bounded_sample(rows: DataFrame, key: Column, bound: int) -> DataFrame:
-    """At most about ``bound`` rows, chosen by the hash of a key; all of them if there are no more."""
-    n = rows.count()
-    if n <= bound:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+def bounded_sample(rows: DataFrame, bound: int, *content: str) -> DataFrame:
+    """Rows of distinct ``content``, chosen by its hash: all if they are ``bound`` or fewer, else fewer than ``bound``.
+
+    Repeated rows are one, so neither a hot id nor null ids can exceed the bound.  The
+    number chosen is binomial; four deviations below the bound are aimed at.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in content]))
+    n = hashed.select("_h").distinct().count()
+    if n > bound:
+        aim = max(1.0, bound - 4 * bound ** 0.5)
+        hashed = hashed.where(F.pmod(F.xxhash64("_h"), F.lit(1 << 30)) < int((1 << 30) * aim / n))
+    return hashed.dropDuplicates(["_h"]).drop("_h")
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
         fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
-    """A model from (text, label) rows; at most about ``fit_rows`` of them, chosen by key hash."""
-    rows = labelled.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    rows = bounded_sample(rows, F.col(f"`{key}`"), fit_rows).select(
-        F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").alias("text"))
+    """A model from (text, label) rows; fewer than ``fit_rows`` distinct ones, chosen by hash."""
+    rows = labelled.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
+        F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
+    rows = bounded_sample(rows, fit_rows, "key", "label", "text").select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for b in batches:
             for lab, txt in zip(b.column(0).to_pylist(), b.column(1)):
-                mine = counts.setdefault(lab, np.zeros(buckets, np.int64))
-                docs[lab] = docs.get(lab, 0) + 1
-                for piece in _pieces(_points(txt.as_py())):
-                    mine += np.bincount(_features(piece, buckets)[1], minlength=buckets)
-        for lab, mine in counts.items():
-            found = np.append(np.flatnonzero(mine), -1)
-            yield pa.RecordBatch.from_pydict({
-                "label": pa.array([lab] * len(found), pa.string()), "feature": pa.array(found, pa.int64()),
-                "n": pa.array(np.append(mine[found[:-1]], docs[lab]), pa.int64())})
-
-    cells = (rows.mapInArrow(count, "label string, feature long, n long")
-             .groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow())
-    names = cells.column("label").to_pylist()
+                mine = np.zeros(buckets, np.int64)
+                for piece in _pieces(txt.as_py()):
+                    for _, ids in _features(*_stacked([piece]), buckets):
+                        mine += np.bincount(ids, minlength=buckets)
+                found = np.flatnonzero(mine)
+                yield pa.RecordBatch.from_arrays([  # the last row counts the text itself
+                    pa.array([lab] * (len(found) + 1), pa.string()), pa.array(np.append(found, -1), pa.int64()),
+                    pa.array(np.append(mine[found], 1), pa.int64())], ["label", "feature", "n"])
+
+    cells = written(rows.mapInArrow(count, "label string, feature long, n long").groupBy("label", "feature").agg(
+        F.sum("n").alias("n")), "features")
+    size = buckets
+    n_labels = cells.where("feature < 0").count()
+    while size > 1 and size * n_labels > CELLS:
+        size //= 2  # bucket numbers are hashes modulo a power of two, so they fold
+    folded = cells.select("label", F.when(F.col("feature") < 0, -1).otherwise(F.col("feature") % size).alias("feature"), "n")
+    got = folded.groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
+    names = got.column("label").to_pylist()
     labels = tuple(sorted(set(names), key=lambda s: s.encode()))
     at = {lab: k for k, lab in enumerate(labels)}
     who = np.array([at[x] for x in names], np.int64)
-    feature, n = cells.column("feature").to_numpy(), cells.column("n").to_numpy()
-    grid, prior = np.zeros((buckets, len(labels))), np.zeros(len(labels))
+    feature, n = got.column("feature").to_numpy(), got.column("n").to_numpy()
+    grid, prior = np.zeros((size, len(labels))), np.zeros(len(labels))
     real = feature >= 0
     grid[feature[real], who[real]] = n[real]
     prior[who[~real]] = n[~real]
