@@ -1,20 +1,21 @@
 """Quality classifier: gated-attention multiple-instance learning.
 
 A document is a bag of passages, fixed stretches of its whole text.  Every passage
-is encoded as the distribution of its character-class bigrams plus shares of
-repeated words, long runs and the like; a small network turns it into a vector h.
+is encoded by what it says, its words hashed into ``BUCKETS`` counts, and by how: the distribution
+of its character-class bigrams plus shares of repeated words and the like.  A small network turns that into a vector h.
 Attention weights a = softmax(w . (tanh(V h) * sigmoid(U h))) over the passages of
 a document, learnt from document labels alone, form the weighted passage
 representation that is scored: sigmoid(c . sum(a h) + b).
 
-Fitting uses a bounded sample of labelled rows (``FIT_ROWS``) and of passages of a
-document (``FIT_PASSAGES``, evenly spread); features are computed in tasks and
-only they come to the driver, at most FIT_ROWS x FIT_PASSAGES x 70 floats of 2 bytes.
+Fitting uses a bounded sample of labelled rows, every passage of each: fewer than ``FIT_ROWS`` rows and about
+``FIT_PASSAGES`` passages at most (rows are left out, never passages; documents of more than ``FIT_LONGEST`` passages
+are not sampled).  Features are computed in tasks and only they come to the driver, ``WIDTH`` floats of 2 bytes a passage.
 Scoring covers every passage of every text.
 
 Defined results: null and empty texts are one empty passage and get the score the
-model gives it; null labels are not learnt from; without labels every score is
-0.5; repeated rows are scored one by one; an empty table gives an empty result;
+model gives it; null labels and null ids are not learnt from; of several labels of an id the largest holds; without labels every score is
+0.5; texts of any length are scored whole in bounded memory besides the text; ties cannot occur; repeated rows are scored one by one
+(and learnt from once); an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -30,13 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
 from .language_id import bounded_sample
 
 FIT_ROWS = 6_000
-FIT_PASSAGES = 16
+FIT_PASSAGES = 60_000
+FIT_LONGEST = 2_000
 PASSAGE = 512  # code points
+BUCKETS = 128
 _CLASSES = 8
-WIDTH = _CLASSES * _CLASSES + 4
+WIDTH = _CLASSES * _CLASSES + 4 + BUCKETS
 _AT_ONCE = 1 << 20  # code points encoded together
 
 
@@ -87,10 +91,13 @@ def encode_passages(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         order = np.lexsort((word, who))
         fresh = np.concatenate(([True], (word[order][1:] != word[order][:-1]) | (who[order][1:] != who[order][:-1])))
         distinct = np.bincount(who[order], fresh, minlength=n) / np.maximum(words, 1)
+        bucket = ((word * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+        said = np.bincount(who * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
+        said /= np.sqrt(np.maximum(words, 1))[:, None]
     else:
-        words, stutter, distinct = np.zeros(n), np.zeros(n), np.ones(n)
+        words, stutter, distinct, said = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, BUCKETS), np.float32)
     rest = np.stack([stutter, distinct, np.minimum(size / PASSAGE, 1), np.minimum(words * 8 / PASSAGE, 2)], axis=1)
-    return np.concatenate([grams * 4, rest.astype(np.float32)], axis=1)
+    return np.concatenate([grams * 4, rest.astype(np.float32), said], axis=1)
 
 
 def passages(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,25 +203,26 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gates: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id",
-        fit_rows: int = FIT_ROWS) -> Model:
-    """A model from the labelled documents; about ``fit_rows`` of them at most, chosen by key hash."""
+        fit_rows: int = FIT_ROWS, fit_passages: int = FIT_PASSAGES) -> Model:
+    """A model from the labelled documents: a sample of rows by hash, within both bounds."""
     known = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("key")).agg(
         F.max(F.col(f"`{label}`")).cast("double").alias("y"))
-    known = bounded_sample(known, F.col("key"), fit_rows)
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(
-        known, "key").select("y", "text")
+    known = bounded_sample(known, fit_rows, "key")
+    size = F.greatest(F.lit(1), F.ceil(F.length("text") / PASSAGE))
+    met = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(known, "key")
+    met = written(met.withColumn("n", size).where(F.col("n") <= FIT_LONGEST), "labelled")
+    rows = bounded_sample(met, fit_rows, "key", "text")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    if total > fit_passages:
+        rows = rows.where(F.pmod(F.xxhash64("text", "key"), F.lit(1 << 30)) < int((1 << 30) * fit_passages / total))
+    rows = rows.select("y", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ys, data, counts = [], [], []
             for y, text_ in zip(b.column(0).to_pylist(), b.column(1)):
                 x = np.concatenate([f for _, f in passages([text_.as_py()])])
-                x = x[np.unique(np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int))]
-                ys.append(y)
-                counts.append(len(x))
-                data.append(x.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.float64()), "n": pa.array(counts, pa.int32()),
-                                              "x": pa.array(data, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"y": pa.array([y], pa.float64()), "n": pa.array([len(x)], pa.int32()),
+                                                  "x": pa.array([x.astype(np.float16).tobytes()], pa.binary())})
 
     got = rows.mapInArrow(features, "y double, n int, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["x"], r["y"]))  # whatever order tasks end in
