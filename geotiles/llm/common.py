@@ -37,14 +37,31 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*cols)
 
 
+def content_key(*cols: str) -> Column:
+    """128-bit key of a row's content, never null; equal rows share it, and no two others do in practice."""
+    parts = []
+    for c in cols:
+        said = F.col(f"`{c}`").cast("string")
+        parts.append(F.when(said.isNull(), F.lit("-")).otherwise(F.concat(F.length(said).cast("string"), F.lit(":"), said)))
+    return F.unhex(F.md5(F.concat_ws(";", *parts).cast("binary")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach; a local one only where none is set."""
+    """The folder every executor and the driver can reach; a temporary one only where all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("spark.geotiles.localCheckpoint", None)
-    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.geotiles.localCheckpoint", found)
+        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
@@ -53,9 +70,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def cast_frame(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns: extra or clashing ones never reach an operator's plan."""
-    return df.select(*[F.col(f"`{c}`") for c in cols])
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``df``; nothing may read it afterwards."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,118 +1,177 @@
 """Line dedup by a log-template tree.
 
 A line is parsed to a leaf of a fixed-depth tree: its token count, then its
-leading tokens, where a token with a digit counts as variable.  Below the leading
-tokens a line's remaining tokens form at most ``FIELDS`` equal runs.  A field value
-seen in ``min_docs`` documents of its leaf is constant, any other one variable: a
-line's template is its leaf with the constant fields and ``<*>`` for the others,
-and it counts as a template only if at least ``similarity`` of its fields are
-constant.  A template that recurs in ``min_docs`` documents is dropped everywhere
-but in the first of them (smallest key), so no content is lost with it.
-
-Spark does the work in map-side combined counts: leaves by number of documents
-first (most lines leave here), then the fields of the leaves that remain, then
-templates.  Joins are equi joins on hashes of 64 bits, which skew handling may
-split; no leaf is ever gathered.
-
-Defined results: null text has no lines and stays null; lines of fewer than
-``min_tokens`` tokens are always kept; lines end at \\n only; repeated rows
-(same id and text) share one key and so one verdict; null ids are allowed; an empty
-table gives an empty result; extra columns stay, clashing ones are replaced.
+``leading`` tokens, where a token with a digit counts as variable.  Each token below the leading
+ones is a field.  A field value held by ``min_docs`` lines of its leaf (equal lines of a
+document are one) is constant, any other one variable: a line's template is its leaf with the
+constant fields and ``<*>`` for the others, and it counts only if at least ``similarity``
+percent of its fields are constant (the leading tokens count as one).  How many documents make a
+template recur depends on what it generalises:
+
+- with variable fields, or wholly constant: ``min_docs``;
+- wholly constant and of more than ``long_tokens`` tokens: ``long_docs`` (chance does not repeat such a line);
+- fewer than ``leading`` tokens: such a line is a leaf of its own, and ``short_docs`` documents make it recur.
+
+A recurring template is dropped everywhere but in the first of its documents (smallest
+id, then smallest key), so no content is lost with it.
+
+Spark does the work on distinct lines: equal lines are counted first, with map-side combining, so
+a line in a third of all documents is one row from there on.  Only leaves of several
+distinct lines and ``min_docs`` documents have their tokens counted.  Lines, documents and templates are named
+by hashes of 128 bits; fields are compared as tokens.  Joins are equi joins between written tables, which
+skew handling may split; no leaf is ever gathered.
+
+Defined results: null text has no lines and stays null; lines without a token are
+always kept; lines end at \\n only and may be of any length; repeated rows
+(same id and text) share one key and so one verdict; null ids are allowed and come last; an empty
+table gives an empty result; extra columns stay, whatever their names, but n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, row_key, written
+from .common import content_key, fresh, written
+
+_DIGIT = re.compile(rb"[0-9]")
 
 
 @dataclass(frozen=True)
 class TreeSpec:
     leading: int = 3  # tokens that select a leaf
-    fields: int = 8  # runs of the remaining tokens
-    similarity: float = 0.6  # share of fields that must be constant
+    similarity: int = 60  # percent of fields that must be constant
     min_docs: int = 5
-    min_tokens: int = 3
+    long_tokens: int = 50
+    long_docs: int = 2
+    short_docs: int = 10
+
 
+def _tokens(line: bytes) -> list[bytes]:
+    """Tokens between the six ASCII gaps; those with a digit are masked."""
+    if _DIGIT.search(line):
+        return [b"<*>" if _DIGIT.search(w) else w for w in line.split()]
+    return line.split()
 
-def _tokens(line: Column) -> Column:
-    # few lines hold a digit: only those pay for the masking
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(
-        line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(line)
-    return F.filter(F.split(masked, GAP), lambda w: w != "")
+
+def _leaf(w: list[bytes], spec: TreeSpec) -> int:
+    return xxhash.xxh64_intdigest(b" ".join([b"%d" % len(w), *w[:spec.leading]])) - (1 << 63)
 
 
 def parsed(docs: DataFrame, spec: TreeSpec, text: str, id_col: str) -> DataFrame:
-    """(key, id, line_no, leaf, fields): one row per line of enough tokens."""
-    base = docs.select(row_key(id_col, text).alias("key"), F.col(f"`{id_col}`").alias("id"),
-                       F.posexplode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("line_no", "line"))
-    base = base.withColumn("w", _tokens(F.col("line"))).where(F.size("w") >= spec.min_tokens)
-    rest = F.size("w") - spec.leading
-    step = F.greatest(F.lit(1), F.ceil(rest / spec.fields).cast("int"))
-    field = lambda i: F.xxhash64(F.slice(F.col("w"), i * F.col("step") + spec.leading + 1, F.col("step")))
-    return base.withColumn("step", step).select(
-        "key", "id", "line_no",
-        F.xxhash64(F.size("w"), F.slice("w", 1, spec.leading)).alias("leaf"),
-        F.when(rest > 0, F.transform(F.sequence(F.lit(0), F.ceil(rest / F.col("step")).cast("int") - 1), field))
-        .otherwise(F.array().cast("array<bigint>")).alias("fields"))
-
-
-def _recurring(keyed: DataFrame, cols: list[str], spec: TreeSpec) -> DataFrame:
-    """Values of ``cols`` found in min_docs documents (distinct ``key``): two combined counts, no distinct list kept."""
-    return (keyed.select("key", *cols).distinct().groupBy(*cols).agg(F.count("*").alias("n_docs"))
-            .where(F.col("n_docs") >= spec.min_docs))
-
-
-def templates(docs: DataFrame, spec: TreeSpec = TreeSpec(), text: str = "text",
-              id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(lines with a recurring template, the templates): (key, id, line_no, template), (template, n_docs, first_id, first_key)."""
+    """(key, id, line_no, n, leaf, line): one row per line with a token; ``line`` is the hash of its tokens."""
+    base = docs.select(content_key(id_col, text).alias("key"), F.col(f"`{id_col}`").alias("id"),
+                       F.col(f"`{text}`").cast("binary").alias("text"))
+    schema = f"key binary, id {docs.schema[id_col].dataType.simpleString()}, line_no int, n int, leaf long, line binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, number, size, leaf, line = [], [], [], [], []
+            for k, t in enumerate(b.column(2)):
+                for i, said in enumerate((t.as_py() or b"").split(b"\n")):
+                    if w := _tokens(said):
+                        row.append(k)
+                        number.append(i)
+                        size.append(len(w))
+                        leaf.append(_leaf(w, spec))
+                        line.append(xxhash.xxh3_128_digest(b" ".join(w)))
+            at = pa.array(np.array(row, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(size, pa.int32()),
+                 pa.array(leaf, pa.int64()), pa.array(line, pa.binary())], ["key", "id", "line_no", "n", "leaf", "line"])
+
+    return base.mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame, spec: TreeSpec, text: str) -> DataFrame:
+    """(leaf, line, said): the masked tokens of every line with a field."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf, line, said = [], [], []
+            for t in b.column(0):
+                for raw in (t.as_py() or b"").split(b"\n"):
+                    w = _tokens(raw)
+                    if len(w) > spec.leading:
+                        whole = b" ".join(w)
+                        leaf.append(_leaf(w, spec))
+                        line.append(xxhash.xxh3_128_digest(whole))
+                        said.append(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.binary()),
+                                              pa.array(said, pa.binary()).cast(pa.string())], ["leaf", "line", "said"])
+
+    return docs.select(F.col(f"`{text}`").cast("binary").alias("text")).mapInArrow(run, "leaf long, line binary, said string")
+
+
+def _first() -> F.Column:
+    """The document a template stays in."""
+    return F.min(F.struct(F.col("id").isNull().alias("z"), "id", "key")).alias("first")
+
+
+def _generalised(docs: DataFrame, counts: DataFrame, spec: TreeSpec, text: str) -> DataFrame:
+    """(line, leaf, a, b): lines whose template has variable fields; (leaf, a, b) names the template."""
+    leaves = written(counts.where(F.col("n") > spec.leading).groupBy("leaf").agg(
+        F.count("*").alias("lines"), F.sum("n_docs").alias("docs")).where(
+        (F.col("lines") > 1) & (F.col("docs") >= spec.min_docs)).select("leaf"), "leaves")
+    said = _texts(docs, spec, text).join(leaves, "leaf", "left_semi").groupBy("line", "leaf").agg(F.min("said").alias("said"))
+    known = written(said.join(counts.select("line", "n_docs"), "line"), "lines-in-leaves")
+    tokens = F.split("said", " ")
+    cells = known.select("line", "leaf", "n_docs", F.posexplode(
+        F.slice(tokens, spec.leading + 1, F.size(tokens))).alias("pos", "value"))
+    constant = written(cells.groupBy("leaf", "pos", "value").agg(F.sum("n_docs").alias("n")).where(
+        F.col("n") >= spec.min_docs).drop("n"), "fields").withColumn("constant", F.lit(True))
+    seen = cells.drop("n_docs").join(constant, ["leaf", "pos", "value"], "left")
+    part = lambda *salt: F.bit_xor(F.when(F.col("constant"), F.xxhash64(*salt, "pos", "value")).otherwise(0))
+    shape = seen.groupBy("line", "leaf").agg(part().alias("a"), part(F.lit(1)).alias("b"), F.count("*").alias("fields"),
+                                             F.count("constant").alias("fixed"))
+    return shape.where((F.col("fixed") < F.col("fields")) & (100 * (F.col("fixed") + 1) >= spec.similarity * (F.col("fields") + 1))
+                       ).select("line", "leaf", "a", "b")
+
+
+def recurring(docs: DataFrame, spec: TreeSpec = TreeSpec(), text: str = "text",
+              id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, constant templates, generalised ones).
+
+    lines: (key, id, line_no, n, leaf, line); constant: (line, n_docs, first);
+    generalised: (key, id, line_no, leaf, a, b, n_docs, first), one row per line of such a template.
+    """
     lines = written(parsed(docs, spec, text, id_col), "lines")
-    leaves = _recurring(lines, ["leaf"], spec).select("leaf")
-    lines = written(lines.join(leaves, "leaf", "left_semi"), "lines-in-leaves")
-    cells = lines.select("key", "line_no", "leaf", F.posexplode("fields").alias("pos", "value"))
-    constant = _recurring(cells, ["leaf", "pos", "value"], spec).drop("n_docs").withColumn("constant", F.lit(True))
-    seen = cells.join(constant, ["leaf", "pos", "value"], "left")
-    # a line's constant fields, summed without ordering them: position is mixed into each hash
-    part = F.when(F.col("constant"), F.xxhash64("pos", "value").cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))
-    shape = seen.groupBy("key", "line_no", "leaf").agg(
-        F.sum(part).alias("mix"), F.count("*").alias("n"), F.count("constant").alias("fixed"))
-    bare = lines.where(F.size("fields") == 0).select(
-        "key", "line_no", "leaf", F.lit(0).cast("decimal(38,0)").alias("mix"),
-        F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("fixed"))
-    # the leading tokens are constant by construction
-    made = shape.select("key", "line_no", "leaf", "mix", "n", "fixed").unionByName(bare)
-    made = made.where(F.col("fixed") + 1 >= spec.similarity * (F.col("n") + 1)).select(
-        "key", "line_no", F.xxhash64("leaf", "mix").alias("template"))
-    ids = lines.select("key", "line_no", "id").distinct()
-    made = written(made.join(ids, ["key", "line_no"]).select("key", "id", "line_no", "template"), "templates")
-    first = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("key").alias("key")))
-    per_doc = made.groupBy("template", "key").agg(F.min("id").alias("id"))
-    found = per_doc.groupBy("template").agg(F.count("*").alias("n_docs"), first.alias("f")).where(
-        F.col("n_docs") >= spec.min_docs).select("template", "n_docs", F.col("f.id").alias("first_id"),
-                                                 F.col("f.key").alias("first_key"))
-    return made, found
+    counts = written(lines.select("line", "key", "id", "n", "leaf").distinct().groupBy("line", "n", "leaf").agg(
+        F.count("*").alias("n_docs"), _first()), "line-counts")
+    enough = F.when(F.col("n") > spec.long_tokens, spec.long_docs).when(F.col("n") < spec.leading, spec.short_docs).otherwise(spec.min_docs)
+    constant = counts.where(F.col("n_docs") >= enough).select("line", "n_docs", "first")
+    shapes = written(_generalised(docs, counts, spec, text), "shapes")
+    made = written(lines.select("line", "key", "id", "line_no").join(shapes, "line").drop("line"), "made")
+    found = written(made.select("leaf", "a", "b", "key", "id").distinct().groupBy("leaf", "a", "b").agg(
+        F.count("*").alias("n_docs"), _first()).where(F.col("n_docs") >= spec.min_docs), "templates")
+    return lines, constant, made.join(found, ["leaf", "a", "b"])
 
 
 def drop_recurring_lines(docs: DataFrame, spec: TreeSpec = TreeSpec(), text: str = "text",
                          id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``text`` rid of recurring templates, plus n_lines and n_dropped.
 
-    The texts are shuffled once, by key, to meet their list of dropped line numbers.
+    Dropped line numbers are gathered by document and written; the texts are shuffled
+    to meet them only where that list is too large to be broadcast.
     """
-    made, found = templates(docs, spec, text, id_col)
-    gone = (made.join(found.select("template", "first_key"), "template").where("key <> first_key")
-            .groupBy("key").agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
-            .withColumnRenamed("key", "_key"))
-    base = docs.drop("n_lines", "n_dropped", "_key", "_gone")
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    joined = base.withColumn("_key", row_key(id_col, text)).join(gone.hint("shuffle_hash"), "_key", "left")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    new = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    lines, constant, generalised = recurring(docs, spec, text, id_col)
+    elsewhere = F.col("key") != F.col("first.key")
+    gone = (lines.select("line", "key", "line_no").join(written(constant, "constant"), "line").where(elsewhere).select("key", "line_no")
+            .unionByName(generalised.where(elsewhere).select("key", "line_no")))
+    base = docs.drop("n_lines", "n_dropped")
+    key, list_ = fresh(base, "key"), fresh(base, "gone")
+    gone = written(gone.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("line_no")).alias(list_)), "gone")
+    parts = F.split(F.col(f"`{text}`"), "\n")
+    joined = base.withColumn(key, content_key(id_col, text)).join(gone, key, "left")
+    kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col(list_), i))
+    new = F.when(F.col(list_).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[(new.alias(text) if c == text else F.col(f"`{c}`")) for c in base.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(list_), F.lit(0)).cast("long").alias("n_dropped"))

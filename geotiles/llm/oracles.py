@@ -78,21 +78,23 @@ k AS (SELECT row_number() OVER () AS key, doc_id, text, string_split(text, chr(1
 l AS (SELECT key, doc_id, i, list_filter(string_split_regex(regexp_replace(ls[i],
         '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
       FROM (SELECT key, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM k WHERE text IS NOT NULL)),
-p AS (SELECT key, doc_id, i, w, concat_ws(' ', len(w), w[1], w[2], w[3]) AS leaf,
-        greatest(1, ceil((len(w) - 3) / 8.0)::INT) AS step FROM l WHERE len(w) >= 3),
-lf AS (SELECT leaf FROM p GROUP BY leaf HAVING count(DISTINCT key) >= 5),
-q AS (SELECT * FROM p SEMI JOIN lf USING (leaf)),
-c AS (SELECT key, i, leaf, pos, array_to_string(w[pos * step + 4 : pos * step + 3 + step], ' ') AS value
-      FROM (SELECT *, unnest(range(0, ceil((len(w) - 3) * 1.0 / step)::INT)) AS pos FROM q WHERE len(w) > 3)),
-f AS (SELECT leaf, pos, value FROM c GROUP BY ALL HAVING count(DISTINCT key) >= 5),
-s AS (SELECT c.key, c.i, c.leaf, count(*) AS n, count(f.leaf) AS fixed,
+p AS (SELECT key, doc_id, i, w, array_to_string(w, ' ') AS line FROM l WHERE len(w) > 0),
+u AS (SELECT line, any_value(w) AS w, len(any_value(w)) AS n, count(DISTINCT key) AS n_docs, min(doc_id) AS first_id FROM p GROUP BY line),
+lu AS (SELECT *, concat_ws(' ', n, w[1], w[2], w[3]) AS leaf FROM u),
+e AS (SELECT line, first_id FROM lu WHERE n_docs >= CASE WHEN n > 50 THEN 2 WHEN n < 3 THEN 10 ELSE 5 END),
+lf AS (SELECT leaf FROM lu WHERE n > 3 GROUP BY leaf HAVING count(*) > 1 AND sum(n_docs) >= 5),
+c AS (SELECT line, leaf, n_docs, pos, w[pos] AS value FROM (
+        SELECT line, leaf, n_docs, w, unnest(range(4, n + 1)) AS pos FROM lu SEMI JOIN lf USING (leaf) WHERE n > 3)),
+f AS (SELECT leaf, pos, value FROM c GROUP BY ALL HAVING sum(n_docs) >= 5),
+s AS (SELECT c.line, c.leaf, count(*) AS n, count(f.leaf) AS fixed,
         coalesce(string_agg(c.pos || ':' || f.value, chr(10) ORDER BY c.pos), '') AS mix
-      FROM c LEFT JOIN f USING (leaf, pos, value) GROUP BY ALL
-      UNION ALL SELECT key, i, leaf, 0, 0, '' FROM q WHERE len(w) = 3),
-t AS (SELECT key, i, leaf || chr(10) || mix AS template FROM s WHERE fixed + 1 >= 0.6 * (n + 1)),
-r AS (SELECT template, min(doc_id) AS first_id FROM t JOIN k USING (key) GROUP BY template HAVING count(DISTINCT key) >= 5),
-g AS (SELECT key, list(DISTINCT i) AS gone FROM t JOIN r USING (template) JOIN k USING (key)
-      WHERE k.doc_id <> first_id GROUP BY key)
+      FROM c LEFT JOIN f ON c.leaf = f.leaf AND c.pos = f.pos AND c.value = f.value GROUP BY c.line, c.leaf),
+t AS (SELECT key, doc_id, i, leaf || chr(10) || mix AS template FROM s JOIN p USING (line)
+      WHERE fixed < n AND 100 * (fixed + 1) >= 60 * (n + 1)),
+r AS (SELECT template, min(doc_id) AS first_id FROM t GROUP BY template HAVING count(DISTINCT key) >= 5),
+x AS (SELECT key, i FROM t JOIN r USING (template) WHERE doc_id <> first_id
+      UNION SELECT key, i FROM p JOIN e USING (line) WHERE doc_id <> first_id),
+g AS (SELECT key, list(i) AS gone FROM x GROUP BY key)
 SELECT documents.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
   sha256(coalesce(CASE WHEN gone IS NULL THEN documents.text ELSE
     array_to_string(list_filter(ls, lambda x, j: NOT list_contains(gone, j)), chr(10)) END, '')) AS kept_sha256
