@@ -1,23 +1,25 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal word blocks.
 
-1. Sizes: words per document, summed per source (map-side combined).
+1. Sizes: words per document, counted once and written without the texts, summed per source (map-side combined).
 2. Targets: the wanted total is shared by weight; a source stops at ``max_epochs``
    times its size and its excess is reshared by weight until none is above.
-   Each round is one aggregate row over the sources table.
+   Each round is one aggregate row over the sources table; it ends when no further source is full.
 3. Quotas: the mix is cut into shards of equal numbers of blocks.  Seats go to
    the highest quotients target / (2k + 1); since the method is house-monotone,
    a shard's integer quotas are the seats up to its end less those up to its
    start.  Seats are found by rounding and a window over the few seats around the
    rounded share, so no seat list is ever built.
-4. Selection: a source's documents stand in seeded order (md5 of seed and id), cut
+4. Selection: a source's documents stand in seeded order (md5 of seed and id, then size, then content), cut
    into blocks of ``block`` words.  Shard after shard takes the source's next
-   blocks, starting over when they end.  Positions come from a two-level prefix
-   sum over (source, first two hex digits), so a source of any share of the rows is
-   spread over 256 windows.
+   blocks, starting over when they end.
+
+Ranks of sources and positions of documents are counted over range partitions: rows are sorted into
+stretches of equal size, written with their stretch, and what stands before a stretch is summed
+over stretches.  No source, leading character or id gathers in one task.
 
 Defined results: null text has no words and is never taken; a null source is a
-source of its own, last; ids may repeat or be null (ties share their order
-arbitrarily but reproducibly by size); an empty table gives an empty mix; extra
+source of its own, last; ids may repeat or be null (rows equal in id and text are interchangeable, others never tie); very
+long texts only count; an empty table gives an empty mix; extra
 columns are ignored.
 """
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,29 +46,30 @@ class MixSpec:
 
 def sized(docs: DataFrame, spec: MixSpec, text: str = "text", id_col: str = "doc_id",
           source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, source, size, key): what the mix needs of a document, without its text."""
-    return docs.select(
+    """(id, *keep, source, size, key, tie): what the mix needs of a document, without its text; written."""
+    return written(docs.select(
         F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("source"),
         word_count(text).alias("size"),
         F.md5(F.concat(F.lit(spec.seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-              .cast("binary")).alias("key"))
+              .cast("binary")).alias("key"), F.xxhash64(f"`{id_col}`", f"`{text}`").alias("tie")), "sized")
 
 
-def _ranked(sources: DataFrame, spec: MixSpec) -> DataFrame:
-    """Weight by position in code-point order, null last.
+def _stretched(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """``rows`` with the number of the stretch of the given order that holds them; written, as the bounds are drawn at random."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartitionByRange(n, *order).withColumn("stretch", F.spark_partition_id()), "stretched")
 
-    One row per source; a source is ranked inside its leading character (two-level, as for documents).
-    """
-    head = F.coalesce(F.substring("source", 1, 4), F.lit(""))
-    last = F.col("source").isNull()
-    part = sources.withColumn("_h", head).withColumn("_z", last)
-    counts = part.groupBy("_z", "_h").agg(F.count("*").alias("n"))
-    before = counts.withColumn("_before", F.coalesce(
-        F.sum("n").over(Window.orderBy("_z", "_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_z", "_h").orderBy("source")) - 1
+
+def _ranked(sources: DataFrame, spec: MixSpec) -> DataFrame:
+    """Weight by position in code-point order, null last."""
+    part = _stretched(sources.withColumn("last", F.col("source").isNull()), "last", "source")
+    counts = part.groupBy("stretch").agg(F.count("*").alias("n"))
+    before = counts.select("stretch", F.coalesce(F.sum("n").over(
+        Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("stretch").orderBy("last", "source")) - 1
     weight = F.array(*[F.lit(w).cast("long") for w in spec.weights])
-    return (part.withColumn("_p", place).join(before.drop("n"), ["_z", "_h"])
-            .withColumn("rank", F.col("_before") + F.col("_p"))
+    return (part.withColumn("place", place).join(before, "stretch")
+            .withColumn("rank", F.col("before") + F.col("place"))
             .withColumn("weight", F.get(weight, (F.col("rank") % len(spec.weights)).cast("int")))
             .select("source", "source_size", "rank", "weight"))
 
@@ -76,18 +79,15 @@ def targets(sources: DataFrame, spec: MixSpec) -> DataFrame:
     ranked = written(_ranked(sources, spec), "sources")
     cap = F.col("source_size") * spec.max_epochs
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    wanted, level, full = spec.share * total, None, F.lit(False)
+    wanted, level, full, n = spec.share * total, None, F.lit(False), -1
     while True:
         row = ranked.agg(
             F.sum(F.when(full, cap).otherwise(F.lit(0))).alias("caps"),
             F.sum(F.when(full, F.lit(0)).otherwise(F.col("weight"))).alias("weights"),
             F.sum(full.cast("long")).alias("n")).first()
-        if not row["weights"]:
-            break
-        level = (wanted - row["caps"]) / row["weights"]
-        above = full | (cap < F.lit(level) * F.col("weight"))
-        if ranked.agg(F.sum(above.cast("long"))).first()[0] == row["n"]:
+        if not row["weights"] or row["n"] == n:
             break
+        n, level = row["n"], (wanted - row["caps"]) / row["weights"]
         full = cap < F.lit(level) * F.col("weight")
     share = F.lit(0.0) if level is None else F.lit(float(level)) * F.col("weight")
     return ranked.withColumn("target", F.when(full, cap.cast("double")).otherwise(share))
@@ -123,16 +123,16 @@ def shard_quotas(sources: DataFrame, spec: MixSpec) -> DataFrame:
 
 def _positions(rows: DataFrame) -> DataFrame:
     """Adds ``start``: words of the source that stand before the document in seeded order."""
-    part = rows.withColumn("_b", F.substring("key", 1, 2))
-    tot = part.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
-    off = tot.withColumn("_off", F.coalesce(F.sum("_s").over(
-        Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(
-        F.col("source").alias("_src"), F.col("_b").alias("_bb"), "_off")
-    within = F.coalesce(F.sum("size").over(
-        Window.partitionBy("source", "_b").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (part.withColumn("_in", within)
-            .join(off, part["source"].eqNullSafe(off["_src"]) & (F.col("_b") == F.col("_bb")))
-            .withColumn("start", F.col("_in") + F.col("_off")).drop("_b", "_bb", "_src", "_in", "_off"))
+    part = _stretched(rows, "source", "key", "size", "tie")
+    total = part.groupBy("source", "stretch").agg(F.sum("size").alias("words"))
+    # a stretch holds few sources and a source stands in neighbouring stretches: this table has at most sources + stretches rows
+    before = total.select(F.col("source").alias("src"), F.col("stretch").alias("at"), F.coalesce(F.sum("words").over(
+        Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("size").over(Window.partitionBy("source", "stretch").orderBy("key", "size", "tie").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    return (part.withColumn("within", within)
+            .join(before, part["source"].eqNullSafe(before["src"]) & (F.col("stretch") == F.col("at")))
+            .withColumn("start", F.col("within") + F.col("before")).drop("stretch", "at", "src", "within", "before", "tie"))
 
 
 def mix(docs: DataFrame, spec: MixSpec = MixSpec(), text: str = "text", id_col: str = "doc_id",
