@@ -21,12 +21,18 @@
    folder; the smallest doc_id of a component names it.
 
 ``similar_groups`` serves documents at an exact similarity instead of a radius:
-five-word shingle sets with Jaccard >= 0.8 (``TABLES`` independent fingerprints of
-32 bits, each bit drawn from the least shingle hash of an order of its own, so that
-it differs with half the Jaccard distance).  Fingerprints within two bits meet in a
-one-bit flip of both; members of a variant meet its two ends, in another order in
-every table, and each pair met is checked on the whole shingle sets.  A pair at 0.8
-is met with probability 0.99, at 0.85 with 0.9998; no pair below 0.8 is linked.
+five-word shingle sets with Jaccard >= 0.8.  Bits do not serve there: at 0.8 a bit
+differs with probability 0.1, and balls that meet often enough are too many (330
+variants a document) and too crowded.  So a fingerprint is made of ``SYMBOLS`` symbols of
+``SYMBOL_BITS`` bits, each taken from the least shingle hash in an order of its own, so that it differs
+with the Jaccard distance; the radius is one symbol, and half of it is one erasure:
+every fingerprint emits its variants with one symbol left out, and two fingerprints
+that differ in one symbol at most meet in one of them.  With ``TABLES`` independent
+fingerprints a pair at 0.8 meets with probability 0.999, at 0.9 with 0.99999.
+Documents are shuffled on variants and sorted inside them, in one of two orders; each meets
+the first and the one before it, and each pair met is checked on the whole shingle
+sets.  No pair below 0.8 is linked; variants of up to three members compare all
+pairs, in larger ones similar members are linked through each other.
 
 Defined results: null or wordless text has fingerprint zero and is linked like
 any other; fewer than three words make one shingle; repeated rows fall into one
@@ -45,14 +51,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import discard, written
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-TABLES = 10
-BITS = 32
+TABLES = 5
+SYMBOLS = 5
+SYMBOL_BITS = 12
 _STEP = 1 << 15  # shingles counted at a time, so that one very long text stays small
 
 
@@ -96,9 +103,13 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A few MB of fingerprints dealt to as many tasks as what they emit needs."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+def _spread(df: DataFrame, col: str = "fp") -> DataFrame:
+    """A few MB of fingerprints dealt to as many tasks as what they emit needs.
+
+    Dealt by a hash of the column: by the column itself a distinct before it has dealt them
+    already, and the planner would leave this out.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(col))
 
 
 def _screened(fps: DataFrame) -> DataFrame:
@@ -114,7 +125,7 @@ def _screened(fps: DataFrame) -> DataFrame:
               .where("lo <> hi AND flip = 0"))
     # every member of a shared variant, without keeping a bucket together
     return emitted.select("variant", "fp").join(
-        shared.select("variant").hint("shuffle_hash"), "variant", "left_semi").select("fp").distinct()
+        shared.select("variant"), "variant", "left_semi").select("fp").distinct()
 
 
 def _edges(candidates: DataFrame) -> DataFrame:
@@ -131,38 +142,40 @@ def _edges(candidates: DataFrame) -> DataFrame:
     hubs = (emitted.groupBy("variant")
             .agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("hub"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
             .where("hub IS NOT NULL AND lo <> hi").select("variant", "hub"))
-    return (emitted.select("variant", "fp").join(hubs.hint("shuffle_hash"), "variant").where("fp <> hub")
+    return (emitted.select("variant", "fp").join(hubs, "variant").where("fp <> hub")
             .where(distance(F.col("fp"), F.col("hub")) <= RADIUS)
             .select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct())
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node reachable.
 
     Large-star / small-star contraction: each round is two map-side combined
-    minima and equi joins over the edges; it ends when a round changes nothing.
+    minima and equi joins over the edges; it ends when a round changes nothing.  The
+    minima are written, so that the joins meet two exchanges and the rows of a node
+    with many neighbours can be dealt to several tasks.
     """
+    def stamp(df: DataFrame) -> tuple:
+        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+
     current = written(edges.select("a", "b"), name)
-    for _ in range(rounds):
+    mark = stamp(current)
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least")
         # large star: neighbours above a node move to its minimum
-        large = (both.join(least.hint("merge"), "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = written(both.where("b > a").join(least, "a")
+                        .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{name}-large")
         # small star: a node and its lower neighbours move to their minimum
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low.hint("merge"), "a")
-                 .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
-                                           F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-                 .select("e.*").where("a <> b").distinct())
-        small = written(small, name)
-        same = [df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-                for df in (current, small)]
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low")
+        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        for used in (current, least, large, low):
+            discard(used)
         current = small
-        if same[0] == same[1]:
+        last, mark = mark, stamp(current)
+        if last == mark:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
@@ -174,11 +187,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     reps = prints.groupBy("fp").agg(F.min(id_col).alias("rep"))
     candidates = written(_screened(prints.select("fp").distinct()), "candidates")
     roots = components(_edges(candidates), "near-links")
-    classes = reps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("rep").alias("component_id")).hint("merge"), "root").select(
-        "fp", "component_id")
-    return prints.join(named.hint("merge"), "fp").select(id_col, *keep, "fp", "component_id")
+    classes = written(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "rep", F.coalesce("root", "fp").alias("root")), "classes")
+    named = written(classes.groupBy("root").agg(F.min("rep").alias("component_id")), "named")
+    members = written(classes.join(named, "root").select("fp", "component_id"), "members")
+    return prints.join(members, "fp").select(id_col, *keep, "fp", "component_id")
 
 
 def _shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -200,54 +213,79 @@ def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw("factor") | np.uint64(1), draw("offset")
 
 
-def _least_bits(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """TABLES fingerprints: bit j is one bit of the least hash in order j."""
+def _symbols(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """TABLES fingerprints of packed symbols: symbol j is a part of the least hash in order j."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         part = hashes[at:at + 2048, None] * factors + offsets
         np.minimum(least, part.min(axis=0), out=least)
-    bits = (least >> np.uint64(17) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits.reshape(TABLES, BITS), axis=1).view(">u4").ravel().astype(np.int64)
+    symbol = (least >> np.uint64(17) & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.int64).reshape(TABLES, SYMBOLS)
+    return (symbol << SYMBOL_BITS * np.arange(SYMBOLS)).sum(axis=1)
 
 
-def _set_prints(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, set_key, prints): rows of equal shingle sets share set_key."""
-    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+def _set_prints(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """(key, *keep, set_key, prints): rows of equal shingle sets share set_key (128 bits)."""
+    slim = docs.select(*[F.col(f"`{c}`") for c in (key, *keep)], F.col(f"`{text}`").alias("_text"))
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("set_key", T.BinaryType()),
+                           T.StructField("prints", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = _orders(TABLES * BITS)
+        orders = _orders(TABLES * SYMBOLS)
         for b in batches:
             keys, prints = [], []
-            for t in b.column(1):
+            for t in b.column(b.num_columns - 1):
                 hashes = _shingle_set(t.as_py(), SIMILAR_WORDS)
-                keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42) - (1 << 63))
-                prints.append(_least_bits(hashes, *orders))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(prints, pa.list_(pa.int64()))],
-                                             ["key", "set_key", "prints"])
+                keys.append(xxhash.xxh3_128_digest(hashes.tobytes(), 42))
+                prints.append(_symbols(hashes, *orders))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
+                                             schema.names)
 
-    return slim.mapInArrow(run, "key long, set_key long, prints array<long>")
+    return slim.mapInArrow(run, schema)
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """(a, b) with a > b: each member of a variant with the first and the last of its table's order."""
-    flips = F.array(*[F.lit(f).cast("long") for f in (0, *(1 << i for i in range(BITS)))])
-    masks = F.array(*[F.lit(xxhash.xxh64_intdigest(f"mask{t}") - (1 << 63)).cast("long") for t in range(TABLES)])
-    mask = lambda col: F.col(col).bitwiseXOR(F.element_at(masks, F.shiftright("variant", BITS).cast("int") + 1))
-    dealt = sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_key")
-    emitted = (dealt.select("set_key", F.posexplode("prints").alias("t", "fp"))
-               .select(F.col("set_key").bitwiseXOR(F.element_at(masks, F.col("t") + 1)).alias("member"),
-                       (F.shiftleft(F.col("t").cast("long"), BITS).bitwiseOR(F.col("fp"))).alias("base"))
-               .select("member", F.explode(F.transform(flips, lambda f: F.col("base").bitwiseXOR(f))).alias("variant"))
-               .repartition("variant"))
-    ends = emitted.groupBy("variant").agg(F.min("member").alias("lo"), F.max("member").alias("hi")).where("lo <> hi")
-    pairs = emitted.join(ends.hint("shuffle_hash"), "variant").select(mask("member").alias("m"), F.explode(
-        F.array(mask("lo"), mask("hi"))).alias("e")).where("m <> e")
-    return pairs.select(F.greatest("m", "e").alias("a"), F.least("m", "e").alias("b")).distinct()
+    """(a, b) with a > b: each member of a variant with its first member and the one before it."""
+    low = lambda x, i: x.bitwiseAND(F.lit((1 << SYMBOL_BITS * i) - 1).cast("long"))
+    without = lambda x, i: F.shiftleft(F.shiftright(x, SYMBOL_BITS * (i + 1)), SYMBOL_BITS * i).bitwiseOR(low(x, i))
+    each = _spread(sets, "set_key").select("set_key", F.posexplode("prints").alias("t", "fp"))
+    names = F.array(*[F.struct(F.lit(i).alias("i"), without(F.col("fp"), i).alias("rest")) for i in range(SYMBOLS)])
+    tag = F.shiftleft((F.col("t") * SYMBOLS + F.col("e.i")).cast("long"), SYMBOL_BITS * (SYMBOLS - 1))
+    emitted = each.select("set_key", "t", F.explode(names).alias("e")).select(
+        tag.bitwiseOR(F.col("e.rest")).alias("variant"), F.xxhash64(F.col("t") % 2, "set_key").alias("place"), "set_key")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = emitted.repartition(n, F.xxhash64("variant")).sortWithinPartitions("variant", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None  # the first row of the variant that goes on, and the last row
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b.select(["variant", "set_key"])])
+            skip = 0 if tail is None else tail.num_rows
+            rows = pa.concat_tables([tail, rows]).combine_chunks() if skip else rows
+            v, key = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+            at = np.arange(skip, len(v))
+            opens = np.ones(len(at), bool)
+            opens[1 if not skip else 0:] = v[at[1 if not skip else 0:]] != v[at[1 if not skip else 0:] - 1]
+            first = np.maximum.accumulate(np.where(opens, at, 0))
+            one, two = [], []
+            for other in (first, np.maximum(at - 1, 0)):
+                # rows of another variant, and the row itself, are no partners
+                some = (v[other] == v[at]) & (other < at) & (other >= np.where(first >= skip, first, 0))
+                one.append(at[some])
+                two.append(other[some])
+            a, c = key.take(pa.array(np.concatenate(one))), key.take(pa.array(np.concatenate(two)))
+            yield pa.RecordBatch.from_arrays([a, c], ["x", "y"])
+            start = int(first[-1])
+            tail = rows.take(pa.array([start, len(v) - 1]))
+
+    pairs = ordered.mapInArrow(run, "x binary, y binary").where("x <> y")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, owners: DataFrame, text: str, key: str) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY at least."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(owners, "set_key").select("set_key", "key")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(owners, "set_key").select("set_key", "key"), "wanted")
     slim = (docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(wanted, "key")
             .select("set_key", "text"))
 
@@ -265,16 +303,19 @@ def _similar(pairs: DataFrame, docs: DataFrame, owners: DataFrame, text: str, ke
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(slim.mapInArrow(hashed, "set_key long, hashes binary").dropDuplicates(["set_key"]), "shingle-sets")
-    side = lambda c: sets.select(F.col("set_key").alias(c), F.col("hashes").alias(f"h{c}")).hint("merge")
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(checked, "a long, b long")
+    sets = written(slim.mapInArrow(hashed, "set_key binary, hashes binary").dropDuplicates(["set_key"]), "shingle-sets")
+    side = lambda c: sets.select(F.col("set_key").alias(c), F.col("hashes").alias(f"h{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(checked, "a binary, b binary")
 
 
-def similar_groups(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, group): rows linked by shingle sets of Jaccard >= SIMILARITY share a group; ``key`` is a BIGINT of the row's content."""
-    prints = written(_set_prints(docs, text, key), "set-prints")
-    owners = prints.groupBy("set_key").agg(F.min("key").alias("key"))
-    pairs = written(_met(prints.dropDuplicates(["set_key"])), "met")
-    roots = components(_similar(pairs, docs.dropDuplicates([key]), owners, text, key), "similar-links")
-    return prints.join(roots.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").select(
-        F.col("key").alias(key), F.coalesce("root", "set_key").alias("group"))
+def similar_groups(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, group), a row per row: rows linked by shingle sets of Jaccard >= SIMILARITY share a group.
+
+    ``key`` names a row's content.
+    """
+    prints = written(_set_prints(docs, text, key, keep), "set-prints")
+    owners = prints.groupBy("set_key").agg(F.min(F.col(f"`{key}`")).alias("key"))
+    pairs = written(_met(prints.select("set_key", "prints").dropDuplicates(["set_key"])), "met")
+    roots = components(_similar(pairs, docs, owners, text, key), "similar-links")
+    return prints.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
+        *[F.col(f"`{c}`") for c in (key, *keep)], F.coalesce("root", "set_key").alias("group"))

@@ -415,3 +415,32 @@ def test_site_templates_do_not_depend_on_host_size(spark):
     pages += [(2001 + i, f"http://rep.org/{i + 1}", f"<body>{block}<p>Own {i}</p></body>") for i in range(10)]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[3] == "Own 3" and got[1002] == "Own 2" and got[2003] == "Own 2"
+
+
+def test_a_cluster_of_near_copies_is_one_group(spark):
+    """Members of one crowded variant are linked through each other, with pairs in proportion to the members."""
+    rng = random.Random(13)
+    base = [f"word{rng.randrange(9999)}" for _ in range(240)]
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        copy[rng.randrange(240)] = f"own{i}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "key long, text string")
+    sets = simhash_dedup._set_prints(df, "text", "key", ()).select("set_key", "prints")
+    assert simhash_dedup._met(sets).count() <= 600 * simhash_dedup.TABLES * simhash_dedup.SYMBOLS * 2
+    assert len({r.group for r in simhash_dedup.similar_groups(df, "key").collect()}) == 1
+
+
+def test_mix_of_hot_and_null_ids(spark):
+    """A third of the rows share an id, others have none, sources share their first letters: every row is placed once."""
+    rows = [(5 if i % 3 == 0 else None if i % 7 == 0 else i, "w " * (i % 9), "en", f"http://site{i % 25}") for i in range(900)]
+    got = source_mixing.mix(docs(spark, rows)).collect()
+    assert len(got) == 900 and all(0 <= r.taken <= 2 * r.size for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(by))}
+    for s, rs in by.items():
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 64 and rs[0].source_size == sum(r.size for r in rs)
+    assert all((by[a][0].target / weights[a] - by[b][0].target / weights[b]) < 1e-6 or by[b][0].target == 2 * by[b][0].source_size for a in by for b in by)
