@@ -125,7 +125,7 @@ def _screened(fps: DataFrame) -> DataFrame:
               .where("lo <> hi AND flip = 0"))
     # every member of a shared variant, without keeping a bucket together
     return emitted.select("variant", "fp").join(
-        shared.select("variant"), "variant", "left_semi").select("fp").distinct()
+        shared.select("variant").hint("merge"), "variant", "left_semi").select("fp").distinct()
 
 
 def _edges(candidates: DataFrame) -> DataFrame:
@@ -142,7 +142,8 @@ def _edges(candidates: DataFrame) -> DataFrame:
     hubs = (emitted.groupBy("variant")
             .agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("hub"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
             .where("hub IS NOT NULL AND lo <> hi").select("variant", "hub"))
-    return (emitted.select("variant", "fp").join(hubs, "variant").where("fp <> hub")
+    # merged by hint: the planner takes what is emitted for as small as the file it comes from
+    return (emitted.select("variant", "fp").join(hubs.hint("merge"), "variant").where("fp <> hub")
             .where(distance(F.col("fp"), F.col("hub")) <= RADIUS)
             .select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct())
 
