@@ -9,7 +9,9 @@ percent of its fields are constant (the leading tokens count as one).  How many
 template recur depends on what it generalises:
 
 - with variable fields, or wholly constant: ``min_docs``;
-- wholly constant and of more than ``long_tokens`` tokens: ``long_docs`` (chance does not repeat such a line);
+- wholly constant and of more than ``long_tokens`` tokens: ``long_docs`` (chance does not repeat such a line), if not all
+  of them have the same text; where such lines are two at least and more than half of a document's tokens, the document
+  is a copy of others rather than one that quotes them, and keeps them: that is for document dedup to decide;
 - fewer than ``leading`` tokens: such a line is a leaf of its own, and ``short_docs`` documents make it recur.
 
 A recurring template is dropped everywhere but in the first of its documents (smallest
@@ -66,26 +68,29 @@ def _leaf(w: list[bytes], spec: TreeSpec) -> int:
 
 
 def parsed(docs: DataFrame, spec: TreeSpec, text: str, id_col: str) -> DataFrame:
-    """(key, id, line_no, n, leaf, line): one row per line with a token; ``line`` is the hash of its tokens."""
+    """(key, id, same, line_no, n, leaf, line): one row per line with a token; ``line`` is the hash of its tokens, ``same`` that of the text."""
     base = docs.select(content_key(id_col, text).alias("key"), F.col(f"`{id_col}`").alias("id"),
                        F.col(f"`{text}`").cast("binary").alias("text"))
-    schema = f"key binary, id {docs.schema[id_col].dataType.simpleString()}, line_no int, n int, leaf long, line binary"
+    schema = f"key binary, id {docs.schema[id_col].dataType.simpleString()}, same long, line_no int, n int, leaf long, line binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, number, size, leaf, line = [], [], [], [], []
+            row, same, number, size, leaf, line = [], [], [], [], [], []
             for k, t in enumerate(b.column(2)):
-                for i, said in enumerate((t.as_py() or b"").split(b"\n")):
+                whole = t.as_py() or b""
+                mark = xxhash.xxh3_64_intdigest(whole) - (1 << 63)
+                for i, said in enumerate(whole.split(b"\n")):
                     if w := _tokens(said):
                         row.append(k)
+                        same.append(mark)
                         number.append(i)
                         size.append(len(w))
                         leaf.append(_leaf(w, spec))
                         line.append(xxhash.xxh3_128_digest(b" ".join(w)))
             at = pa.array(np.array(row, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(size, pa.int32()),
-                 pa.array(leaf, pa.int64()), pa.array(line, pa.binary())], ["key", "id", "line_no", "n", "leaf", "line"])
+                [b.column(0).take(at), b.column(1).take(at), pa.array(same, pa.int64()), pa.array(number, pa.int32()), pa.array(size, pa.int32()),
+                 pa.array(leaf, pa.int64()), pa.array(line, pa.binary())], ["key", "id", "same", "line_no", "n", "leaf", "line"])
 
     return base.mapInArrow(run, schema)
 
@@ -138,14 +143,15 @@ def recurring(docs: DataFrame, spec: TreeSpec = TreeSpec(), text: str = "text",
               id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, constant templates, generalised ones).
 
-    lines: (key, id, line_no, n, leaf, line); constant: (line, n_docs, first);
+    lines: (key, id, same, line_no, n, leaf, line); constant: (line, n_docs, first, quoted), quoted if few documents hold the line;
     generalised: (key, id, line_no, leaf, a, b, n_docs, first), one row per line of such a template.
     """
     lines = written(parsed(docs, spec, text, id_col), "lines")
-    counts = written(lines.select("line", "key", "id", "n", "leaf").distinct().groupBy("line", "n", "leaf").agg(
-        F.count("*").alias("n_docs"), _first()), "line-counts")
+    counts = written(lines.select("line", "key", "id", "same", "n", "leaf").distinct().groupBy("line", "n", "leaf").agg(
+        F.count("*").alias("n_docs"), (F.min("same") != F.max("same")).alias("apart"), _first()), "line-counts")
     enough = F.when(F.col("n") > spec.long_tokens, spec.long_docs).when(F.col("n") < spec.leading, spec.short_docs).otherwise(spec.min_docs)
-    constant = counts.where(F.col("n_docs") >= enough).select("line", "n_docs", "first")
+    quoted = (F.col("n") > spec.long_tokens) & (F.col("n_docs") < spec.min_docs)
+    constant = counts.where((F.col("n_docs") >= enough) & (~quoted | F.col("apart"))).select("line", "n_docs", "first", quoted.alias("quoted"))
     shapes = written(_generalised(docs, counts, spec, text), "shapes")
     made = written(lines.select("line", "key", "id", "line_no").join(shapes, "line").drop("line"), "made")
     found = written(made.select("leaf", "a", "b", "key", "id").distinct().groupBy("leaf", "a", "b").agg(
@@ -162,11 +168,18 @@ def drop_recurring_lines(docs: DataFrame, spec: TreeSpec = TreeSpec(), text: str
     """
     lines, constant, generalised = recurring(docs, spec, text, id_col)
     elsewhere = F.col("key") != F.col("first.key")
-    gone = (lines.select("line", "key", "line_no").join(written(constant, "constant"), "line").where(elsewhere).select("key", "line_no")
-            .unionByName(generalised.where(elsewhere).select("key", "line_no")))
+    found = (lines.select("line", "key", "line_no", "n").join(written(constant, "constant"), "line").where(elsewhere)
+             .select("key", "line_no", "n", "quoted")
+             .unionByName(generalised.where(elsewhere).select("key", "line_no", F.lit(0).alias("n"), F.lit(False).alias("quoted"))))
     base = docs.drop("n_lines", "n_dropped")
     key, list_ = fresh(base, "key"), fresh(base, "gone")
-    gone = written(gone.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("line_no")).alias(list_)), "gone")
+    pick = lambda q: F.collect_set(F.when(F.col("quoted") == q, F.col("line_no")))
+    lists = written(found.groupBy("key").agg(pick(False).alias("plain"), pick(True).alias("said"), F.sum(F.when(
+        F.col("quoted"), F.col("n")).otherwise(0)).alias("n_said")), "found")
+    tokens = lines.groupBy("key").agg(F.sum("n").alias("n_all"))
+    copied = (F.size("said") > 1) & (2 * F.col("n_said") > F.col("n_all"))
+    every = F.when(copied, F.col("plain")).otherwise(F.array_union("plain", "said"))
+    gone = written(lists.join(tokens, "key").select(F.col("key").alias(key), F.sort_array(every).alias(list_)).where(F.size(list_) > 0), "gone")
     parts = F.split(F.col(f"`{text}`"), "\n")
     joined = base.withColumn(key, content_key(id_col, text)).join(gone, key, "left")
     kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col(list_), i))

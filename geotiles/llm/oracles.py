@@ -78,10 +78,11 @@ k AS (SELECT row_number() OVER () AS key, doc_id, text, string_split(text, chr(1
 l AS (SELECT key, doc_id, i, list_filter(string_split_regex(regexp_replace(ls[i],
         '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
       FROM (SELECT key, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM k WHERE text IS NOT NULL)),
-p AS (SELECT key, doc_id, i, w, array_to_string(w, ' ') AS line FROM l WHERE len(w) > 0),
-u AS (SELECT line, any_value(w) AS w, len(any_value(w)) AS n, count(DISTINCT key) AS n_docs, min(doc_id) AS first_id FROM p GROUP BY line),
+p AS (SELECT key, l.doc_id, text, i, w, array_to_string(w, ' ') AS line FROM l JOIN k USING (key) WHERE len(w) > 0),
+u AS (SELECT line, any_value(w) AS w, len(any_value(w)) AS n, count(DISTINCT key) AS n_docs, count(DISTINCT text) AS n_texts, min(doc_id) AS first_id FROM p GROUP BY line),
 lu AS (SELECT *, concat_ws(' ', n, w[1], w[2], w[3]) AS leaf FROM u),
-e AS (SELECT line, first_id FROM lu WHERE n_docs >= CASE WHEN n > 50 THEN 2 WHEN n < 3 THEN 10 ELSE 5 END),
+e AS (SELECT line, n, first_id, n > 50 AND n_docs < 5 AS quoted FROM lu
+      WHERE n_docs >= CASE WHEN n > 50 THEN 2 WHEN n < 3 THEN 10 ELSE 5 END AND (n <= 50 OR n_docs >= 5 OR n_texts > 1)),
 lf AS (SELECT leaf FROM lu WHERE n > 3 GROUP BY leaf HAVING count(*) > 1 AND sum(n_docs) >= 5),
 c AS (SELECT line, leaf, n_docs, pos, w[pos] AS value FROM (
         SELECT line, leaf, n_docs, w, unnest(range(4, n + 1)) AS pos FROM lu SEMI JOIN lf USING (leaf) WHERE n > 3)),
@@ -92,8 +93,10 @@ s AS (SELECT c.line, c.leaf, count(*) AS n, count(f.leaf) AS fixed,
 t AS (SELECT key, doc_id, i, leaf || chr(10) || mix AS template FROM s JOIN p USING (line)
       WHERE fixed < n AND 100 * (fixed + 1) >= 60 * (n + 1)),
 r AS (SELECT template, min(doc_id) AS first_id FROM t GROUP BY template HAVING count(DISTINCT key) >= 5),
+y AS (SELECT key, i, n, quoted FROM p JOIN e USING (line) WHERE doc_id <> first_id),
+copied AS (SELECT key FROM y WHERE quoted GROUP BY key HAVING count(*) > 1 AND 2 * sum(n) > (SELECT sum(len(w)) FROM p WHERE p.key = y.key)),
 x AS (SELECT key, i FROM t JOIN r USING (template) WHERE doc_id <> first_id
-      UNION SELECT key, i FROM p JOIN e USING (line) WHERE doc_id <> first_id),
+      UNION SELECT key, i FROM y WHERE NOT quoted OR key NOT IN (SELECT key FROM copied)),
 g AS (SELECT key, list(i) AS gone FROM x GROUP BY key)
 SELECT documents.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
   sha256(coalesce(CASE WHEN gone IS NULL THEN documents.text ELSE

@@ -130,7 +130,8 @@ def brute_lines(rows, spec=line_dedup.TreeSpec()):
     for key, _, w in lines:
         docs_of.setdefault(w, set()).add(key)
     need = lambda w: spec.long_docs if len(w) > spec.long_tokens else spec.short_docs if len(w) < spec.leading else spec.min_docs
-    holders = {("line", w): ks for w, ks in docs_of.items() if len(ks) >= need(w)}
+    few = lambda w: len(w) > spec.long_tokens and len(docs_of[w]) < spec.min_docs
+    holders = {("line", w): ks for w, ks in docs_of.items() if len(ks) >= need(w) and (not few(w) or len({t for _, t in ks}) > 1)}
     leaves = {}
     for w in docs_of:
         leaves.setdefault((len(w), *w[:spec.leading]), []).append(w)
@@ -149,7 +150,15 @@ def brute_lines(rows, spec=line_dedup.TreeSpec()):
     for w, t in shape.items():
         holders.setdefault(("shape", t), set()).update(docs_of[w])
     first = {t: min(ks) for t, ks in holders.items() if t[0] == "line" or len(ks) >= spec.min_docs}
-    gone = {(k, n) for k, n, w in lines for t in (("line", w), ("shape", shape.get(w))) if t in first and k != first[t]}
+    found = [(k, n, w, t) for k, n, w in lines for t in (("line", w), ("shape", shape.get(w))) if t in first and k != first[t]]
+    said, total = {}, {}
+    for k, _, w in lines:
+        total[k] = total.get(k, 0) + len(w)
+    for k, _, w, t in found:
+        if t[0] == "line" and few(w):
+            said.setdefault(k, []).append(len(w))
+    copied = {k for k, ns in said.items() if len(ns) > 1 and 2 * sum(ns) > total[k]}
+    gone = {(k, n) for k, n, w, t in found if not (t[0] == "line" and few(w) and k in copied)}
     return {k: "\n".join(x for n, x in enumerate((k[1] or "").split("\n")) if (k, n) not in gone) for k in set(rows)}
 
 
@@ -164,6 +173,9 @@ def test_line_templates(spark):
         rows.append((i, f"Page {i} of 99\n{body}\nPosted by user{i} on site today friends\nShare this page with {rng.choice(['Ann', 'Bob'])} now please dear reader\nok go\n"
                      f"{' '.join(long)}\n" + ("twice " * 51 if i < 2 else "only once here please" + "x" * i)))
     rows += [(20, "Only here once I say"), (21, "")]
+    # a copy of another document keeps what it shares, a document that quotes one line does not
+    page = [" ".join(rng.choice("abcdefgh") * 3 + str(k) * 0 for k in range(60)) for _ in range(4)]
+    rows += [(30, "\n".join(page)), (31, "\n".join(page)), (32, "\n".join([*page[:3], "edited"])), (33, page[3] + "\nmy own words on it")]
     got = {(r.doc_id, r.old): r.text for r in line_dedup.drop_recurring_lines(
         spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text"))).collect()}
     want = brute_lines(rows)
@@ -172,6 +184,7 @@ def test_line_templates(spark):
     for gone in ("Page", "Posted", "Share", "ok go", "licence"):
         assert gone not in got[rows[3]]
     assert "twice" not in got[rows[1]] and "only once" in got[rows[3]]
+    assert [got[r] == r[1] for r in rows[-4:]] == [True, True, True, False] and got[rows[-1]] == "my own words on it"
 
 
 def test_planted_lines_are_caught(spark):
