@@ -1,7 +1,8 @@
 """Exact top-k inner-product search: a ball tree per shard, branch and bound, one kth score for all shards.
 
-Candidates are dealt to shards of bounded size by hash; queries go to every shard
-of their dimension in blocks.  A task holds one shard's ball tree.  Nodes are visited in
+Candidates are dealt to shards of bounded size by hash, each once.  A task builds its shard's ball
+tree from the candidates, which its sorted input brings first, keeps it, and streams all queries of
+its dimension past it.  Nodes are visited in
 order of the upper bound  q . centre + |q| * radius  and the search ends when the
 bound falls below the current kth score.
 
@@ -9,12 +10,14 @@ The kth score is shared in two passes.  The first lets every query visit only it
 best leaf of each shard; Spark takes the kth best of all those scores, a lower bound of the
 true kth.  The second searches every shard from that bound, so most shards are
 left after their root.  Its top k per shard meet in one window over shards x k rows
-a query.
+a query.  Queries travel to every shard: that is the price of exactness, and why shards should be as large as
+a task can hold.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do rows without id; a query never meets rows of its own
 id; vectors of different length never meet; ties go to the smaller id; repeated
-rows of an id and vector count once; an empty table gives an empty result; extra columns are ignored.
+rows of an id and vector count once; different vectors under one id are queries of their own, ranked apart; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 LEAF = 64
-SHARD_ROWS = 20_000
-QUERY_BLOCK = 2_048
+SHARD_ROWS = 100_000  # at most, about
+LEAST_ROWS = 2_000  # smaller tables are not split further
 
 
 class BallTree:
@@ -106,54 +111,61 @@ def vectors(df: DataFrame, id_col: str, vector: str, scale: Column | None = None
             .dropDuplicates(["id", "v"]).withColumn("dim", F.size("v")))
 
 
-_SCHEMA = "query_id long, score double, id long"
-
-
-def _task(k: int, first_only: bool):
-    def run(key: tuple, queries: pa.Table, shard: pa.Table) -> pa.Table:
-        qid, qv, floor, ids, at, score = [], [], [], [], [], []
-        if queries.num_rows and shard.num_rows:
-            dim = key[0].as_py()
-            flat = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            tree = BallTree(shard.column("id").to_numpy(), flat(shard))
-            qv = flat(queries)
-            floors = queries.column("floor").to_pylist()
-            for qid, q, floor in zip(queries.column("id").to_pylist(), qv, floors):
-                for s, i in tree.search(qid, q, k, -np.inf if floor is None else floor, first_only):
-                    at.append(qid)
-                    score.append(s)
-                    ids.append(i)
-        return pa.table({"query_id": pa.array(at, pa.int64()), "score": pa.array(score, pa.float64()),
-                         "id": pa.array(ids, pa.int64())})
+_SCHEMA = "query_id long, q long, score double, id long"
 
-    return run
 
-
-def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS,
-                query_block: int = QUERY_BLOCK) -> DataFrame:
+def _searched(rows: DataFrame, k: int, first_only: bool) -> DataFrame:
+    """(query_id, q, score, id) of rows (dim, shard, asks, id, v, q, floor), sorted by the first three in every partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, tree = None, None
+        ids: list[np.ndarray] = []
+        points: list[np.ndarray] = []
+        for b in batches:
+            out: list[tuple[int, int, float, int]] = []
+            if not b.num_rows:
+                continue
+            dims, shards, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "asks"))
+            edges = np.flatnonzero((np.diff(dims) != 0) | (np.diff(shards) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, z in zip([0, *edges], [*edges, b.num_rows]):
+                part = b.slice(a, z - a)
+                if here != (dims[a], shards[a]):
+                    here, tree, ids, points = (dims[a], shards[a]), None, [], []
+                own = part.column("id").to_numpy()
+                v = part.column("v").flatten().to_numpy().reshape(-1, int(dims[a]))
+                if not asks[a]:
+                    ids.append(own)
+                    points.append(v)
+                    continue
+                if not ids:
+                    continue  # no candidate of this shard
+                tree = tree or BallTree(np.concatenate(ids), np.concatenate(points))
+                for qid, q, x, floor in zip(own.tolist(), part.column("q").to_pylist(), v, part.column("floor").to_pylist()):
+                    out += [(qid, q, s, i) for s, i in tree.search(qid, x, k, -np.inf if floor is None else floor, first_only)]
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
+                                              pa.array(cols[3], pa.int64())], ["query_id", "q", "score", "id"])
+
+    return rows.mapInArrow(run, _SCHEMA)
+
+
+def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, id, score); both sides as made by ``vectors``."""
-    from .common import written
-
-    candidates, queries = written(candidates, "vectors"), written(queries, "queries")
-    shards = max(1, -(-candidates.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // query_block))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # every (shard, block) is one task: both sides are stated in blocks of bounded size
-    dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn(
-        "block", numbers(blocks))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn(
-        "shard", numbers(shards))
-    keys = ["dim", "shard", "block"]
+    candidates = written(candidates, "vectors")
+    queries = written(queries.withColumn("q", F.xxhash64("id", "v")), "queries")
+    n, cores = candidates.count(), candidates.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // shard_rows), min(cores, n // LEAST_ROWS))
+    none = lambda t: F.lit(None).cast(t)
+    dealt = candidates.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v",
+                              none("long").alias("q"), none("double").alias("floor"))
 
     def passed(asking: DataFrame, first_only: bool) -> DataFrame:
-        return asking.select("id", "v", "floor", *keys).groupBy(*keys).cogroup(
-            dealt.select("id", "v", *keys).groupBy(*keys)).applyInArrow(_task(k, first_only), _SCHEMA)
-
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    seeds = passed(asked.withColumn("floor", F.lit(None).cast("double")), True)
-    floors = (seeds.withColumn("rank", place).where(F.col("rank") == k)
-              .select(F.col("query_id").alias("id"), F.col("score").alias("floor")))
-    bounded = queries.join(floors, "id", "left").withColumn(
-        "block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", numbers(shards))
-    return (passed(bounded, False).withColumn("rank", place).where(F.col("rank") <= k)
-            .select("query_id", "rank", "id", "score"))
+        asked = asking.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v", "q", "floor")
+        # more tasks than shards, so that few shards share one
+        rows = dealt.unionByName(asked).repartition(2 * shards, F.xxhash64("dim", "shard")).sortWithinPartitions("dim", "shard", "asks")
+        return _searched(rows, k, first_only)
+
+    place = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "id"))
+    seeds = passed(queries.withColumn("floor", none("double")), True)
+    floors = written(seeds.withColumn("rank", place).where(F.col("rank") == k).select(F.col("query_id").alias("id"), "q", F.col("score").alias("floor")), "floors")
+    found = passed(queries.join(floors, ["id", "q"], "left"), False)
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -323,7 +323,7 @@ def test_top_k_against_brute_force(spark):
     rows += [(3000, None), (3001, [1.0, None] * 4), (3002, [float("nan")] * 8), (3003, []), (3004, [1.0, 2.0]), (None, [1.0] * 8), (5, v[5].tolist())]
     df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("score", F.lit("x"))
     vec = topk_search.vectors(df, "id", "v")
-    got = topk_search.exact_top_k(vec, vec.where("id % 50 = 0"), 5, shard_rows=200, query_block=7)
+    got = topk_search.exact_top_k(vec, vec.where("id % 50 = 0"), 5, shard_rows=200)
     mine = {}
     for r in got.orderBy("query_id", "rank").collect():
         mine.setdefault(r.query_id, []).append((r.id, r.score))
@@ -332,6 +332,10 @@ def test_top_k_against_brute_force(spark):
         want = sorted(((-float(x @ qv), i) for i, x in ok if i != qid))[:5]
         assert mine[qid] == [(i, -s) for s, i in want]
     assert topk_search.exact_top_k(vec.limit(0), vec.limit(0), 5).count() == 0
+    # two vectors under one id are two queries
+    two = topk_search.vectors(spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [5.0, 1.0]), (2, [1.0, 6.0])], "id long, v array<double>"), "id", "v")
+    got = topk_search.exact_top_k(two, two.where("id = 50"), 1).collect()
+    assert sorted((r.id, r.score) for r in got) == [(1, 5.0), (2, 6.0)]
 
 
 def test_chat_round_trip(spark):
