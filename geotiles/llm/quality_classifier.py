@@ -209,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
         F.max(F.col(f"`{label}`")).cast("double").alias("y"))
     known = bounded_sample(known, fit_rows, "key")
     size = F.greatest(F.lit(1), F.ceil(F.length("text") / PASSAGE))
-    met = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(known, "key")
+    met = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(
+        F.broadcast(known), "key")  # fewer than fit_rows rows of two numbers
     met = written(met.withColumn("n", size).where(F.col("n") <= FIT_LONGEST), "labelled")
     rows = bounded_sample(met, fit_rows, "key", "text")
     total = rows.agg(F.sum("n")).first()[0] or 0
