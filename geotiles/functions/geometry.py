@@ -104,6 +104,12 @@ def longest_line(geom: Column) -> Column:
     return F.array_max(ranked)["c"]
 
 
+def longest_line_m(geom: Column) -> Column:
+    """The first line of most metres of a (multi) line."""
+    ranked = F.transform(F.flatten(geom["parts"]), lambda c, i: F.struct(line_length_m(c).alias("n"), (-i).alias("i"), c.alias("c")))
+    return F.array_max(ranked)["c"]
+
+
 def largest_polygon(geom: Column) -> Column:
     """Rings of the first polygon of largest outer area."""
     ranked = F.transform(geom["parts"], lambda r, i: F.struct(F.abs(ring_area(r[0])).alias("n"), (-i).alias("i"), r.alias("r")))

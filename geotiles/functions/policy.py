@@ -6,12 +6,13 @@ A ``LayerPolicy`` holds functions that return Columns (or DataFrames for ``read`
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import sqlite_real
 from .tilemath import EXTENT
 
 NO_LIMIT = 1 << 60
@@ -40,6 +41,8 @@ ROADS = {"major": ("motorway", "trunk", "primary", "secondary", "motorway_link",
 OVERVIEW_LANDUSE = {"landuse": ("residential", "industrial", "commercial", "retail", "forest", "farmland", "military", "reservoir"),
                     "leisure": ("park", "golf_course", "recreation_ground"), "natural": ("wood", "water", "scrub", "heath")}
 AVIATION = (("runway", "taxiway", "apron", "stopway", "taxilane"), ("terminal", "helipad", "hangar", "aerodrome", "heliport"))
+NATURAL = {"terrain": ("beach", "sand"), "coastline": ("coastline",), "cliffs": ("cliff",)}
+LAYERS_READ = ("roads", "landuse", "terrain", "coastline", "cliffs", "boundaries")
 GATES = {"buildings": 12, "pois": 16, "aip": 10}
 BUILDING_SPAN = ((12, 60), (13, 34), (14, 12))
 
@@ -82,10 +85,14 @@ def tolerance_scale(layer: Column, kind: Column, z: Column) -> Column:
             .when(layer == "buildings", F.when(z <= 14, 0.45).otherwise(0.25)).otherwise(pick(0.75, 0.65)))
 
 
-def tolerance(layer: Column, kind: Column, z: Column, detail: Column) -> Column:
-    """Tolerance in tile units, two places."""
+def plain_scale(layer: Column, kind: Column, z: Column) -> Column:
+    return F.when(is_area(kind), 0.75).otherwise(0.65)
+
+
+def tolerance(layer: Column, kind: Column, z: Column, detail: Column, scale: Callable[[Column, Column, Column], Column] | None = None) -> Column:
+    """Tolerance in tile units, two places: by zoom, times the layer's scale, times the detail's."""
     factor = F.when(detail == "overview", DETAIL["overview"]).when(detail == "full", DETAIL["full"]).otherwise(DETAIL["normal"])
-    return F.greatest(F.lit(0.0), F.round(_steps(z, BASE_TOLERANCE, 0.0) * tolerance_scale(layer, kind, z) * factor, 2))
+    return F.greatest(F.lit(0.0), F.round(_steps(z, BASE_TOLERANCE, 0.0) * (scale or tolerance_scale)(layer, kind, z) * factor, 2))
 
 
 def min_size(layer: Column, kind: Column, z: Column) -> Column:
@@ -122,7 +129,7 @@ def priority(layer: Column, get: Callable[[str], Column], kind: Column, box: Col
     level = get("admin_level")
     number = F.when(level.isNull() | (F.trim(level) == ""), F.lit(0.0)).otherwise(F.expr("NULL").cast("double"))
     number = F.coalesce(number, F.when(level.rlike(r"^\s*[+-]?\d+(\.\d+)?\s*$"), level.cast("double")))
-    border = F.coalesce(F.greatest(F.lit(100.0), 1000 - 70 * number), F.lit(300.0))
+    border = F.when(number.isNull(), 300.0).otherwise(F.greatest(F.lit(100.0), 1000 - 70 * number))
     use, wild = get("landuse"), get("natural")
     ground = (F.when(use.isin("forest", "reservoir") | F.coalesce(wild.isin("wood", "water"), F.lit(False)), 520.0)
               .when(use.isin("residential", "industrial", "commercial", "retail", "military"), 430.0)
@@ -147,6 +154,8 @@ def layer_rules(layer: str, z: int) -> list[dict] | None:
         return [{"column": "highway", "include": road_classes(z)}]
     if layer == "landuse" and z < 12:
         return [{"column": c, "include": v} for c, v in OVERVIEW_LANDUSE.items()]
+    if layer in NATURAL:
+        return [{"column": "natural", "include": NATURAL[layer]}]
     if layer == "boundaries" and z < 12:
         return [{"column": "admin_level", "maxNumber": 7}]
     if layer == "aip":
@@ -154,21 +163,69 @@ def layer_rules(layer: str, z: int) -> list[dict] | None:
     return []
 
 
+def admitted(layer: Column, get: Callable[[str], Column], z: Column, zooms: Sequence[int]) -> Column:
+    """``layer_rules`` of the built-in layers as one predicate over rows of several zooms; other layers are open."""
+    out = F.lit(True)
+    for name in (*LAYERS_READ, *GATES):
+        by_rule: dict[str, tuple[list[int], list[dict] | None]] = {}
+        for at in zooms:
+            rules = layer_rules(name, at)
+            by_rule.setdefault(repr(rules), ([], rules))[0].append(at)
+        ok = F.lit(True)
+        for ats, rules in by_rule.values():
+            if rules is None:
+                some = F.lit(False)
+            elif not rules:
+                continue
+            else:
+                some = F.lit(False)
+                for rule in rules:
+                    value = get(rule["column"])
+                    hit = value.isin(*rule["include"]) if "include" in rule else sqlite_real(value) <= rule["maxNumber"]
+                    some = some | F.coalesce(hit, F.lit(False))
+            ok = F.when(z.isin(*ats), some).otherwise(ok)
+        out = F.when(layer == name, ok).otherwise(out)
+    return out
+
+
+def wide_enough(layer: Column, box: Column, queried: Column, z: Column) -> Column:
+    """Buildings below z15 must span a share of the buffered box that is queried."""
+    span = F.greatest(queried["maxx"] - queried["minx"], queried["maxy"] - queried["miny"]) / EXTENT
+    least = span * _steps(z, BUILDING_SPAN, 0)
+    big = (box["maxx"] - box["minx"] >= least) | (box["maxy"] - box["miny"] >= least)
+    return F.when((layer == "buildings") & (z < 15), big).otherwise(F.lit(True))
+
+
 @dataclass(frozen=True)
 class LayerPolicy:
-    """Hooks of a tile job; the defaults are the generic policy: priority 100, no quota, no smallest size."""
+    """Hooks of a tile job; the defaults are the generic policy: priority 100, no quota, no smallest size.
+
+    ``aliases`` names the layer whose rules another name follows; ``source_layers`` the layer whose features a
+    derived one reads; ``read`` may replace the features of a zoom; ``shown`` and ``wide`` are predicates
+    over rows of all zooms, before and after tiles are known.
+    """
 
-    aliases: dict[str, str] = field(default_factory=dict)
+    aliases: Mapping[str, str] = field(default_factory=dict)
+    source_layers: Mapping[str, str] = field(default_factory=dict)
     read: Callable[[DataFrame, int], DataFrame] | None = None  # features of a zoom; none: all
+    shown: Callable[[Column, Column, Sequence[int]], Column] = lambda layer, z, zooms: F.lit(True)
+    wide: Callable[[Column, Column, Column, Column], Column] = lambda layer, box, queried, z: F.lit(True)
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
     limit: Callable[[Column, Column], Column] = lambda layer, z: F.lit(NO_LIMIT).cast("long")
     priority: Callable[[Column, Column, Column, Column], Column] = lambda layer, kind, box, z: F.lit(100.0)
     min_size: Callable[[Column, Column, Column], Column] = lambda layer, kind, z: F.lit(0.0)
-    tolerance: Callable[[Column, Column, Column, Column], Column] = tolerance
+    tolerance_scale: Callable[[Column, Column, Column], Column] = plain_scale
+
+    def named(self, layer: Column) -> Column:
+        """The layer whose rules apply."""
+        if not self.aliases:
+            return layer
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in self.aliases.items() for x in kv])[layer], layer)
 
 
-def osm_policy() -> LayerPolicy:
-    """The built-in policy of the named layers; properties are looked up in a ``props`` map."""
-    get = lambda k: F.col("props")[k]
-    return LayerPolicy(aliases={"aviation": "aip"}, limit=layer_limit, min_size=min_size,
-                       priority=lambda layer, kind, box, z: priority(layer, get, kind, box, z))
+def osm_policy(get: Callable[[str], Column] | None = None) -> LayerPolicy:
+    """The built-in policy of the named layers; properties are looked up in a ``props`` map of texts unless ``get`` says otherwise."""
+    get = get or (lambda k: F.col("props")[k])
+    return LayerPolicy(aliases={"aviation": "aip"}, source_layers={"road_labels": "roads", "aip_labels": "aip", "poi_labels": "pois"},
+                       shown=lambda layer, z, zooms: admitted(layer, get, z, zooms), wide=wide_enough, limit=layer_limit, min_size=min_size,
+                       priority=lambda layer, kind, box, z: priority(layer, get, kind, box, z), tolerance_scale=tolerance_scale)

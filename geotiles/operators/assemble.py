@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from ..sources.scratch import settled
+
+
+def finite(*cols: str) -> Column:
+    """All columns hold a number that is neither missing nor infinite."""
+    out = F.lit(True)
+    for c in cols:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return out
 
 
 def needed_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
@@ -77,9 +89,9 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
 
 def infer_extent(nodes: DataFrame, header: tuple[float, float, float, float] | None = None) -> DataFrame:
     """One row (minx, miny, maxx, maxy): a valid header box, else that of the nodes; a flat one is an error."""
-    if header and header[0] < header[2] and header[1] < header[3]:
+    if header and all(map(math.isfinite, header)) and header[0] < header[2] and header[1] < header[3]:
         return nodes.sparkSession.range(1).select(*[F.lit(v).alias(c) for v, c in zip(header, ("minx", "miny", "maxx", "maxy"))])
-    box = nodes.where("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)").agg(
+    box = nodes.where(finite("lon", "lat")).agg(
         F.min("lon").alias("minx"), F.min("lat").alias("miny"), F.max("lon").alias("maxx"), F.max("lat").alias("maxy"))
     flat = ~((F.col("minx") < F.col("maxx")) & (F.col("miny") < F.col("maxy")))
     return box.withColumn("minx", F.when(F.coalesce(flat, F.lit(True)), F.raise_error(F.lit("degenerate extent")).cast("double")).otherwise(F.col("minx")))
@@ -100,31 +112,49 @@ _RING = "rel_id long, role string, ring int, first_pos long, refs array<long>, x
 
 
 def _join_ends(pdf: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple[float, float]]]]:
-    """Greedy end-to-end joining of one relation's member ways, first match in member order."""
+    """Greedy end-to-end joining of one relation's member ways, first match in member order.
+
+    Ways are found by the nodes at their ends, so the work grows with the ways.
+    """
     pdf = pdf.sort_values("pos", kind="stable")
-    left = [(int(p), list(r), list(zip(x, y))) for p, r, x, y in zip(pdf["pos"], pdf["refs"], pdf["xs"], pdf["ys"])]
-    while left:
-        pos, refs, pts = left.pop(0)
+    ways = [(int(p), list(r), list(zip(x, y))) for p, r, x, y in zip(pdf["pos"], pdf["refs"], pdf["xs"], pdf["ys"])]
+    used = [False] * len(ways)
+    ends: dict[int, deque[int]] = {}
+    for k, (_, r, _) in enumerate(ways):
+        for node in {r[0], r[-1]} if r else ():
+            ends.setdefault(node, deque()).append(k)
+
+    def first(node: int) -> int:
+        waiting = ends.get(node, ())
+        while waiting and used[waiting[0]]:
+            waiting.popleft()
+        return waiting[0] if waiting else len(ways)
+
+    for k, (pos, r, c) in enumerate(ways):
+        if used[k]:
+            continue
+        used[k] = True
+        refs, pts = deque(r), deque(c)
         while refs and refs[0] != refs[-1]:
-            for k, (_, r, c) in enumerate(left):
-                if not r:
-                    continue
-                if r[0] == refs[-1]:
-                    refs, pts = refs + r[1:], pts + c[1:]
-                elif r[-1] == refs[-1]:
-                    refs, pts = refs + r[-2::-1], pts + c[-2::-1]
-                elif r[-1] == refs[0]:
-                    refs, pts = r[:-1] + refs, c[:-1] + pts
-                elif r[0] == refs[0]:
-                    refs, pts = r[:0:-1] + refs, c[:0:-1] + pts
-                else:
-                    continue
-                left.pop(k)
+            best = min(first(refs[-1]), first(refs[0]))
+            if best == len(ways):
                 break
+            used[best] = True
+            _, r, c = ways[best]
+            if r[0] == refs[-1]:
+                refs.extend(r[1:])
+                pts.extend(c[1:])
+            elif r[-1] == refs[-1]:
+                refs.extend(r[-2::-1])
+                pts.extend(c[-2::-1])
+            elif r[-1] == refs[0]:
+                refs.extendleft(r[-2::-1])
+                pts.extendleft(c[-2::-1])
             else:
-                break
+                refs.extendleft(r[1:])
+                pts.extendleft(c[1:])
         if len(refs) >= 4 and refs[0] == refs[-1]:
-            yield pos, refs, pts
+            yield pos, list(refs), list(pts)
 
 
 def assemble_rings(members: DataFrame) -> DataFrame:
@@ -164,6 +194,31 @@ def relation_polygons(rings: DataFrame) -> DataFrame:
         "rel_id", g.multi_polygon(F.transform("p", lambda x: x["rings"])).alias("geom"))
 
 
+def relation_lines(met: DataFrame) -> DataFrame:
+    """(rel_id, line): the member ways of a relation as a line, or several, in member order."""
+    per = met.groupBy("rel_id").agg(F.array_sort(F.collect_list(F.struct("pos", "coords"))).alias("l"))
+    kind = F.when(F.size("l") > 1, "MultiLineString").otherwise("LineString").alias("kind")
+    return per.select("rel_id", F.struct(kind, F.transform("l", lambda x: F.array(x["coords"])).alias("parts")).cast(g.GEOMETRY).alias("line"))
+
+
+def relation_geometry(rels: DataFrame, met: DataFrame) -> DataFrame:
+    """Adds ``geom`` to rows (layer, id, ...): the polygons its members close, else, for layers that may be lines, their lines.
+
+    ``met`` holds the member ways (rel_id, pos, role, refs, coords).
+    """
+    rings = settled(assemble_rings(met), "rings")  # outer and inner rings are read apart
+    areas = relation_polygons(rings).select(F.col("rel_id").alias("area_of"), F.col("geom").alias("area"))
+    lines = relation_lines(met.where(F.size("coords") >= 2)).withColumnRenamed("rel_id", "line_of")
+    lined = F.col("layer").isin("coastline", "cliffs", "boundaries", "pois")
+    return (rels.join(areas, F.col("id") == F.col("area_of"), "left").join(lines, F.col("id") == F.col("line_of"), "left")
+            .withColumn("geom", F.coalesce("area", F.when(lined, F.col("line")))).drop("area_of", "area", "line_of", "line"))
+
+
+def union_features(*frames: DataFrame) -> DataFrame:
+    """Features of several kinds or extracts as one table; columns missing on one side are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def keep_inside(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Features with a geometry whose box overlaps the request; pois become points; nothing is clipped."""
     df = features.where(F.col("geom").isNotNull()).withColumn(

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.text import clean_text, designators, elevation_m, expected_heading, natural_key
+from ..sources.scratch import settled
+from .labels import with_anchors
 
 NEAREST_M = 25_000.0
 QUALITY = {"source": 3, "mapped-threshold": 2, "estimated": 1}
@@ -91,7 +93,8 @@ def directions_from_points(runways: DataFrame) -> DataFrame:
     return runways.where(d.isNotNull() & F.col("heading").isNotNull()).select(
         "airport", "ord", "runway_id", d.alias("designator"), d.alias("physical"),
         F.round(F.pmod(F.col("heading"), F.lit(360.0)), 2).alias("heading"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"),
-        F.round(elevation_m(F.coalesce(F.col("ele").cast("string"), F.col("airport_elevation").cast("string"))), 2).alias("elevation_m"), F.lit("source").alias("quality"))
+        F.round(elevation_m(F.coalesce(F.col("ele").cast("string"), F.col("airport_elevation").cast("string"))), 2).alias("elevation_m"), F.lit("source").alias("quality"),
+        F.when(elevation_m(F.coalesce(F.col("ele").cast("string"), F.col("airport_elevation").cast("string"))).isNotNull(), "source").alias("elevation_source"))
 
 
 def match_thresholds(ends: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -126,7 +129,9 @@ def directions_from_lines(runways: DataFrame, thresholds: DataFrame) -> DataFram
     return df.select("airport", "ord", "n", "runway_id", "designator", F.col("ref").alias("physical"),
                      F.pmod(F.round(g.bearing(F.col("lon"), F.col("lat"), to_lon, to_lat), 2), F.lit(360.0)).alias("heading"),
                      F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), F.round(elevation_m(ele), 2).alias("elevation_m"),
-                     F.when(F.col("t").isNotNull(), "mapped-threshold").otherwise("estimated").alias("quality"))
+                     F.when(F.col("t").isNotNull(), "mapped-threshold").otherwise("estimated").alias("quality"),
+                     F.when(elevation_m(ele).isNotNull(), F.when(F.col("t.tele").isNotNull(), "threshold").when(F.col("ele").isNotNull(), "runway").otherwise(
+                         "airport")).alias("elevation_source"))
 
 
 def best_directions(df: DataFrame) -> DataFrame:
@@ -148,11 +153,56 @@ def catalog_summary(best: DataFrame, runways: DataFrame) -> DataFrame:
 
 def build_catalog(found: DataFrame, best: DataFrame) -> DataFrame:
     """One row per airport with directions: its runways in natural order."""
-    runway = F.struct(natural_key(F.col("designator")).alias("k"), F.struct("designator", "physical", "heading", "lon", "lat", "elevation_m", "quality").alias("r"))
+    runway = F.struct(natural_key(F.col("designator")).alias("k"), F.struct("designator", "physical", "heading", "lon", "lat", "elevation_m", "elevation_source", "quality").alias("r"))
     per = best.groupBy(F.col("airport").alias("ord")).agg(F.array_sort(F.collect_list(runway)).alias("rs"))
     return found.drop("geom").join(per, "ord").withColumn("runways", F.transform("rs", lambda x: x["r"])).drop("rs")
 
 
+def airport_catalog(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(airport documents, one row of counts) of features (ord, layer, geom, props MAP<STRING,STRING>).
+
+    Airports, runways and thresholds are told by layer or aeroway.  Runways and thresholds go to the airport that their key
+    names, else the smallest that holds them, else the nearest within reach; a runway without designators is none,
+    one without an airport or without directions counts as unresolved.
+    """
+    get = lambda k: F.col("props")[k]
+    is_ = lambda *names: F.coalesce(get("aeroway").isin(*names), F.lit(False))
+    # airports are read by every lookup, assigned features by every kind of direction: both are settled
+    placed = with_anchors(features).withColumns({"lon": F.col("anchor.x"), "lat": F.col("anchor.y")})
+    raw = placed.where(((F.col("layer") == "airports") | is_("aerodrome", "airport")) & F.col("anchor").isNotNull())
+    found = airports(raw.select("ord", *[get(k).alias(k) for k in ("id", "icao", "ident", "iata", "ref", "name")],
+                                F.coalesce(get("elevationM"), get("ele")).alias("ele"), "lon", "lat", "geom"))
+    found = settled(found, "airports")
+    # a feature without a place can still name its airport
+    point = F.col("geom.kind") == "Point"
+    known = found.select(F.col("ord").alias("airport"), F.col("elevation_m").alias("airport_elevation"), F.col("id").alias("airport_id"))
+    asked = placed.where(is_("threshold", "runway") | (F.col("layer") == "runways"))
+    met = assign_airport(asked.select(F.col("ord").alias("fid"), "layer", "geom", "props", "lon", "lat", F.trim(F.coalesce(
+        get("airportId"), get("airport_id"))).alias("airport_key")), found).withColumnRenamed("fid", "ord").join(known, "airport", "left")
+    met = settled(met, "assigned")
+    own = F.get(designators(get("ref")), F.lit(0))
+    thresholds = met.where(is_("threshold") & point & F.col("airport").isNotNull()).select(
+        "airport", own.alias("designator"), "ord", "lon", "lat", get("ele").alias("ele"))
+    runways = met.where((F.col("layer") == "runways") | is_("runway")).where(
+        (F.col("layer") == "runways") | (F.size(designators(get("ref"))) > 0))
+    at = runways.where(F.col("airport").isNotNull()).withColumn("runway_id", F.col("ord").cast("string"))
+    given = (F.col("layer") == "runways") & point
+    number = lambda *ks: F.coalesce(*[get(k).cast("double") for k in ks])
+    spot = at.where(given).select("airport", "airport_elevation", "ord", "runway_id", F.coalesce(get("runwayDesignator"), get("designator"), get("ref")).alias("ref"),
+                                  number("headingTrueDeg", "headingDeg").alias("heading"), "lon", "lat", F.coalesce(get("elevationM"), get("ele")).alias("ele"))
+    lines = at.where(~given & F.col("geom.kind").isin("LineString", "MultiLineString")).withColumn("line", g.longest_line_m(F.col("geom")))
+    first, last = F.get("line", F.lit(0)), F.element_at("line", -1)
+    strips = lines.where(F.size("line") > 0).select("airport", "airport_elevation", "ord", "runway_id", F.trim(get("ref")).alias("ref"), first["x"].alias("ax"), first["y"].alias("ay"),
+                                                    last["x"].alias("bx"), last["y"].alias("by"), get("ele").alias("ele"))
+    every = directions_from_lines(strips, thresholds).unionByName(directions_from_points(spot).withColumn("n", F.lit(0)))
+    every = settled(every, "directions")
+    used = every.select(F.col("ord").alias("used")).distinct()
+    told = runways.join(used, F.col("ord") == F.col("used"), "left").select(
+        F.coalesce(get("id"), F.concat_ws(":", "airport_id", get("ref"))).alias("runway_id"), F.when(F.col("used").isNotNull(), F.col("airport")).alias("airport"))
+    best = best_directions(every)
+    return build_catalog(found, best), catalog_summary(best, told)
+
+
 def write_catalog(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

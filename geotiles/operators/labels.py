@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.arrays import Parts, geometries
 from ..functions.policy import LABEL_LIMITS, ROAD_PRIORITY, ROADS
-from ..functions.text import clean_text, filled, first_label, first_text
+from ..functions.text import clean_text, filled, first_label, first_text, is_label, title_case
 from ..plans.pyramid import top_per_layer
 from .classify import Tags, poi_category_stored
 
@@ -23,6 +26,40 @@ LATE_AVIATION = EARLY_AVIATION + ("helipad", "hangar", "aerodrome", "heliport")
 AVIATION_LABEL = {"helipad": 980, "heliport": 980, "runway": 930, "terminal": 880, "apron": 820, "taxiway": 760}
 LAYER_START = {"road_labels": 13, "aip_labels": 12, "poi_labels": 17}
 LABEL_SOURCE = {"road_labels": "roads", "aip_labels": "aip", "poi_labels": "pois"}
+OTHER_LIMIT = 80
+# What a theme labels.
+THEME_ROADS = {
+    "major": ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link"),
+    "secondary": ("secondary", "secondary_link"),
+    "local": ("residential", "living_street", "unclassified"),
+}
+THEME_SOURCES = ("roads", "aip", "aviation", "pois")
+THEME_POI_FIELDS = ("amenity", "tourism", "shop", "leisure", "railway", "public_transport", "station", "aeroway", "power", "man_made", "tower:type", "military",
+                    "emergency", "office", "government", "boundary", "protect_class", "landuse", "industrial")
+THEME_POI_CLASSES = {
+    "amenity": ("hospital", "police", "fire_station", "bus_station", "ferry_terminal", "shelter", "townhall", "courthouse", "prison", "ranger_station",
+                "research_institute", "airport", "railway_station", "train_station", "subway_station", "communications_tower", "bunker", "checkpoint", "depot", "warehouse"),
+    "tourism": ("information",), "leisure": ("nature_reserve",), "railway": ("station",), "public_transport": ("station",), "station": ("subway",),
+    "aeroway": ("aerodrome", "airport"), "power": ("plant", "substation", "generator", "tower", "transformer", "line"),
+    "man_made": ("communications_tower", "mast", "antenna"), "tower:type": ("communication",),
+    "military": ("barracks", "bunker", "checkpoint", "airbase", "naval_base", "range", "training_area", "base", "airfield", "danger_area", "ammunition_dump"),
+    "emergency": ("ambulance_station", "siren", "assembly_point", "disaster_response"), "office": ("government",),
+    "government": ("yes", "public_safety", "border_control", "customs", "ministry", "aerospace"), "boundary": ("protected_area",),
+    "industrial": ("refinery", "depot", "storage", "logistics"), "landuse": ("industrial",),
+}
+THEME_POI_WORDS = {
+    "military": {"airbase": "Airbase", "airfield": "Airfield", "barracks": "Barracks", "bunker": "Bunker", "checkpoint": "Checkpoint", "naval_base": "Naval base",
+                 "range": "Range", "training_area": "Training area", "danger_area": "Danger area", "ammunition_dump": "Ammunition dump", "base": "Base"},
+    "emergency": {"ambulance_station": "Ambulance station", "siren": "Siren", "assembly_point": "Assembly point", "disaster_response": "Disaster response"},
+    "amenity": {"hospital": "Hospital", "police": "Police", "fire_station": "Fire station", "shelter": "Shelter", "bunker": "Bunker", "checkpoint": "Checkpoint",
+                "depot": "Depot", "warehouse": "Warehouse", "prison": "Prison", "courthouse": "Courthouse", "townhall": "Town hall", "bus_station": "Bus station",
+                "ferry_terminal": "Ferry terminal"},
+    "power": {"plant": "Power plant", "substation": "Substation", "generator": "Generator", "tower": "Power tower", "transformer": "Transformer", "line": "Power line"},
+    "man_made": {"communications_tower": "Comms tower", "mast": "Mast", "antenna": "Antenna"},
+    "boundary": {"protected_area": "Protected area"}, "landuse": {"industrial": "Industrial"},
+    "industrial": {"refinery": "Refinery", "depot": "Depot", "storage": "Storage", "logistics": "Logistics"},
+}
+THEME_AVIATION_WORDS = {"aerodrome": "Aerodrome", "heliport": "Heliport", "terminal": "Terminal", "apron": "Apron"}
 
 Get = Callable[[str], Column]
 
@@ -71,13 +108,19 @@ def label_candidates(df: DataFrame, layer: str, z: int | Column, get: Get | None
     return df.where(filled(F.col("text")))
 
 
-def label_limit(layer: str, z: int) -> int:
-    return next(n for top, n in LABEL_LIMITS[layer] if z <= top)
+def label_limit(layer: str, z: int | Column) -> Column:
+    """Most labels of a layer in a tile; layers without a table of their own have ``OTHER_LIMIT``."""
+    zc = F.lit(z) if isinstance(z, int) else z
+    out = F.lit(OTHER_LIMIT)
+    for top, n in reversed(LABEL_LIMITS.get(layer, ())):
+        out = F.when(zc <= top, F.lit(n)).otherwise(out)
+    return out
 
 
-def top_labels(cands: DataFrame, layer: str, z: int) -> DataFrame:
-    """Best candidates per tile (z, x, y) of a label layer."""
-    return top_per_layer(cands.withColumn("layer", F.lit(layer)), F.lit(label_limit(layer, z)))
+def top_labels(cands: DataFrame, layer: str, z: int | Column, order: str = "fid") -> DataFrame:
+    """Best candidates per tile (z, x, y) of a label layer; a literal bound cuts before the shuffle."""
+    most = max((n for _, n in LABEL_LIMITS.get(layer, ())), default=OTHER_LIMIT)
+    return top_per_layer(cands.withColumn("layer", F.lit(layer)), label_limit(layer, z), order=order, most=most)
 
 
 def active_label_layers(layers: DataFrame, z: int) -> DataFrame:
@@ -88,58 +131,147 @@ def active_label_layers(layers: DataFrame, z: int) -> DataFrame:
             .where((F.coalesce("min_zoom", F.lit(0)) <= z) & (F.coalesce("max_zoom", F.lit(24)) >= z) & (F.col("start") <= z)).select("label"))
 
 
-def describe_labels(df: DataFrame, rules: DataFrame, z: int, get: Get | None = None) -> DataFrame:
-    """Labels by theme rules (layer, fields, min_zoom, max_zoom, classes, fallback, base): adds text, priority and its class.
+def priority_class(number: Column) -> Column:
+    return F.when(number >= 900, "critical").when(number >= 760, "important").when(number >= 500, "normal").otherwise("low")
 
-    ``rules`` has one row per layer and is joined on it.
+
+def _theme_rule(theme: Mapping, layer: str) -> Mapping | None:
+    """A layer's rule, also under the other name of the aviation layer; none if it or all labels are off."""
+    other = {"aip": "aviation", "aviation": "aip"}.get(layer, layer)
+    rule = theme.get(layer, theme.get(other))
+    if theme.get("enabled") is False or not isinstance(rule, Mapping) or rule.get("enabled") is False:
+        return None
+    return rule
+
+
+def _open_at(rule: Mapping, z: int) -> bool:
+    lo, hi = rule.get("minZoom"), rule.get("maxZoom")
+    return (0 if lo is None else lo) <= z <= (22 if hi is None else hi)
+
+
+def _nothing() -> dict[str, Column]:
+    return {"text": F.lit(None).cast("string"), "priority": F.lit(None).cast("int"), "priority_class": F.lit(None).cast("string")}
+
+
+def _choose(*cases: tuple[Column, Column, int, str]) -> dict[str, Column]:
+    """text, priority and its class of the first case whose condition holds."""
+    out = _nothing()
+    for when, text, number, name in reversed(cases):
+        hit = F.coalesce(when, F.lit(False))
+        for k, v in (("text", text), ("priority", F.lit(number)), ("priority_class", F.lit(name))):
+            out[k] = F.when(hit, v).otherwise(out[k])
+    return out
+
+
+def _theme_road(get: Get, z: int, rule: Mapping) -> dict[str, Column]:
+    c, ref, name = F.coalesce(get("highway"), F.lit("")), clean_text(get("ref")), clean_text(get("name"))
+    local = rule.get("local") if isinstance(rule.get("local"), Mapping) else {}
+    start = {"major": rule.get("majorMinZoom", 12), "secondary": rule.get("secondaryMinZoom", 16), "local": local.get("minZoom", 17)}
+    on = lambda k: c.isin(*THEME_ROADS[k]) & F.lit(z >= start[k] and (k != "local" or local.get("enabled") is True))
+    return _choose((on("major") & is_label(ref), ref, 820, "important"), (on("secondary") & is_label(ref), ref, 700, "normal"),
+                   (on("local") & is_label(name), name, 400, "low"))
+
+
+def _theme_aviation(get: Get, z: int, rule: Mapping) -> dict[str, Column]:
+    c, ref, name = F.coalesce(get("aeroway"), F.lit("")), clean_text(get("ref")), clean_text(get("name"))
+    said = lambda t: F.when(F.coalesce(t, F.lit("")) != "", t)
+    own = F.when((ref != "") & ~ref.rlike(r"(?i)^(yes|no|true|false|0|1)$"), ref)
+    word = F.create_map(*[F.lit(x) for kv in THEME_AVIATION_WORDS.items() for x in kv])[c]
+    field = F.coalesce(said(name), own, word)
+    pad, strip, stand = F.coalesce(own, said(name), F.lit("H")), F.coalesce(own, said(name), F.lit("RWY")), F.coalesce(said(name), said(ref), word)
+
+    def fit(t: Column) -> Column:
+        """A meaningful text, or one of the short ones that pads and runways may carry."""
+        short = t.rlike("^[A-Z]$") & c.isin("helipad", "heliport", "runway")
+        return is_label(t) | ((t == "H") & c.isin("helipad", "heliport")) | ((t == "RWY") & (c == "runway")) | short
+
+    at = lambda least: F.lit(z >= least)
+    return _choose((c.isin("aerodrome", "heliport") & fit(field) & at(9), field, 980, "critical"), ((c == "runway") & fit(strip) & at(11), strip, 900, "important"),
+                   (c.isin("terminal", "apron") & is_label(stand) & at(14), stand, 720, "normal"), ((c == "helipad") & fit(pad) & at(12), pad, 980, "critical"))
+
+
+def _theme_poi(get: Get, z: int, rule: Mapping) -> dict[str, Column]:
+    tags = Tags(get)
+    cat = poi_category_stored(get("poi_category"), tags)
+    off = [k for k, v in (rule.get("categories") or {}).items() if v is False]
+    classes = rule["classes"] if isinstance(rule.get("classes"), Mapping) else THEME_POI_CLASSES
+    picked = F.lit(False)
+    for field in THEME_POI_FIELDS:
+        if classes.get(field):
+            picked = picked | F.coalesce(get(field).isin(*map(str, classes[field])), F.lit(False))
+    word = F.coalesce(*[F.create_map(*[F.lit(x) for kv in words.items() for x in kv])[clean_text(get(k))] for k, words in THEME_POI_WORDS.items()],
+                      F.when(cat != "consumer", title_case(cat)))
+    text = F.coalesce(first_label(*[get(k) for k in NAME_FIELDS]), word)
+    stored, amenity = F.coalesce(get("poi_category"), F.lit("")), F.coalesce(get("amenity"), F.lit(""))
+    high = stored.isin("emergency", "military")
+    mid = ~high & stored.isin("transport", "energy", "communications", "government")
+    late = ~high & ~mid & amenity.isin("hospital", "police", "fire_station")
+    shown = picked & ~cat.isin(*off) if off else picked
+    return _choose((shown & filled(text) & (high | late), text, 920, "critical"), (shown & filled(text) & mid, text, 820, "important"),
+                   (shown & filled(text), text, 620, "normal"))
+
+
+def describe_labels(df: DataFrame, layer: str, z: int, theme: Mapping, get: Get | None = None) -> DataFrame:
+    """Features of a layer that a theme labels at z: adds text, priority and priority_class.
+
+    ``theme`` maps ``enabled`` and the layers to rules: enabled, minZoom, maxZoom (22 where open); roads also
+    majorMinZoom, secondaryMinZoom, local {enabled, minZoom}; pois also categories and classes.
     """
     get = get or (lambda k: F.col("props")[k])
-    r = rules.select(*[F.col(c).alias(f"_{c}") for c in rules.columns])
-    met = df.join(r, df["layer"] == r["_layer"]).where(
-        (F.coalesce("_min_zoom", F.lit(0)) <= z) & (F.coalesce("_max_zoom", F.lit(24)) >= z))
-    candidates = F.array(*[F.struct(F.lit(k).alias("k"), first_label(get(k)).alias("v")) for k in NAME_FIELDS])
-    pick = F.transform("_fields", lambda f: F.get(F.filter(candidates, lambda c: (c["k"] == f) & c["v"].isNotNull()), F.lit(0))["v"])
-    text = F.coalesce(F.get(F.filter(pick, lambda v: v.isNotNull()), F.lit(0)), F.col("_fallback"))
-    kind = F.coalesce(first_text(*[get(k) for k in CLASS_FIELDS]), F.lit(""))
-    listed = F.col("_classes").isNull() | F.array_contains("_classes", kind)
-    prio = F.col("_base") + F.when(filled(F.trim(get("ref"))), 80).otherwise(0)
-    level = F.when(prio >= 900, "high").when(prio >= 600, "medium").otherwise("low")
-    return met.where(listed & filled(text)).withColumns({"text": text, "priority": prio, "priority_class": level}).drop(*[f"_{c}" for c in rules.columns])
+    rule = _theme_rule(theme, layer)
+    kinds = {"roads": _theme_road, "aip": _theme_aviation, "aviation": _theme_aviation, "pois": _theme_poi}
+    made = kinds[layer](get, z, rule) if rule is not None and _open_at(rule, z) and layer in kinds else _nothing()
+    return df.withColumns(made).where(filled(F.col("text")))
 
 
 def line_anchor(geom: Column) -> Column:
     return g.let(g.longest_line(geom), g.line_midpoint)
 
 
-def _scan_anchor(parts: list) -> tuple[float, float] | None:
-    """Middle of the widest stretch inside a polygon, over at most 32 scan lines; holes are left out."""
-    best = None
-    for rings in parts:
-        ys = [p["y"] for p in rings[0]] if len(rings) else []
-        if not ys:
-            continue
-        lo, hi = min(ys), max(ys)
-        for k in range(32):
-            y = lo + (hi - lo) * (k + 0.5) / 32
-            xs = sorted(a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"])
-                        for ring in rings for a, b in zip(ring, ring[1:]) if (a["y"] > y) != (b["y"] > y))
-            for x0, x1 in zip(xs[::2], xs[1::2]):
-                if best is None or x1 - x0 > best[0]:
-                    best = (x1 - x0, (x0 + x1) / 2, y)
-    return best and best[1:]
+def _scan_anchor(flat: Parts) -> tuple[float, float] | None:
+    """Middle of the widest stretch inside the largest polygon (by its outer ring, the first on ties); holes are left out.
+
+    Scan lines: the middle of the box, then half-way between neighbouring vertex heights; of more than 32, every
+    k-th.
+    """
+    flat = [rings for rings in flat if rings]
+    if not flat:
+        return None
+    twice = [abs(float((r[0][:-1, 0] * r[0][1:, 1] - r[0][1:, 0] * r[0][:-1, 1]).sum())) for r in flat]
+    rings = flat[int(np.argmax(twice))]
+    if not len(rings[0]):
+        return None
+    heights = np.unique(rings[0][:, 1])
+    if len(heights) < 2:
+        return tuple(rings[0][0])
+    scans = np.concatenate(([(heights[0] + heights[-1]) / 2], (heights[:-1] + heights[1:]) / 2))
+    a = np.concatenate([np.roll(r, 1, axis=0) for r in rings])
+    b = np.concatenate(rings)
+    width, best = -1.0, None
+    for y in scans[::max(1, -(-len(scans) // 32))]:
+        hit = (a[:, 1] > y) != (b[:, 1] > y)
+        p, q = a[hit], b[hit]
+        xs = np.sort(p[:, 0] + (y - p[:, 1]) * (q[:, 0] - p[:, 0]) / (q[:, 1] - p[:, 1]))
+        gaps = xs[1::2] - xs[:len(xs) // 2 * 2:2]
+        if len(gaps) and gaps.max() > width:
+            k = int(gaps.argmax())
+            width, best = float(gaps[k]), (float((xs[2 * k] + xs[2 * k + 1]) / 2), float(y))
+    return best
 
 
 def with_anchors(df: DataFrame) -> DataFrame:
-    """Adds ``anchor`` (x, y): a line's midpoint, a point itself, a polygon's widest interior stretch; null if empty."""
-    @F.pandas_udf("x double, y double")
-    def widest(parts: pd.Series) -> pd.DataFrame:
-        got = [(_scan_anchor(p) if p is not None else None) or (None, None) for p in parts]
-        return pd.DataFrame(got, columns=["x", "y"], dtype="float64")
+    """Adds ``anchor`` (x, y): a point itself, the midpoint of the longest line, the widest interior stretch of the largest polygon; null if empty."""
+    @F.arrow_udf("x double, y double")
+    def widest(geom: pa.Array) -> pa.Array:
+        got = [_scan_anchor(parts) if kind in ("Polygon", "MultiPolygon") else None for kind, parts in geometries(geom)]
+        ends = [pa.array([None if p is None else float(p[i]) for p in got], pa.float64()) for i in (0, 1)]
+        return pa.StructArray.from_arrays(ends, ["x", "y"])
 
     kind = F.col("geom.kind")
-    area = widest(F.when(kind.isin("Polygon", "MultiPolygon"), F.col("geom.parts")))
-    return df.withColumn("anchor", F.when(F.size(g.all_points(F.col("geom"))) > 0, F.when(kind == "Point", g.all_points(F.col("geom"))[0])
-                                          .when(kind.isin("LineString", "MultiLineString"), line_anchor(F.col("geom"))).otherwise(area)))
+    df = df.withColumn("_area", widest(F.col("geom")))
+    own = (F.when(kind == "Point", g.all_points(F.col("geom"))[0]).when(kind.isin("LineString", "MultiLineString"), line_anchor(F.col("geom")))
+           .when(F.col("_area.x").isNotNull(), F.col("_area")))
+    return df.withColumn("anchor", F.when(F.size(g.all_points(F.col("geom"))) > 0, own)).drop("_area")
 
 
 def declutter(df: DataFrame, keys: tuple[str, ...], max_labels: int) -> DataFrame:

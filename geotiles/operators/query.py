@@ -86,10 +86,20 @@ def min_span(df: DataFrame, threshold: float | Column) -> DataFrame:
     return df.where((F.col("maxx") - F.col("minx") >= threshold) | (F.col("maxy") - F.col("miny") >= threshold))
 
 
-def effective_zoom(df: DataFrame, layer: Sequence, rule: Sequence, feature: Sequence[Column]) -> DataFrame:
-    """Adds eff_min, eff_max: the narrowest of layer, rule and feature windows (0 and 24 where open)."""
-    lo = [F.coalesce(F.lit(v) if not isinstance(v, Column) else v, F.lit(0)) for v in (layer[0], rule[0], feature[0])]
-    hi = [F.coalesce(F.lit(v) if not isinstance(v, Column) else v, F.lit(24)) for v in (layer[1], rule[1], feature[1])]
+def effective_zoom(df: DataFrame, layer: Sequence, rule: Sequence, feature: Sequence[Column],
+                   by_property: Mapping[str, Mapping[str, Sequence]] | None = None) -> DataFrame:
+    """Adds eff_min, eff_max: the narrowest of layer, rule and feature windows (0 and 24 where open).
+
+    ``by_property`` maps property -> value -> (min, max): what it sets replaces the rule's ends, later properties last.
+    """
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    ends = [as_col(rule[0]), as_col(rule[1])]
+    for name, values in (by_property or {}).items():
+        for value, window in values.items():
+            hit = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) == value
+            ends = [e if w is None else F.when(hit, F.lit(w)).otherwise(e) for e, w in zip(ends, window)]
+    lo = [F.coalesce(as_col(v), F.lit(0)) for v in (layer[0], ends[0], feature[0])]
+    hi = [F.coalesce(as_col(v), F.lit(24)) for v in (layer[1], ends[1], feature[1])]
     return df.withColumns({"eff_min": F.greatest(*lo), "eff_max": F.least(*hi)})
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +31,6 @@ def build_layers(nodes: DataFrame, ways: DataFrame, relations: DataFrame, box: t
     members = rels.select(F.col("id").alias("rel_id"), F.posexplode("members").alias("pos", "m")).select(
         "rel_id", "pos", F.col("m.ref").alias("ref"), F.col("m.role").alias("role"), F.col("m.type").alias("type")).where("type = 'way'").drop("type").distinct()
     met = a.resolve_members(members, lines)
-    areas = a.relation_polygons(a.assemble_rings(met)).select("rel_id", F.col("geom").alias("area"))
-    plain = met.groupBy("rel_id").agg(F.array_sort(F.collect_list(F.struct("pos", "coords"))).alias("l")).select(
-        "rel_id", F.struct(F.when(F.size("l") > 1, "MultiLineString").otherwise("LineString").alias("kind"),
-                           F.transform("l", lambda x: F.array(x["coords"])).alias("parts")).cast(g.GEOMETRY).alias("line"))
-    lined = F.col("layer").isin("coastline", "cliffs", "boundaries", "pois")
-    by_rel = rels.join(areas, F.col("id") == F.col("rel_id"), "left").drop("rel_id").join(plain, F.col("id") == F.col("rel_id"), "left").select(
-        "layer", F.concat(F.lit("relation/"), F.col("id")).alias("id"), F.lit(2).alias("ord"), "tags",
-        F.coalesce("area", F.when(lined, F.col("line"))).alias("geom"))
-    every = reduce(DataFrame.unionByName, [points, by_way, by_rel])
+    by_rel = a.relation_geometry(rels, met).select("layer", F.concat(F.lit("relation/"), F.col("id")).alias("id"), F.lit(2).alias("ord"), "tags", "geom")
+    every = a.union_features(points, by_way, by_rel)
     return a.dedup_first(a.keep_inside(every, box))

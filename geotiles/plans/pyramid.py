@@ -7,7 +7,8 @@ clipped and quantised in Arrow batches, and encoded per tile.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -16,9 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import geometry as g
 from ..functions import policy as pol
 from ..functions import tilemath as tm
-
+from ..functions.arrays import geometries
+from ..schema import typed
+from ..sources.scratch import settled
+
+#: Layers whose features carry their label anchor.
+ANCHORED = ("roads", "pois", "aip")
+#: Tasks that share the ranking of one layer in one tile.
+SALTS = 16
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
@@ -33,16 +42,31 @@ def assign_tiles(features: DataFrame, z: int | Column) -> DataFrame:
     return df.where((F.col("maxx") >= q["minx"]) & (F.col("minx") <= q["maxx"]) & (F.col("maxy") >= q["miny"]) & (F.col("miny") <= q["maxy"]))
 
 
-def top_per_layer(df: DataFrame, limit: Column, priority: str = "priority", order: str = "fid") -> DataFrame:
-    """Best features of each (tile, layer) by priority, ties by order."""
-    place = F.row_number().over(Window.partitionBy("z", "x", "y", "layer").orderBy(F.desc(priority), order))
+def top_per_layer(df: DataFrame, limit: Column, priority: str = "priority", order: str = "fid", most: int | None = None) -> DataFrame:
+    """Best features of each (tile, layer) by priority, ties by order.
+
+    ``most`` is a literal upper bound of the limit.  With it rows are cut twice, first inside (tile, layer, salt): a tile that
+    holds a planet of features is ranked by ``SALTS`` tasks, of which at most ``most`` rows each go on.
+    """
+    tile = ["z", "x", "y", "layer"]
+    best = [F.desc(priority), order]
+    if most:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+        first = F.row_number().over(Window.partitionBy(*tile, "_salt").orderBy(*best))
+        df = salted.withColumn("_n", first).where(F.col("_n") <= most).drop("_n", "_salt")
+    place = F.row_number().over(Window.partitionBy(*tile).orderBy(*best))
     return df.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
 
 
-def top_per_tile(df: DataFrame, budget: Column, priority: str = "priority", layer_order: str = "layer_order", order: str = "fid") -> DataFrame:
-    """Best features of each tile over all layers: priority, then layer order, then order."""
+def top_per_tile(df: DataFrame, budget: Column, priority: str = "priority", layer_order: str = "layer_order", order: str = "fid",
+                 most: int | None = None) -> DataFrame:
+    """Best features of each tile over all layers: priority, then layer order, then order.
+
+    Rows come from ``top_per_layer``, so a tile has a bounded number; ``most`` is a literal upper bound of the budget.
+    """
     place = F.row_number().over(Window.partitionBy("z", "x", "y").orderBy(F.desc(priority), layer_order, order))
-    return df.withColumn("_n", place).where(F.col("_n") <= budget).drop("_n")
+    ranked = df.withColumn("_n", place)
+    return ranked.where((F.col("_n") <= most) & (F.col("_n") <= budget) if most else F.col("_n") <= budget).drop("_n")
 
 
 def _radial(p: np.ndarray, tol_sq: float) -> np.ndarray:
@@ -187,10 +211,6 @@ def clip_to_tile(kind: str, parts: list[list[np.ndarray]], z: int, x: int, y: in
     return made
 
 
-def _parts(value) -> list[list[np.ndarray]]:
-    return [[np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in rings] for rings in value["parts"]]
-
-
 _SHAPE = "tile_shape binary, plain_shape binary, vertices int, simplified int, unusable boolean"
 
 
@@ -203,24 +223,31 @@ def shape_features(df: DataFrame) -> DataFrame:
     for f in StructType.fromDDL(_SHAPE).fields:
         schema = schema.add(f)
 
+    def size(parts: list[list[np.ndarray]]) -> int:
+        return sum(len(r) for rings in parts for r in rings)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(n) for n in b.schema.names}
-            out: dict[str, list] = {"tile_shape": [], "plain_shape": [], "vertices": [], "simplified": [], "unusable": []}
-            for geom, small, tol, z, x, y in zip(*(cols[c].to_pylist() for c in ("geom", "small", "tol", "z", "x", "y"))):
-                kind, parts = geom["kind"], _parts(geom)
-                size = lambda ps: sum(len(r) for rings in ps for r in rings)
-                made = [] if small else simplify_parts(kind, parts, tol)
-                bad = not small and not usable(kind, made)
-                shape = commands(kind, clip_to_tile(kind, made, z, x, y)) if not (small or bad) else b""
-                out["tile_shape"].append(shape)
+            n = b.num_rows
+            made, plain = [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
+            vertices, simplified, unusable = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
+            small = cols["small"].to_numpy(zero_copy_only=False)
+            tol, z, x, y = (cols[c].to_pylist() for c in ("tol", "z", "x", "y"))
+            for k, (kind, parts) in enumerate(geometries(cols["geom"])):
+                vertices[k] = size(parts)
+                if not small[k]:
+                    less = simplify_parts(kind, parts, tol[k])
+                    unusable[k] = not usable(kind, less)
+                    if not unusable[k]:
+                        simplified[k] = size(less)
+                        made[k] = command_numbers(kind, clip_to_tile(kind, less, z[k], x[k], y[k]))
                 # only a layer without any shape in the tile falls back, so only lost features need their plain one
-                out["plain_shape"].append(b"" if shape else commands(kind, clip_to_tile(kind, parts, z, x, y)))
-                out["vertices"].append(size(parts))
-                out["simplified"].append(0 if small or bad else size(made))
-                out["unusable"].append(bad)
-            types = {"tile_shape": pa.binary(), "plain_shape": pa.binary(), "vertices": pa.int32(), "simplified": pa.int32(), "unusable": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([*(cols[n] for n in names), *(pa.array(v, types[k]) for k, v in out.items())], [*names, *out])
+                if not len(made[k]):
+                    plain[k] = command_numbers(kind, clip_to_tile(kind, parts, z[k], x[k], y[k]))
+            yield pa.RecordBatch.from_arrays(
+                [*(cols[c] for c in names), pa.array(varints(made), pa.binary()), pa.array(varints(plain), pa.binary()), pa.array(vertices),
+                 pa.array(simplified), pa.array(unusable)], [*names, "tile_shape", "plain_shape", "vertices", "simplified", "unusable"])
 
     return df.mapInArrow(run, schema)
 
@@ -244,43 +271,78 @@ def _field(number: int, payload: bytes) -> bytes:
     return _varint(number << 3 | 2) + _varint(len(payload)) + payload
 
 
-def commands(kind: str, parts: list[list[np.ndarray]]) -> bytes:
-    """Geometry commands of whole-unit parts: MoveTo 1, LineTo 2, ClosePath 7, with zigzag deltas."""
+def varints(rows: list[np.ndarray]) -> list[bytes]:
+    """Unsigned numbers of every row as base-128 bytes, all rows at once."""
+    flat = np.concatenate(rows).astype(np.uint64) if rows else np.zeros(0, np.uint64)
+    length = np.ones(len(flat), np.int64)
+    for k in range(1, 10):
+        length += flat >= np.uint64(1) << np.uint64(7 * k)
+    ends = np.cumsum(length)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(length.max()) if len(length) else 0):
+        some = length > k
+        byte = (flat[some] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8)
+        out[ends[some] - length[some] + k] = byte | np.where(length[some] > k + 1, 128, 0).astype(np.uint8)
+    raw, bounds = out.tobytes(), np.concatenate(([0], ends))
+    stops = bounds[np.cumsum([len(r) for r in rows], dtype=np.int64)].tolist() if rows else []
+    return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+
+def command_numbers(kind: str, parts: list[list[np.ndarray]]) -> np.ndarray:
+    """Geometry commands of whole-unit parts as numbers: MoveTo 1, LineTo 2, ClosePath 7, with zigzag deltas."""
     area = kind in ("Polygon", "MultiPolygon")
-    out: list[int] = []
-    cx = cy = 0
+    out: list[np.ndarray] = []
+    at = np.zeros((1, 2), np.int64)
     for rings in parts:
-        for k, ring in enumerate(rings):
-            pts = ring.tolist()
+        for k, pts in enumerate(rings):
             if area:
                 pts = pts[:-1]
-                twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1]))
-                if (twice > 0) != (k == 0):
+                turned = np.roll(pts, -1, axis=0)
+                if ((pts[:, 0] * turned[:, 1] - turned[:, 0] * pts[:, 1]).sum() > 0) != (k == 0):
                     pts = pts[::-1]
-            for n, (px, py) in enumerate(pts):
-                if n < 2:
-                    out.append(9 if n == 0 else len(pts) - 1 << 3 | 2)
-                dx, dy = px - cx, py - cy
-                out.append((dx << 1) ^ (dx >> 63))
-                out.append((dy << 1) ^ (dy >> 63))
-                cx, cy = px, py
+            if not len(pts):
+                continue
+            delta = np.diff(pts, axis=0, prepend=at)
+            zigzag = (delta << 1 ^ delta >> 63).ravel()
+            at = pts[-1:]
+            out += [np.array([9]), zigzag[:2]]
+            if len(pts) > 1:
+                out += [np.array([len(pts) - 1 << 3 | 2]), zigzag[2:]]
             if area:
-                out.append(15)
-    return b"".join(map(_varint, out))
+                out.append(np.array([15]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def commands(kind: str, parts: list[list[np.ndarray]]) -> bytes:
+    return varints([command_numbers(kind, parts)])[0]
 
 
-def encode_layer(name: str, features: list[tuple[int, str, bytes, dict[str, str]]]) -> bytes:
-    """One layer of (fid, kind, commands, props), vector tile version 2."""
+def _value(v) -> bytes:
+    """A tile value: text, double, whole number (unsigned, or signed if negative) or flag, as its type says."""
+    if isinstance(v, dict):
+        v = next((v[k] for k in ("flag", "whole", "real", "text") if v.get(k) is not None), "")
+    if isinstance(v, bool):
+        return _varint(7 << 3) + _varint(int(v))
+    if isinstance(v, int):
+        return _varint(5 << 3) + _varint(v) if v >= 0 else _varint(6 << 3) + _varint((v << 1 ^ v >> 63) & (1 << 64) - 1)
+    if isinstance(v, float):
+        return _varint(3 << 3 | 1) + struct.pack("<d", v)
+    return _field(1, str(v).encode())
+
+
+def encode_layer(name: str, features: list[tuple[int, str, bytes, dict]]) -> bytes:
+    """One layer of (fid, kind, commands, props), vector tile version 2; a negative fid has no id in the tile."""
     keys: dict[str, int] = {}
-    values: dict[str, int] = {}
+    values: dict[bytes, int] = {}
     body = [_varint(15 << 3) + _varint(2), _field(1, name.encode())]
     for fid, kind, made, props in features:
         shape = 1 if kind == "Point" else 2 if kind in ("LineString", "MultiLineString") else 3
-        tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(v, len(values)))
+        tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(_value(v), len(values)))
                         for k, v in sorted((props or {}).items()) if v is not None)
-        body.append(_field(2, _varint(1 << 3) + _varint(fid) + _field(2, tags) + _varint(3 << 3) + _varint(shape) + _field(4, made)))
+        own = _varint(1 << 3) + _varint(fid) if fid >= 0 else b""
+        body.append(_field(2, own + _field(2, tags) + _varint(3 << 3) + _varint(shape) + _field(4, made)))
     body += [_field(3, k.encode()) for k in keys]
-    body += [_field(4, _field(1, v.encode())) for v in values]
+    body += [_field(4, v) for v in values]
     body.append(_varint(5 << 3) + _varint(tm.EXTENT))
     return b"".join(body)
 
@@ -309,42 +371,110 @@ def encode_tiles(df: DataFrame) -> DataFrame:
 
 
 def limited(keys: DataFrame, policy: pol.LayerPolicy, max_features: int | None = None) -> DataFrame:
-    """Tile rows (z, x, y, layer, layer_order, fid, kind, box columns, props) cut to layer limits, then to the tile budget."""
+    """Tile rows (z, x, y, layer, layer_order, fid, kind, box columns, props) cut to layer limits, then to the tile budget.
+
+    A feature with as many of its own layer before it as a tile may hold never survives, so the budget also bounds a layer.
+    """
     box = F.struct(*BOX)
-    ranked = keys.withColumn("priority", policy.priority(F.col("layer"), F.col("kind"), box, F.col("z")))
-    cut = top_per_layer(ranked, policy.limit(F.col("layer"), F.col("z")))
-    return top_per_tile(cut, pol.tile_budget(F.col("z"), max_features))
+    asked = max_features if isinstance(max_features, int) and max_features > 0 else pol.DEFAULT_FEATURES
+    most = min(asked, pol.MAX_BUDGET)
+    name = policy.named(F.col("layer"))
+    ranked = keys.withColumn("priority", policy.priority(name, F.col("kind"), box, F.col("z")))
+    cut = top_per_layer(ranked, policy.limit(name, F.col("z")), most=most)
+    return top_per_tile(cut, pol.tile_budget(F.col("z"), max_features), most=most)
+
+
+def label_rows(keys: DataFrame, policy: pol.LayerPolicy, labels: Sequence[str], get: Callable[[str], Column]) -> DataFrame | None:
+    """Candidates of label layers in the tiles that their source features touch, with their texts as props and their limit."""
+    from ..operators import labels as lab
+
+    made = []
+    for at, label in enumerate(labels):
+        source = policy.source_layers[label]
+        from_ = keys.where((policy.named(F.col("layer")) == source) & (F.col("z") >= lab.LAYER_START.get(label, 0)))
+        c = lab.label_candidates(from_.withColumn("source", F.col("layer")), label, F.col("z"), get)
+        texts = {"text": F.col("text"), "class": F.col("class"), "sourceLayer": F.col("source"), "sourceId": F.col("fid").cast("string")}
+        numbers = {"priority": F.col("priority"), "minZoom": F.col("min_zoom")}
+        pairs = [x for k, v in texts.items() for x in (F.lit(k), typed(text=v))] + [x for k, v in numbers.items() for x in (F.lit(k), typed(whole=v))]
+        c = c.withColumns({"props": F.create_map(*pairs), "kind": F.lit("Point"), "layer_order": F.lit(1000 + at), "priority": F.col("priority").cast("double")})
+        made.append(c.withColumn("layer", F.lit(label)).withColumn("label_limit", lab.label_limit(label, F.col("z"))).select(
+            "z", "x", "y", "layer", "layer_order", "fid", "kind", *BOX, "props", "source", "priority", "label_limit"))
+    return reduce(DataFrame.unionByName, made) if made else None
+
+
+def _typed_props(props: Column, dtype: str) -> Column:
+    return F.transform_values(props, lambda k, v: typed(text=v)) if dtype == "map<string,string>" else props
+
+
+def tile_rows(features: DataFrame, zooms: Sequence[int], policy: pol.LayerPolicy) -> DataFrame:
+    """(z, x, y, layer, layer_order, fid, kind, box, props) of every feature a tile reads: zoom windows, layer rules, buffered box."""
+    have = features.columns
+    windows = [c for c in ("first_zoom", "last_zoom") if c in have]
+    slim = features.select("layer", "layer_order", "fid", *BOX, F.col("geom.kind").alias("kind"), "props", *windows)
+    name = policy.named(F.col("layer"))
+    if policy.read is None:  # one pass over the features for all zooms
+        every = slim.withColumn("_z", F.explode(F.array(*map(F.lit, zooms)))).where(policy.shown(name, F.col("_z"), zooms))
+        if "first_zoom" in windows:
+            every = every.where(F.col("first_zoom").isNull() | (F.col("first_zoom") <= F.col("_z")))
+        if "last_zoom" in windows:
+            every = every.where(F.col("last_zoom").isNull() | (F.col("last_zoom") >= F.col("_z")))
+        keys = assign_tiles(every, F.col("_z")).drop("_z")
+    else:
+        keys = reduce(DataFrame.unionByName, [assign_tiles(policy.read(slim, z), z) for z in zooms])
+    return keys.where(policy.wide(name, F.struct(*BOX), F.col("qbox"), F.col("z"))).drop("qbox", *windows)
 
 
 def tile_pyramid(features: DataFrame, zmin: int, zmax: int, policy: pol.LayerPolicy | None = None, max_features: int | None = None,
-                 detail: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(tiles, stats) of features (layer, layer_order, fid, geom, minx..maxy, props).
+                 detail: str | None = None, labels: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(tiles, stats) of features (layer, layer_order, fid, geom, minx..maxy, props), optionally with first_zoom, last_zoom.
 
-    ``tiles`` has (z, x, y, payload); ``stats`` one row per touched tile.
+    ``tiles`` has (z, x, y, payload); ``stats`` one row per touched tile.  ``labels`` names derived
+    label layers; their points are the anchors of the features they read.  The features are settled once:
+    keys are planned from their narrow columns, geometry is read for survivors.
     """
     policy = policy or pol.LayerPolicy()
     features = policy.prepare(features)
-    slim = features.select("layer", "layer_order", "fid", *BOX, F.col("geom.kind").alias("kind"), "props")
-    if policy.read is None:  # one pass over the features for all zooms
-        keys = assign_tiles(slim.withColumn("_z", F.explode(F.sequence(F.lit(zmin), F.lit(zmax)))), F.col("_z")).drop("qbox", "_z")
-    else:
-        parts = [assign_tiles(policy.read(slim, z), z).drop("qbox") for z in range(zmin, zmax + 1)]
-        keys = reduce(DataFrame.unionByName, parts)
-    original = keys.groupBy("z", "x", "y").agg(F.count("*").alias("original"))
-    kept = limited(keys, policy, max_features)
+    if labels and "anchor" not in features.columns:
+        from ..operators.labels import with_anchors
+
+        features = with_anchors(features)
+    features = settled(features, "tile-features")
+    keys = tile_rows(features, range(zmin, zmax + 1), policy)
+    dtype = dict(features.dtypes)["props"]
+    kept = limited(keys, policy, max_features).withColumns({"source": F.col("layer"), "props": _typed_props(F.col("props"), dtype)})
+    counted = keys.select("z", "x", "y")
+    text_of = (lambda k: F.col("props")[k]) if dtype == "map<string,string>" else (lambda k: F.col("props")[k]["text"])
+    said = label_rows(keys, policy, labels, text_of)
+    if said is not None:
+        counted = counted.unionByName(said.select("z", "x", "y"))
+        most = max(n for t in pol.LABEL_LIMITS.values() for _, n in t)
+        best = top_per_layer(said, F.col("label_limit"), most=most).drop("label_limit")
+        # the tile budget holds over all layers, label layers last
+        asked = max_features if isinstance(max_features, int) and max_features > 0 else pol.DEFAULT_FEATURES
+        kept = top_per_tile(kept.unionByName(best), pol.tile_budget(F.col("z"), max_features), most=min(asked, pol.MAX_BUDGET))
+    original = counted.groupBy("z", "x", "y").agg(F.count("*").alias("original"))
     tile = tm.tile_bbox(F.col("z"), F.col("x"), F.col("y"))
     kept = kept.withColumn("_t", tile)
-    small = pol.is_small(F.struct(*BOX), F.col("_t"), policy.min_size(F.col("layer"), F.col("kind"), F.col("z")))
+    name = policy.named(F.col("layer"))
+    small = pol.is_small(F.struct(*BOX), F.col("_t"), policy.min_size(name, F.col("kind"), F.col("z")))
     span = F.greatest(F.abs(F.col("_t.maxx") - F.col("_t.minx")), F.abs(F.col("_t.maxy") - F.col("_t.miny")))
     how = F.lit(detail) if detail else tm.detail_for_zoom(F.col("z"))
-    tol = span / tm.EXTENT * policy.tolerance(F.col("layer"), F.col("kind"), F.col("z"), how)
-    ready = kept.withColumns({"small": small, "tol": tol}).drop("_t", "minx", "miny", "maxx", "maxy")
-    met = ready.join(features.select("layer", "fid", "geom"), ["layer", "fid"])
+    tol = span / tm.EXTENT * pol.tolerance(name, F.col("kind"), F.col("z"), how, policy.tolerance_scale)
+    ready = kept.withColumns({"small": small, "tol": tol}).drop("_t", *BOX, "priority")
+    shapes = features.select(F.col("layer").alias("source"), "fid", "geom", *(["anchor"] if "anchor" in features.columns else []))
+    met = ready.join(shapes, ["source", "fid"])
+    if "anchor" in features.columns:
+        at = F.struct(F.lit("Point").alias("kind"), F.array(F.array(F.array("anchor"))).cast(g.PARTS).alias("parts"))
+        is_label = F.col("layer") != F.col("source")
+        met = met.where(~is_label | F.col("anchor").isNotNull()).withColumn("geom", F.when(is_label, at).otherwise(F.col("geom")))
+        # anchors lie on the unclipped feature, so they are the same in every tile and zoom
+        place = F.map_from_entries(F.array(*[F.struct(F.lit(k), typed(real=F.col(f"anchor.{v}"))) for k, v in (("label_lon", "x"), ("label_lat", "y"))]))
+        anchored = ~is_label & policy.named(F.col("layer")).isin(*ANCHORED) & F.col("anchor").isNotNull()
+        met = met.withColumn("props", F.when(anchored, F.map_concat("props", place)).otherwise(F.col("props"))).drop("anchor")
     # shaping is the costly part: deal features out evenly, whatever the size of their bytes
     tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shaped = with_fallback(shape_features(met.repartition(tasks, "layer", "fid", "z", "x", "y")))
-    stats = tile_stats(original, shaped)
-    return encode_tiles(shaped), stats
+    shaped = with_fallback(shape_features(met.drop("source").repartition(tasks, "layer", "fid", "z", "x", "y")))
+    return encode_tiles(shaped), tile_stats(original, shaped)
 
 
 def tile_stats(original: DataFrame, shaped: DataFrame) -> DataFrame:

@@ -65,14 +65,19 @@ def plan_or_fallback(features: DataFrame, z: int, coverage: Column, max_interval
 
 
 def occupied(tiles: DataFrame, features: DataFrame) -> DataFrame:
-    """Tiles whose box, one tile wider on each side, touches a feature box: a semi join on tile keys."""
-    zs = tiles.select("z").distinct()
+    """Tiles whose box, one tile wider on each side, touches a feature box.
+
+    Tile columns of the feature ranges are merged to intervals; a tile meets those of its own column, so no range is
+    ever spelled out tile by tile.
+    """
+    zooms = sorted(r.z for r in tiles.select("z").distinct().collect())  # as many as there are zoom levels
+    if not zooms:
+        return tiles
     box = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
-    keys = (features.select("minx", "miny", "maxx", "maxy").join(zs)
-            .withColumn("r", tile_range(*box, F.col("z")))
-            .select("z", F.explode(F.sequence("r.min_x", "r.max_x")).alias("x"), "r")
-            .select("z", "x", F.explode(F.sequence("r.min_y", "r.max_y")).alias("y")))
-    return tiles.join(keys, ["z", "x", "y"], "left_semi")
+    columns = (features.select(*box, F.explode(F.array(*map(F.lit, zooms))).alias("z")).withColumn("r", tile_range(*box, F.col("z")))
+               .select("z", F.explode(F.sequence("r.min_x", "r.max_x")).alias("x"), F.col("r.min_y").alias("min_y"), F.col("r.max_y").alias("max_y")))
+    spans = merge_intervals(columns, ["z", "x"]).select(F.col("z").alias("sz"), F.col("x").alias("sx"), "min_y", "max_y")
+    return tiles.join(spans, (F.col("z") == F.col("sz")) & (F.col("x") == F.col("sx")) & F.col("y").between(F.col("min_y"), F.col("max_y")), "left_semi")
 
 
 def estimate_tiles(boxes: DataFrame, zmin: int, zmax: int) -> DataFrame:
@@ -110,12 +115,20 @@ def advice_texts(zmin: int, zmax: int, tiles: int, area_km2: float, regional: bo
     return said
 
 
-def guard_cumulative(per_zoom: DataFrame, limit: int = HIGH, force: bool = False) -> DataFrame:
-    """Adds the running number of candidates by zoom; fails beyond the limit unless forced."""
+def cumulative_candidates(per_zoom: DataFrame, limit: int = HIGH) -> DataFrame:
+    """Adds the running number of candidates by zoom, and whether it is within the limit; at most one row per zoom level."""
     line = Window.partitionBy(F.lit(0)).orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
     df = per_zoom.withColumn("running", F.sum("tiles").over(line))
-    over = F.col("running") > limit
-    return df.withColumn("ok", F.lit(True) if force else ~over)
+    return df.withColumn("ok", F.col("running") <= limit)
+
+
+def guard_cumulative(per_zoom: DataFrame, limit: int = HIGH, force: bool = False) -> DataFrame:
+    """``cumulative_candidates``; reading a zoom beyond the limit is an error unless forced."""
+    df = cumulative_candidates(per_zoom, limit)
+    if force:
+        return df.withColumn("ok", F.lit(True))
+    said = F.concat(F.lit("too many candidate tiles up to zoom "), F.col("z"), F.lit(": "), F.col("running"), F.lit(f" of {limit}"))
+    return df.withColumn("ok", F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
 
 
 def tile_report(tiles: DataFrame) -> DataFrame:

@@ -150,6 +150,53 @@ def catalogue(spark, d):
 _CAT = f"""{with_views("geo_boxes")}, {_AIR} SELECT id, lpad((ord % 18 + 1)::VARCHAR, 2, '0') || ',' || (ord % 18 + 19) AS runways FROM ap"""
 
 
+def _aviation(spark, d):
+    """One table of airports, runways and thresholds, told apart by layer and tags only."""
+    b = view(spark, d, "geo_boxes")
+    n = (F.col("fid") % 18 + 1).cast("int")
+    two = lambda v: F.lpad(v.cast("string"), 2, "0")
+    at = lambda dx, dy: g.xy(F.col("minx") + dx, F.col("miny") + dy)
+    tags = lambda **kw: F.map_filter(F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
+    lit = F.lit
+    area = b.select((F.col("fid") * 10).alias("ord"), lit("aip").alias("layer"), g.polygon(F.array(at(0, 0), at(10, 0), at(10, 10), at(0, 10), at(0, 0))).alias("geom"),
+                    tags(aeroway=lit("aerodrome"), id=F.concat(lit("way/"), "fid"), icao=F.when(F.col("fid") % 2 == 0, F.concat(lit("LE"), "fid")), ele=F.col("fid") * 3).alias("props"))
+    strip = b.select((F.col("fid") * 10 + 1).alias("ord"), lit("aip").alias("layer"), g.line_string(F.array(at(5, 5), g.xy(F.col("minx") + 5.02, F.col("miny") + 5 + (F.col("fid") % 7) / 200.0))).alias("geom"),
+                     tags(aeroway=lit("runway"), id=F.concat(lit("r/"), "fid"), ref=F.concat(lit("RWY "), two(n), lit(" / "), two(n + 18))).alias("props"))
+    end = b.where("fid % 3 = 0").select((F.col("fid") * 10 + 2).alias("ord"), lit("aip").alias("layer"), g.point(at(5.001, 5)).alias("geom"),
+                                        tags(aeroway=lit("threshold"), id=F.concat(lit("t/"), "fid"), ref=two(n), ele=lit("101")).alias("props"))
+    given = b.where("fid % 4 = 0").select((F.col("fid") * 10 + 3).alias("ord"), lit("runways").alias("layer"), g.point(at(5, 5)).alias("geom"),
+                                          tags(id=F.concat(lit("p/"), "fid"), airportId=F.concat(lit("way/"), "fid"), runwayDesignator=two(n), headingDeg=lit("361"), elevationM=lit("7")).alias("props"))
+    lost = b.where("fid % 5 = 0").select((F.col("fid") * 10 + 4).alias("ord"), lit("aip").alias("layer"), F.lit(None).cast(g.GEOMETRY).alias("geom"),
+                                         tags(aeroway=lit("runway"), id=F.concat(lit("x/"), "fid"), ref=lit("01/19")).alias("props"))
+    plain = b.where("fid % 7 = 0").select((F.col("fid") * 10 + 5).alias("ord"), lit("aip").alias("layer"), g.line_string(F.array(at(1, 1), at(2, 2))).alias("geom"),
+                                          tags(aeroway=lit("runway"), id=F.concat(lit("y/"), "fid"), ref=lit(" ; ")).alias("props"))
+    return area.unionByName(strip).unionByName(end).unionByName(given).unionByName(lost).unionByName(plain)
+
+
+def airport_documents(spark, d):
+    """Airports of one raw feature table with their runways, natural order."""
+    docs, _ = cat.airport_catalog(_aviation(spark, d))
+    said = F.transform("runways", lambda r: F.concat_ws(":", r["designator"], F.round(r["heading"], 1).cast("string"), r["quality"], r["elevation_source"], F.round(r["elevation_m"], 1).cast("string")))
+    return docs.select("id", "lon", "lat", F.array_join(said, ",").alias("runways"))
+
+
+def airport_counts(spark, d):
+    return cat.airport_catalog(_aviation(spark, d))[1]
+
+
+_ADOC = f"""{_dir_sql().replace("SELECT 'r/'", "SELECT fid, designator AS d0, low, t, 'r/'", 1)}"""
+_ADOC = f"""WITH dirs AS ({_ADOC}), b AS ({with_views("geo_boxes")} SELECT * FROM geo_boxes),
+x AS (SELECT fid, designator, CASE WHEN fid % 4 = 0 AND low THEN 1.0 ELSE heading END::DOUBLE AS heading,
+ CASE WHEN fid % 4 = 0 AND low THEN 'source' ELSE quality END AS quality,
+ CASE WHEN fid % 4 = 0 AND low THEN 'source' WHEN t AND low THEN 'threshold' ELSE 'airport' END AS src,
+ CASE WHEN fid % 4 = 0 AND low THEN 7.0 ELSE elevation_m END::DOUBLE AS ele FROM dirs)
+SELECT coalesce(CASE WHEN b.fid % 2 = 0 THEN 'LE' || b.fid END, 'way/' || b.fid) AS id, round(minx + 5, 8) AS lon, round(miny + 5, 8) AS lat,
+ string_agg(designator || ':' || heading || ':' || quality || ':' || src || ':' || ele, ',' ORDER BY designator) AS runways
+FROM x JOIN b USING (fid) GROUP BY b.fid, minx, miny"""
+_ACNT = f"""{with_views("geo_boxes")} SELECT count(*) AS airports, 2 * count(*) AS directions, count(*) FILTER (fid % 3 = 0 OR fid % 4 = 0) AS mapped,
+ 2 * count(*) - count(*) FILTER (fid % 3 = 0 OR fid % 4 = 0) AS estimated, count(*) + count(*) FILTER (fid % 4 = 0) AS physical, count(*) FILTER (fid % 5 = 0) AS unresolved FROM geo_boxes"""
+
+
 def quadtree_leaves(spark, d):
     leaves = space.quadtree(q.boxes_of_points(view(spark, d, "geo_points")), (-180.0, -85.0, 180.0, 85.0), 40, 6)
     return leaves.groupBy("depth", "i", "j").agg(F.count("*").alias("n"), (F.max("batch") + 1).alias("batches"))
@@ -203,8 +250,9 @@ SELECT tx, ty, round((min(x) + max(x)) / 2, 2) AS x, round((min(y) + max(y)) / 2
 
 
 QUERIES = {f.__name__: f for f in (airports, airport_keys, airports_containing, airports_nearest, airport_assignment, runway_directions,
-                                   catalogue_summary, catalogue, quadtree_leaves, quadtree_summary, tile_hierarchy, earth_positions)}
+                                   catalogue_summary, catalogue, airport_documents, airport_counts, quadtree_leaves, quadtree_summary, tile_hierarchy, earth_positions)}
 ORACLES = {
+    "airport_documents": _ADOC, "airport_counts": _ACNT,
     "airports": f"{with_views('geo_boxes')}, {_AIR} SELECT ord, id, id AS name, icao, iata, lon, lat, elevation_m FROM ap",
     "airport_keys": _KEYS, "airports_containing": _CONTAIN, "airports_nearest": _NEAR, "airport_assignment": _ASSIGN,
     "runway_directions": _dir_sql(), "catalogue_summary": _SUM, "catalogue": _CAT, "quadtree_leaves": _quad_sql(),

@@ -117,7 +117,9 @@ FROM geo_relation_members JOIN s ON ref = way_id WHERE way_id % 2 = 0 OR way_id
 
 
 def needed_nodes(spark, d):
-    refs = view(spark, d, "geo_way_refs").where("way_id % 100 = 0")
+    """Nodes that ways of one layer refer to."""
+    chosen = c.classify_ways(_tagged_ways(spark, d), ["coastline"]).select(F.col("id").alias("way_id"))
+    refs = view(spark, d, "geo_way_refs").join(chosen, "way_id", "left_semi")
     return a.needed_nodes(view(spark, d, "geo_nodes"), refs).select("id")
 
 
@@ -131,7 +133,7 @@ def helper_ways(spark, d):
 
 def ring_assembly(spark, d):
     """Closed rings of relations whose members are the four sides of a square, half of them turned."""
-    rel = view(spark, d, "geo_points").where("fid % 2 = 0")
+    rel = view(spark, d, "geo_points")
     corner = lambda dx, dy: (dx, dy)
     square = [corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)]
     sides = []
@@ -147,7 +149,30 @@ def ring_assembly(spark, d):
     return rings.select("rel_id", "ring", F.size("refs").alias("n"), F.round(F.abs(g.ring_area(F.col("coords"))), 6).alias("area"))
 
 
-_RINGS = f"""{with_views("geo_points")} SELECT fid AS rel_id, 0::INTEGER AS ring, 5::INTEGER AS n, 1.0::DOUBLE AS area FROM geo_points WHERE fid % 2 = 0 AND fid % 10 <> 0"""
+_RINGS = f"""{with_views("geo_points")} SELECT fid AS rel_id, 0::INTEGER AS ring, 5::INTEGER AS n, 1.0::DOUBLE AS area FROM geo_points WHERE fid % 10 <> 0"""
+
+
+def relation_shapes(spark, d):
+    """Relations of four sides in two layers: closed ones become polygons, open ones lines where the layer may be lines; a small ring is a hole."""
+    p = view(spark, d, "geo_points")
+    parts = []
+    for k, ((x0, y0), (x1, y1)) in enumerate(zip(((0, 0), (1, 0), (1, 1), (0, 1)), ((1, 0), (1, 1), (0, 1), (0, 0)))):
+        for role, base, size in (("outer", 0, 1.0), ("inner", 100, 0.25)):
+            ids = F.array(F.col("fid") * 1000 + base + k, F.col("fid") * 1000 + base + (k + 1) % 4)
+            pts = F.array(g.xy(F.col("lon") + (x0 * size + (0.3 if base else 0)), F.col("lat") + (y0 * size + (0.3 if base else 0))),
+                          g.xy(F.col("lon") + (x1 * size + (0.3 if base else 0)), F.col("lat") + (y1 * size + (0.3 if base else 0))))
+            parts.append(F.struct(F.lit(base + k).cast("long").alias("pos"), F.lit(role).alias("role"), ids.cast("array<bigint>").alias("refs"), pts.alias("coords")))
+    met = p.select(F.col("fid").alias("rel_id"), F.explode(F.array(*parts)).alias("m")).select("rel_id", "m.*")
+    met = met.where("NOT (rel_id % 4 = 0 AND pos = 3)").where("NOT (rel_id % 3 = 0 AND role = 'inner')")
+    rels = p.select(F.col("fid").alias("id"), F.when(F.col("fid") % 8 < 4, "water").otherwise("boundaries").alias("layer"))
+    got = a.relation_geometry(rels, met)
+    return got.select("id", "layer", F.col("geom.kind").alias("kind"), F.size(F.flatten("geom.parts")).alias("rings"), F.when(F.col("geom").isNotNull(), g.vertex_count(F.col("geom"))).alias("vertices"))
+
+
+_RELS = f"""{with_views("geo_points")}, r AS (SELECT fid, CASE WHEN fid % 8 < 4 THEN 'water' ELSE 'boundaries' END AS layer, fid % 4 = 0 AS open, fid % 3 <> 0 AS hole FROM geo_points)
+SELECT fid AS id, layer, CASE WHEN NOT open THEN 'MultiPolygon' WHEN layer = 'boundaries' THEN 'MultiLineString' END AS kind,
+ CASE WHEN NOT open THEN 1 + hole::INTEGER WHEN layer = 'boundaries' THEN 3 + 4 * hole::INTEGER END::INTEGER AS rings,
+ CASE WHEN NOT open THEN 5 + 5 * hole::INTEGER WHEN layer = 'boundaries' THEN 6 + 8 * hole::INTEGER END::INTEGER AS vertices FROM r"""
 
 
 def first_seen(spark, d):
@@ -213,7 +238,7 @@ _TEXTS = r"""SELECT p_partkey AS fid, trim(regexp_replace(p_name, '\s+', ' ', 'g
 
 QUERIES = {f.__name__: f for f in (
     classify_ways, classify_relations, layer_properties, point_features, poi_categories, way_lines, way_geometries, relation_members,
-    needed_nodes, helper_ways, ring_assembly, first_seen, merged_sources, node_extent, kept_features, label_texts)}
+    needed_nodes, helper_ways, ring_assembly, relation_shapes, first_seen, merged_sources, node_extent, kept_features, label_texts)}
 
 ORACLES = {
     "classify_ways": f"{with_views('geo_ways')}, {_CLASSIFIED} SELECT id, layer FROM cl",
@@ -222,7 +247,8 @@ ORACLES = {
     "point_features": f"""{with_views('geo_nodes')}, i AS (SELECT id FROM geo_nodes WHERE lon BETWEEN -3.8 AND -3.6 AND lat BETWEEN 40.35 AND 40.5)
 SELECT id, 'aip' AS layer FROM i WHERE id % 3 = 0 UNION ALL SELECT id, 'pois' FROM i WHERE id % 4 = 0 OR id % 3 = 0""",
     "poi_categories": _POI, "way_lines": _LINES, "way_geometries": _WAYGEO, "relation_members": _MEMBERS,
-    "needed_nodes": f"{with_views('geo_nodes', 'geo_way_refs')} SELECT id FROM geo_nodes WHERE id IN (SELECT ref FROM geo_way_refs WHERE way_id % 100 = 0)",
+    "relation_shapes": _RELS,
+    "needed_nodes": f"{with_views('geo_nodes', 'geo_way_refs', 'geo_ways')} SELECT id FROM geo_nodes WHERE id IN (SELECT ref FROM geo_way_refs WHERE way_id IN (SELECT id FROM geo_ways WHERE natural_ = 'coastline'))",
     "helper_ways": f"{with_views('geo_ways', 'geo_relation_members')}, {_CLASSIFIED} SELECT id FROM geo_ways WHERE id IN (SELECT ref FROM geo_relation_members) AND id NOT IN (SELECT id FROM cl WHERE layer IN ('buildings', 'water', 'landuse'))",
     "ring_assembly": _RINGS, "first_seen": _FIRST,
     "merged_sources": f"{with_views('geo_nodes')} SELECT id, round(CASE WHEN id % 2 = 0 THEN lon + 1 ELSE lon END, 6) AS lon FROM geo_nodes WHERE id % 2 = 0 OR id % 3 <> 0",

@@ -94,13 +94,14 @@ SELECT b.fid AS box_fid, p.fid AS fid FROM geo_boxes b JOIN geo_points p
 
 
 def box_overlaps(spark, d):
-    """Pairs of overlapping footprints."""
+    """Footprints with the boxes, moved by half their size, that they overlap."""
     b = view(spark, d, "geo_boxes")
-    return q.query_boxes(b, b).where("box_fid < fid")
+    moved = b.select("fid", *[(F.col(c) + 5).alias(c) for c in BOX])
+    return q.query_boxes(b, moved)
 
 
 _OVER = f"""{with_views("geo_boxes")} SELECT a.fid AS box_fid, b.fid AS fid FROM geo_boxes a JOIN geo_boxes b
- ON a.fid < b.fid AND a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny"""
+ ON a.minx + 5 <= b.maxx AND a.maxx + 5 >= b.minx AND a.miny + 5 <= b.maxy AND a.maxy + 5 >= b.miny"""
 
 
 def zoom_windows(spark, d):
@@ -255,7 +256,7 @@ FROM u GROUP BY ROLLUP (z)"""
 def cumulative_guard(spark, d):
     b = view(spark, d, "geo_boxes")
     per = sparse.estimate_tiles(b, 2, 10).where("z is not null").groupBy("z").agg(F.sum("tiles").alias("tiles"))
-    return sparse.guard_cumulative(per)
+    return sparse.cumulative_candidates(per)
 
 
 def _guard_sql() -> str:

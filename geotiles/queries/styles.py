@@ -20,26 +20,27 @@ from ..views import table, view, with_views
 
 
 def _layers(spark, d):
-    """A layer per nation: zoom windows and order follow from its keys."""
-    n = table(spark, d, "nation")
-    k = F.col("n_nationkey").cast("int")
-    return n.select(F.col("n_name").alias("id"), F.when(k % 4 != 0, k % 9).alias("min_zoom"), F.when(k % 5 != 0, 10 + k % 7).alias("max_zoom"),
-                    k.alias("ord"), (k % 3).alias("rule_order"), F.array(F.lit("name"), F.col("n_name")).alias("fields"))
+    """A layer per customer, some of them the built-in ones: zoom windows and order follow from its key."""
+    k = F.col("c_custkey").cast("int")
+    name = F.when(k % 50 == 1, "roads").when(k % 50 == 2, "aip").when(k % 50 == 3, "pois").otherwise(F.concat(F.lit("layer"), k))
+    return table(spark, d, "customer").select(name.alias("id"), F.when(k % 4 != 0, k % 9).alias("min_zoom"), F.when(k % 5 != 0, 10 + k % 7).alias("max_zoom"),
+                                              k.alias("ord"), (k % 3).alias("rule_order"), F.array(F.lit("name"), F.col("c_name")).alias("fields"))
 
 
-_LAY = "ly AS (SELECT n_name AS id, n_nationkey::INTEGER AS k, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey % 9 END AS lo, CASE WHEN n_nationkey % 5 <> 0 THEN 10 + n_nationkey % 7 END AS hi FROM nation)"
+_LAY = """ly AS (SELECT CASE c_custkey % 50 WHEN 1 THEN 'roads' WHEN 2 THEN 'aip' WHEN 3 THEN 'pois' ELSE 'layer' || c_custkey END AS id, c_custkey::INTEGER AS k,
+ CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 9 END AS lo, CASE WHEN c_custkey % 5 <> 0 THEN 10 + c_custkey % 7 END AS hi FROM customer)"""
 
 
 def active_layers(spark, d):
-    layers = _layers(spark, d)
+    layers = _layers(spark, d).withColumn("id", F.concat(F.lit("layer"), "ord"))
     rules = layers.select(F.col("id").alias("layer"), F.when(F.col("ord") % 6 == 0, False).alias("visible"), F.when(F.col("ord") % 2 == 0, 3).alias("min_zoom"), F.lit(None).cast("int").alias("max_zoom"))
     return q.active_layers(layers, rules, 4).select("id")
 
 
 def layer_order(spark, d):
     """Draw order: listed layers first."""
-    got = vis.draw_order(_layers(spark, d), ["FRANCE", "BRAZIL", "CHINA"])
-    return got.select("id", "place", F.coalesce("rule_order", F.lit(0)).alias("rule_order"))
+    got = vis.draw_order(_layers(spark, d), ["layer11", "roads", "layer7"])
+    return got.select("id", "place", F.coalesce("rule_order", F.lit(0)).alias("rule_order"), "ord")
 
 
 def tile_metadata(spark, d):
@@ -47,14 +48,15 @@ def tile_metadata(spark, d):
 
 
 def label_layers(spark, d):
-    """Label layers open at z16 over the source layers."""
-    layers = _layers(spark, d).select(F.when(F.col("ord") == 1, "roads").when(F.col("ord") == 2, "aip").when(F.col("ord") == 3, "pois").alias("id"), "min_zoom", F.col("max_zoom") + 5)
-    return lab.active_label_layers(layers.toDF("id", "min_zoom", "max_zoom").where("id is not null"), 16)
+    """Label layers open at z16 over all layers, and how many layers open them."""
+    layers = _layers(spark, d).select("id", "min_zoom", (F.col("max_zoom") + 3).alias("max_zoom"))
+    return lab.active_label_layers(layers, 17).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def effective_zooms(spark, d):
     o = view(spark, d, "geo_obs")
-    return q.effective_zoom(o, (2, 15), (None, 14), (F.col("first_zoom"), F.col("last_zoom"))).groupBy("eff_min", "eff_max").agg(F.count("*").alias("n"))
+    return q.effective_zoom(o, (2, 15), (None, 14), (F.col("first_zoom"), F.col("last_zoom")), {"kind": {"click": (4, None), "view": (None, 9)}}).groupBy(
+        "kind", "eff_min", "eff_max").agg(F.count("*").alias("n"))
 
 
 def box_read(spark, d):
@@ -85,17 +87,112 @@ _RULES = f"""{with_views("geo_ways")} SELECT highway, count(*) AS n, z::INTEGER
 WHERE highway IN ('motorway', 'primary') AND highway <> CASE WHEN z < 12 THEN 'none' ELSE '' END OR (highway = 'tertiary' AND z >= 12) OR (highway = 'residential' AND z >= 14) OR (highway = 'footway' AND z >= 16) GROUP BY highway, z"""
 
 
+THEME = {"roads": {"local": {"enabled": True}}, "pois": {"minZoom": 16, "categories": {"industrial": False}}}
+
+
 def described_labels(spark, d):
-    """Labels of points by theme rules."""
-    rules = spark.createDataFrame([("pois", ["ref", "name"], 3, None, ["hospital", "fuel"], "POI", 650), ("aip", ["name"], 9, None, None, None, 900)],
-                                  "layer string, fields array<string>, min_zoom int, max_zoom int, classes array<string>, fallback string, base int")
-    p = view(spark, d, "geo_points").withColumn("layer", F.when(F.col("fid") % 2 == 0, "pois").otherwise("aip"))
-    get = lambda k: {"name": F.when(F.col("fid") % 6 == 0, "Yes").otherwise(F.col("name")), "amenity": F.col("amenity"), "ref": F.when(F.col("fid") % 10 == 0, F.concat(F.lit("R"), F.col("fid")))}.get(k, F.lit(None).cast("string"))
-    return lab.describe_labels(p, rules, 8, get).select("fid", "text", "priority", "priority_class")
+    """Labels of points by a theme, z17."""
+    get = lambda k: {"name": F.when(F.col("fid") % 6 == 0, "Yes").otherwise(F.col("name")), "amenity": F.col("amenity"),
+                     "poi_category": F.when(F.col("fid") % 5 == 0, " government ")}.get(k, F.lit(None).cast("string"))
+    return lab.describe_labels(view(spark, d, "geo_points"), "pois", 17, THEME, get).select("fid", "text", "priority", "priority_class")
+
+
+_DESC = f"""{with_views("geo_points")} SELECT fid, CASE WHEN fid % 6 <> 0 THEN name WHEN amenity = 'hospital' THEN 'Hospital' WHEN amenity = 'townhall' THEN 'Town hall' ELSE 'Warehouse' END AS text,
+ (CASE WHEN amenity = 'hospital' THEN 920 ELSE 620 END)::INTEGER AS priority, CASE WHEN amenity = 'hospital' THEN 'critical' ELSE 'normal' END AS priority_class
+FROM geo_points WHERE amenity IN ('hospital', 'townhall') OR (amenity = 'warehouse' AND fid % 5 = 0)"""
+
+
+def theme_roads(spark, d):
+    """Road labels of a theme at z12, z16 and z17: refs of major roads, names of local ones."""
+    w = view(spark, d, "geo_ways").withColumn("ref", F.when(F.col("id") % 6 == 0, F.concat(F.lit(" A  "), F.col("id"))).when(F.col("id") % 6 == 1, "yes"))
+    get = lambda k: {"highway": F.col("highway"), "ref": F.col("ref"), "name": F.concat(F.lit("Road "), F.col("name"))}.get(k, F.lit(None).cast("string"))
+    parts = [lab.describe_labels(w, "roads", z, THEME, get).select(F.lit(z).alias("z"), "id", "text", "priority", "priority_class") for z in (11, 12, 17)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_TROADS = f"""{with_views("geo_ways")} SELECT z::INTEGER AS z, id, CASE WHEN highway = 'residential' THEN 'Road ' || name ELSE 'A ' || id END AS text,
+ CASE WHEN highway = 'residential' THEN 400 ELSE 820 END::INTEGER AS priority, CASE WHEN highway = 'residential' THEN 'low' ELSE 'important' END AS priority_class
+FROM geo_ways, (VALUES (11), (12), (17)) r(z) WHERE (highway IN ('motorway', 'primary') AND id % 6 = 0 AND z >= 12) OR (highway = 'residential' AND z >= 17)"""
+
+
+def label_anchors(spark, d):
+    """Anchors of footprints with a hole in the middle, and of bent lines."""
+    b = view(spark, d, "geo_boxes")
+    c = lambda dx, dy: g.xy(F.col("minx") + dx, F.col("miny") + dy)
+    ring = lambda *ps: F.array(*[c(*p) for p in ps])
+    hole = F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)), ring((1, 1), (6, 1), (6, 9), (1, 9), (1, 1)))).cast(g.PARTS).alias("parts"))
+    line = g.line_string(ring((0, 0), (4, 0), (4, 6)))
+    df = b.withColumn("geom", F.when(F.col("fid") % 2 == 0, hole).otherwise(line).cast(g.GEOMETRY))
+    return lab.with_anchors(df).select("fid", F.round("anchor.x", 6).alias("x"), F.round("anchor.y", 6).alias("y"))
+
+
+_ANCH = f"""{with_views("geo_boxes")} SELECT fid, round(minx + CASE WHEN fid % 2 = 0 THEN 8 ELSE 4 END, 6) AS x, round(miny + CASE WHEN fid % 2 = 0 THEN 5 ELSE 1 END, 6) AS y FROM geo_boxes"""
+
+
+def title_cases(spark, d):
+    """Words of addresses raised, underscores as spaces."""
+    from ..functions.text import admin_codes, title_case
+
+    p = view(spark, d, "geo_points")
+    raw = F.concat(F.col("amenity"), F.lit("_of "), F.lower(F.substring("name", 1, 8)))
+    code = F.when(F.col("fid") % 3 == 0, F.lit('["ES-MD","ES-CL"]')).when(F.col("fid") % 3 == 1, F.lit("PT")).otherwise("")
+    return p.select("fid", title_case(raw).alias("title"), F.array_join(admin_codes(code), "|").alias("codes"))
+
+
+_TITLE = f"""{with_views("geo_points")} SELECT fid, upper(amenity[1]) || amenity[2:] || ' Of Customer' AS title,
+ CASE fid % 3 WHEN 0 THEN 'ES-MD|ES-CL' WHEN 1 THEN 'PT' ELSE '' END AS codes FROM geo_points"""
+
+
+def coverage_list(spark, d):
+    """Extracts that a moved footprint touches; children of a root only where there are any."""
+    b = view(spark, d, "geo_boxes")
+    c = lambda x, y: g.xy(F.col(x), F.col(y))
+    ring = F.array(c("minx", "miny"), c("maxx", "miny"), c("maxx", "maxy"), c("minx", "maxy"), c("minx", "miny"))
+    ex = b.select(F.col("fid").cast("string").alias("id"), F.when(F.col("fid") % 2 == 0, "1").alias("parent"), (F.lit(100.0) + F.col("fid")).alias("area"),
+                  "minx", "miny", "maxx", "maxy", F.array(F.array(ring)).alias("rings"))
+    boxes = b.select(F.col("fid").alias("box"), *[(F.col(x) + 5).alias(x) for x in pyr.BOX])
+    return cov.list_coverage(boxes, ex)
+
+
+_CLIST = f"""{with_views("geo_boxes")}, m AS (SELECT a.fid AS box, b.fid AS id, b.fid % 2 = 0 AS top FROM geo_boxes a JOIN geo_boxes b
+ ON a.minx + 5 <= b.maxx AND a.maxx + 5 >= b.minx AND a.miny + 5 <= b.maxy AND a.maxy + 5 >= b.miny),
+s AS (SELECT box, bool_or(top) AS has_top FROM m GROUP BY box)
+SELECT box, id::VARCHAR AS id, 100.0::DOUBLE + id AS area FROM m JOIN s USING (box) WHERE top OR NOT has_top"""
+
+
+def coverage_siblings(spark, d):
+    """Boxes over the seam of two administrative halves get both; boxes inside one get it, or a cached container near its size."""
+    b = view(spark, d, "geo_boxes")
+    half = lambda k: b.select(F.concat(F.col("fid"), F.lit("ab"[k])).alias("id"), F.col("fid").cast("string").alias("parent"), F.array(F.lit("XX")).alias("admin"), F.lit(False).alias("cached"),
+                              F.lit(50.0).alias("area"), (F.col("minx") + 5 * k).alias("minx"), "miny", (F.col("minx") + 5 * k + 5).alias("maxx"), "maxy")
+    whole = b.select(F.col("fid").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("admin"), (F.col("fid") % 2 == 0).alias("cached"),
+                     F.lit(100.0).alias("area"), *pyr.BOX)
+    c = lambda x, y: g.xy(F.col(x), F.col(y))
+    ring = F.array(c("minx", "miny"), c("maxx", "miny"), c("maxx", "maxy"), c("minx", "maxy"), c("minx", "miny"))
+    ex = whole.unionByName(half(0)).unionByName(half(1)).withColumn("rings", F.array(F.array(ring)))
+    at = F.when(F.col("fid") % 3 == 0, 4.0).otherwise(1.0)
+    boxes = b.select(F.col("fid").alias("box"), (F.col("minx") + at).alias("minx"), (F.col("miny") + 4).alias("miny"), (F.col("minx") + at + 2).alias("maxx"), (F.col("miny") + 6).alias("maxy"))
+    return cov.select_coverage(boxes, ex).select("box", F.array_join("ids", "+").alias("ids"))
+
+
+_CSIB = f"""{with_views("geo_boxes")} SELECT fid AS box, CASE WHEN fid % 3 = 0 THEN fid || 'a+' || fid || 'b' WHEN fid % 2 = 0 THEN fid::VARCHAR ELSE fid || 'a' END AS ids FROM geo_boxes"""
+
+
+def tolerances(spark, d):
+    """Simplification tolerance of every layer, geometry and zoom in use."""
+    z = view(spark, d, "geo_obs").select(F.coalesce("last_zoom", F.lit(7)).cast("int").alias("z")).distinct()
+    rows = z.select("z", F.explode(F.array(*map(F.lit, ("roads", "water", "landuse", "boundaries", "buildings", "other")))).alias("layer"))
+    rows = rows.select("z", "layer", F.explode(F.array(F.lit("LineString"), F.lit("Polygon"))).alias("kind"))
+    return rows.select("z", "layer", "kind", F.round(pol.tolerance(F.col("layer"), F.col("kind"), F.col("z"), tm.detail_for_zoom(F.col("z"))), 2).alias("tolerance"))
 
 
-_DESC = f"""{with_views("geo_points")} SELECT fid, CASE WHEN fid % 10 = 0 THEN 'R' || fid WHEN fid % 6 = 0 THEN 'POI' ELSE name END AS text,
- (650 + CASE WHEN fid % 10 = 0 THEN 80 ELSE 0 END)::INTEGER AS priority, 'medium' AS priority_class FROM geo_points WHERE fid % 2 = 0 AND amenity IN ('hospital', 'fuel')"""
+_TOL = f"""{with_views("geo_obs")}, z AS (SELECT DISTINCT coalesce(last_zoom, 7)::INTEGER AS z FROM geo_obs),
+r AS (SELECT z, layer, unnest(['LineString', 'Polygon']) AS kind FROM (SELECT z, unnest(['roads', 'water', 'landuse', 'boundaries', 'buildings', 'other']) AS layer FROM z)),
+b AS (SELECT *, CASE WHEN z <= 7 THEN 14 WHEN z <= 9 THEN 10 WHEN z = 10 THEN 8 WHEN z = 11 THEN 6 WHEN z = 12 THEN 4 WHEN z = 13 THEN 2.4 WHEN z = 14 THEN 1.2 WHEN z = 15 THEN 0.5 ELSE 0 END::DOUBLE AS base,
+ CASE layer WHEN 'roads' THEN 0.45 WHEN 'water' THEN CASE kind WHEN 'Polygon' THEN 0.65 ELSE 0.55 END WHEN 'landuse' THEN CASE kind WHEN 'Polygon' THEN 0.7 ELSE 0.6 END
+  WHEN 'boundaries' THEN CASE WHEN z <= 10 THEN 0.95 ELSE 0.75 END WHEN 'buildings' THEN CASE WHEN z <= 14 THEN 0.45 ELSE 0.25 END ELSE CASE kind WHEN 'Polygon' THEN 0.75 ELSE 0.65 END END::DOUBLE AS scale,
+ CASE WHEN z <= 11 THEN 1.1 WHEN z <= 14 THEN 1 ELSE 0.3 END::DOUBLE AS detail FROM r)
+SELECT z, layer, kind, round(base * scale * detail, 2) AS tolerance FROM b"""
 
 
 def coverage_candidates(spark, d):
@@ -182,14 +279,16 @@ def natural_order(spark, d):
 _NAT = """WITH s AS (SELECT DISTINCT (s_suppkey % 37) || CASE WHEN s_suppkey % 2 = 0 THEN 'L' ELSE '' END AS d FROM supplier)
 SELECT d, row_number() OVER (PARTITION BY d LIKE '%L' ORDER BY regexp_extract(d, '^[0-9]+')::INTEGER) AS rank FROM s"""
 
-QUERIES = {f.__name__: f for f in (active_layers, layer_order, tile_metadata, label_layers, effective_zooms, box_read, visible_pois, zoom_rules, described_labels,
+QUERIES = {f.__name__: f for f in (active_layers, layer_order, tile_metadata, label_layers, effective_zooms, box_read, visible_pois, zoom_rules, described_labels, theme_roads, label_anchors,
+                                   title_cases, coverage_list, coverage_siblings, tolerances,
                                    coverage_candidates, attributes_3d, regions, small_features, ingested_features, conformed_columns, natural_order)}
 ORACLES = {
-    "active_layers": f"WITH {_LAY} SELECT id FROM ly WHERE coalesce(lo, 0) <= 4 AND coalesce(hi, 24) >= 4 AND k % 6 <> 0",
-    "layer_order": f"WITH {_LAY} SELECT id, CASE id WHEN 'FRANCE' THEN 0 WHEN 'BRAZIL' THEN 1 WHEN 'CHINA' THEN 2 ELSE 999 END::BIGINT AS place, (k % 3)::INTEGER AS rule_order FROM ly",
+    "theme_roads": _TROADS, "label_anchors": _ANCH, "title_cases": _TITLE, "coverage_list": _CLIST, "coverage_siblings": _CSIB, "tolerances": _TOL,
+    "active_layers": f"WITH {_LAY} SELECT 'layer' || k AS id FROM ly WHERE coalesce(lo, 0) <= 4 AND coalesce(hi, 24) >= 4 AND k % 6 <> 0",
+    "layer_order": f"WITH {_LAY} SELECT id, CASE id WHEN 'layer11' THEN 0 WHEN 'roads' THEN 1 WHEN 'layer7' THEN 2 ELSE 999 END::BIGINT AS place, (k % 3)::INTEGER AS rule_order, k AS ord FROM ly",
     "tile_metadata": f"WITH {_LAY} SELECT id, 2::INTEGER AS fields, greatest(5, coalesce(lo, 5))::INTEGER AS min_zoom, least(12, coalesce(hi, 12))::INTEGER AS max_zoom FROM ly WHERE greatest(5, coalesce(lo, 5)) <= least(12, coalesce(hi, 12))",
-    "label_layers": f"WITH {_LAY} SELECT CASE k WHEN 1 THEN 'road_labels' ELSE 'aip_labels' END AS label FROM ly WHERE k IN (1, 2) AND coalesce(lo, 0) <= 16 AND coalesce(hi + 5, 24) >= 16",
-    "effective_zooms": f"{with_views('geo_obs')} SELECT greatest(2, coalesce(first_zoom, 0))::BIGINT AS eff_min, least(14, coalesce(last_zoom, 24))::BIGINT AS eff_max, count(*) AS n FROM geo_obs GROUP BY 1, 2",
+    "label_layers": f"WITH {_LAY} SELECT CASE id WHEN 'roads' THEN 'road_labels' WHEN 'aip' THEN 'aip_labels' ELSE 'poi_labels' END AS label, count(*) AS n FROM ly WHERE id IN ('roads', 'aip', 'pois') AND coalesce(lo, 0) <= 17 AND coalesce(hi + 3, 24) >= 17 GROUP BY id",
+    "effective_zooms": f"{with_views('geo_obs')} SELECT kind, greatest(2, CASE WHEN kind = 'click' THEN 4 ELSE 0 END, coalesce(first_zoom, 0))::BIGINT AS eff_min, least(CASE WHEN kind = 'view' THEN 9 ELSE 14 END, coalesce(last_zoom, 24))::BIGINT AS eff_max, count(*) AS n FROM geo_obs GROUP BY 1, 2, 3",
     "box_read": f"{with_views('geo_points')} SELECT fid FROM geo_points WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -40 AND 40 ORDER BY fid LIMIT 100",
     "visible_pois": _VIS, "zoom_rules": _RULES, "described_labels": _DESC, "coverage_candidates": _CAND, "attributes_3d": _A3, "regions": _REG, "small_features": _small_sql(),
     "ingested_features": f"{with_views('geo_points')} SELECT fid AS rank, amenity AS kind, NULL::DOUBLE AS missing, round(lon, 6) AS minx FROM geo_points",

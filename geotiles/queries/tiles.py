@@ -28,11 +28,18 @@ def feature_tiles(spark, d):
     return pyr.assign_tiles(_features(spark, d).select("fid", *pyr.BOX), 6).groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
-def _buffered(z: int) -> str:
+def _buffered(z: int, box: tuple[float, float, float, float] | None = None) -> str:
     n = 1 << z
+    xs, ys = f"range(0, {n})", f"range(0, {n})"
+    if box:  # tiles about a box only: the others cannot touch what lies in it
+        import math
+
+        row = lambda lat: (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * n
+        xs = f"range({int((box[0] + 180) / 360 * n) - 2}, {int((box[2] + 180) / 360 * n) + 3})"
+        ys = f"range({int(row(box[3])) - 2}, {int(row(box[1])) + 3})"
     return f"""bt AS (SELECT x, y, greatest(-180.0, x * 360.0 / {n} - 180.0 - 360.0 / {n} * 128 / 4096) AS bx0, least(180.0, (x + 1) * 360.0 / {n} - 180.0 + 360.0 / {n} * 128 / 4096) AS bx1,
  greatest(-85.05112878, s - (t - s) * 128 / 4096) AS by0, least(85.05112878, t + (t - s) * 128 / 4096) AS by1 FROM (
- SELECT x, y, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / {n}.0::DOUBLE)))) AS s, degrees(atan(sinh(pi() * (1 - 2 * y / {n}.0::DOUBLE)))) AS t FROM range(0, {n}) a(x), range(0, {n}) b(y)))"""
+ SELECT x, y, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / {n}.0::DOUBLE)))) AS s, degrees(atan(sinh(pi() * (1 - 2 * y / {n}.0::DOUBLE)))) AS t FROM {xs} a(x), {ys} b(y)))"""
 
 
 _TOUCH = "lon >= bx0 AND lon <= bx1 AND lat >= by0 AND lat <= by1"
@@ -72,18 +79,81 @@ SELECT z, x, y, original, encoded, original - kept AS dropped, 0::BIGINT AS drop
  CASE WHEN encoded > 0 THEN 'none' WHEN original > kept THEN 'filtered' ELSE 'no_tile_geometry' END AS empty_reason FROM g"""
 
 
-def pyramid_tiles(spark, d):
-    """Encoded tiles of the ways' lines over the city, z9 to z11 (payload sizes)."""
+def _bent_lines(spark, d):
+    """A line of three points per point: the middle one sticks out by 0.05 or 0.5 degrees; polygons for every fifth."""
+    p = view(spark, d, "geo_points").select("fid", (F.col("lon") * 0.9).alias("lon"), (F.col("lat") * 0.9).alias("lat"))
+    out = F.when(F.col("fid") % 2 == 0, 0.05).otherwise(0.5)
+    at = lambda dx, dy: g.xy(F.col("lon") + dx, F.col("lat") + dy)
+    line = g.line_string(F.array(at(0, 0.0), at(1, out), at(2, 0.0)))
+    area = g.polygon(F.array(at(0, 0.0), at(1, -0.05), at(2, 0.0), at(2, 2.0), at(0, 2.0), at(0, 0.0)))
+    f = p.withColumn("geom", F.when(F.col("fid") % 5 == 0, area).otherwise(line).cast(g.GEOMETRY)).withColumn("_b", g.bbox(F.col("geom")))
+    return f.select(F.lit("shapes").alias("layer"), F.lit(0).alias("layer_order"), "fid", "geom", F.create_map(F.lit("n"), F.col("fid").cast("string")).alias("props"), "_b.*")
+
+
+def shape_stats(spark, d):
+    """Vertices before and after simplification, and the tolerance, of lines and polygons, z3."""
+    _, stats = pyr.tile_pyramid(_bent_lines(spark, d), 3, 3)
+    return stats.select("x", "y", "original", "dropped", "vertices", "simplified", F.round("tolerance", 6).alias("tolerance"))
+
+
+_SHAPES = f"""{with_views("geo_points")}, {_buffered(3)},
+f AS (SELECT fid, lon * 0.9 AS x0, lat * 0.9 AS y0, fid % 5 = 0 AS area, fid % 2 = 0 AS flat FROM geo_points),
+b AS (SELECT *, x0 + 2 AS x1, CASE WHEN area THEN y0 - 0.05 ELSE y0 END AS lo, CASE WHEN area THEN y0 + 2.0 WHEN flat THEN y0 + 0.05 ELSE y0 + 0.5 END AS hi FROM f)
+SELECT x, y, count(*) AS original, 0::BIGINT AS dropped, sum(CASE WHEN area THEN 6 ELSE 3 END)::BIGINT AS vertices,
+ sum(CASE WHEN area THEN 5 WHEN flat THEN 2 ELSE 3 END)::BIGINT AS simplified,
+ round(max(CASE WHEN area THEN 11.55 ELSE 10.01 END::DOUBLE) * 45 / 4096, 6) AS tolerance FROM b JOIN bt ON x1 >= bx0 AND x0 <= bx1 AND hi >= by0 AND lo <= by1 GROUP BY x, y"""
+
+
+def way_features(spark, d):
+    """The ways as a layer of roads."""
     from ..operators.assemble import resolve_way_coords
 
     w = resolve_way_coords(view(spark, d, "geo_way_refs"), view(spark, d, "geo_nodes")).where(F.size("coords") >= 2)
     f = w.select(F.lit("roads").alias("layer"), F.lit(0).alias("layer_order"), F.col("way_id").alias("fid"), g.line_string(F.col("coords")).alias("geom"),
                  F.create_map(F.lit("highway"), F.when(F.col("way_id") % 2 == 0, "primary").otherwise("service")).alias("props"))
-    f = f.withColumn("_b", g.bbox(F.col("geom"))).select("*", "_b.*").drop("_b")
-    tiles, _ = pyr.tile_pyramid(f, 9, 11, pol.osm_policy())
+    return f.withColumn("_b", g.bbox(F.col("geom"))).select("*", "_b.*").drop("_b")
+
+
+def pyramid_tiles(spark, d):
+    """Encoded tiles of the ways' lines over the city by the built-in policy, z9 to z11 (payload sizes)."""
+    tiles, _ = pyr.tile_pyramid(way_features(spark, d), 9, 11, pol.osm_policy())
     return tiles.select("z", "x", "y", F.length("payload").alias("bytes"))
 
 
+def pyramid_counts(spark, d):
+    """What the same job reads and keeps per tile: major roads only."""
+    _, stats = pyr.tile_pyramid(way_features(spark, d), 9, 11, pol.osm_policy())
+    return stats.select("z", "x", "y", "original", (F.col("original") - F.col("dropped") + F.col("dropped_small")).alias("kept"))
+
+
+def _counts_sql() -> str:
+    parts = [f"""SELECT {z}::INTEGER AS z, x, y, count(*) AS original FROM wb JOIN ({_buffered(z, (-3.9, 40.3, -3.5, 40.6))[7:-1]}) ON maxx >= bx0 AND minx <= bx1 AND maxy >= by0 AND miny <= by1
+ WHERE fid % 2 = 0 AND n >= 2 GROUP BY x, y""" for z in (9, 10, 11)]
+    return f"""{with_views("geo_way_refs", "geo_nodes")}, wb AS (SELECT way_id AS fid, count(*) AS n, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy
+ FROM geo_way_refs JOIN geo_nodes ON ref = id GROUP BY way_id), t AS ({" UNION ALL ".join(parts)})
+SELECT z, x, y, original, least(original, CASE WHEN z = 11 THEN 3500 ELSE 1800 END)::BIGINT AS kept FROM t"""
+
+
+def layer_priorities(spark, d):
+    """Priorities of the other layers from their properties, z14, and with the size of the box below z13."""
+    p = view(spark, d, "geo_points")
+    layers = ("boundaries", "aip", "landuse", "water", "coastline", "railways", "cliffs", "terrain", "pois", "other")
+    rows = p.select("fid", F.explode(F.array(*map(F.lit, layers))).alias("layer"))
+    pick = lambda k, *vs: F.get(F.array(*[F.lit(v) for v in vs]), (F.col("fid") % len(vs)).cast("int"))
+    get = lambda k: {"admin_level": pick(k, "2", "8", "", "x", None), "aeroway": pick(k, "runway", "apron", "gate"), "landuse": pick(k, "forest", "retail", "farmland", "grass"),
+                     "natural": pick(k, "wood", None, None), "leisure": pick(k, None, "park")}.get(k, F.lit(None).cast("string"))
+    box = F.struct(F.lit(0.0).alias("minx"), F.lit(0.0).alias("miny"), F.lit(0.03).alias("maxx"), F.lit(0.04).alias("maxy"))
+    at = lambda z: pol.priority(F.col("layer"), get, F.lit("LineString"), box, F.lit(z))
+    return rows.select("fid", "layer", F.round(at(14), 6).alias("near"), F.round(at(11), 6).alias("far"))
+
+
+_PRIO = f"""{with_views("geo_points")}, r AS (SELECT fid, unnest(['boundaries', 'aip', 'landuse', 'water', 'coastline', 'railways', 'cliffs', 'terrain', 'pois', 'other']) AS layer FROM geo_points),
+g AS (SELECT *, CASE WHEN fid % 4 = 0 OR fid % 3 = 0 THEN 520 WHEN fid % 4 = 1 THEN 430 WHEN fid % 2 = 1 OR fid % 4 = 2 THEN 360 END AS ground FROM r),
+b AS (SELECT *, CASE layer WHEN 'boundaries' THEN CASE fid % 5 WHEN 0 THEN 860 WHEN 1 THEN 440 WHEN 2 THEN 1000 WHEN 3 THEN 300 ELSE 1000 END WHEN 'aip' THEN CASE fid % 3 WHEN 0 THEN 870 WHEN 1 THEN 680 ELSE 240 END
+ WHEN 'landuse' THEN ground WHEN 'water' THEN 860 WHEN 'coastline' THEN 830 WHEN 'railways' THEN 680 WHEN 'cliffs' THEN 620 WHEN 'terrain' THEN 540 WHEN 'pois' THEN 60 ELSE 100 END AS base FROM g)
+SELECT fid, layer, coalesce(base, 220)::DOUBLE AS near, (coalesce(base, 100) + CASE WHEN layer = 'pois' THEN 0 ELSE 45 END)::DOUBLE AS far FROM b"""
+
+
 def tile_directory(spark, d):
     """Offsets of tiles in id order, without a single-partition window."""
     from ..sources.tiles_io import with_offsets
@@ -134,17 +204,17 @@ def road_priorities(spark, d):
 
 
 def poi_label_candidates(spark, d):
-    """Twelve best poi labels per z3 tile."""
+    """Best poi labels per z3 tile: as many as the layer may have at z17."""
     p = view(spark, d, "geo_points")
     get = lambda k: {"name": F.when(F.col("fid") % 4 == 0, "restaurant").otherwise(F.col("name")), "amenity": F.col("amenity")}.get(k, F.lit(None).cast("string"))
     c = lab.label_candidates(p, "poi_labels", 17, get)
     c = c.withColumns({"z": F.lit(3), "x": tm.tile_x(F.col("lon"), 3), "y": tm.tile_y(F.col("lat"), 3), "layer": F.lit("poi_labels")})
-    return pyr.top_per_layer(c, F.lit(12)).select("x", "y", "fid", "text", "class", "priority", "min_zoom")
+    return lab.top_labels(c, "poi_labels", 17).select("x", "y", "fid", "text", "class", "priority", "min_zoom")
 
 
 _PL = f"""{with_views("geo_points")}, c AS (SELECT {_tx(3)} AS x, {_ty(3)} AS y, fid, name AS text, amenity AS class,
  CASE amenity WHEN 'hospital' THEN 920 WHEN 'townhall' THEN 820 ELSE 500 END::INTEGER AS priority, 16::INTEGER AS min_zoom FROM geo_points WHERE fid % 4 <> 0)
-SELECT x, y, fid, text, class, priority, min_zoom FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY priority DESC, fid) AS n FROM c) WHERE n <= 12"""
+SELECT x, y, fid, text, class, priority, min_zoom FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY priority DESC, fid) AS n FROM c) WHERE n <= 50"""
 
 
 def road_label_texts(spark, d):
@@ -160,10 +230,26 @@ SELECT highway, min_zoom, priority, count(*) AS n, min(text) AS "first" FROM c G
 
 
 def decluttered(spark, d):
-    """Labels left after overlaps go, z2."""
-    p = view(spark, d, "geo_points").select("fid", F.col("name").alias("key"), "priority", (F.col("lon") - 4).alias("minx"), (F.col("lat") - 1).alias("miny"),
-                                            (F.col("lon") + 4).alias("maxx"), (F.col("lat") + 1).alias("maxy"), tm.tile_x(F.col("lon"), 2).alias("x"), tm.tile_y(F.col("lat"), 2).alias("y"))
-    return lab.declutter(p, ("x", "y"), 40).select("x", "y", "fid")
+    """Labels left after overlaps go, z2, of the best that a tile may have at z17."""
+    p = view(spark, d, "geo_points").select("fid", F.col("name").alias("key"), "priority", (F.col("lon") - 4).alias("minx"), (F.col("lat") - 1).alias("miny"), (F.col("lon") + 4).alias("maxx"),
+                                            (F.col("lat") + 1).alias("maxy"), F.lit(2).alias("z"), tm.tile_x(F.col("lon"), 2).alias("x"), tm.tile_y(F.col("lat"), 2).alias("y"))
+    return lab.declutter(lab.top_labels(p, "poi_labels", 17), ("x", "y"), 40).select("x", "y", "fid")
+
+
+def aviation_labels(spark, d):
+    """Labels of runways and the like at z12 and z14."""
+    w = view(spark, d, "geo_ways")
+    kind = F.get(F.array(*map(F.lit, ("runway", "helipad", "hangar", "taxiway"))), (F.col("id") % 4).cast("int"))
+    ref = F.when(F.col("id") % 5 == 0, F.concat(F.lit("R"), "id")).when(F.col("id") % 5 == 1, "no")
+    get = lambda k: {"aeroway": kind, "ref": ref, "name": F.when(F.col("id") % 3 == 0, F.concat(F.lit("Field  "), "id"))}.get(k, F.lit(None).cast("string"))
+    parts = [lab.label_candidates(w, "aip_labels", z, get).select(F.lit(z).alias("z"), "id", "text", "class", "priority", "min_zoom") for z in (12, 14)]
+    return parts[0].unionByName(parts[1])
+
+
+_AVI = f"""{with_views("geo_ways")}, c AS (SELECT id, ['runway', 'helipad', 'hangar', 'taxiway'][id % 4 + 1] AS class FROM geo_ways),
+l AS (SELECT id, class, CASE WHEN id % 5 = 0 THEN 'R' || id WHEN id % 3 = 0 THEN 'Field ' || id WHEN class = 'runway' THEN 'RWY' WHEN class = 'helipad' THEN 'H' END AS text FROM c)
+SELECT z::INTEGER AS z, id, text, class, CASE class WHEN 'runway' THEN 930 WHEN 'helipad' THEN 980 WHEN 'taxiway' THEN 760 ELSE 680 END::INTEGER AS priority,
+ CASE WHEN class IN ('runway', 'taxiway') THEN 12 ELSE 14 END::INTEGER AS min_zoom FROM l, (VALUES (12), (14)) r(z) WHERE text IS NOT NULL AND (z = 14 OR class IN ('runway', 'taxiway'))"""
 
 
 def coverage_selection(spark, d):
@@ -182,10 +268,11 @@ _COVSEL = f"""{with_views("geo_points", "geo_boxes")} SELECT p.fid AS box, arg_m
  ON p.lon >= b.minx AND p.lon + 0.5 <= b.maxx AND p.lat >= b.miny AND p.lat + 0.5 <= b.maxy GROUP BY p.fid"""
 
 
-QUERIES = {f.__name__: f for f in (feature_tiles, tile_top, pyramid_stats, pyramid_tiles, tile_directory, policy_table, road_priorities,
+QUERIES = {f.__name__: f for f in (feature_tiles, tile_top, pyramid_stats, shape_stats, pyramid_tiles, pyramid_counts, layer_priorities, aviation_labels, tile_directory, policy_table, road_priorities,
                                    poi_label_candidates, road_label_texts, decluttered, coverage_selection)}
 ORACLES = {
     "feature_tiles": f"{with_views('geo_points')}, {_buffered(6)} SELECT x, y, count(*) AS n FROM geo_points JOIN bt ON {_TOUCH} GROUP BY x, y",
+    "shape_stats": _SHAPES, "pyramid_counts": _counts_sql(), "layer_priorities": _PRIO, "aviation_labels": _AVI,
     "tile_top": _TILETOP, "pyramid_stats": _stats_sql(), "tile_directory": _dir_sql(), "policy_table": _POLICY,
     "road_priorities": f"{with_views('geo_ways')} SELECT highway, count(*) AS n, CASE highway WHEN 'motorway' THEN 1000 WHEN 'primary' THEN 920 WHEN 'tertiary' THEN 740 WHEN 'residential' THEN 460 ELSE 160 END::DOUBLE AS priority FROM geo_ways GROUP BY highway",
     "poi_label_candidates": _PL, "road_label_texts": _RL, "coverage_selection": _COVSEL,

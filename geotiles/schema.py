@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,13 +61,20 @@ def resolve_layers(specs: Iterable[str | Mapping | LayerSpec]) -> list[LayerSpec
     return out
 
 
-def resolve_source(layers: Iterable[LayerSpec], wanted: str, aliases: Mapping[str, str] | None = None) -> LayerSpec | None:
-    """The layer that answers for an id: itself, else the source of a derived layer, else an alias."""
+def resolve_source(layers: Iterable[LayerSpec], wanted: str, aliases: Mapping[str, str] | None = None,
+                   sources: Mapping[str, str] | None = None, z: int | None = None) -> LayerSpec | None:
+    """The layer that answers for an id: its policy's source layer or itself, else an alias of that.
+
+    At a zoom, both the layer asked for (if declared) and the one that answers must be open.
+    """
     by_id = {s.id: s for s in layers}
-    if wanted in by_id:
-        spec = by_id[wanted]
-        return by_id.get(spec.source, spec) if spec.source else spec
-    return by_id.get((aliases or {}).get(wanted, ""))
+    asked = by_id.get(wanted)
+    name = (sources or {}).get(wanted) or (asked.source if asked and asked.source else wanted)
+    found = by_id.get(name) or by_id.get((aliases or {}).get(name, ""))
+    shut = lambda s: z is not None and not (s.min_zoom if s.min_zoom is not None else 0) <= z <= (s.max_zoom if s.max_zoom is not None else 24)
+    if found is None or shut(found) or asked is not None and shut(asked):
+        return None
+    return found
 
 
 def conform(df: DataFrame, spec: LayerSpec) -> DataFrame:
@@ -78,10 +85,23 @@ def conform(df: DataFrame, spec: LayerSpec) -> DataFrame:
     return df.select(*cols)
 
 
+#: A property value of a tile: one of these is set.
+VALUE = {"text": "string", "whole": "bigint", "real": "double", "flag": "boolean"}
+
+
+def typed(**value: Column) -> Column:
+    """A typed value from one of text, whole, real, flag; null if that is null."""
+    (name, col), = value.items()
+    made = F.struct(*[(col if k == name else F.lit(None)).cast(t).alias(k) for k, t in VALUE.items()])
+    return F.when(col.isNotNull(), made)
+
+
 def project_tile_props(df: DataFrame, spec: LayerSpec) -> DataFrame:
-    """Properties of a tile feature: the chosen keys, id, geometry type and zoom columns, as a map of texts."""
+    """Properties of a tile feature as typed values: the chosen keys, id, geometry type and zoom columns; nulls are left out."""
     chosen = spec.tile_properties if spec.tile_properties is not None else tuple(spec.columns)
-    keys = [k for k in dict.fromkeys([*chosen, "id", *[c for c in spec.feature_zoom if c]]) if k in df.columns]
-    pairs = [x for k in keys for x in (F.lit(k), F.col(f"`{k}`").cast("string"))]
-    props = F.map_filter(F.create_map(*pairs, F.lit("geometry_type"), F.col("geom.kind")), lambda k, v: v.isNotNull())
+    kinds = dict(df.dtypes)
+    keys = [k for k in dict.fromkeys([*chosen, "id", *[c for c in spec.feature_zoom if c]]) if k in kinds]
+    of = {"boolean": "flag", "double": "real", "float": "real", "bigint": "whole", "int": "whole", "smallint": "whole", "tinyint": "whole"}
+    pairs = [x for k in keys for x in (F.lit(k), typed(**{of.get(kinds[k], "text"): F.col(f"`{k}`")}))]
+    props = F.map_filter(F.create_map(*pairs, F.lit("geometry_type"), typed(text=F.col("geom.kind"))), lambda k, v: v.isNotNull())
     return df.withColumn("props", props)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.arrays import Parts, geometries, to_arrow
 from ..schema import BOX, LayerSpec, conform
 
 CELL = 1.0  # degrees of a partition cell
@@ -44,14 +46,22 @@ def ingest_features(df: DataFrame, spec: LayerSpec, column: str = "feature") ->
 
 
 def write_layers(features: DataFrame, path: str, cell: float = CELL) -> None:
-    """Rows (layer, ..., minx, miny) as one Parquet folder per layer, near rows in the same files."""
-    df = features.withColumn("cell", F.concat_ws("_", F.floor(F.col("minx") / cell), F.floor(F.col("miny") / cell)))
-    (df.repartition("layer", "cell").sortWithinPartitions("layer", "cell")
-     .write.mode("overwrite").partitionBy("layer").parquet(path))
+    """Rows (layer, ..., minx..maxy) as one Parquet folder per layer, near rows in the same files.
+
+    Rows are dealt by ranges of layer, a grid cell and a hash of the row's box: a crowded cell is cut into as many files as it needs,
+    and the box columns' minima and maxima let a box read skip files.
+    """
+    df = features.withColumns({"cell_x": F.floor(F.col("minx") / cell).cast("int"), "cell_y": F.floor(F.col("miny") / cell).cast("int")})
+    order = ("layer", "cell_x", "cell_y", "minx", "miny")
+    (df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("layer").parquet(path))
 
 
-def read_layer(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("layer") == layer).drop("cell")
+def read_layer(spark: SparkSession, path: str, layer: str, box: Sequence[float] | None = None) -> DataFrame:
+    """A layer's features; with a box only those that overlap it, by comparisons that reach the Parquet files."""
+    df = spark.read.parquet(path).where(F.col("layer") == layer).drop("cell_x", "cell_y")
+    if box is None:
+        return df
+    return df.where((F.col("maxx") >= box[0]) & (F.col("minx") <= box[2]) & (F.col("maxy") >= box[1]) & (F.col("miny") <= box[3]))
 
 
 def describe_layers(spark: SparkSession, path: str, specs: Iterable[LayerSpec]) -> DataFrame:
@@ -69,15 +79,14 @@ WKB = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineStr
 _NAMES = {v: k for k, v in WKB.items()}
 
 
-def _ring_bytes(pts) -> bytes:
-    return struct.pack("<I", len(pts)) + b"".join(struct.pack("<2d", p["x"], p["y"]) for p in pts)
+def _ring_bytes(pts: np.ndarray) -> bytes:
+    return struct.pack("<I", len(pts)) + pts.astype("<f8").tobytes()
 
 
-def encode_wkb(kind: str, parts) -> bytes:
+def encode_wkb(kind: str, parts: Parts) -> bytes:
     head = struct.pack("<BI", 1, WKB[kind])
     if kind == "Point":
-        p = parts[0][0][0]
-        return head + struct.pack("<2d", p["x"], p["y"])
+        return head + parts[0][0][:1].astype("<f8").tobytes()
     if kind == "LineString":
         return head + _ring_bytes(parts[0][0])
     if kind == "Polygon":
@@ -85,20 +94,19 @@ def encode_wkb(kind: str, parts) -> bytes:
     if kind == "MultiPolygon":
         return head + struct.pack("<I", len(parts)) + b"".join(encode_wkb("Polygon", [p]) for p in parts)
     single = "LineString" if kind == "MultiLineString" else "Point"
-    each = [[[r]] for rings in parts for r in rings] if single == "LineString" else [[[[p]]] for rings in parts for r in rings for p in r]
+    each = [[[r]] for rings in parts for r in rings] if single == "LineString" else [[[r[k:k + 1]]] for rings in parts for r in rings for k in range(len(r))]
     return head + struct.pack("<I", len(each)) + b"".join(encode_wkb(single, e) for e in each)
 
 
-def decode_wkb(raw: bytes, at: int = 0) -> tuple[str, list, int]:
+def decode_wkb(raw: bytes, at: int = 0) -> tuple[str, Parts, int]:
     end = "<" if raw[at] == 1 else ">"
     kind = _NAMES.get(struct.unpack_from(f"{end}I", raw, at + 1)[0])
     if kind is None:
         raise ValueError("unknown geometry type")
     at += 5
 
-    def points(n: int, at: int) -> tuple[list, int]:
-        flat = struct.unpack_from(f"{end}{2 * n}d", raw, at)
-        return [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2])], at + 16 * n
+    def points(n: int, at: int) -> tuple[np.ndarray, int]:
+        return np.frombuffer(raw, f"{end}f8", 2 * n, at).astype(float).reshape(-1, 2), at + 16 * n
 
     def count(at: int) -> tuple[int, int]:
         return struct.unpack_from(f"{end}I", raw, at)[0], at + 4
@@ -117,21 +125,21 @@ def decode_wkb(raw: bytes, at: int = 0) -> tuple[str, list, int]:
             pts, at = points(m, at)
             rings.append(pts)
         return kind, [rings], at
-    parts: list = []
+    parts: Parts = []
     for _ in range(n):
         _, inner, at = decode_wkb(raw, at)
         parts += inner
     return kind, parts, at
 
 
-def encode_gpkg(kind: str, parts, srs: int = 4326) -> bytes:
+def encode_gpkg(kind: str, parts: Parts, srs: int = 4326) -> bytes:
     """GeoPackage blob: magic, version, flags (little endian, box of four), srs, then well-known binary."""
-    pts = [p for rings in parts for r in rings for p in r]
-    xs, ys = [p["x"] for p in pts], [p["y"] for p in pts]
-    return b"GP" + struct.pack("<BBi4d", 0, 3, srs, min(xs), max(xs), min(ys), max(ys)) + encode_wkb(kind, parts)
+    pts = np.concatenate([r for rings in parts for r in rings])
+    (x0, y0), (x1, y1) = pts.min(axis=0), pts.max(axis=0)
+    return b"GP" + struct.pack("<BBi4d", 0, 3, srs, x0, x1, y0, y1) + encode_wkb(kind, parts)
 
 
-def decode_gpkg(raw: bytes | None) -> dict | None:
+def decode_gpkg(raw: bytes | None) -> tuple[str, Parts] | None:
     """Geometry of a blob; empty is null; a bad magic or envelope code is an error."""
     if raw is None:
         return None
@@ -143,23 +151,20 @@ def decode_gpkg(raw: bytes | None) -> dict | None:
         raise ValueError("bad envelope code")
     if flags & 16:
         return None
-    kind, parts, _ = decode_wkb(raw, 8 + size)
-    return {"kind": kind, "parts": parts}
+    return decode_wkb(raw, 8 + size)[:2]
 
 
 def geom_to_gpkg(geom: Column) -> Column:
-    @F.pandas_udf("binary")
-    def run(kind: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([encode_gpkg(k, p) if k is not None and len(p) else None for k, p in zip(kind, parts)], dtype="object")
+    @F.arrow_udf("binary")
+    def run(geom: pa.Array) -> pa.Array:
+        return pa.array([encode_gpkg(k, p) if k is not None and any(len(r) for rings in p for r in rings) else None for k, p in geometries(geom)], pa.binary())
 
-    return run(geom["kind"], geom["parts"])
+    return run(geom)
 
 
 def geom_from_gpkg(blob: Column) -> Column:
-    import json
-
-    @F.pandas_udf("string")
-    def run(raw: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(v) if (v := decode_gpkg(r)) else None for r in raw], dtype="object")
+    @F.arrow_udf(g.GEOMETRY)
+    def run(raw: pa.Array) -> pa.Array:
+        return to_arrow(decode_gpkg(r.as_py()) for r in raw)
 
-    return F.from_json(run(blob), g.GEOMETRY)
+    return run(blob)

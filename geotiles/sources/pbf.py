@@ -131,15 +131,36 @@ class Blob(InputPartition):
         super().__init__((path, start, size))
 
 
+def opened(path: str):
+    """A readable file of a local path or of any file system that Arrow knows by its URI (hdfs, s3, gs, ...)."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path)
+    return where.open_input_file(inner)
+
+
 def blobs(path: str) -> Iterator[tuple[str, int, int]]:
     """(type, start, size) of every blob, reading headers only."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         while head := f.read(4):
             got = dict(fields(f.read(struct.unpack(">I", head)[0])))
             yield got[1].decode(), f.tell(), got[3]
             f.seek(got[3], 1)
 
 
+def read_header(path: str) -> tuple[float, float, float, float] | None:
+    """The box that a file's header states, for ``infer_extent``."""
+    for kind, start, size in blobs(path):
+        if kind == "OSMHeader":
+            with opened(path) as f:
+                f.seek(start)
+                return header_box(inflate(f.read(size)))
+        break
+    return None
+
+
 class OsmPbf(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -153,7 +174,7 @@ class OsmPbf(DataSource):
 
 
 class _Reader(DataSourceReader):
-    """The path must be one that driver and executors can open, such as a shared mount."""
+    """The path must be one that driver and executors can open: a shared mount or a URI of a cluster file system."""
 
     def __init__(self, path: str):
         self.path = path.removeprefix("file://")
@@ -164,7 +185,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: Blob) -> Iterator[tuple]:
         path, start, size = partition.value
         if size:
-            with open(path, "rb") as f:
+            with opened(path) as f:
                 f.seek(start)
                 yield from entities(inflate(f.read(size)))
 
@@ -173,7 +194,8 @@ def read_entities(df):
     """(nodes, ways, relations) of rows of SCHEMA; nodes with non-finite coordinates drop."""
     from pyspark.sql import functions as F
 
-    finite = F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")
-    nodes = df.where((F.col("kind") == "node") & finite).select("id", "lon", "lat", "tags")
+    from ..operators.assemble import finite
+
+    nodes = df.where((F.col("kind") == "node") & finite("lon", "lat")).select("id", "lon", "lat", "tags")
     ways = df.where(F.col("kind") == "way").select("id", "refs", "tags")
     return nodes, ways, df.where(F.col("kind") == "relation").select("id", "members", "tags")

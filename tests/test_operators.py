@@ -1,5 +1,9 @@
 """Small cases with known answers."""
 
+import dataclasses
+import gzip
+import math
+import re
 import struct
 import zlib
 
@@ -112,6 +116,46 @@ def test_anchor_avoids_holes(spark):
     assert 0 < a.x < 10 and not (1 < a.x < 6 and 1 < a.y < 9)
 
 
+def test_anchors_of_known_shapes(spark):
+    """Known answers: midpoints of longest lines, the middle of the box, a notch that pushes the anchor off it."""
+    def shape(kind, parts):
+        return kind, [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings] for rings in parts]
+
+    notch = [(0, 0), (10, 0), (10, 10), (6, 10), (6, 2), (4, 2), (4, 10), (0, 10), (0, 0)]
+    rows = [(1, shape("LineString", [[[(0, 0), (1, 0), (10, 0)]]])), (2, shape("MultiLineString", [[[(0, 2), (2, 2)]], [[(0, 0), (10, 0)]]])),
+            (3, shape("Polygon", [[[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]]])), (4, shape("Polygon", [[notch]][0:1])),
+            (5, shape("MultiPolygon", [[[(20, 20), (21, 20), (21, 21), (20, 20)]], [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]]])), (6, shape("Polygon", [])),
+            (7, shape("Point", [[[(3, 4)]]]))]
+    df = spark.createDataFrame(rows, f"fid long, geom {g.GEOMETRY}")
+    got = {r.fid: (r.anchor.x, r.anchor.y) if r.anchor else None for r in lab.with_anchors(df).collect()}
+    assert got == {1: (5, 0), 2: (5, 0), 3: (2, 2), 4: (5, 1), 5: (2, 2), 6: None, 7: (3, 4)}
+
+
+THEME = {"roads": {"majorMinZoom": 12, "secondaryMinZoom": 16, "local": {"enabled": False}}, "aviation": {"minZoom": 8},
+         "pois": {"minZoom": 16, "categories": {"energy": False}}}
+
+
+@pytest.mark.parametrize("layer, z, props, want", [
+    ("roads", 11, {"highway": "primary", "ref": "A-5"}, None), ("roads", 16, {"highway": "primary", "ref": " A-5 "}, ("A-5", 820, "important")),
+    ("roads", 23, {"highway": "primary", "ref": "A-5"}, None), ("roads", 18, {"highway": "service", "ref": "A-5"}, None),
+    ("roads", 15, {"highway": "secondary", "ref": "B1"}, None), ("roads", 16, {"highway": "secondary", "ref": "B1", "name": "x y"}, ("B1", 700, "normal")),
+    ("roads", 18, {"highway": "residential", "name": "High Street"}, None), ("roads", 16, {"highway": "primary", "name": "No Ref"}, None),
+    ("pois", 18, {"amenity": "cafe", "name": "Coffee"}, None), ("pois", 15, {"amenity": "hospital", "name": "Hospital Central"}, None),
+    ("pois", 16, {"amenity": "hospital", "name": "Hospital Central"}, ("Hospital Central", 920, "critical")),
+    ("pois", 16, {"amenity": "townhall", "name": "townhall"}, ("Town hall", 620, "normal")), ("pois", 16, {"power": "plant"}, None),
+    ("pois", 16, {"amenity": "townhall", "poi_category": "government"}, ("Town hall", 820, "important")),
+    ("pois", 16, {"leisure": "nature_reserve"}, ("Protected", 620, "normal")),
+    ("aip", 9, {"aeroway": "aerodrome"}, None), ("aip", 9, {"aeroway": "aerodrome", "name": "Barajas"}, ("Barajas", 980, "critical")),
+    ("aip", 11, {"aeroway": "runway", "ref": "yes"}, ("RWY", 900, "important")), ("aip", 10, {"aeroway": "runway", "ref": "09/27"}, None),
+    ("aviation", 12, {"aeroway": "helipad"}, ("H", 980, "critical")), ("aip", 14, {"aeroway": "terminal", "ref": "T4"}, ("T4", 720, "normal")),
+    ("aip", 14, {"aeroway": "taxiway", "ref": "A"}, None), ("aip", 9, {"aeroway": "heliport", "ref": "Z"}, ("Z", 980, "critical"))])
+def test_theme_labels(spark, layer, z, props, want):
+    df = spark.createDataFrame([(props,)], "props map<string,string>")
+    got = [(r.text, r.priority, r.priority_class) for r in lab.describe_labels(df, layer, z, THEME).collect()]
+    assert got == ([want] if want else [])
+    assert lab.describe_labels(df, layer, z, {**THEME, "enabled": False}).count() == 0
+
+
 def test_declutter(spark):
     rows = [(0, "high", 9.0, 0, 0, 2, 2), (0, "hit", 8.0, 1, 1, 3, 3), (0, "next", 7.0, 2, 0, 4, 2), (0, "next", 6.0, 9, 9, 10, 10), (0, "far", 1.0, 20, 20, 21, 21)]
     df = spark.createDataFrame(rows, "t int, key string, priority double, minx int, miny int, maxx int, maxy int")
@@ -187,14 +231,17 @@ def test_pbf_source(spark, tmp_path):
 
 
 def test_geometry_blobs_round_trip(spark):
-    ring = [{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 0.0}]
+    ring = np.array([(0.0, 0.0), (2.0, 0.0), (1.0, 1.0), (0.0, 0.0)])
     for kind, parts in (("Point", [[ring[:1]]]), ("LineString", [[ring[:2]]]), ("MultiLineString", [[ring[:2]], [ring[1:3]]]), ("Polygon", [[ring]]), ("MultiPolygon", [[ring], [ring]])):
-        assert layers_io.decode_gpkg(layers_io.encode_gpkg(kind, parts)) == {"kind": kind, "parts": parts}
+        back_kind, back = layers_io.decode_gpkg(layers_io.encode_gpkg(kind, parts))
+        assert back_kind == kind and [[r.tolist() for r in p] for p in back] == [[r.tolist() for r in p] for p in parts]
     with pytest.raises(ValueError):
         layers_io.decode_gpkg(b"XX\0\3")
-    df = spark.range(1).select(g.polygon(pts((0, 0), (2, 0), (1, 1), (0, 0))).alias("geom"))
-    back = df.select("geom", layers_io.geom_from_gpkg(layers_io.geom_to_gpkg(F.col("geom"))).alias("b")).first()
-    assert back.geom == back.b
+    ragged = F.struct(F.lit("MultiPolygon").alias("kind"), F.array(F.array(pts((0, 0), (2, 0), (1, 1), (0, 0)), pts((1, 0.1), (1.1, 0.1), (1.1, 0.2), (1, 0.2), (1, 0.1))),
+                                                                   F.array(pts((5, 5), (6, 5), (6, 6), (5, 5)))).cast(g.PARTS).alias("parts"))
+    df = spark.range(40).select(F.when(F.col("id") % 3 == 0, ragged).when(F.col("id") % 3 == 1, g.point(g.xy(F.col("id").cast("double"), F.lit(1.0)))).cast(g.GEOMETRY).alias("geom"))
+    back = df.select("geom", layers_io.geom_from_gpkg(layers_io.geom_to_gpkg(F.col("geom"))).alias("b")).collect()
+    assert all(r.geom == r.b for r in back) and sum(r.geom is None for r in back) == 13
 
 
 def test_layers_are_written_and_described(spark, tmp_path):
@@ -232,14 +279,121 @@ def test_fallback_keeps_small_features(spark):
     f = spark.createDataFrame([("buildings", 0, 1)], "layer string, layer_order int, fid long").withColumn(
         "geom", g.polygon(pts((0.0101, 0.0101), (0.0102, 0.0101), (0.0102, 0.0102), (0.0101, 0.0101)))).withColumn("props", F.create_map(F.lit("building"), F.lit("yes")))
     f = f.withColumn("_b", g.bbox(F.col("geom"))).select("*", "_b.*")
-    from geotiles.functions.policy import osm_policy
+    from geotiles.functions.policy import LayerPolicy, osm_policy
 
-    tiles, stats = pyramid.tile_pyramid(f, 13, 13, osm_policy())
+    # the built-in policy never reads buildings this narrow at z13
+    assert pyramid.tile_pyramid(f, 13, 13, osm_policy())[1].count() == 0
+    tiles, stats = pyramid.tile_pyramid(f, 13, 13, dataclasses.replace(osm_policy(), wide=LayerPolicy().wide))
     r = stats.where("original > 0").first()
     assert (r.original, r.dropped_small, r.encoded, r.empty_reason) == (1, 1, 1, "none")
     assert tiles.count() == 1
 
 
+def read_tile(payload):
+    """A plain reader of vector tiles: {layer: [(id, kind, rings in tile units, props)]}."""
+    def fields(raw):
+        at = 0
+
+        def number():
+            nonlocal at
+            out = shift = 0
+            while True:
+                b = raw[at]
+                at += 1
+                out |= (b & 127) << shift
+                shift += 7
+                if b < 128:
+                    return out
+
+        while at < len(raw):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+            else:
+                n = 8 if tag & 7 == 1 else number()
+                yield tag >> 3, raw[at:at + n]
+                at += n
+
+    def numbers(raw):
+        return [v for _, v in fields(b"".join(b"\x08" + chunk for chunk in re.findall(rb"[\x80-\xff]*[\x00-\x7f]", raw, re.S)))]
+
+    def value(raw):
+        (kind, v), = fields(raw)
+        return {1: lambda: v.decode(), 3: lambda: struct.unpack("<d", v)[0], 5: lambda: v, 6: lambda: (v >> 1) ^ -(v & 1), 7: lambda: bool(v)}[kind]()
+
+    out = {}
+    for _, layer in fields(gzip.decompress(payload)):
+        got = list(fields(layer))
+        name = next(v for k, v in got if k == 1).decode()
+        keys, values = [v.decode() for k, v in got if k == 3], [value(v) for k, v in got if k == 4]
+        assert dict(got)[15] == 2 and dict(got)[5] == 4096
+        for _, raw in ((k, v) for k, v in got if k == 2):
+            f = dict(fields(raw))
+            tags, cmds, rings, x, y, k = numbers(f[2]), numbers(f[4]), [], 0, 0, 0
+            while k < len(cmds):
+                op, n = cmds[k] & 7, cmds[k] >> 3
+                k += 1
+                for _ in range(n if op < 7 else 0):
+                    x, y = x + (cmds[k] >> 1 ^ -(cmds[k] & 1)), y + (cmds[k + 1] >> 1 ^ -(cmds[k + 1] & 1))
+                    k += 2
+                    if op == 1:
+                        rings.append([])
+                    rings[-1].append((x, y))
+            out.setdefault(name, []).append((f.get(1), f[3], rings, {keys[a]: values[b] for a, b in zip(tags[::2], tags[1::2])}))
+    return out
+
+
+def test_payloads_read_back(spark):
+    """Lines, polygons with holes and points with typed values, negative ids and labels, against shapes cut by hand."""
+    from geotiles.functions.policy import osm_policy
+
+    spec = schema.LayerSpec("roads", columns={"highway": "TEXT", "ref": "TEXT", "lanes": "INTEGER", "width": "REAL", "toll": "BOOLEAN", "none": "TEXT"})
+    n = 360 / 4096  # degrees of a tile unit at z0
+    at = lambda *ps: [{"x": p[0] * n - 180, "y": 0.0 if p[1] == 2048 else math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * p[1] / 4096))))} for p in ps]
+    road = ("LineString", [[at((1000, 2048), (1100, 2048), (1200, 2048))]])
+    pond = ("Polygon", [[at((2000, 2000), (2600, 2000), (2600, 2600), (2000, 2600), (2000, 2000)), at((2200, 2200), (2400, 2200), (2400, 2400), (2200, 2400), (2200, 2200))]])
+    rows = [("roads", 0, 7, road, "motorway", "A 1", -3, 7.5, True, None), ("water", 1, -9, pond, None, None, 5, None, False, None)]
+    df = spark.createDataFrame(rows, f"layer string, layer_order int, fid long, geom {g.GEOMETRY}, highway string, ref string, lanes long, width double, toll boolean, none string")
+    df = schema.project_tile_props(df.withColumn("_b", g.bbox(F.col("geom"))).select("*", "_b.*"), spec)
+    df = df.select("layer", "layer_order", "fid", "geom", "props", "minx", "miny", "maxx", "maxy")
+    policy = osm_policy(lambda k: F.col("props")[k]["text"])
+    tiles, stats = pyramid.tile_pyramid(df, 0, 0, policy)
+    got = read_tile(tiles.first().payload)
+    (fid, kind, lines, props), = got["roads"]
+    assert (fid, kind, lines) == (7, 2, [[(1000, 2048), (1200, 2048)]])  # the middle point goes: it lies on the line
+    assert props == {"highway": "motorway", "ref": "A 1", "lanes": -3, "width": 7.5, "toll": True, "geometry_type": "LineString"}
+    (fid, kind, rings, props), = got["water"]
+    assert (fid, kind, props) == (None, 3, {"lanes": 5, "toll": False, "geometry_type": "Polygon"})
+    area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1])) / 2
+    assert [len(r) for r in rings] == [4, 4] and [area(r) for r in rings] == [360_000, -40_000]
+    s = stats.first()
+    assert (s.original, s.encoded, s.dropped, s.vertices, s.simplified, s.tolerance) == (2, 2, 0, 13, 12, pytest.approx(14 * 0.65 * 1.1 * 360 / 4096, rel=1e-2))
+
+
+def test_labels_and_rules_of_the_built_in_policy(spark):
+    """Service roads wait for z15, road labels start at z13 at the anchor of the unclipped line, the alias layer follows the rules of aip."""
+    from geotiles.functions.policy import osm_policy
+
+    line = lambda x, y: g.line_string(F.array(*[g.xy(x + dx, y) for dx in (0.0, 0.004, 0.006)]))
+    rows = [("roads", 1, {"highway": "primary", "ref": "A 5"}, 0.0), ("roads", 2, {"highway": "service", "name": "Yard"}, 0.001), ("roads", 3, {"highway": "primary", "ref": "yes"}, 0.002),
+            ("aviation", 4, {"aeroway": "runway", "ref": "09/27"}, 0.003), ("aviation", 5, {"aeroway": "hangar"}, 0.003)]
+    df = spark.createDataFrame(rows, "layer string, fid long, props map<string,string>, dy double").withColumns(
+        {"layer_order": F.lit(0), "geom": line(F.lit(-3.7), 40.4 + F.col("dy"))})
+    df = df.withColumn("_b", g.bbox(F.col("geom"))).select("*", "_b.*").drop("_b", "dy")
+    labels = ("road_labels", "aip_labels")
+    for z, roads, flights, names in ((9, {1, 3}, set(), set()), (11, {1, 3}, {4}, set()), (12, {1, 3}, {4}, {"09/27"}), (13, {1, 3}, {4, 5}, {"09/27", "A 5"}), (15, {1, 2, 3}, {4, 5}, {"09/27", "A 5"})):
+        tiles, _ = pyramid.tile_pyramid(df, z, z, osm_policy(), labels=labels)
+        layers = {}
+        for r in tiles.collect():
+            for name, fs in read_tile(r.payload).items():
+                layers.setdefault(name, []).extend(fs)
+        assert {f[0] for f in layers.get("roads", [])} == roads and {f[0] for f in layers.get("aviation", [])} == flights
+        said = [f for k in labels for f in layers.get(k, [])]
+        assert {f[3]["text"] for f in said} == names and all(f[1] == 1 and f[3]["sourceId"] in ("1", "4") for f in said)
+        anchored = [f for k in ("roads", "aviation") for f in layers.get(k, [])]
+        assert all(f[3]["label_lon"] == pytest.approx(-3.697) for f in anchored)
+
+
 def test_tiles_are_written_in_order(spark, tmp_path):
     t = spark.createDataFrame([(1, 1, 0, b"abc"), (1, 0, 0, b"a"), (0, 0, 0, b"ab"), (1, 1, 1, b"")], "z int, x long, y long, payload binary")
     tiles_io.write_tiles(t, str(tmp_path / "t"))
@@ -301,4 +455,47 @@ def test_sources_of_layers():
 def test_tile_properties_are_chosen(spark):
     spec = schema.LayerSpec("a", columns={"x": "TEXT", "y": "TEXT"}, tile_properties=("y",))
     df = spark.createDataFrame([("1", "2", "way/1")], "x string, y string, id string").withColumn("geom", g.point(g.xy(F.lit(0.0), F.lit(0.0))))
-    assert schema.project_tile_props(df, spec).first().props == {"y": "2", "id": "way/1", "geometry_type": "Point"}
+    props = {k: {n: x for n, x in v.asDict().items() if x is not None} for k, v in schema.project_tile_props(df, spec).first().props.items()}
+    assert props == {"y": {"text": "2"}, "id": {"text": "way/1"}, "geometry_type": {"text": "Point"}}
+
+
+def test_guard_fails_beyond_the_limit(spark):
+    per = spark.createDataFrame([(8, 10), (9, 50), (10, 100)], "z int, tiles long")
+    assert [r.ok for r in sparse.cumulative_candidates(per, 100).orderBy("z").collect()] == [True, True, False]
+    assert sparse.guard_cumulative(per, 1000).count() == 3 and all(r.ok for r in sparse.guard_cumulative(per, 100, force=True).collect())
+    with pytest.raises(Exception, match="too many candidate tiles"):
+        sparse.guard_cumulative(per, 100).collect()
+
+
+def test_infinite_coordinates_drop(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 2.0), (3, float("inf"), 5.0), (4, 7.0, float("nan")), (5, None, 1.0)], "id long, lon double, lat double")
+    assert tuple(asm.infer_extent(nodes).first()) == (0.0, 0.0, 1.0, 2.0)
+    assert tuple(asm.infer_extent(nodes, (0.0, 0.0, float("inf"), 1.0)).first()) == (0.0, 0.0, 1.0, 2.0)
+
+
+def test_rings_of_many_ways_join_in_linear_time():
+    import time
+
+    import pandas as pd
+
+    n = 30_000
+    refs = [[k, k + 1] if k % 2 else [k + 1, k] for k in range(n - 1)] + [[n - 1, 0]]
+    order = np.random.default_rng(1).permutation(n)
+    pdf = pd.DataFrame({"pos": order, "refs": refs, "xs": [[float(a), float(b)] for a, b in refs], "ys": [[0.0, 0.0]] * n})
+    start = time.time()
+    (_, ring, pts), = asm._join_ends(pdf)
+    assert len(ring) == n + 1 and ring[0] == ring[-1] and [p[0] for p in pts] == [float(r) for r in ring] and time.time() - start < 10
+
+
+def test_layers_answer_within_their_zooms():
+    specs = schema.resolve_layers([{"id": "roads", "min_zoom": 8, "max_zoom": 12}, {"id": "labels", "source": "roads", "min_zoom": 10}])
+    assert schema.resolve_source(specs, "labels", z=11).id == "roads" and schema.resolve_source(specs, "labels", z=9) is None
+    assert schema.resolve_source(specs, "labels", z=13) is None and schema.resolve_source(specs, "road_labels", sources={"road_labels": "roads"}, z=8).id == "roads"
+
+
+def test_box_reads_of_a_layer(spark, tmp_path):
+    f = spark.range(500).select(F.lit("a").alias("layer"), "id", (F.col("id") % 25).cast("double").alias("minx"), (F.col("id") % 20).cast("double").alias("miny"))
+    f = f.withColumns({"maxx": F.col("minx"), "maxy": F.col("miny")})
+    layers_io.write_layers(f, str(tmp_path / "l"))
+    got = layers_io.read_layer(spark, str(tmp_path / "l"), "a", (3.0, 4.0, 6.0, 9.0))
+    assert got.count() == f.where("minx between 3 and 6 and miny between 4 and 9").count() and layers_io.read_layer(spark, str(tmp_path / "l"), "a").count() == 500

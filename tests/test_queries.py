@@ -33,3 +33,37 @@ def test_query(spark, sf, db, name):
         names = [c[0] for c in got.description]
         assert sorted(names) == cols
         assert rows == sorted(tuple(text(r[names.index(c)]) for c in cols) for r in got.fetchall())
+
+
+def test_decluttered_against_plain_greedy(spark, db):
+    """The best fifty labels of every z2 tile, greedily kept while their boxes do not overlap."""
+    from geotiles.queries.planning import _tx, _ty
+    from geotiles.views import with_views
+
+    rows = db.execute(f"{with_views('geo_points')} SELECT {_tx(2)} AS x, {_ty(2)} AS y, fid, name, priority, lon, lat FROM geo_points").fetchall()
+    tiles = {}
+    for x, y, *rest in rows:
+        tiles.setdefault((x, y), []).append(rest)
+    want = set()
+    for tile, labels in tiles.items():
+        best = sorted(labels, key=lambda r: (-r[2], r[0]))[:50]
+        kept = []
+        for fid, name, _, lon, lat in sorted(best, key=lambda r: (-r[2], r[1])):
+            if len(kept) < 40 and not any(abs(lon - a) < 8 and abs(lat - b) < 2 for _, a, b in kept):
+                kept.append((fid, lon, lat))
+        want |= {(*tile, fid) for fid, _, _ in kept}
+    assert {tuple(r) for r in QUERIES["decluttered"](spark, "/root/testdata/sf0.001").select("x", "y", "fid").collect()} == want
+
+
+def test_limits_are_cut_twice(spark, sf):
+    """Salted ranking keeps what one ranking keeps; small limits are also cut before the shuffle."""
+    from pyspark.sql import functions as F
+
+    from geotiles.functions.policy import osm_policy
+    from geotiles.plans import pyramid
+    from geotiles.queries.tiles import way_features
+
+    keys = pyramid.tile_rows(way_features(spark, sf), range(9, 11), osm_policy()).withColumn("priority", F.col("fid") % 7)
+    one, two = (pyramid.top_per_layer(keys, F.lit(20), most=m).select("z", "x", "y", "fid") for m in (None, 20))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert "WindowGroupLimit" in two._jdf.queryExecution().executedPlan().toString()
