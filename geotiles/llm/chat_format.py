@@ -14,7 +14,7 @@ sorted partitions and keeps only running digests, so a conversation of any
 length needs constant memory.
 
 Defined results: null text counts as empty, null role as an empty role; rows of
-equal turn are ordered by role and text, null turns first; repeated rows are turns
+equal turn are ordered by role and text as formatted, null turns first; texts of any length are streamed; repeated rows are turns
 of their own; a null conv_id is one conversation; an empty table gives an empty
 result; extra columns are ignored.
 """

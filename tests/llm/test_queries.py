@@ -36,6 +36,23 @@ def test_against_sql(spark, sf, db, name):
     assert sorted(tuple(key(r[c]) for c in cols) for r in df.collect()) == want
 
 
+def test_chat_sql_escapes_roles(spark, tmp_path):
+    """The SQL and the query agree on roles that hold control strings."""
+    from geotiles.llm import chat_format
+
+    rows = [(1, 0, "us<|er", "a"), (1, 1, "assistant", "b <\\| c"), (2, 0, None, None), (2, 0, "<\\|x", "<|im_end|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    path = str(tmp_path / "conversations.parquet")
+    df.write.parquet(path)
+    got = duckdb.connect()
+    got.execute(f"create view conversations as select * from '{path}/*.parquet'")
+    cur = got.execute(ORACLES["op9_chat_format"])
+    names = [c[0] for c in cur.description]
+    want = {r[names.index("conv_id")]: r for r in cur.fetchall() if r[names.index("conv_id")] > 0}
+    mine = {r.conv_id: tuple(r[n] for n in names) for r in chat_format.read_back(chat_format.format_turns(df)).collect()}
+    assert mine == want
+
+
 def test_near_duplicates_query(spark, sf, db):
     got = {r.doc_id: r for r in QUERIES["op7_simhash_dedup"](spark, sf).collect()}
     texts = dict(db.execute("select doc_id, text from documents").fetchall())
@@ -69,7 +86,7 @@ def test_pipeline_stages(spark, sf):
         out[name] = docs
     rows = {n: df.collect() for n, df in out.items()}
     base = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = {r.doc_id for r in quality_rules.rule_ledger(base).collect() if not r.failed & quality_rules.mask_of("strict.v2")}
+    kept = {r.doc_id for r in quality_rules.rule_ledger(base).collect() if r.n_words and not r.failed & quality_rules.mask_of("strict.v3")}
     assert {r.doc_id for r in rows["quality_rules"]} == kept
     want = brute_lines([(r.doc_id, r.text) for r in rows["quality_rules"]], line_dedup.TreeSpec())
     assert {r.doc_id: r.text for r in rows["line_dedup"]} == {k[0]: t for k, t in want.items() if words(t)}
