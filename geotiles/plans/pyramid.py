@@ -82,24 +82,43 @@ def _radial(p: np.ndarray, tol_sq: float) -> np.ndarray:
     return p[[*keep, len(p) - 1]]
 
 
+def _farthest(pts: list[list[float]], a: int, b: int) -> tuple[float, int]:
+    """(squared distance, place) of the point of a stretch that is farthest from its chord."""
+    (ax, ay), (bx, by) = pts[a], pts[b]
+    dx, dy = bx - ax, by - ay
+    n = dx * dx + dy * dy
+    best, at = -1.0, a
+    for k in range(a + 1, b):
+        x, y = pts[k][0] - ax, pts[k][1] - ay
+        t = min(1.0, max(0.0, (x * dx + y * dy) / n)) if n > 0 else 0.0
+        x, y = x - t * dx, y - t * dy
+        if (d := x * x + y * y) > best:
+            best, at = d, k
+    return best, at
+
+
 def _peucker(p: np.ndarray, tol_sq: float) -> np.ndarray:
-    """Douglas-Peucker with an explicit stack; distances of a stretch at once."""
+    """Douglas-Peucker with an explicit stack; distances of a long stretch at once, of a short one in a loop that costs less."""
     keep = np.zeros(len(p), bool)
     keep[[0, -1]] = True
-    todo = [(0, len(p) - 1)]
+    todo, pts = [(0, len(p) - 1)], p.tolist()
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        mid, d = p[a + 1:b], p[b] - p[a]
-        n = d @ d
-        t = np.clip(((mid - p[a]) @ d) / n, 0, 1)[:, None] if n > 0 else 0.0
-        off = mid - (p[a] + t * d)
-        dist = (off * off).sum(axis=1)
-        k = int(dist.argmax())
-        if dist[k] > tol_sq:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+        if b - a < 40:
+            dist, k = _farthest(pts, a, b)
+        else:
+            mid, d = p[a + 1:b] - p[a], p[b] - p[a]
+            n = d @ d
+            t = np.minimum(1.0, np.maximum(0.0, (mid @ d) / n))[:, None] if n > 0 else 0.0
+            off = mid - t * d
+            every = (off * off).sum(axis=1)
+            k = int(every.argmax())
+            dist, k = float(every[k]), a + 1 + k
+        if dist > tol_sq:
+            keep[k] = True
+            todo += [(a, k), (k, b)]
     return p[keep]
 
 
@@ -135,9 +154,11 @@ def usable(kind: str, parts: list[list[np.ndarray]]) -> bool:
 def to_tile(p: np.ndarray, z: int, x: int, y: int) -> np.ndarray:
     """Degrees to tile units (not rounded)."""
     n = float(1 << z)
-    s = np.sin(np.radians(np.clip(p[:, 1], -89.9999, 89.9999)))
-    fy = np.clip(0.5 - 0.25 * np.log((1 + s) / (1 - s)) / np.pi, 0, 1)
-    return np.stack([((p[:, 0] + 180) / 360 * n - x) * tm.EXTENT, (fy * n - y) * tm.EXTENT], axis=1)
+    s = np.sin(np.radians(np.minimum(89.9999, np.maximum(-89.9999, p[:, 1]))))
+    out = np.empty_like(p)
+    out[:, 0] = ((p[:, 0] + 180) / 360 * n - x) * tm.EXTENT
+    out[:, 1] = (np.minimum(1.0, np.maximum(0.0, 0.5 - 0.25 * np.log((1 + s) / (1 - s)) / np.pi)) * n - y) * tm.EXTENT
+    return out
 
 
 def _cut_ring(p: np.ndarray, axis: int, at: float, below: bool) -> np.ndarray:
@@ -302,7 +323,7 @@ def command_numbers(kind: str, parts: list[list[np.ndarray]]) -> np.ndarray:
                     pts = pts[::-1]
             if not len(pts):
                 continue
-            delta = np.diff(pts, axis=0, prepend=at)
+            delta = pts - np.concatenate([at, pts[:-1]])
             zigzag = (delta << 1 ^ delta >> 63).ravel()
             at = pts[-1:]
             out += [np.array([9]), zigzag[:2]]
@@ -438,7 +459,8 @@ def tile_pyramid(features: DataFrame, zmin: int, zmax: int, policy: pol.LayerPol
         from ..operators.labels import with_anchors
 
         features = with_anchors(features)
-    features = settled(features, "tile-features")
+    if not getattr(features, "settled", False):
+        features = settled(features, "tile-features")
     keys = tile_rows(features, range(zmin, zmax + 1), policy)
     dtype = dict(features.dtypes)["props"]
     kept = limited(keys, policy, max_features).withColumns({"source": F.col("layer"), "props": _typed_props(F.col("props"), dtype)})

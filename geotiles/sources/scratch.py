@@ -22,4 +22,6 @@ def settled(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled = True
+    return out
