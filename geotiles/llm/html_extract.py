@@ -362,11 +362,12 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[
     templates = written(site_templates(subtrees, min_pages), "templates").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = subtrees.withColumn("salt", F.pmod("page_key", F.lit(SALTS)).cast("int"))
-    drops = (salted.join(templates, ["host", "hash", "salt"], "left_semi").groupBy("page_key")
+    # merged by hint: the planner takes both lists for as small as the files they come from
+    drops = (salted.join(templates.hint("merge"), ["host", "hash", "salt"], "left_semi").groupBy("page_key")
              .agg(F.collect_set("hash").alias("_drop")))
     slim = pages.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],
                         F.col(f"`{page}`").alias("_html"), row_key(url, page).alias("page_key"))
-    met = slim.join(drops, "page_key", "left").drop("page_key")
+    met = slim.join(drops.hint("merge"), "page_key", "left").drop("page_key")
     fields = [T.StructField(c, pages.schema[c].dataType) for c in keep]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
