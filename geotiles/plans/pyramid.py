@@ -69,17 +69,15 @@ def top_per_tile(df: DataFrame, budget: Column, priority: str = "priority", laye
     return ranked.where((F.col("_n") <= most) & (F.col("_n") <= budget) if most else F.col("_n") <= budget).drop("_n")
 
 
-def _radial(p: np.ndarray, tol_sq: float) -> np.ndarray:
-    if len(p) <= 2 or tol_sq <= 0:
-        return p
-    pts = p.tolist()
+def _radial(pts: list[list[float]], tol_sq: float) -> list[int]:
+    """Places of the points that lie farther than the tolerance from the last one kept; the ends stay."""
     keep, (lx, ly) = [0], pts[0]
     for i in range(1, len(pts) - 1):
         x, y = pts[i]
         if (x - lx) ** 2 + (y - ly) ** 2 > tol_sq:
             keep.append(i)
             lx, ly = x, y
-    return p[[*keep, len(p) - 1]]
+    return [*keep, len(pts) - 1]
 
 
 def _farthest(pts: list[list[float]], a: int, b: int) -> tuple[float, int]:
@@ -97,11 +95,10 @@ def _farthest(pts: list[list[float]], a: int, b: int) -> tuple[float, int]:
     return best, at
 
 
-def _peucker(p: np.ndarray, tol_sq: float) -> np.ndarray:
-    """Douglas-Peucker with an explicit stack; distances of a long stretch at once, of a short one in a loop that costs less."""
-    keep = np.zeros(len(p), bool)
-    keep[[0, -1]] = True
-    todo, pts = [(0, len(p) - 1)], p.tolist()
+def _peucker(pts: list[list[float]], tol_sq: float) -> list[int]:
+    """Places that Douglas-Peucker keeps, with an explicit stack; distances of a long stretch at once, of a short one in a loop that costs less."""
+    keep, todo = [0, len(pts) - 1], [(0, len(pts) - 1)]
+    p = np.array(pts) if len(pts) > 40 else None
     while todo:
         a, b = todo.pop()
         if b - a < 2:
@@ -117,33 +114,61 @@ def _peucker(p: np.ndarray, tol_sq: float) -> np.ndarray:
             k = int(every.argmax())
             dist, k = float(every[k]), a + 1 + k
         if dist > tol_sq:
-            keep[k] = True
+            keep.append(k)
             todo += [(a, k), (k, b)]
-    return p[keep]
+    return sorted(keep)
 
 
-def simplify_line(p: np.ndarray, tol: float, closed: bool) -> np.ndarray:
-    """Radial pass, then Douglas-Peucker; rings keep four points, lines two, else the input."""
-    if tol <= 0 or len(p) <= (4 if closed else 2):
-        return p
-    made = _radial(p[:-1] if closed else p, (tol * 0.5) ** 2)
-    made = _peucker(made, tol * tol) if len(made) > 2 else made
+def kept_places(p: np.ndarray, tol: float, closed: bool) -> list[int] | None:
+    """Places of the points that stay: radial pass, then Douglas-Peucker; None if all do.
+
+    Rings keep four points, lines two, else they stay as they are.
+    """
+    n = len(p)
+    if tol <= 0 or n <= (4 if closed else 2):
+        return None
+    pts = p.tolist()
+    first = pts[0]
+    if closed:
+        pts = pts[:-1]
+    at = _radial(pts, (tol * 0.5) ** 2) if len(pts) > 2 else list(range(len(pts)))
+    if len(at) > 2:
+        some = [pts[k] for k in at]
+        at = [at[k] for k in _peucker(some, tol * tol)]
     if not closed:
-        return made if len(made) >= 2 else p
-    if len(made) < 3:
-        return p
-    ring = np.vstack([made, made[:1]]) if (made[0] != made[-1]).any() else made
-    return ring if len(ring) >= 4 else p
+        return at if len(at) >= 2 else None
+    if len(at) < 3:
+        return None
+    ring = at if pts[at[-1]] == first else [*at, at[0]]
+    return ring if len(ring) >= 4 else None
+
+
+def simplify_line(p: np.ndarray, tol: float, closed: bool) -> np.ndarray:
+    at = kept_places(p, tol, closed)
+    return p if at is None else p[at]
 
 
 def simplify_parts(kind: str, parts: list[list[np.ndarray]], tol: float) -> list[list[np.ndarray]]:
+    return [[p[a:b] if at is None else p[a:b][at] for p, a, b, at in rings] for rings in simplified_places(kind, [[(r, 0, len(r)) for r in rings] for rings in parts], tol)]
+
+
+def simplified_places(kind: str, parts: list[list[tuple[np.ndarray, int, int]]], tol: float) -> list[list[tuple[np.ndarray, int, int, list[int] | None]]]:
+    """Rings (points, start, end) with the places that stay in them; rings that are none any more are left out.
+
+    A polygon of which nothing is left stays as it is.
+    """
     if kind == "Point" or tol <= 0:
-        return parts
-    if kind in ("Polygon", "MultiPolygon"):
-        made = [[r for r in (simplify_line(ring, tol, True) for ring in rings) if len(r) >= 4] for rings in parts]
-        return [rings for rings in made if rings] or parts
-    made = [[line for line in (simplify_line(ln, tol, False) for ln in rings)] for rings in parts]
-    return [[ln for ln in rings if len(ln) >= 2] for rings in made]
+        return [[(*ring, None) for ring in rings] for rings in parts]
+    area, made = kind in ("Polygon", "MultiPolygon"), []
+    for rings in parts:
+        got = []
+        for p, a, b in rings:
+            at = kept_places(p[a:b], tol, area)
+            if (b - a if at is None else len(at)) >= (4 if area else 2):
+                got.append((p, a, b, at))
+        if got or not area:
+            made.append(got)
+    return made or [[(*ring, None) for ring in rings] for rings in parts]
 
 
 def usable(kind: str, parts: list[list[np.ndarray]]) -> bool:
@@ -151,9 +176,9 @@ def usable(kind: str, parts: list[list[np.ndarray]]) -> bool:
     return any(len(r) >= least for rings in parts for r in rings)
 
 
-def to_tile(p: np.ndarray, z: int, x: int, y: int) -> np.ndarray:
-    """Degrees to tile units (not rounded)."""
-    n = float(1 << z)
+def to_tile(p: np.ndarray, z, x, y) -> np.ndarray:
+    """Degrees to tile units (not rounded); the tile may be one for all points, or one for each."""
+    n = np.exp2(np.asarray(z, float))
     s = np.sin(np.radians(np.minimum(89.9999, np.maximum(-89.9999, p[:, 1]))))
     out = np.empty_like(p)
     out[:, 0] = ((p[:, 0] + 180) / 360 * n - x) * tm.EXTENT
@@ -205,12 +230,16 @@ def _cut_line(p: np.ndarray, lo: float, hi: float) -> list[np.ndarray]:
 
 def clip_to_tile(kind: str, parts: list[list[np.ndarray]], z: int, x: int, y: int) -> list[list[np.ndarray]]:
     """Parts in whole tile units inside the buffered tile; empty if nothing is left."""
+    return clip_units(kind, [[to_tile(ring, z, x, y) for ring in rings] for rings in parts])
+
+
+def clip_units(kind: str, parts: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """As ``clip_to_tile``, of parts already in tile units."""
     lo, hi = -float(tm.BUFFER), float(tm.EXTENT + tm.BUFFER)
     made = []
     for rings in parts:
         got = []
-        for ring in rings:
-            p = to_tile(ring, z, x, y)
+        for p in rings:
             if p.min() >= lo and p.max() <= hi:
                 got.append(np.rint(p).astype(np.int64))
             elif kind == "Point":
@@ -244,28 +273,40 @@ def shape_features(df: DataFrame) -> DataFrame:
     for f in StructType.fromDDL(_SHAPE).fields:
         schema = schema.add(f)
 
-    def size(parts: list[list[np.ndarray]]) -> int:
-        return sum(len(r) for rings in parts for r in rings)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(n) for n in b.schema.names}
             n = b.num_rows
-            made, plain = [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
+            made: list[list[int]] = [[]] * n
+            plain: list[list[int]] = [[]] * n
             vertices, simplified, unusable = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
             small = cols["small"].to_numpy(zero_copy_only=False)
-            tol, z, x, y = (cols[c].to_pylist() for c in ("tol", "z", "x", "y"))
-            for k, (kind, parts) in enumerate(geometries(cols["geom"])):
-                vertices[k] = size(parts)
+            tol, z, x, y = (cols[c].to_numpy(zero_copy_only=False) for c in ("tol", "z", "x", "y"))
+            shapes = list(geometries(cols["geom"]))
+            # all points of the batch go to tile units at once
+            size = np.array([sum(len(r) for rings in parts for r in rings) for _, parts in shapes], np.int64)
+            flat = [r for _, parts in shapes for rings in parts for r in rings]
+            xy = np.concatenate(flat) if flat else np.zeros((0, 2))
+            units = to_tile(xy, *(np.repeat(v, size) for v in (z, x, y)))
+            start = 0
+            for k, (kind, parts) in enumerate(shapes):
+                places = []
+                for rings in parts:
+                    places.append([])
+                    for r in rings:
+                        places[-1].append((xy, start, start + len(r)))
+                        start += len(r)
+                vertices[k] = size[k]
+                own = [[units[a:b] for _, a, b in rings] for rings in places]
                 if not small[k]:
-                    less = simplify_parts(kind, parts, tol[k])
-                    unusable[k] = not usable(kind, less)
+                    kept = [[units[a:b] if at is None else units[a:b][at] for _, a, b, at in rings] for rings in simplified_places(kind, places, tol[k])]
+                    unusable[k] = not usable(kind, kept)
                     if not unusable[k]:
-                        simplified[k] = size(less)
-                        made[k] = command_numbers(kind, clip_to_tile(kind, less, z[k], x[k], y[k]))
+                        simplified[k] = sum(len(r) for rings in kept for r in rings)
+                        made[k] = command_numbers(kind, clip_units(kind, kept))
                 # only a layer without any shape in the tile falls back, so only lost features need their plain one
-                if not len(made[k]):
-                    plain[k] = command_numbers(kind, clip_to_tile(kind, parts, z[k], x[k], y[k]))
+                if not made[k]:
+                    plain[k] = command_numbers(kind, clip_units(kind, own))
             yield pa.RecordBatch.from_arrays(
                 [*(cols[c] for c in names), pa.array(varints(made), pa.binary()), pa.array(varints(plain), pa.binary()), pa.array(vertices),
                  pa.array(simplified), pa.array(unusable)], [*names, "tile_shape", "plain_shape", "vertices", "simplified", "unusable"])
@@ -292,9 +333,9 @@ def _field(number: int, payload: bytes) -> bytes:
     return _varint(number << 3 | 2) + _varint(len(payload)) + payload
 
 
-def varints(rows: list[np.ndarray]) -> list[bytes]:
+def varints(rows: list[list[int]]) -> list[bytes]:
     """Unsigned numbers of every row as base-128 bytes, all rows at once."""
-    flat = np.concatenate(rows).astype(np.uint64) if rows else np.zeros(0, np.uint64)
+    flat = np.array([v for row in rows for v in row], np.uint64)
     length = np.ones(len(flat), np.int64)
     for k in range(1, 10):
         length += flat >= np.uint64(1) << np.uint64(7 * k)
@@ -309,29 +350,28 @@ def varints(rows: list[np.ndarray]) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
 
-def command_numbers(kind: str, parts: list[list[np.ndarray]]) -> np.ndarray:
+def command_numbers(kind: str, parts: list[list[np.ndarray]]) -> list[int]:
     """Geometry commands of whole-unit parts as numbers: MoveTo 1, LineTo 2, ClosePath 7, with zigzag deltas."""
     area = kind in ("Polygon", "MultiPolygon")
-    out: list[np.ndarray] = []
-    at = np.zeros((1, 2), np.int64)
+    out: list[int] = []
+    cx = cy = 0
     for rings in parts:
-        for k, pts in enumerate(rings):
+        for k, ring in enumerate(rings):
+            pts = ring.tolist()
             if area:
                 pts = pts[:-1]
-                turned = np.roll(pts, -1, axis=0)
-                if ((pts[:, 0] * turned[:, 1] - turned[:, 0] * pts[:, 1]).sum() > 0) != (k == 0):
+                if (sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1])) > 0) != (k == 0):
                     pts = pts[::-1]
-            if not len(pts):
-                continue
-            delta = pts - np.concatenate([at, pts[:-1]])
-            zigzag = (delta << 1 ^ delta >> 63).ravel()
-            at = pts[-1:]
-            out += [np.array([9]), zigzag[:2]]
-            if len(pts) > 1:
-                out += [np.array([len(pts) - 1 << 3 | 2]), zigzag[2:]]
+            for n, (x, y) in enumerate(pts):
+                if n < 2:
+                    out.append(9 if n == 0 else len(pts) - 1 << 3 | 2)
+                dx, dy = x - cx, y - cy
+                out.append(dx << 1 ^ dx >> 63)
+                out.append(dy << 1 ^ dy >> 63)
+                cx, cy = x, y
             if area:
-                out.append(np.array([15]))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+                out.append(15)
+    return out
 
 
 def commands(kind: str, parts: list[list[np.ndarray]]) -> bytes:
