@@ -115,7 +115,31 @@ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER B
   vec_id, score FROM p) WHERE rank <= 5
 """
 
+_OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, w[s + 1:s + m] AS g
+      FROM (SELECT lang, w, m, unnest(range(0, len(w) - m + 1)) AS s FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, array_to_string(g, ' ') AS phrase, min(g) AS g, count(*)::HUGEINT AS f
+      FROM g GROUP BY ALL HAVING count(*) >= 100),
+x AS (SELECT DISTINCT lang, array_to_string(g[i + 1:i + j], ' ') AS phrase, f
+      FROM (SELECT lang, m, g, f, j, unnest(range(0, m - j + 1)) AS i FROM f, (SELECT unnest(range(2, 5)) AS j) WHERE j < m)),
+k AS (SELECT * FROM f c WHERE m > 1 AND NOT EXISTS (
+        SELECT 1 FROM x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.f >= 100 * c.f)),
+s AS (SELECT k.lang, k.phrase, k.f AS a, c, l.f AS l, r.f AS r, t.n, (1000 * k.f * t.n) // (l.f * r.f) AS score
+      FROM (SELECT *, unnest(range(1, m)) AS c FROM k) k JOIN t USING (lang)
+      JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.g[1:c], ' ')
+      JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.g[c + 1:k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o WHERE rank <= 2000
+"""
+
 ORACLES = {
+    "op13_collocations": _OP13,
     "op8_topk_search": _OP8,
     "op4_line_dedup": _OP4,
     "op9_chat_format": _OP9,

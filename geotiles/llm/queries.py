@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat_format,
+    collocations,
     html_extract,
     language_id,
     line_dedup,
@@ -97,8 +98,13 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op10_html_extract": op10_html_extract,
+    "op13_collocations": op13_collocations,
     "op8_topk_search": op8_topk_search,
     "op6_quality_classifier": op6_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
