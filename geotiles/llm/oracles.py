@@ -138,7 +138,33 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 FROM o WHERE rank <= 2000
 """
 
+_OP11 = r"""
+WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+      FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+      WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT run, k, hex(encode(id || ':' || run)) AS x FROM r),
+h AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295,
+             list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+             lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]))) AS h FROM b, tbl),
+w AS (SELECT word, sum(k)::BIGINT AS n
+      FROM (SELECT k, CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+d AS (SELECT word, i, word[1:i] || word[i + 2:] AS cut FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+e AS (SELECT d.word AS a, w.word AS b FROM d JOIN w ON d.cut = w.word
+      UNION SELECT w.word, d.word FROM d JOIN w ON d.cut = w.word
+      UNION SELECT x.word, y.word FROM d x JOIN d y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word),
+f AS (SELECT a AS word, count(*) AS n_near, arg_min(w.word, (-w.n, w.word)) AS form, max(w.n) AS form_n FROM e JOIN w ON w.word = e.b GROUP BY a),
+j AS (SELECT w.word, CASE WHEN form_n >= 5 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM w LEFT JOIN f USING (word)),
+c AS (SELECT word, word AS here, 0 AS step FROM j UNION ALL SELECT c.word, j.form, step + 1 FROM c JOIN j ON j.word = c.here WHERE j.form IS NOT NULL),
+o AS (SELECT word, arg_max(here, step) AS root FROM c GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM j JOIN o USING (word)
+"""
+
 ORACLES = {
+    "op11_spelling_variants": _OP11,
     "op13_collocations": _OP13,
     "op8_topk_search": _OP8,
     "op4_line_dedup": _OP4,

@@ -16,6 +16,7 @@ from . import (
     sentencepiece_codec,
     simhash_dedup,
     source_mixing,
+    spelling_variants,
     topk_search,
 )
 from .common import held_out
@@ -98,12 +99,17 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
 
 
 QUERIES = {
     "op10_html_extract": op10_html_extract,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_collocations": op13_collocations,
     "op8_topk_search": op8_topk_search,
     "op6_quality_classifier": op6_quality_classifier,
