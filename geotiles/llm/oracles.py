@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import PHRASES, TEMPLATES
+
 WORD = r"'[^\x20\x09-\x0D]+'"
 
 _OP5 = rf"""
@@ -163,7 +165,33 @@ o AS (SELECT word, arg_max(here, step) AS root FROM c GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM j JOIN o USING (word)
 """
 
+_LICENSE_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP12 = rf"""
+WITH b AS (SELECT {_LICENSE_WORDS.format('phrase')} AS p, label FROM (VALUES {', '.join(f"('{p}', '{n}')" for p, n in PHRASES)}) v(phrase, label)),
+t AS (SELECT no, label, {_LICENSE_WORDS.format('said')} AS p
+      FROM (VALUES {', '.join(f"({i}, '{n}', '{said}')" for i, (n, said) in enumerate(TEMPLATES))}) v(no, label, said)),
+g AS (SELECT no, label, (len(p) - 2)::BIGINT AS n_grams, i, array_to_string(p[i + 1:i + 3], ' ') AS gram FROM (SELECT *, unnest(range(len(p) - 2)) AS i FROM t)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_LICENSE_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+e AS (SELECT rid, w, unnest(range(len(w))) AS i FROM d),
+h AS (SELECT rid, e.i, label FROM e JOIN b ON w[e.i + 1:e.i + len(p)] = p),
+s AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS said FROM h GROUP BY rid),
+v AS (SELECT rid, no, label, n_grams, e.i - g.i AS diagonal, list(DISTINCT g.i) AS seen, min(e.i) AS a, max(e.i) + 2 AS z
+      FROM e JOIN g ON array_to_string(w[e.i + 1:e.i + 3], ' ') = gram GROUP BY rid, no, label, n_grams, e.i - g.i),
+m AS (SELECT *, sum(o) OVER (PARTITION BY rid, no ORDER BY diagonal) AS span
+      FROM (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, no ORDER BY diagonal) > 8, true)::INT AS o FROM v)),
+c AS (SELECT rid, label, n_grams, len(list_distinct(flatten(list(seen)))) AS seen, sum(len(seen)) AS votes, max(z) - min(a) + 1 AS words
+      FROM m GROUP BY rid, no, label, n_grams, span),
+k AS (SELECT rid, list(DISTINCT label) AS more, max(seen / n_grams) AS coverage FROM c
+      WHERE seen >= greatest(ceil(0.6 * n_grams), least(n_grams, 4)) AND votes >= 0.5 * (words - 2) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(said), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(said, []), coalesce(more, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(coverage, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN s USING (rid) LEFT JOIN k USING (rid)
+"""
+
 ORACLES = {
+    "op12_license_scan": _OP12,
     "op11_spelling_variants": _OP11,
     "op13_collocations": _OP13,
     "op8_topk_search": _OP8,

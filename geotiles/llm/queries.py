@@ -10,6 +10,7 @@ from . import (
     collocations,
     html_extract,
     language_id,
+    license_scan,
     line_dedup,
     quality_classifier,
     quality_rules,
@@ -103,6 +104,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -110,6 +115,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op10_html_extract": op10_html_extract,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_license_scan": op12_license_scan,
     "op13_collocations": op13_collocations,
     "op8_topk_search": op8_topk_search,
     "op6_quality_classifier": op6_quality_classifier,
