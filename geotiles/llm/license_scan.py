@@ -129,7 +129,15 @@ _PIECES = "rid long, doc_id {}, n_words long, base long, n_pairs int, low binary
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of the texts of (doc_id, text) batches with the hashes of their grams: those of two words, then those of three."""
     rid = TaskContext.get().partitionId() << 33
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    names = ("rid", "n_words", "base", "n_pairs", "low", "starts", "ends", "grams")
     for b in batches:
+        rows, owners, waiting = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            columns = dict(zip(names, (pa.array(v, t) for v, t in zip(zip(*rows), types)))) | {"doc_id": b.column(0).take(pa.array(owners))}
+            return pa.RecordBatch.from_arrays([columns[c] for c in ("rid", "doc_id", *names[1:])], ["rid", "doc_id", *names[1:]])
+
         for i in range(b.num_rows):
             low, start, end = words_of(b.column(1)[i].as_buffer())
             rid += 1
@@ -141,11 +149,14 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, z = a - first, z - first
                 hashes = _word_hashes(bytes_, a, z)
                 grams = [_grams(hashes, k, max(0, min(own, len(a) - k + 1))) for k in KS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([rid]), b.column(0).slice(i, 1), pa.array([len(start)]), pa.array([at]), pa.array([len(grams[0])], pa.int32()),
-                     pa.array([bytes_.tobytes()]), *[pa.array([v], pa.list_(t)) for v, t in (
-                         (a.astype(np.int32), pa.int32()), (z.astype(np.int32), pa.int32()), (np.concatenate(grams), pa.int64()))]],
-                    ["rid", "doc_id", "n_words", "base", "n_pairs", "low", "starts", "ends", "grams"])
+                rows.append((rid, len(start), at, len(grams[0]), bytes_.tobytes(), a.astype(np.int32), z.astype(np.int32), np.concatenate(grams)))
+                owners.append(i)
+                waiting += own
+                if waiting >= 8 * _PIECE:
+                    yield sent()
+                    rows, owners, waiting = [], [], 0
+        if rows:
+            yield sent()
 
 
 def hits(docs: DataFrame, grams: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
