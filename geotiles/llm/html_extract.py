@@ -14,11 +14,14 @@
    one space, blocks joined by an empty line.
 
 A class or id marks an element as never text only if the element is a container
-(``CONTAINERS``) and a whole class name or the whole id is in ``MARKS``; headings,
-paragraphs and inline elements are never dropped for their names, nor are elements that
-hold the main element.
-
-The main element is the article, else main, else the body.  Paragraphs, headings and
+(``CONTAINERS``) and a whole class name or the whole id is in ``MARKS``, or is put together of such
+a topic and of words for a place (``comment-section``, ``ad-top``); so does the attribute ``hidden``.  Headings,
+paragraphs and inline elements are never dropped for their names.
+
+The main element is the article, else main, else the body.  Articles outside a main that holds text are
+no main element, nor are those inside it that hold less than half of its text; articles in a marked container are
+none either (reader comments and teasers are often articles), but for one case: a mark of mere layout (``LAYOUT``) that
+holds more text than all the rest of the page is lifted.  Paragraphs, headings and
 the like inside an article are its text and are kept even where they repeat;
 subtrees that may go there are containers.  Without an article any repeated block may go.
 
@@ -61,6 +64,15 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising ad-banner ad-
                   "modal newsletter comment comments comment-list comments-list comments-area user-comments "
                   "reader-comments disqus disqus_thread share share-box share-buttons sharing social social-share "
                   "related footer site-footer page-footer site-header page-header masthead".split())
+#: Names that are put together of these topics and places mark a container as well.
+TOPICS = frozenset("ad ads advert adverts adsense adsbygoogle advertisement sponsor sponsored promo cookie cookies gdpr consent "
+                   "comment comments disqus share sharing social related newsletter popup modal sidebar breadcrumb breadcrumbs".split())
+PLACES = frozenset("bar banner box top bottom left right slot unit wrap wrapper container section area list notice block panel form "
+                   "thread overlay inline leaderboard header footer post posts article articles entry page user reader site links "
+                   "buttons icons items widget message policy".split())
+#: Marks that some pages put on what holds their article too.
+LAYOUT = frozenset("banner sidebar side-bar sidebars menu main-menu nav navbar navigation site-nav masthead site-header page-header "
+                   "footer site-footer page-footer notice notices complementary contentinfo".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
@@ -87,19 +99,31 @@ class Node:
     parent: int
     never: bool
     kids: list  # child node numbers, or texts
-    marked: bool = False  # never by a class, id or role, not by its tag
+    marked: int = 0  # never by an attribute, not by its tag: 1 a mark of layout, 2 another one
+
 
+def _names_mark(name: str) -> bool:
+    if name in MARKS:
+        return True
+    parts = [x for x in re.split("[-_]+", name) if x and not x.isdigit()]
+    return not TOPICS.isdisjoint(parts) and all(x in TOPICS or x in PLACES for x in parts)
 
-def _marked(attrs: str) -> bool:
+
+def _marked(attrs: str) -> int:
+    """0: no mark, 1: marks of layout only, 2: others."""
+    found: set[str] = set()
     for name, *values in _ATTR.findall(attrs):
         name = name.lower()
+        value = next((v for v in values if v), "").lower()
+        if name == "hidden" and value != "until-found" or name == "style" and re.search(r"display\s*+:\s*+none", value):
+            return 2
         if name in ("class", "id", "role"):
-            said = next((v for v in values if v), "").lower().split()
-            if name == "class" and not MARKS.isdisjoint(said) or name == "id" and len(said) == 1 and said[0] in MARKS:
-                return True
-            if name == "role" and not ROLES.isdisjoint(said):
-                return True
-    return False
+            said = value.split()
+            if name == "role":
+                found |= ROLES.intersection(said)
+            elif name == "class" or len(said) == 1:
+                found |= {x for x in said if _names_mark(x)}
+    return 2 if found - LAYOUT else 1 if found else 0
 
 
 class _Open:
@@ -135,7 +159,7 @@ def read_tree(page: str) -> list[Node]:
     held = _Open(nodes)
     at, end, last, quotes = 0, len(page), page.rfind(">"), True
 
-    def add(tag: str, never: bool = False, marked: bool = False) -> int:
+    def add(tag: str, never: bool = False, marked: int = 0) -> int:
         nodes.append(Node(tag, held.stack[-1], never, [], marked))
         nodes[held.stack[-1]].kids.append(len(nodes) - 1)
         return len(nodes) - 1
@@ -184,8 +208,8 @@ def read_tree(page: str) -> list[Node]:
         if tag in CLOSES:
             held.close(CLOSES[tag], LISTS)
         attrs = m[3]
-        marked = tag not in NEVER and tag in CONTAINERS and "=" in attrs and _marked(attrs)
-        number = add(tag, marked or tag in NEVER, marked)
+        marked = _marked(attrs) if tag not in NEVER and tag in CONTAINERS and attrs.strip("/ ") else 0
+        number = add(tag, bool(marked) or tag in NEVER, marked)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -199,42 +223,70 @@ def read_tree(page: str) -> list[Node]:
     return nodes
 
 
+def _amounts(nodes: list[Node], seen: list[bool]) -> list[int]:
+    """Characters of text in every subtree, those of the elements in ``seen`` only."""
+    out = [sum(len(" ".join(x.split())) for x in n.kids if isinstance(x, str)) if s and n.tag not in RAW else 0 for n, s in zip(nodes, seen)]
+    for k in range(len(nodes) - 1, 0, -1):
+        out[nodes[k].parent] += out[k]
+    return out
+
+
 def _unmark(nodes: list[Node]) -> None:
-    """Marks go from what holds the article (or else the main): the one under the fewest marks, if none is free of them."""
+    """Marks of layout go from what holds the article (or else the main), if that is most of the page and no other one is free."""
     for n in nodes:
         if n.tag in ("html", "body"):
-            n.never = n.marked = False
-    above: list[tuple[int, bool, bool]] = []  # marks, whether a tag is never text, whether a main without either is above
+            n.never, n.marked = False, 0
+    above: list[tuple[int, bool]] = []  # marks, and whether anything above is never text for another reason
     for n in nodes:
-        marks, tagged, inside = above[n.parent] if n.parent >= 0 else (0, False, False)
-        marks, tagged = marks + n.marked, tagged or n.never and not n.marked
-        above.append((marks, tagged, inside or n.tag == "main" and not marks and not tagged))
-    free_main = any(n.tag == "main" and a[2] for n, a in zip(nodes, above))
+        marks, shut = above[n.parent] if n.parent >= 0 else (0, False)
+        above.append((marks + bool(n.marked), shut or n.never and n.marked != 1))
+    held = [k for k, n in enumerate(nodes) if n.tag in ("article", "main") and not above[k][1]]
+    if not held or not any(above[k][0] for k in held):
+        return
+    every = _amounts(nodes, [not shut for _, shut in above])
+    free = _amounts(nodes, [not shut and not marks for marks, shut in above])
+    if any(not above[k][0] and free[k] for k in held):
+        return
     for tag in ("article", "main"):
-        got = [k for k, n in enumerate(nodes) if n.tag == tag and not above[k][1]
-               and (tag == "main" or not free_main or above[k][2])]
+        got = [k for k in held if nodes[k].tag == tag and every[k]]
         if got:
             least = min(above[k][0] for k in got)
+            chosen = [k for k in got if above[k][0] == least]
+            if max(every[k] for k in chosen) <= free[0]:
+                return
             freed: set[int] = set()
-            for k in got if least else ():
-                if above[k][0] == least:
-                    while k > 0 and k not in freed:
-                        freed.add(k)
-                        nodes[k].never = nodes[k].marked = False
-                        k = nodes[k].parent
+            for k in chosen:
+                while k > 0 and k not in freed:
+                    freed.add(k)
+                    if nodes[k].marked:
+                        nodes[k].never, nodes[k].marked = False, 0
+                    k = nodes[k].parent
             return
 
 
 def _main(nodes: list[Node]) -> tuple[list[int], bool]:
     """(main elements, whether they are an article or main)."""
+    shut = [False] * len(nodes)
+    found: dict[str, list[int]] = {"article": [], "main": []}
+    inside: list[tuple[bool, bool]] = []  # an article, a main above
+    for k, n in enumerate(nodes):
+        shut[k] = n.never or n.parent >= 0 and shut[n.parent]
+        article, main = inside[n.parent] if n.parent >= 0 else (False, False)
+        inside.append((article or n.tag == "article", main or n.tag == "main"))
+        # nested ones belong to the outer one
+        if n.tag in found and not shut[k] and not (article if n.tag == "article" else main):
+            found[n.tag].append(k)
+    if found["article"] and found["main"]:
+        amount = _amounts(nodes, [not s for s in shut])
+        within = [k for k in found["article"] if inside[nodes[k].parent][1]]
+        whole = sum(amount[k] for k in found["main"])
+        if whole and any(inside[k][0] for k in found["main"]):  # a main inside an article
+            return found["article"], True
+        if whole:
+            return (within if 2 * sum(amount[k] for k in within) >= whole else found["main"]), True
     for tag in ("article", "main"):
-        left, shut = [], [False] * len(nodes)  # nested ones belong to the outer one
-        for k, n in enumerate(nodes):
-            shut[k] = n.parent >= 0 and (shut[n.parent] or nodes[n.parent].tag == tag or nodes[n.parent].never)
-            if n.tag == tag and not n.never and not shut[k]:
-                left.append(k)
-        if left:
-            return left, True
+        if found[tag]:
+            return found[tag], True
     body = [k for k, n in enumerate(nodes) if n.tag == "body"]
     return body[:1] or [0], False
 

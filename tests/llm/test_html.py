@@ -17,6 +17,18 @@ def text(page):
 
 
 @pytest.mark.parametrize("page, want", [
+    ('<main><p>Main text.</p><section id="comments"><article>first!</article><article>second</article></section></main>', "Main text."),
+    ('<div class="content">Text.</div><div class="comments"><article>c1 is longer than the text</article></div>', "Text."),
+    ('<div class="related"><article>Other</article></div><div>Own</div>', "Own"),
+    ('<div class="sidebar"><article>Other</article></div><div>The page itself</div>', "The page itself"),
+    ('<main><p>Main text, all of it.</p><div><article>reply</article></div></main>', "Main text, all of it.\n\nreply"),
+    ('<main><h1>t</h1><article><p>The article</p></article></main><section><article>teaser</article></section>', "The article"),
+    ('<main><p>Main text</p></main><section><article>A teaser longer than main</article></section>', "Main text"),
+    ('<main></main><article>Body</article>', "Body"),
+    ('<article><main><p>in</p></main><p>after</p></article>', "in\n\nafter"),
+    ('<article><p>a</p><div class="cookie-bar">x</div><div id="comment-section">x</div><section class="post-comments"><article>x</article></section>'
+     '<div class="adsbygoogle">x</div><div class="ad-top">x</div><div hidden>x</div><div style="color:red;display: none">x</div>'
+     '<div class="ad_300">x</div><div class="cookie-recipe">b</div><div class="comment-policy-history">c</div></article>', "a\n\nb\n\nc"),
     ('<div class="content no-sidebar"><article><p>Body</p></article></div>', "Body"),
     ('<div class="sidebar"><article><p>Body</p></article></div>', "Body"),
     ('<article><h2 id="related-work">Related</h2><section id="social-history"><p>x</p></section></article>', "Related\n\nx"),
