@@ -70,9 +70,9 @@ def dedupe(coords: Column) -> Column:
 
 
 def close_ring(coords: Column) -> Column:
-    first = F.get(coords, F.lit(0))
-    return F.when(F.size(coords) == 0, coords).when(first == F.element_at(coords, -1), coords).otherwise(
-        F.concat(coords, F.array(first)))
+    """Repeated points once, and the first one again at the end."""
+    return let(dedupe(coords), lambda c: F.when((F.size(c) == 0) | (F.get(c, F.lit(0)) == F.element_at(c, -1)), c).otherwise(
+        F.concat(c, F.slice(c, 1, 1))))
 
 
 def _segments(coords: Column) -> Column:

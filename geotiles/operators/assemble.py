@@ -6,6 +6,7 @@ import math
 from collections import deque
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,17 +30,23 @@ def needed_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def resolve_way_coords(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(way_id, refs, coords): node points in ref order, missing nodes skipped."""
-    met = refs.join(nodes.select(F.col("id").alias("ref"), "lon", "lat"), "ref")
+    """(way_id, refs, points, coords): all refs in order, a point or null for each, and the points that are there.
+
+    Closedness and the joints of rings are questions to the refs; only geometry skips a missing node.
+    """
+    met = refs.join(nodes.select(F.col("id").alias("ref"), "lon", "lat"), "ref", "left")
     return collect_coords(met, "way_id")
 
 
 def collect_coords(df: DataFrame, key: str) -> DataFrame:
-    """Ordered points and refs per key, of rows (key, pos, ref, lon, lat)."""
-    line = F.array_sort(F.collect_list(F.struct("pos", "ref", F.col("lon").alias("x"), F.col("lat").alias("y"))))
-    return df.groupBy(key).agg(line.alias("_l")).select(
-        key, F.transform("_l", lambda p: p["ref"]).alias("refs"),
-        F.transform("_l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("coords"))
+    """(key, refs, points, coords) of rows (key, pos, ref, lon, lat); a row without lon or lat is a missing node."""
+    point = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("p")
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ref", point))).alias("_l")).select(
+        key, F.col("_l.ref").alias("refs"), F.col("_l.p").alias("points"), present(F.col("_l.p")).alias("coords"))
+
+
+def present(points: Column) -> Column:
+    return F.filter(points, lambda p: p.isNotNull())
 
 
 def way_boxes(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -50,11 +57,11 @@ def way_boxes(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def resolve_members(members: DataFrame, ways: DataFrame, helpers: DataFrame | None = None) -> DataFrame:
-    """Members (rel_id, ref, role, pos) with their way's refs and coords; helper ways come first, missing ones drop."""
+    """Members (rel_id, ref, role, pos) with their way's refs and points; helper ways come first, missing ones drop."""
     if helpers is None:
         return members.join(ways.withColumnRenamed("way_id", "ref"), "ref")
     both = helpers.withColumn("_o", F.lit(0)).unionByName(ways.withColumn("_o", F.lit(1)))
-    best = both.groupBy("way_id").agg(F.min_by(F.struct("refs", "coords"), "_o").alias("w")).select(
+    best = both.groupBy("way_id").agg(F.min_by(F.struct("refs", "points"), "_o").alias("w")).select(
         F.col("way_id").alias("ref"), "w.*")
     return members.join(best, "ref")
 
@@ -66,11 +73,14 @@ def helper_ways(ways: DataFrame, members: DataFrame, classified: DataFrame) -> D
 
 
 def dedup_first(features: DataFrame, keys: tuple[str, ...] = ("layer", "id"), order: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """First feature of each (layer, id); null and empty ids are all kept, 0 is an id."""
+    """First feature of each (layer, id); null and empty ids are all kept, 0 is an id.
+
+    A feature without id is a group of its own by a row number, so the input is read once and no group is large.
+    """
     bare = F.col(keys[-1]).isNull() | (F.col(keys[-1]).cast("string") == "")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (features.where(~bare).withColumn("_n", place).where("_n = 1").drop("_n")
-            .unionByName(features.where(bare)))
+    alone = features.withColumn("_alone", F.when(bare, F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy(*keys, "_alone").orderBy(*order))
+    return alone.withColumn("_n", place).where("_n = 1").drop("_n", "_alone")
 
 
 def dedup_last(nodes: DataFrame, key: str = "id", order: str = "src") -> DataFrame:
@@ -97,31 +107,32 @@ def infer_extent(nodes: DataFrame, header: tuple[float, float, float, float] | N
     return box.withColumn("minx", F.when(F.coalesce(flat, F.lit(True)), F.raise_error(F.lit("degenerate extent")).cast("double")).otherwise(F.col("minx")))
 
 
-def way_geometry(layer: Column, aeroway: Column, refs: Column, coords: Column, area: Column | None = None) -> Column:
-    """Geometry of a way by layer: lines, polygons if closed, or null."""
-    line = F.when(F.size(coords) >= 2, g.line_string(coords))
-    closed = g.is_closed(refs)
-    polygon = F.when(closed & (F.size(coords) >= 4), g.polygon(g.close_ring(coords)))
+def way_geometry(layer: Column, aeroway: Column, refs: Column, coords: Column) -> Column:
+    """Geometry of a way by layer: lines, polygons if its refs close, or null; repeated points count once."""
+    line = g.let(g.dedupe(coords), lambda c: F.when(F.size(c) >= 2, g.line_string(c)))
+    area = g.let(g.close_ring(coords), lambda c: F.when(F.size(c) >= 4, g.multi_polygon(F.array(F.array(c)))))
+    closed = F.coalesce(g.is_closed(refs), F.lit(False))
     return (F.when(layer.isin("roads", "railways", "coastline", "cliffs"), line)
-            .when(layer.isin("boundaries", "pois"), F.coalesce(polygon, line))
-            .when(layer == "aip", F.when(closed, polygon).when(~aeroway.isin("apron", "terminal", "helipad"), line))
-            .otherwise(polygon))
+            .when(closed, area)
+            .when(layer.isin("boundaries", "pois"), line)
+            .when((layer == "aip") & ~F.coalesce(aeroway, F.lit("")).isin("apron", "terminal", "helipad"), line))
 
 
 _RING = "rel_id long, role string, ring int, first_pos long, refs array<long>, xs array<double>, ys array<double>"
 
 
 def _join_ends(pdf: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple[float, float]]]]:
-    """Greedy end-to-end joining of one relation's member ways, first match in member order.
+    """Greedy end-to-end joining of one relation's member ways by their refs, first match in member order.
 
-    Ways are found by the nodes at their ends, so the work grows with the ways.
+    A ring has four refs at least; points of missing nodes (NaN) and repeated ones are left out, and what is left of a ring
+    counts if four points, with the closing one, remain.  Ways are found by the nodes at their ends, so the work grows with the ways.
     """
     pdf = pdf.sort_values("pos", kind="stable")
-    ways = [(int(p), list(r), list(zip(x, y))) for p, r, x, y in zip(pdf["pos"], pdf["refs"], pdf["xs"], pdf["ys"])]
+    ways = [(int(p), list(r), list(zip(x, y))) for p, r, x, y in zip(pdf["pos"], pdf["refs"], pdf["xs"], pdf["ys"]) if len(r) >= 2]
     used = [False] * len(ways)
     ends: dict[int, deque[int]] = {}
     for k, (_, r, _) in enumerate(ways):
-        for node in {r[0], r[-1]} if r else ():
+        for node in {r[0], r[-1]}:
             ends.setdefault(node, deque()).append(k)
 
     def first(node: int) -> int:
@@ -135,7 +146,7 @@ def _join_ends(pdf: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple[f
             continue
         used[k] = True
         refs, pts = deque(r), deque(c)
-        while refs and refs[0] != refs[-1]:
+        while len(refs) < 4 or refs[0] != refs[-1]:
             best = min(first(refs[-1]), first(refs[0]))
             if best == len(ways):
                 break
@@ -154,17 +165,21 @@ def _join_ends(pdf: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple[f
                 refs.extendleft(r[1:])
                 pts.extendleft(c[1:])
         if len(refs) >= 4 and refs[0] == refs[-1]:
-            yield pos, list(refs), list(pts)
+            ring = [p for p, _ in groupby(p for p in pts if p[0] == p[0])]
+            if ring and ring[0] != ring[-1]:
+                ring.append(ring[0])
+            if len(ring) >= 4:
+                yield pos, list(refs), ring
 
 
 def assemble_rings(members: DataFrame) -> DataFrame:
-    """(rel_id, role, ring, first_pos, refs, coords): closed rings of every relation and role.
+    """(rel_id, role, ring, first_pos, refs, coords) of members (rel_id, role, pos, refs, points): closed rings of every relation and role.
 
     Order matters inside a relation, so one relation's member ways of a role meet in one
     group; its size is that of the relation itself.
     """
     flat = members.select("rel_id", F.when(F.col("role") == "inner", "inner").otherwise("outer").alias("role"), "pos", "refs",
-                          F.transform("coords", lambda p: p["x"]).alias("xs"), F.transform("coords", lambda p: p["y"]).alias("ys"))
+                          *[F.transform("points", lambda p: F.coalesce(p[c], F.lit(float("nan")))).alias(f"{c}s") for c in ("x", "y")])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(pdf["rel_id"].iloc[0], pdf["role"].iloc[0], k, pos, refs, [p[0] for p in pts], [p[1] for p in pts])
@@ -196,6 +211,7 @@ def relation_polygons(rings: DataFrame) -> DataFrame:
 
 def relation_lines(met: DataFrame) -> DataFrame:
     """(rel_id, line): the member ways of a relation as a line, or several, in member order."""
+    met = met.select("rel_id", "pos", g.dedupe(present(F.col("points"))).alias("coords")).where(F.size("coords") >= 2)
     per = met.groupBy("rel_id").agg(F.array_sort(F.collect_list(F.struct("pos", "coords"))).alias("l"))
     kind = F.when(F.size("l") > 1, "MultiLineString").otherwise("LineString").alias("kind")
     return per.select("rel_id", F.struct(kind, F.transform("l", lambda x: F.array(x["coords"])).alias("parts")).cast(g.GEOMETRY).alias("line"))
@@ -204,18 +220,23 @@ def relation_lines(met: DataFrame) -> DataFrame:
 def relation_geometry(rels: DataFrame, met: DataFrame) -> DataFrame:
     """Adds ``geom`` to rows (layer, id, ...): the polygons its members close, else, for layers that may be lines, their lines.
 
-    ``met`` holds the member ways (rel_id, pos, role, refs, coords).
+    ``met`` holds the member ways (rel_id, pos, role, refs, points).
     """
     rings = settled(assemble_rings(met), "rings")  # outer and inner rings are read apart
     areas = relation_polygons(rings).select(F.col("rel_id").alias("area_of"), F.col("geom").alias("area"))
-    lines = relation_lines(met.where(F.size("coords") >= 2)).withColumnRenamed("rel_id", "line_of")
+    lines = relation_lines(met).withColumnRenamed("rel_id", "line_of")
     lined = F.col("layer").isin("coastline", "cliffs", "boundaries", "pois")
     return (rels.join(areas, F.col("id") == F.col("area_of"), "left").join(lines, F.col("id") == F.col("line_of"), "left")
             .withColumn("geom", F.coalesce("area", F.when(lined, F.col("line")))).drop("area_of", "area", "line_of", "line"))
 
 
 def union_features(*frames: DataFrame) -> DataFrame:
-    """Features of several kinds or extracts as one table; columns missing on one side are null."""
+    """Features of several kinds or extracts as one table; columns missing on one side are null.
+
+    Spark 4.1 may zip the partitions of a union's branches; where branches share a reused exchange that is coalesced in one of
+    them only, that loses rows (the layer build lost its relations), so it is switched off here.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -23,10 +23,9 @@ def build_layers(nodes: DataFrame, ways: DataFrame, relations: DataFrame, box: t
         "layer", F.concat(F.lit("node/"), F.col("id")).alias("id"), F.lit(0).alias("ord"), "tags", g.point(g.xy(F.col("lon"), F.col("lat"))).alias("geom"))
     refs = ways.select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "ref"))
     lines = a.resolve_way_coords(refs, nodes)
-    kind = F.coalesce(F.col("tags")["aeroway"], F.lit(""))
     by_way = c.classify_ways(ways.select("id", "tags"), layers).join(lines, F.col("id") == F.col("way_id")).select(
         "layer", F.concat(F.lit("way/"), F.col("id")).alias("id"), F.lit(1).alias("ord"), "tags",
-        a.way_geometry(F.col("layer"), kind, F.col("refs"), F.col("coords")).alias("geom"))
+        a.way_geometry(F.col("layer"), F.col("tags")["aeroway"], F.col("refs"), F.col("coords")).alias("geom"))
     rels = c.classify_relations(relations, layers)
     members = rels.select(F.col("id").alias("rel_id"), F.posexplode("members").alias("pos", "m")).select(
         "rel_id", "pos", F.col("m.ref").alias("ref"), F.col("m.role").alias("role"), F.col("m.type").alias("type")).where("type = 'way'").drop("type").distinct()

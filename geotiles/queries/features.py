@@ -8,6 +8,7 @@ from ..functions import geometry as g
 from ..functions import text as tx
 from ..operators import assemble as a
 from ..operators import classify as c
+from ..plans import build
 from ..views import table, view, with_views
 
 CITY = (-3.8, 40.35, -3.6, 40.5)
@@ -66,7 +67,7 @@ SELECT fid, true AS poi, coalesce(first, CASE WHEN radar THEN 'communications' E
 def way_lines(spark, d):
     """Points of every way in ref order, with its length; a tenth of the nodes is missing."""
     nodes = view(spark, d, "geo_nodes").where("id % 10 <> 0")
-    w = a.resolve_way_coords(view(spark, d, "geo_way_refs"), nodes)
+    w = a.resolve_way_coords(view(spark, d, "geo_way_refs"), nodes).where(F.size("coords") > 0)
     return w.select("way_id", F.size("coords").alias("n"), F.round(g.line_length(F.col("coords")), 8).alias("length"),
                     F.round(F.abs(g.let(g.close_ring(F.col("coords")), g.ring_area)), 6).alias("area"))
 
@@ -80,25 +81,71 @@ SELECT way_id, count(*)::INTEGER AS n, round(coalesce(sum(sqrt((lon - plon) * (l
 FROM p GROUP BY way_id"""
 
 
-def way_geometries(spark, d):
-    """Kinds of geometry by layer, with vertices."""
+def _ref_rows(spark, d):
+    """Refs of ways; those of closed ways end at their first node, and every fifth way repeats its second ref."""
     refs = view(spark, d, "geo_way_refs")
     closed = view(spark, d, "geo_ways").where("closed").select(F.col("id").alias("way_id"))
-    first = refs.join(closed, "way_id", "left_semi").groupBy("way_id").agg(F.min_by("ref", "pos").alias("ref"), (F.max("pos") + 1).cast("int").alias("pos"))
-    coords = a.resolve_way_coords(refs.unionByName(first.select("way_id", "ref", "pos")), view(spark, d, "geo_nodes"))
+    last = refs.join(closed, "way_id", "left_semi").groupBy("way_id").agg(F.min_by("ref", "pos").alias("ref"), (F.max("pos") * 2 + 2).alias("pos"))
+    twice = refs.where("way_id % 5 = 0 AND pos = 2").select("way_id", "ref", F.lit(5).alias("pos"))
+    return refs.withColumn("pos", F.col("pos") * 2).unionByName(last.select("way_id", "ref", "pos")).unionByName(twice.select("way_id", "ref", "pos"))
+
+
+def way_geometries(spark, d):
+    """Kinds of geometry by layer, with vertices; a tenth of the nodes is missing."""
+    coords = a.resolve_way_coords(_ref_rows(spark, d), view(spark, d, "geo_nodes").where("id % 10 <> 3"))
     ways = c.classify_ways(_tagged_ways(spark, d)).join(coords, F.col("id") == F.col("way_id"))
-    made = ways.withColumn("geom", a.way_geometry(F.col("layer"), F.coalesce("aeroway", F.lit("")), F.col("refs"), F.col("coords")))
+    made = ways.withColumn("geom", a.way_geometry(F.col("layer"), F.col("aeroway"), F.col("refs"), F.col("coords")))
     return made.groupBy("layer", F.col("geom.kind").alias("kind")).agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("geom").isNotNull(), g.vertex_count(F.col("geom")))).alias("vertices"))
 
 
-_WAYGEO = f"""{with_views("geo_ways", "geo_way_refs", "geo_nodes")}, {_CLASSIFIED},
-s AS (SELECT way_id, count(*) AS n, arg_min(ref, pos) = arg_max(ref, pos) AS loops FROM geo_way_refs GROUP BY way_id),
-m AS (SELECT layer, closed, n, n + closed::INT AS v, CASE WHEN closed THEN n >= 3 ELSE n >= 4 AND loops END AS ring FROM cl JOIN s ON id = way_id),
-k AS (SELECT layer, v, CASE WHEN layer IN ('roads', 'coastline') THEN CASE WHEN v >= 2 THEN 'LineString' END
- WHEN layer IN ('pois') THEN CASE WHEN ring THEN 'Polygon' WHEN v >= 2 THEN 'LineString' END
- WHEN layer = 'aip' THEN CASE WHEN ring THEN 'Polygon' WHEN v >= 2 THEN 'LineString' END ELSE CASE WHEN ring THEN 'Polygon' END END AS kind FROM m)
-SELECT layer, kind, count(*) AS n, CASE WHEN kind IS NOT NULL THEN sum(v) END::BIGINT AS vertices FROM k GROUP BY layer, kind"""
+_REF_ROWS = """rr AS (SELECT way_id, ref, pos * 2 AS pos FROM geo_way_refs
+ UNION ALL SELECT way_id, arg_min(ref, pos), max(pos) * 2 + 2 FROM geo_way_refs WHERE way_id % 4 = 0 GROUP BY way_id
+ UNION ALL SELECT way_id, ref, 5 FROM geo_way_refs WHERE way_id % 5 = 0 AND pos = 2)"""
+#: Rule: refs decide whether a way is closed, the points of known nodes make it, neighbours that are equal count once.
+_WAY_SHAPES = f"""{_REF_ROWS},
+wf AS (SELECT way_id, count(*) >= 4 AND arg_min(ref, pos) = arg_max(ref, pos) AS closed FROM rr GROUP BY way_id),
+wp AS (SELECT way_id, pos, lon, lat, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM rr JOIN geo_nodes ON ref = id WHERE id % 10 <> 3
+ WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+wd AS (SELECT way_id, count(*) AS line, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy,
+ count(*) + ((arg_min(lon, pos), arg_min(lat, pos)) <> (arg_max(lon, pos), arg_max(lat, pos)))::INT AS ring
+ FROM wp WHERE plon IS NULL OR plon <> lon OR plat <> lat GROUP BY way_id),
+ws AS (SELECT way_id, closed, coalesce(line, 0) AS line, coalesce(ring, 0) AS ring, minx, miny, maxx, maxy FROM wf LEFT JOIN wd USING (way_id)),
+wk AS (SELECT cl.id, layer, minx, miny, maxx, maxy, line, ring, CASE WHEN layer IN ('roads', 'coastline') THEN CASE WHEN line >= 2 THEN 'LineString' END
+ WHEN ws.closed THEN CASE WHEN ring >= 4 THEN 'MultiPolygon' END WHEN layer IN ('pois', 'aip') AND line >= 2 THEN 'LineString' END AS kind
+ FROM cl JOIN ws ON id = way_id)"""
+_WAYGEO = f"""{with_views("geo_ways", "geo_way_refs", "geo_nodes")}, {_CLASSIFIED}, {_WAY_SHAPES}
+SELECT layer, kind, count(*) AS n, sum(CASE kind WHEN 'LineString' THEN line WHEN 'MultiPolygon' THEN ring END)::BIGINT AS vertices FROM wk GROUP BY layer, kind"""
+
+
+def built_layers(spark, d):
+    """The whole layer build over an extract that lacks a tenth of its nodes: features, geometries and boxes by layer.
+
+    Relations are made of closed ways, so that SQL can say their rings; pois made of ways are left to kept_features.
+    """
+    nodes = view(spark, d, "geo_nodes").where("id % 10 <> 3").withColumn("tags", F.create_map(F.lit("aeroway"), F.when(F.col("id") % 6 == 0, "helipad")))
+    refs = _ref_rows(spark, d).groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("r"))
+    ways = _tagged_ways(spark, d).join(refs, F.col("id") == F.col("way_id")).select("id", F.col("r.ref").alias("refs"), "tags")
+    member = F.struct(F.lit("way").alias("type"), "ref", F.lit("outer").alias("role"))
+    loops = view(spark, d, "geo_relation_members").join(ways.where(g.is_closed(F.col("refs"))).select(F.col("id").alias("ref")), "ref", "left_semi")
+    rels = loops.groupBy(F.col("rel_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", member.alias("m")))).alias("m")).select(
+        "id", F.col("m.m").alias("members"), F.create_map(F.when(F.col("id") % 2 == 0, "natural").otherwise("boundary"), F.when(F.col("id") % 2 == 0, "coastline").otherwise("administrative")).alias("tags"))
+    got = build.build_layers(nodes, ways, rels, CITY).where("NOT (layer = 'pois' AND id LIKE 'way/%')")
+    return got.groupBy("layer", F.regexp_extract("id", "^[a-z]+", 0).alias("source"), F.col("geom.kind").alias("kind")).agg(
+        F.count("*").alias("n"), F.round(F.min("minx"), 6).alias("minx"), F.round(F.max("maxy"), 6).alias("maxy"))
+
+
+_BUILT = f"""{with_views("geo_ways", "geo_way_refs", "geo_nodes", "geo_relation_members")}, {_CLASSIFIED}, {_WAY_SHAPES},
+mr AS (SELECT rel_id, ws.* FROM geo_relation_members m JOIN ws ON m.ref = ws.way_id WHERE ws.closed),
+ra AS (SELECT rel_id, 'MultiPolygon' AS kind, min(minx) AS minx, max(maxx) AS maxx, min(miny) AS miny, max(maxy) AS maxy FROM mr WHERE ring >= 4 GROUP BY rel_id),
+rl AS (SELECT rel_id, CASE WHEN count(*) > 1 THEN 'MultiLineString' ELSE 'LineString' END AS kind, min(minx) AS minx, max(maxx) AS maxx, min(miny) AS miny, max(maxy) AS maxy
+ FROM mr WHERE line >= 2 AND rel_id NOT IN (SELECT rel_id FROM ra) GROUP BY rel_id),
+rg AS (SELECT * FROM ra UNION ALL SELECT * FROM rl),
+ff AS (SELECT layer, 'way' AS source, kind, minx, maxx, miny, maxy FROM wk WHERE kind IS NOT NULL AND layer <> 'pois'
+ UNION ALL SELECT CASE WHEN rel_id % 2 = 0 THEN 'coastline' ELSE 'boundaries' END, 'relation', kind, minx, maxx, miny, maxy FROM rg
+ UNION ALL SELECT unnest(['aip', 'pois']), 'node', 'Point', lon, lon, lat, lat FROM geo_nodes WHERE id % 6 = 0 AND id % 10 <> 3)
+SELECT layer, source, kind, count(*) AS n, round(min(minx), 6) AS minx, round(max(maxy), 6) AS maxy FROM ff
+WHERE maxx >= -3.8 AND minx <= -3.6 AND maxy >= 40.35 AND miny <= 40.5 GROUP BY ALL"""
 
 
 def relation_members(spark, d):
@@ -143,7 +190,7 @@ def ring_assembly(spark, d):
         pts = F.array(g.xy(F.col("lon") + x0, F.col("lat") + y0), g.xy(F.col("lon") + x1, F.col("lat") + y1))
         turn = (F.col("fid") + k) % 3 == 0
         sides.append(F.struct(F.lit((k * 3) % 4).cast("long").alias("pos"), F.when(turn, F.reverse(ids)).otherwise(ids).alias("refs"),
-                              F.when(turn, F.reverse(pts)).otherwise(pts).alias("coords")))
+                              F.when(turn, F.reverse(pts)).otherwise(pts).alias("points")))
     members = rel.select(F.col("fid").alias("rel_id"), F.lit("outer").alias("role"), F.explode(F.array(*sides)).alias("s")).select("rel_id", "role", "s.*")
     rings = a.assemble_rings(members.where("NOT (rel_id % 10 = 0 AND pos = 2)"))
     return rings.select("rel_id", "ring", F.size("refs").alias("n"), F.round(F.abs(g.ring_area(F.col("coords"))), 6).alias("area"))
@@ -153,15 +200,19 @@ _RINGS = f"""{with_views("geo_points")} SELECT fid AS rel_id, 0::INTEGER AS ring
 
 
 def relation_shapes(spark, d):
-    """Relations of four sides in two layers: closed ones become polygons, open ones lines where the layer may be lines; a small ring is a hole."""
+    """Relations of four sides in two layers: closed ones become polygons, open ones lines where the layer may be lines; a small ring is a hole.
+
+    In every fifth relation the node where the first two sides meet is missing: the ring closes all the same.
+    """
     p = view(spark, d, "geo_points")
     parts = []
     for k, ((x0, y0), (x1, y1)) in enumerate(zip(((0, 0), (1, 0), (1, 1), (0, 1)), ((1, 0), (1, 1), (0, 1), (0, 0)))):
         for role, base, size in (("outer", 0, 1.0), ("inner", 100, 0.25)):
             ids = F.array(F.col("fid") * 1000 + base + k, F.col("fid") * 1000 + base + (k + 1) % 4)
-            pts = F.array(g.xy(F.col("lon") + (x0 * size + (0.3 if base else 0)), F.col("lat") + (y0 * size + (0.3 if base else 0))),
-                          g.xy(F.col("lon") + (x1 * size + (0.3 if base else 0)), F.col("lat") + (y1 * size + (0.3 if base else 0))))
-            parts.append(F.struct(F.lit(base + k).cast("long").alias("pos"), F.lit(role).alias("role"), ids.cast("array<bigint>").alias("refs"), pts.alias("coords")))
+            pts = F.array(g.xy(F.col("lon") + (x0 * size + (0.1 if base else 0)), F.col("lat") + (y0 * size + (0.6 if base else 0))),
+                          g.xy(F.col("lon") + (x1 * size + (0.1 if base else 0)), F.col("lat") + (y1 * size + (0.6 if base else 0))))
+            parts.append(F.struct(F.lit(base + k).cast("long").alias("pos"), F.lit(role).alias("role"), ids.cast("array<bigint>").alias("refs"),
+                                  F.transform(pts, lambda q, i: F.when(~((F.col("fid") % 5 == 0) & (F.get(ids, i) % 100 == 1)), q)).alias("points")))
     met = p.select(F.col("fid").alias("rel_id"), F.explode(F.array(*parts)).alias("m")).select("rel_id", "m.*")
     met = met.where("NOT (rel_id % 4 = 0 AND pos = 3)").where("NOT (rel_id % 3 = 0 AND role = 'inner')")
     rels = p.select(F.col("fid").alias("id"), F.when(F.col("fid") % 8 < 4, "water").otherwise("boundaries").alias("layer"))
@@ -170,9 +221,10 @@ def relation_shapes(spark, d):
 
 
 _RELS = f"""{with_views("geo_points")}, r AS (SELECT fid, CASE WHEN fid % 8 < 4 THEN 'water' ELSE 'boundaries' END AS layer, fid % 4 = 0 AS open, fid % 3 <> 0 AS hole FROM geo_points)
-SELECT fid AS id, layer, CASE WHEN NOT open THEN 'MultiPolygon' WHEN layer = 'boundaries' THEN 'MultiLineString' END AS kind,
- CASE WHEN NOT open THEN 1 + hole::INTEGER WHEN layer = 'boundaries' THEN 3 + 4 * hole::INTEGER END::INTEGER AS rings,
- CASE WHEN NOT open THEN 5 + 5 * hole::INTEGER WHEN layer = 'boundaries' THEN 6 + 8 * hole::INTEGER END::INTEGER AS vertices FROM r"""
+SELECT fid AS id, layer, CASE WHEN NOT open THEN 'MultiPolygon' WHEN layer = 'boundaries' THEN CASE WHEN gap = 1 AND NOT hole THEN 'LineString' ELSE 'MultiLineString' END END AS kind,
+ CASE WHEN NOT open THEN 1 + hole::INTEGER WHEN layer = 'boundaries' THEN 3 + 4 * hole::INTEGER - gap * (2 + 2 * hole::INTEGER) END::INTEGER AS rings,
+ CASE WHEN NOT open THEN (5 - gap) * (1 + hole::INTEGER) WHEN layer = 'boundaries' THEN 6 + 8 * hole::INTEGER - gap * (4 + 4 * hole::INTEGER) END::INTEGER AS vertices
+ FROM (SELECT *, (fid % 5 = 0)::INT AS gap FROM r)"""
 
 
 def first_seen(spark, d):
@@ -237,7 +289,7 @@ _TEXTS = r"""SELECT p_partkey AS fid, trim(regexp_replace(p_name, '\s+', ' ', 'g
 
 
 QUERIES = {f.__name__: f for f in (
-    classify_ways, classify_relations, layer_properties, point_features, poi_categories, way_lines, way_geometries, relation_members,
+    classify_ways, classify_relations, layer_properties, point_features, poi_categories, way_lines, way_geometries, built_layers, relation_members,
     needed_nodes, helper_ways, ring_assembly, relation_shapes, first_seen, merged_sources, node_extent, kept_features, label_texts)}
 
 ORACLES = {
@@ -246,7 +298,7 @@ ORACLES = {
     "layer_properties": f"{with_views('geo_ways')}, {_CLASSIFIED} SELECT 'way/' || id AS id, landuse, natural_ AS natural, CASE WHEN layer = 'pois' THEN 'industrial' END AS poi_category, NULL::VARCHAR AS layer_name FROM cl WHERE layer IN ('landuse', 'pois')",
     "point_features": f"""{with_views('geo_nodes')}, i AS (SELECT id FROM geo_nodes WHERE lon BETWEEN -3.8 AND -3.6 AND lat BETWEEN 40.35 AND 40.5)
 SELECT id, 'aip' AS layer FROM i WHERE id % 3 = 0 UNION ALL SELECT id, 'pois' FROM i WHERE id % 4 = 0 OR id % 3 = 0""",
-    "poi_categories": _POI, "way_lines": _LINES, "way_geometries": _WAYGEO, "relation_members": _MEMBERS,
+    "poi_categories": _POI, "way_lines": _LINES, "way_geometries": _WAYGEO, "built_layers": _BUILT, "relation_members": _MEMBERS,
     "relation_shapes": _RELS,
     "needed_nodes": f"{with_views('geo_nodes', 'geo_way_refs', 'geo_ways')} SELECT id FROM geo_nodes WHERE id IN (SELECT ref FROM geo_way_refs WHERE way_id IN (SELECT id FROM geo_ways WHERE natural_ = 'coastline'))",
     "helper_ways": f"{with_views('geo_ways', 'geo_relation_members')}, {_CLASSIFIED} SELECT id FROM geo_ways WHERE id IN (SELECT ref FROM geo_relation_members) AND id NOT IN (SELECT id FROM cl WHERE layer IN ('buildings', 'water', 'landuse'))",

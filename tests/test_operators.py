@@ -188,11 +188,45 @@ def test_quadtree_owns_every_feature_once(spark):
 def test_rings_join_in_any_direction(spark):
     rows = [(1, "outer", 0, [1, 2], [(0.0, 0.0), (1.0, 0.0)]), (1, "outer", 1, [3, 2], [(1.0, 1.0), (1.0, 0.0)]), (1, "outer", 2, [3, 4, 1], [(1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]),
             (1, "inner", 3, [7, 8, 9, 7], [(0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.4)]), (2, "outer", 0, [1, 2], [(0.0, 0.0), (1.0, 0.0)])]
-    df = spark.createDataFrame(rows, "rel_id long, role string, pos long, refs array<long>, coords array<struct<x:double,y:double>>")
+    df = spark.createDataFrame(rows, "rel_id long, role string, pos long, refs array<long>, points array<struct<x:double,y:double>>")
     polygons = asm.relation_polygons(asm.assemble_rings(df)).collect()
     assert [r.rel_id for r in polygons] == [1] and [len(p) for p in polygons[0].geom.parts] == [2]
 
 
+def test_missing_nodes_and_repeated_points(spark):
+    """Refs say whether a way closes; what is left of its points says whether it has a shape."""
+    nodes = spark.createDataFrame([(k, x, y) for k, x, y in ((2, 1.0, 0.0), (3, 1.0, 1.0), (4, 0.0, 1.0), (5, 2.0, 2.0), (6, 3.0, 3.0))], "id long, lon double, lat double")
+    ways = {1: [1, 2, 3, 4, 1], 2: [5, 5], 3: [5, 5, 6], 4: [1, 2, 3, 1], 5: [2, 3, 4], 6: [7, 8, 9, 7], 7: [2, 3, 2, 3, 2]}
+    refs = spark.createDataFrame([(w, k, r) for w, rs in ways.items() for k, r in enumerate(rs)], "way_id long, pos int, ref long")
+    lines = asm.resolve_way_coords(refs, nodes)
+    got = {(r.way_id, r.layer): (r.geom.kind, [(p.x, p.y) for p in r.geom.parts[0][0]]) if r.geom else None for r in lines.select(
+        "way_id", "refs", "coords", F.explode(F.array(*[F.lit(x) for x in ("roads", "buildings", "pois")])).alias("layer")).withColumn(
+        "geom", asm.way_geometry(F.col("layer"), F.lit(None).cast("string"), F.col("refs"), F.col("coords"))).collect()}
+    a, b, c = (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)
+    assert got[1, "buildings"] == got[1, "pois"] == ("MultiPolygon", [a, b, c, a]) and got[1, "roads"] == ("LineString", [a, b, c])
+    assert got[2, "roads"] is None and got[3, "roads"] == ("LineString", [(2.0, 2.0), (3.0, 3.0)])
+    assert got[4, "pois"] is None and got[5, "pois"][0] == "LineString" and got[5, "buildings"] is None
+    assert got[6, "roads"] is None and got[6, "buildings"] is None and got[7, "buildings"] == ("MultiPolygon", [a, b, a, b, a])
+
+
+def test_relation_closes_over_a_missing_joint(spark):
+    p = lambda *xy: [None if q is None else q for q in xy]
+    rows = [(1, "outer", 0, [1, 2, 9], p((0.0, 0.0), (4.0, 0.0), None)), (1, "outer", 1, [9, 4, 1], p(None, (0.0, 4.0), (0.0, 0.0))),
+            (2, "outer", 0, [1, 2], p((0.0, 0.0), (4.0, 0.0))), (2, "outer", 1, [2, 1], p((4.0, 0.0), (0.0, 0.0))), (2, "outer", 2, [1, 3, 1], p((0.0, 0.0), (4.0, 4.0), (0.0, 0.0)))]
+    met = spark.createDataFrame(rows, "rel_id long, role string, pos long, refs array<long>, points array<struct<x:double,y:double>>")
+    rels = spark.createDataFrame([(1, "buildings"), (2, "buildings")], "id long, layer string")
+    got = {r.id: r.geom for r in asm.relation_geometry(rels, met).collect()}
+    assert [(q.x, q.y) for q in got[1].parts[0][0]] == [(0, 0), (4, 0), (0, 4), (0, 0)]
+    assert [(q.x, q.y) for q in got[2].parts[0][0]] == [(0, 0), (4, 0), (0, 0), (4, 4), (0, 0)]  # ends that meet too early go on
+
+
+def test_build_reads_its_input_once(spark):
+    f = spark.createDataFrame([("roads", None, 1), ("roads", None, 2), ("roads", "", 3), ("roads", "0", 4), ("roads", "0", 5)], "layer string, id string, ord int")
+    assert sorted(r.ord for r in asm.dedup_first(f).collect()) == [1, 2, 3, 4]
+    plan = asm.dedup_first(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_build_layers_from_entities(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0, {"aeroway": "helipad"}), (2, 1.0, 1.0, {})], "id long, lon double, lat double, tags map<string,string>")
     ways = spark.createDataFrame([(10, [1, 2], {"highway": "residential", "name": "Test Road"})], "id long, refs array<long>, tags map<string,string>")
