@@ -19,8 +19,13 @@ def filled(col: Column) -> Column:
     return F.coalesce(col, F.lit("")) != ""
 
 
+#: What counts as white space in texts (ASCII blanks, the no-break, typographic and ideographic spaces, line ends, the byte order mark).
+BLANKS = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+
+
 def clean_text(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col.cast("string"), r"\s+", " "))
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(col.cast("string"), BLANKS, " "))
 
 
 def first_text(*cols: Column) -> Column:
@@ -49,10 +54,10 @@ def first_label(*cols: Column, generic: frozenset[str] = GENERIC) -> Column:
 
 
 def title_case(col: Column) -> Column:
-    """Underscores to spaces, each word's first letter raised, the rest left as it is."""
-    parts = F.split(F.replace(col, F.lit("_"), F.lit(" ")), " ")
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"),
-                                                              F.call_function("substring", w, F.lit(2)))), " ")
+    """Cleaned, underscores as spaces, the first of every run of ASCII letters and digits raised, the rest left as it is."""
+    runs = F.regexp_extract_all(F.replace(clean_text(col), F.lit("_"), F.lit(" ")), F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[a-z]"), F.concat(
+        F.upper(F.substring(r, 1, 1)), F.call_function("substring", r, F.lit(2)))).otherwise(r)), "")
 
 
 def designators(ref: Column) -> Column:

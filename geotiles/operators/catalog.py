@@ -205,6 +205,3 @@ def airport_catalog(features: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def write_catalog(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-LABEL = clean_text

@@ -212,7 +212,7 @@ SELECT depth, i, j, count(*) AS n, ((count(*) - 1) // {limit} + 1)::INTEGER AS b
 
 
 def quadtree_summary(spark, d):
-    return space.partition_summary(space.quadtree(q.boxes_of_points(view(spark, d, "geo_points")), (-180.0, -85.0, 180.0, 85.0), 40, 6))
+    return space.partition_summary(space.quadtree(q.boxes_of_points(view(spark, d, "geo_points")), (-180.0, -85.0, 180.0, 85.0), 40, 6)).drop("largest_batch")
 
 
 def tile_hierarchy(spark, d):

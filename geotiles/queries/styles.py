@@ -14,7 +14,7 @@ from ..operators import query as q
 from ..operators import visibility as vis
 from ..operators.classify import Tags
 from ..plans import pyramid as pyr
-from ..schema import LayerSpec, conform
+from ..schema import LayerSpec, conform, resolve_layers
 from ..sources import layers_io, tiles_io
 from ..views import table, view, with_views
 
@@ -129,17 +129,20 @@ def label_anchors(spark, d):
 _ANCH = f"""{with_views("geo_boxes")} SELECT fid, round(minx + CASE WHEN fid % 2 = 0 THEN 8 ELSE 4 END, 6) AS x, round(miny + CASE WHEN fid % 2 = 0 THEN 5 ELSE 1 END, 6) AS y FROM geo_boxes"""
 
 
+_ODD = "\u00a0\u2003"
+
+
 def title_cases(spark, d):
-    """Words of addresses raised, underscores as spaces."""
-    from ..functions.text import admin_codes, title_case
+    """Words of addresses raised after any sign, underscores and odd spaces as spaces."""
+    from ..functions.text import admin_codes, clean_text, title_case
 
     p = view(spark, d, "geo_points")
-    raw = F.concat(F.col("amenity"), F.lit("_of "), F.lower(F.substring("name", 1, 8)))
+    raw = F.concat(F.lit(_ODD + "bus-stop"), F.lit(_ODD), F.lit("o'neil "), F.col("amenity"), F.lit("_of "), F.lower(F.substring("name", 1, 8)), F.lit(" 3rd école" + _ODD))
     code = F.when(F.col("fid") % 3 == 0, F.lit('["ES-MD","ES-CL"]')).when(F.col("fid") % 3 == 1, F.lit("PT")).otherwise("")
-    return p.select("fid", title_case(raw).alias("title"), F.array_join(admin_codes(code), "|").alias("codes"))
+    return p.select("fid", title_case(raw).alias("title"), clean_text(F.concat(F.lit(_ODD), "name", F.lit(_ODD), "amenity")).alias("clean"), F.array_join(admin_codes(code), "|").alias("codes"))
 
 
-_TITLE = f"""{with_views("geo_points")} SELECT fid, upper(amenity[1]) || amenity[2:] || ' Of Customer' AS title,
+_TITLE = f"""{with_views("geo_points")} SELECT fid, 'Bus-Stop O''Neil ' || upper(amenity[1]) || amenity[2:] || ' Of Customer 3rd éCole' AS title, name || ' ' || amenity AS clean,
  CASE fid % 3 WHEN 0 THEN 'ES-MD|ES-CL' WHEN 1 THEN 'PT' ELSE '' END AS codes FROM geo_points"""
 
 
@@ -209,15 +212,52 @@ _CAND = f"""{with_views("geo_boxes")} SELECT a.fid AS box, w.id, coalesce(b.fid
 LEFT JOIN geo_boxes b ON b.fid::VARCHAR = w.id AND a.minx + 4 <= b.maxx AND a.maxx + 4 >= b.minx AND a.miny + 4 <= b.maxy AND a.maxy + 4 >= b.miny"""
 
 
+_LAYERS_3D = ("buildings", "roads", "water", "aviation", "signs", "landuse")
+
+
+def _features_3d(spark, d):
+    k = F.col("fid") % len(_LAYERS_3D)
+    return q.boxes_of_points(view(spark, d, "geo_points")).withColumns({
+        "layer": F.element_at(F.array(*map(F.lit, _LAYERS_3D)), (k + 1).cast("int")), "height": F.when(F.col("fid") % 3 == 0, F.concat(F.col("fid"), F.lit(" m"))),
+        "levels": (F.col("fid") % 8).cast("string"), "first_zoom": (F.col("fid") % 5).cast("int"), "last_zoom": F.lit(None).cast("int"),
+        "ref": F.when(F.col("fid") % 4 == 0, "").otherwise(F.when(F.col("fid") % 4 == 1, "A1")), "name": F.lit(None).cast("string"),
+        "geom": g.point(g.xy(F.col("minx"), F.col("miny")))})
+
+
+_SPECS_3D = ({"id": "signs", "tiles3d": {"strategy": "points", "width_m": 2}}, {"id": "landuse", "tiles3d": {"height": 4.5}})
+
+
 def attributes_3d(spark, d):
-    p = q.boxes_of_points(view(spark, d, "geo_points")).withColumns({
-        "layer": F.when(F.col("fid") % 2 == 0, "buildings").otherwise("roads"), "height": F.when(F.col("fid") % 3 == 0, F.concat(F.col("fid"), F.lit(" m"))),
-        "levels": (F.col("fid") % 8).cast("string"), "first_zoom": (F.col("fid") % 5).cast("int"), "last_zoom": F.lit(None).cast("int")})
-    return vis.attributes_3d(p, (-180.0, -85.0, 180.0, 85.0), (1, 18), (3, None), 40).select("fid", F.round("height_m", 2).alias("height_m"), "strategy", "width_m", "eff_min", "eff_max")
+    """Heights, strategies, widths, zooms and label anchors of six layers, two of them with overrides."""
+    a = vis.attributes_3d(_features_3d(spark, d), (-180.0, -85.0, 180.0, 85.0), (1, 18), (3, None), 40, resolve_layers(_SPECS_3D))
+    return a.select("fid", "layer", F.round("height_m", 2).alias("height_m"), "strategy", "width_m", "eff_min", "eff_max", F.round("label_lon", 4).alias("label_lon"))
+
+
+_A3 = f"""{with_views("geo_points")}, v(layer, strategy, tall, wide) AS (VALUES ('buildings', 'extruded', 0.0, 6.0), ('roads', 'line', 10.0, 6.0), ('water', 'mixed', 5.0, 6.0),
+ ('aviation', 'mixed', 9.0, 14.0), ('signs', 'points', 6.0, 2.0), ('landuse', 'surface', 4.5, 6.0)),
+f AS (SELECT *, ({list(_LAYERS_3D)})[fid % 6 + 1] AS layer FROM geo_points)
+SELECT fid, layer, CASE WHEN layer <> 'buildings' THEN tall WHEN fid % 3 = 0 AND fid > 0 THEN least(fid, 500) WHEN fid % 8 > 0 THEN fid % 8 * 3 ELSE 9 END::DOUBLE AS height_m,
+ strategy, wide::DOUBLE AS width_m, greatest(3, fid % 5)::INTEGER AS eff_min, 18::INTEGER AS eff_max, CASE WHEN fid % 4 = 1 THEN round(lon, 4) END AS label_lon FROM f JOIN v USING (layer)"""
+
+
+def delivery_summary(spark, d):
+    """3D delivery of each layer: features, batches of leaves, depth and zooms, each layer in a tree over its own extent."""
+    from ..operators import space
+
+    f = _features_3d(spark, d).withColumn("last_zoom", F.when(F.col("layer") == "roads", F.lit(12)))
+    return space.delivery_summary(f, vis.attributes_3d(f, None, (1, 18), (3, None), 40))
 
 
-_A3 = f"""{with_views("geo_points")} SELECT fid, CASE WHEN fid % 2 = 1 THEN 10.0 WHEN fid % 3 = 0 AND fid > 0 THEN least(fid, 500) WHEN fid % 8 > 0 THEN fid % 8 * 3 ELSE 9 END::DOUBLE AS height_m,
- CASE WHEN fid % 2 = 0 THEN 'extrude' ELSE 'ribbon' END AS strategy, CASE WHEN fid % 2 = 0 THEN 0.0 ELSE 6.0 END::DOUBLE AS width_m, greatest(3, fid % 5)::INTEGER AS eff_min, 18::INTEGER AS eff_max FROM geo_points"""
+_DELIVERY = f"""{with_views("geo_points")},
+f AS (SELECT fid, lon, lat, ({list(_LAYERS_3D)})[fid % 6 + 1] AS layer FROM geo_points),
+r AS (SELECT layer, min(lon) - 1e-7::DOUBLE AS w, min(lat) - 1e-7::DOUBLE AS s, max(lon) + 1e-7::DOUBLE AS e, max(lat) + 1e-7::DOUBLE AS n FROM f GROUP BY layer),
+a AS (SELECT fid, layer, floor((lon - w) / (e - w) * 256)::BIGINT AS ci, floor((lat - s) / (n - s) * 256)::BIGINT AS cj FROM f JOIN r USING (layer)),
+x AS (SELECT fid, layer, depth::INTEGER AS depth, ci >> (8 - depth) AS i, cj >> (8 - depth) AS j FROM a, range(0, 9) q(depth)),
+t AS (SELECT layer, depth, i, j, count(*) AS n FROM x GROUP BY ALL),
+l AS (SELECT fid, layer, min(x.depth) AS depth FROM x JOIN t USING (layer, depth, i, j) WHERE n <= 40 OR x.depth = 8 GROUP BY fid, layer),
+c AS (SELECT layer, depth, i, j, count(*) AS n FROM l JOIN x USING (fid, layer, depth) GROUP BY layer, depth, i, j)
+SELECT layer, sum(n)::BIGINT AS source_features, sum(n)::BIGINT AS features, sum((n - 1) // 40 + 1)::BIGINT AS tiles, max(least(n, 40)) AS largest, max(depth)::INTEGER AS depth,
+ (SELECT min(greatest(3, fid % 5))::INTEGER FROM f WHERE f.layer = c.layer) AS min_zoom, CASE WHEN layer = 'roads' THEN 12 ELSE 18 END::INTEGER AS max_zoom FROM c GROUP BY layer"""
 
 
 def regions(spark, d):
@@ -281,7 +321,7 @@ SELECT d, row_number() OVER (PARTITION BY d LIKE '%L' ORDER BY regexp_extract(d,
 
 QUERIES = {f.__name__: f for f in (active_layers, layer_order, tile_metadata, label_layers, effective_zooms, box_read, visible_pois, zoom_rules, described_labels, theme_roads, label_anchors,
                                    title_cases, coverage_list, coverage_siblings, tolerances,
-                                   coverage_candidates, attributes_3d, regions, small_features, ingested_features, conformed_columns, natural_order)}
+                                   coverage_candidates, attributes_3d, delivery_summary, regions, small_features, ingested_features, conformed_columns, natural_order)}
 ORACLES = {
     "theme_roads": _TROADS, "label_anchors": _ANCH, "title_cases": _TITLE, "coverage_list": _CLIST, "coverage_siblings": _CSIB, "tolerances": _TOL,
     "active_layers": f"WITH {_LAY} SELECT 'layer' || k AS id FROM ly WHERE coalesce(lo, 0) <= 4 AND coalesce(hi, 24) >= 4 AND k % 6 <> 0",
@@ -290,7 +330,7 @@ ORACLES = {
     "label_layers": f"WITH {_LAY} SELECT CASE id WHEN 'roads' THEN 'road_labels' WHEN 'aip' THEN 'aip_labels' ELSE 'poi_labels' END AS label, count(*) AS n FROM ly WHERE id IN ('roads', 'aip', 'pois') AND coalesce(lo, 0) <= 17 AND coalesce(hi + 3, 24) >= 17 GROUP BY id",
     "effective_zooms": f"{with_views('geo_obs')} SELECT kind, greatest(2, CASE WHEN kind = 'click' THEN 4 ELSE 0 END, coalesce(first_zoom, 0))::BIGINT AS eff_min, least(CASE WHEN kind = 'view' THEN 9 ELSE 14 END, coalesce(last_zoom, 24))::BIGINT AS eff_max, count(*) AS n FROM geo_obs GROUP BY 1, 2, 3",
     "box_read": f"{with_views('geo_points')} SELECT fid FROM geo_points WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -40 AND 40 ORDER BY fid LIMIT 100",
-    "visible_pois": _VIS, "zoom_rules": _RULES, "described_labels": _DESC, "coverage_candidates": _CAND, "attributes_3d": _A3, "regions": _REG, "small_features": _small_sql(),
+    "visible_pois": _VIS, "zoom_rules": _RULES, "described_labels": _DESC, "coverage_candidates": _CAND, "attributes_3d": _A3, "delivery_summary": _DELIVERY, "regions": _REG, "small_features": _small_sql(),
     "ingested_features": f"{with_views('geo_points')} SELECT fid AS rank, amenity AS kind, NULL::DOUBLE AS missing, round(lon, 6) AS minx FROM geo_points",
     "conformed_columns": f"{with_views('geo_obs')} SELECT kind, 0::BIGINT AS notes, round(sum(value), 3) AS value, count(first_zoom) AS zooms FROM geo_obs GROUP BY kind",
     "natural_order": _NAT,

@@ -29,6 +29,8 @@ class LayerSpec:
     source: str | None = None
     feature_zoom: tuple[str | None, str | None] = (None, None)
     tile_properties: tuple[str, ...] | None = None
+    #: Overrides of how the layer becomes 3D content: strategy, height, width_m.
+    tiles3d: Mapping[str, str | float] | None = None
 
     def schema(self) -> T.StructType:
         geometry = T.StructType.fromDDL(f"geom {GEOMETRY}").fields
@@ -37,6 +39,38 @@ class LayerSpec:
                              *[T.StructField(c, _TYPES[k]) for c, k in self.columns.items()]])
 
 
+#: Strategies of 3D content, and those of the known layers with heights and widths in metres; others are mixed.
+STRATEGIES = ("extruded", "surface", "line", "points", "mixed")
+MESH_DEFAULT = {"strategy": "mixed", "height": 6.0, "width_m": 6.0}
+MESH = {
+    "buildings": {"strategy": "extruded", "height": 0.0},
+    "landuse": {"strategy": "surface", "height": 3.0},
+    "water": {"strategy": "mixed", "height": 5.0},
+    "roads": {"strategy": "line", "height": 10.0, "width_m": 6.0},
+    "railways": {"strategy": "line", "height": 11.0, "width_m": 3.0},
+    "boundaries": {"strategy": "line", "height": 12.0, "width_m": 20.0},
+    "terrain": {"strategy": "line", "height": 6.0, "width_m": 3.0},
+    "coastline": {"strategy": "line", "height": 7.0, "width_m": 3.0},
+    "cliffs": {"strategy": "line", "height": 8.0, "width_m": 3.0},
+    "pois": {"strategy": "points", "height": 12.0},
+    "aip": {"strategy": "mixed", "height": 9.0, "width_m": 14.0},
+}
+
+
+def mesh_rule(layer: str, override: Mapping[str, str | float] | None = None) -> dict[str, str | float]:
+    """strategy, height and width_m of a layer's 3D content; ``aviation`` is ``aip``, an override goes before both."""
+    if unknown := set(override or ()) - set(MESH_DEFAULT):
+        raise ValueError(f"layer {layer}: unknown 3D settings {sorted(unknown)}")
+    rule = MESH_DEFAULT | MESH.get("aip" if layer == "aviation" else layer, {}) | dict(override or {})
+    if rule["strategy"] not in STRATEGIES:
+        raise ValueError(f"layer {layer}: unknown 3D strategy {rule['strategy']}")
+    for key in ("height", "width_m"):
+        value = rule[key]
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value < float("inf"):
+            raise ValueError(f"layer {layer}: 3D {key} must be a number of zero or more")
+    return rule
+
+
 def resolve_layers(specs: Iterable[str | Mapping | LayerSpec]) -> list[LayerSpec]:
     """Specs from names or mappings; ids unique, table defaults to the id, zooms ordered, zoom columns declared integers."""
     out: list[LayerSpec] = []
@@ -57,6 +91,7 @@ def resolve_layers(specs: Iterable[str | Mapping | LayerSpec]) -> list[LayerSpec
         for c in spec.feature_zoom:
             if c is not None and spec.columns.get(c) != "INTEGER":
                 raise ValueError(f"layer {spec.id}: zoom column {c} must be a declared INTEGER")
+        mesh_rule(spec.id, spec.tiles3d)
         out.append(spec)
     return out
 

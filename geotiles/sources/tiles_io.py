@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.tilemath import tile_id
+from .scratch import running_totals
 
 LEAF_ENTRIES = 512
 
@@ -23,22 +23,9 @@ def order_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def with_offsets(tiles: DataFrame) -> DataFrame:
-    """Adds offset (bytes before, in tile-id order), position and leaf to (tile_id, length).
-
-    Two levels: totals per stretch of ids (at most 4096 of them, whatever the number of tiles), whose
-    running sums are joined back to running sums inside each stretch.
-    """
-    top = tiles.agg(F.max("tile_id")).first()[0] or 0
-    width = max(1, -(-(top + 1) // 4096))
-    part = tiles.withColumn("_s", F.floor(F.col("tile_id") / width))
-    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    line = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    totals = part.groupBy("_s").agg(F.sum("length").alias("_l"), F.count("*").alias("_n"))
-    starts = totals.select("_s", before("_l", line).alias("_l0"), before("_n", line).alias("_n0"))
-    inside = Window.partitionBy("_s").orderBy("tile_id").rowsBetween(Window.unboundedPreceding, -1)
-    df = part.withColumns({"_l1": before("length", inside), "_n1": F.count("*").over(inside)}).join(starts, "_s")
-    return df.withColumns({"offset": F.col("_l0") + F.col("_l1"), "position": F.col("_n0") + F.col("_n1")}).withColumn(
-        "leaf", F.floor(F.col("position") / LEAF_ENTRIES)).drop("_s", "_l0", "_n0", "_l1", "_n1")
+    """Adds offset (bytes before, in tile-id order), position and leaf to (tile_id, length); a dense area is as many stretches as it has rows for."""
+    df = running_totals(tiles, (), ("tile_id",), offset=F.col("length").cast("long"), position=F.lit(1).cast("long"))
+    return df.withColumn("leaf", F.floor(F.col("position") / LEAF_ENTRIES))
 
 
 def tile_directory(tiles: DataFrame) -> DataFrame:

@@ -185,6 +185,39 @@ def test_quadtree_owns_every_feature_once(spark):
     assert leaves.groupBy("depth", "i", "j", "batch").count().agg(F.max("count")).first()[0] <= 20
 
 
+def test_crowded_leaf_is_ranked_in_stretches(spark):
+    """All features at one place: the deepest leaf is cut into batches in fid order, over several stretches."""
+    df = spark.range(1000).repartition(7).select(F.col("id").alias("fid"), *[F.lit(1.0).alias(c) for c in ("minx", "miny", "maxx", "maxy")], F.lit("a").alias("layer"))
+    df = df.unionByName(df.where("fid < 5").withColumn("layer", F.lit("b")))
+    leaves = space.quadtree(df, (0.0, 0.0, 10.0, 10.0), 30, 3, by=("layer",))
+    assert {(r.layer, r.fid): r.batch for r in leaves.collect()} == {("a", k): k // 30 for k in range(1000)} | {("b", k): 0 for k in range(5)}
+    assert {r.layer: (r.features, r.batches, r.largest_batch) for r in space.partition_summary(leaves, ("layer",)).collect()} == {"a": (1000, 34, 30), "b": (5, 1, 5)}
+    own = space.quadtree(df, None, 30, 3)
+    assert own.count() == 1005 and own.agg(F.max("batch")).first()[0] == 33
+
+
+def test_running_totals_by_group(spark):
+    from geotiles.sources.scratch import running_totals
+
+    rows = [(k % 3, k, k % 7) for k in range(500)]
+    got = running_totals(spark.createDataFrame(rows, "g int, k int, n int").repartition(5), ("g",), ("k",), ahead=F.col("n"), place=F.lit(1))
+    want, seen = {}, {}
+    for g_, k, n in rows:
+        want[k] = seen.get(g_, (0, 0))
+        seen[g_] = (want[k][0] + n, want[k][1] + 1)
+    assert {r.k: (r.ahead, r.place) for r in got.collect()} == want and set(got.columns) == {"g", "k", "n", "ahead", "place"}
+
+
+def test_3d_rules():
+    from geotiles.schema import mesh_rule, resolve_layers
+
+    assert mesh_rule("aviation") == mesh_rule("aip") == {"strategy": "mixed", "height": 9.0, "width_m": 14.0}
+    assert mesh_rule("buildings") == {"strategy": "extruded", "height": 0.0, "width_m": 6.0} and mesh_rule("x", {"height": 0})["height"] == 0
+    for bad in ({"strategy": "flat"}, {"height": -1}, {"width_m": float("nan")}, {"width_m": "2"}, {"colour": 1}):
+        with pytest.raises(ValueError):
+            resolve_layers([{"id": "x", "tiles3d": bad}])
+
+
 def test_rings_join_in_any_direction(spark):
     rows = [(1, "outer", 0, [1, 2], [(0.0, 0.0), (1.0, 0.0)]), (1, "outer", 1, [3, 2], [(1.0, 1.0), (1.0, 0.0)]), (1, "outer", 2, [3, 4, 1], [(1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]),
             (1, "inner", 3, [7, 8, 9, 7], [(0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.4)]), (2, "outer", 0, [1, 2], [(0.0, 0.0), (1.0, 0.0)])]
