@@ -202,7 +202,8 @@ class LayerPolicy:
 
     ``aliases`` names the layer whose rules another name follows; ``source_layers`` the layer whose features a
     derived one reads; ``read`` may replace the features of a zoom; ``shown`` and ``wide`` are predicates
-    over rows of all zooms, before and after tiles are known.
+    over rows of all zooms, before and after tiles are known; ``visible`` drops rows of a tile that it has read and
+    counted, from features and label sources alike, and ``enrich`` changes the properties of the others.
     """
 
     aliases: Mapping[str, str] = field(default_factory=dict)
@@ -210,6 +211,8 @@ class LayerPolicy:
     read: Callable[[DataFrame, int], DataFrame] | None = None  # features of a zoom; none: all
     shown: Callable[[Column, Column, Sequence[int]], Column] = lambda layer, z, zooms: F.lit(True)
     wide: Callable[[Column, Column, Column, Column], Column] = lambda layer, box, queried, z: F.lit(True)
+    visible: Callable[[Column], Column] | None = None
+    enrich: Callable[[DataFrame], DataFrame] = lambda df: df
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
     limit: Callable[[Column, Column], Column] = lambda layer, z: F.lit(NO_LIMIT).cast("long")
     priority: Callable[[Column, Column, Column, Column], Column] = lambda layer, kind, box, z: F.lit(100.0)
@@ -223,9 +226,33 @@ class LayerPolicy:
         return F.coalesce(F.create_map(*[F.lit(x) for kv in self.aliases.items() for x in kv])[layer], layer)
 
 
-def osm_policy(get: Callable[[str], Column] | None = None) -> LayerPolicy:
-    """The built-in policy of the named layers; properties are looked up in a ``props`` map of texts unless ``get`` says otherwise."""
+def osm_policy(get: Callable[[str], Column] | None = None, style: Mapping | None = None) -> LayerPolicy:
+    """The built-in policy of the named layers; properties are looked up in a ``props`` map of texts unless ``get`` says otherwise.
+
+    ``style`` decides which pois are shown (consumer pois are not, unless it says so) and which property values are hidden.
+    """
+    from ..operators.classify import Tags, poi_category_stored
+    from ..operators.pois import PoiRules, hidden_values
+    from ..schema import typed
+
     get = get or (lambda k: F.col("props")[k])
+    tags, pois = Tags(get), PoiRules(style)
+    hidden = hidden_values(style)
+
+    def shown(layer: Column, z: Column, zooms: Sequence[int]) -> Column:
+        out = admitted(layer, get, z, zooms) & ((layer != "pois") | pois.read(tags))
+        for name, columns in hidden.items():
+            own = F.col("layer") == name
+            for column, values in columns.items():
+                out = out & ~(own & tags.is_(column, *values))
+        return out
+
+    def enrich(df: DataFrame) -> DataFrame:
+        category = poi_category_stored(get("poi_category"), tags)
+        value = category if dict(df.dtypes)["props"] == "map<string,string>" else typed(text=category)
+        other = F.map_filter("props", lambda k, v: k != "poi_category")
+        return df.withColumn("props", F.when(F.col("layer") == "pois", F.map_concat(other, F.create_map(F.lit("poi_category"), value))).otherwise(F.col("props")))
+
     return LayerPolicy(aliases={"aviation": "aip"}, source_layers={"road_labels": "roads", "aip_labels": "aip", "poi_labels": "pois"},
-                       shown=lambda layer, z, zooms: admitted(layer, get, z, zooms), wide=wide_enough, limit=layer_limit, min_size=min_size,
+                       shown=shown, wide=wide_enough, limit=layer_limit, min_size=min_size, visible=lambda layer: (layer != "pois") | pois.visible(tags), enrich=enrich,
                        priority=lambda layer, kind, box, z: priority(layer, get, kind, box, z), tolerance_scale=tolerance_scale)

@@ -10,46 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import building_height, filled
 from ..schema import LayerSpec
-from .classify import Tags, poi_category_stored
+from .classify import Tags
 from .labels import with_anchors
+from .pois import PoiRules
 from .query import effective_zoom
 from .space import mesh_policy, quadtree
 
-# Categories shown unless a style says otherwise, and the classes each admits by default.
-SHOWN = ("transport", "emergency", "government", "energy", "communications", "protected", "industrial", "military", "operational")
-CLASSES: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
-    "transport": (("amenity", ("bus_station", "ferry_terminal", "airport", "railway_station", "train_station", "subway_station")),
-                  ("railway", ("station",)), ("public_transport", ("station",)), ("station", ("subway",)), ("aeroway", ("aerodrome", "airport"))),
-    "emergency": (("amenity", ("hospital", "police", "fire_station", "shelter")),
-                  ("emergency", ("ambulance_station", "siren", "assembly_point", "disaster_response"))),
-    "government": (("amenity", ("townhall", "courthouse", "prison", "embassy", "research_institute")), ("office", ("government",)),
-                   ("government", ("yes", "public_safety", "border_control", "customs", "ministry", "aerospace"))),
-    "energy": (("power", ("plant", "substation", "generator", "tower", "transformer", "line")),),
-    "communications": (("amenity", ("communications_tower",)), ("man_made", ("communications_tower", "mast", "antenna")), ("tower:type", ("communication",))),
-    "protected": (("boundary", ("protected_area",)), ("leisure", ("nature_reserve",)), ("tourism", ("national_park",))),
-    "industrial": (("landuse", ("industrial",)), ("industrial", ("refinery", "depot", "storage", "logistics")), ("amenity", ("depot", "warehouse"))),
-    "military": (("amenity", ("bunker", "checkpoint")), ("military", ("barracks", "bunker", "checkpoint", "airbase", "naval_base", "range", "training_area",
-                                                                     "base", "airfield", "danger_area", "ammunition_dump"))),
-}
-
-
-def category_visibility(*rules: Mapping[str, bool] | None) -> dict[str, bool]:
-    """Category -> shown; later rules win, consumer is off by default."""
-    seen = {c: True for c in SHOWN} | {"consumer": False}
-    for rule in rules:
-        seen |= {k: v is True for k, v in (rule or {}).items()}
-    return seen
-
-
 def visible_pois(df: DataFrame, tags: Tags, visibility: Mapping[str, bool] | None = None, classes: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Pois of a shown category that one of the admitted classes names (the style's classes, else the defaults)."""
-    seen = category_visibility(visibility)
-    on = [c for c, v in seen.items() if v]
-    pairs = list(classes.items()) if classes is not None else [p for c in on for p in CLASSES.get(c, ())]
-    admitted = F.lit(False)
-    for column, values in pairs:
-        admitted = admitted | tags.is_(column, *values) if values else admitted
-    return df.where(poi_category_stored(tags.get("poi_category"), tags).isin(*on) & admitted)
+    return df.where(PoiRules(visibility=visibility, classes=classes).visible(tags))
 
 
 def draw_order(layers: DataFrame, listed: Sequence[str]) -> DataFrame:

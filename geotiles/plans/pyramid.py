@@ -503,8 +503,13 @@ def tile_pyramid(features: DataFrame, zmin: int, zmax: int, policy: pol.LayerPol
         features = settled(features, "tile-features")
     keys = tile_rows(features, range(zmin, zmax + 1), policy)
     dtype = dict(features.dtypes)["props"]
+    # a tile counts what it has read, and goes on with what is visible of it
+    read = keys
+    if policy.visible is not None:
+        keys = keys.where(policy.visible(policy.named(F.col("layer"))))
+    keys = policy.enrich(keys)
     kept = limited(keys, policy, max_features).withColumns({"source": F.col("layer"), "props": _typed_props(F.col("props"), dtype)})
-    counted = keys.select("z", "x", "y")
+    counted = read.select("z", "x", "y")
     text_of = (lambda k: F.col("props")[k]) if dtype == "map<string,string>" else (lambda k: F.col("props")[k]["text"])
     said = label_rows(keys, policy, labels, text_of)
     if said is not None:

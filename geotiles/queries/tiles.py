@@ -134,6 +134,38 @@ def _counts_sql() -> str:
 SELECT z, x, y, original, least(original, CASE WHEN z = 11 THEN 3500 ELSE 1800 END)::BIGINT AS kept FROM t"""
 
 
+def _poi_features(spark, d):
+    """Named points as pois, a tenth of them with a stored category."""
+    p = view(spark, d, "geo_points")
+    props = F.map_filter(F.create_map(F.lit("amenity"), "amenity", F.lit("name"), "name", F.lit("poi_category"), F.when(F.col("fid") % 10 == 0, "transport")), lambda k, v: v.isNotNull())
+    return p.select(F.lit("pois").alias("layer"), F.lit(0).alias("layer_order"), "fid", g.point(g.xy(F.col("lon"), F.col("lat"))).alias("geom"),
+                    F.col("lon").alias("minx"), F.col("lat").alias("miny"), F.col("lon").alias("maxx"), F.col("lat").alias("maxy"), props.alias("props"))
+
+
+def poi_tiles(spark, d):
+    """What tiles of z15 to z17 read and keep of pois and their labels: consumer pois are off, a style hides town halls and shows fuel as transport."""
+    style = {"layers": {"pois": {"classes": {"amenity": ["hospital", "townhall", "fuel", "restaurant"]}, "byProperty": {"amenity": {"townhall": {"visible": False}}}}}}
+    _, stats = pyr.tile_pyramid(_poi_features(spark, d), 15, 17, pol.osm_policy(style=style), labels=("poi_labels",))
+    return stats.select("z", "x", "y", "original", (F.col("original") - F.col("dropped") + F.col("dropped_small")).alias("kept"))
+
+
+def _poi_sql() -> str:
+    parts = []
+    for z in (16, 17):
+        n = 1 << z
+        parts.append(f"""SELECT {z}::INTEGER AS z, x, y, seen, shown FROM (
+ SELECT *, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / {n}.0::DOUBLE)))) AS s, degrees(atan(sinh(pi() * (1 - 2 * y / {n}.0::DOUBLE)))) AS t FROM (
+ SELECT lon, lat, seen, shown, floor((lon + 180) / 360 * {n})::BIGINT + dx AS x, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * {n})::BIGINT + dy AS y FROM k, range(-1, 2) a(dx), range(-1, 2) b(dy)))
+ WHERE lon >= x * 360.0 / {n} - 180.0 - 360.0 / {n} * 128 / 4096 AND lon <= (x + 1) * 360.0 / {n} - 180.0 + 360.0 / {n} * 128 / 4096
+  AND lat >= s - (t - s) * 128 / 4096 AND lat <= t + (t - s) * 128 / 4096""")
+    return f"""{with_views("geo_points")},
+k AS (SELECT *, amenity IN ('hospital', 'fuel', 'restaurant') OR fid % 10 = 0 AS seen,
+ amenity IN ('hospital', 'fuel', 'restaurant') AND (amenity <> 'restaurant' OR fid % 10 = 0) AS shown FROM geo_points WHERE amenity <> 'townhall'),
+t AS ({" UNION ALL ".join(parts)})
+SELECT z, x, y, (count(*) + CASE WHEN z = 17 THEN count(*) FILTER (shown) ELSE 0 END)::BIGINT AS original,
+ (count(*) FILTER (shown) * CASE WHEN z = 17 THEN 2 ELSE 1 END)::BIGINT AS kept FROM t WHERE seen AND x >= 0 AND x < (1 << z) GROUP BY z, x, y"""
+
+
 def layer_priorities(spark, d):
     """Priorities of the other layers from their properties, z14, and with the size of the box below z13."""
     p = view(spark, d, "geo_points")
@@ -268,12 +300,12 @@ _COVSEL = f"""{with_views("geo_points", "geo_boxes")} SELECT p.fid AS box, arg_m
  ON p.lon >= b.minx AND p.lon + 0.5 <= b.maxx AND p.lat >= b.miny AND p.lat + 0.5 <= b.maxy GROUP BY p.fid"""
 
 
-QUERIES = {f.__name__: f for f in (feature_tiles, tile_top, pyramid_stats, shape_stats, pyramid_tiles, pyramid_counts, layer_priorities, aviation_labels, tile_directory, policy_table, road_priorities,
+QUERIES = {f.__name__: f for f in (feature_tiles, tile_top, pyramid_stats, shape_stats, pyramid_tiles, pyramid_counts, poi_tiles, layer_priorities, aviation_labels, tile_directory, policy_table, road_priorities,
                                    poi_label_candidates, road_label_texts, decluttered, coverage_selection)}
 ORACLES = {
     "feature_tiles": f"{with_views('geo_points')}, {_buffered(6)} SELECT x, y, count(*) AS n FROM geo_points JOIN bt ON {_TOUCH} GROUP BY x, y",
     "shape_stats": _SHAPES, "pyramid_counts": _counts_sql(), "layer_priorities": _PRIO, "aviation_labels": _AVI,
-    "tile_top": _TILETOP, "pyramid_stats": _stats_sql(), "tile_directory": _dir_sql(), "policy_table": _POLICY,
+    "tile_top": _TILETOP, "poi_tiles": _poi_sql(), "pyramid_stats": _stats_sql(), "tile_directory": _dir_sql(), "policy_table": _POLICY,
     "road_priorities": f"{with_views('geo_ways')} SELECT highway, count(*) AS n, CASE highway WHEN 'motorway' THEN 1000 WHEN 'primary' THEN 920 WHEN 'tertiary' THEN 740 WHEN 'residential' THEN 460 ELSE 160 END::DOUBLE AS priority FROM geo_ways GROUP BY highway",
     "poi_label_candidates": _PL, "road_label_texts": _RL, "coverage_selection": _COVSEL,
 }

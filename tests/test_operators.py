@@ -461,6 +461,35 @@ def test_labels_and_rules_of_the_built_in_policy(spark):
         assert all(f[3]["label_lon"] == pytest.approx(-3.697) for f in anchored)
 
 
+def test_pois_of_a_tile_follow_the_style(spark):
+    """Consumer pois and their labels are off unless a style shows them; categories are in the properties; hidden values are not read."""
+    from geotiles.functions.policy import osm_policy
+
+    rows = [(1, {"amenity": "restaurant", "name": "Da Mario"}), (2, {"amenity": "hospital", "name": "Saint Mary"}), (3, {"amenity": "police", "poi_category": " "}),
+            (4, {"amenity": "restaurant", "poi_category": "emergency"}), (5, {"shop": "bakery", "name": "Bread"}), (6, {"amenity": "fuel", "name": "Station 6"})]
+    df = spark.createDataFrame(rows, "fid long, props map<string,string>").withColumns({"layer": F.lit("pois"), "layer_order": F.lit(0), "geom": g.point(g.xy(F.lit(0.001), F.lit(0.001) + F.col("fid") / 1e6))})
+    df = df.withColumn("_b", g.bbox(F.col("geom"))).select("*", "_b.*").drop("_b")
+
+    def seen(z, style=None, get=None, features=df):
+        tiles, stats = pyramid.tile_pyramid(features, z, z, osm_policy(get, style), labels=("poi_labels",))
+        layers = {}
+        for r in tiles.collect():
+            for name, fs in read_tile(r.payload).items():
+                layers.setdefault(name, []).extend(fs)
+        count = {r.original for r in stats.collect()}
+        return {f[0]: f[3]["poi_category"] for f in layers.get("pois", [])}, {f[3]["text"] for f in layers.get("poi_labels", [])}, count
+
+    assert seen(15) == ({}, set(), set())
+    assert seen(16) == ({2: "emergency", 3: "emergency"}, set(), {3})
+    assert seen(17) == ({2: "emergency", 3: "emergency"}, {"Saint Mary"}, {4})
+    open_ = {"layers": {"pois": {"categories": {"consumer": True, "emergency": False}, "classes": {"shop": ["bakery"], "amenity": ["restaurant"]}}}}
+    assert seen(17, open_) == ({1: "consumer", 5: "consumer"}, {"Da Mario", "Bread"}, {8})
+    hide = {"layers": {"pois": {"byProperty": {"amenity": {"hospital": {"visibility": {"visible": False}}}}}}}
+    assert seen(17, hide) == ({3: "emergency"}, set(), {2})
+    typed = df.withColumn("props", F.transform_values("props", lambda k, v: F.struct(v.alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("whole", "bigint"), ("real", "double"), ("flag", "boolean"))])))
+    assert seen(17, None, lambda k: F.col("props")[k]["text"], typed) == seen(17)
+
+
 def test_tiles_are_written_in_order(spark, tmp_path):
     t = spark.createDataFrame([(1, 1, 0, b"abc"), (1, 0, 0, b"a"), (0, 0, 0, b"ab"), (1, 1, 1, b"")], "z int, x long, y long, payload binary")
     tiles_io.write_tiles(t, str(tmp_path / "t"))
