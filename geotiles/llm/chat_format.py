@@ -5,7 +5,7 @@ A turn becomes ``<|im_start|>role\\ncontent<|im_end|>\\n``.  Inside roles and te
 form a control string and unescaping is exact.  A batch of turns is assembled at
 once: the lengths of header, content and trailer of every turn give cumulative
 offsets; the three source buffers are copied into one preallocated Arrow buffer
-through scatter indices computed in numpy.  The loss mask of a turn is the byte
+through scatter indices computed in numpy (a long stretch is copied as it is).  Turns are assembled a few MB at a time, however long they are.  The loss mask of a turn is the byte
 span of its content if the role is ``assistant``, else empty.
 
 A conversation is the concatenation of its formatted turns in order, so turns are
@@ -27,12 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = r"<(\\*)\|", re.compile(r"<\\(\\*)\|")
-_SLICE = 256  # turns assembled together
+_BYTES = 1 << 22  # of contents assembled together, and one turn at least
+_LONG = 1 << 12  # bytes from which a stretch is copied as one slice
 
 
 def escaped(col):
@@ -53,15 +55,26 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _spread(out: np.ndarray, to: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """Copy every stretch raw[start:start+length] to out[to:to+length] with one scatter."""
-    total = int(length.sum())
-    if not total:
-        return
+    """Copy every stretch raw[start:start+length] to out[to:to+length] with one scatter, long ones by themselves."""
+    for k in np.flatnonzero(length > _LONG).tolist():
+        out[to[k]:to[k] + length[k]] = raw[start[k]:start[k] + length[k]]
+    some = (length > 0) & (length <= _LONG)
+    to, start, length = to[some], start[some], length[some]
     begin = np.cumsum(length) - length
-    within = np.arange(total) - np.repeat(begin, length)
+    within = np.arange(int(length.sum())) - np.repeat(begin, length)
     out[np.repeat(to, length) + within] = raw[np.repeat(start, length) + within]
 
 
+def _slices(contents: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first turn, number) of stretches of turns of at most _BYTES, or one turn."""
+    ends = np.cumsum(pc.binary_length(contents).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(ends):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _BYTES, side="right")))
+        yield a, z - a
+        a = z
+
+
 def assemble(roles: pa.Array, contents: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(formatted turns, content start, content length), in bytes, of escaped roles and contents."""
     n = len(roles)
@@ -95,8 +108,8 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, _SLICE):
-                b = whole.slice(a, _SLICE)
+            for a, n in _slices(whole.column(3)):
+                b = whole.slice(a, n)
                 made, start, length = assemble(b.column(2), b.column(3))
                 trained = np.array(b.column(2).to_pylist(), object) == "assistant"
                 yield pa.RecordBatch.from_arrays(

@@ -31,8 +31,10 @@ that differ in one symbol at most meet in one of them.  With ``TABLES`` independ
 fingerprints a pair at 0.8 meets with probability 0.999, at 0.9 with 0.99999.
 Documents are shuffled on variants and sorted inside them, in one of two orders; each meets
 the first and the one before it, and each pair met is checked on the whole shingle
-sets.  No pair below 0.8 is linked; variants of up to three members compare all
-pairs, in larger ones similar members are linked through each other.
+sets.  No pair below 0.8 is linked.  Variants of up to three members compare all pairs.  In larger ones the groups found
+are joined in further rounds: every variant offers a member of each of its groups, another one every round, to the next group in an order of
+the round; they end when no round of ``QUIET`` in a row joins anything.  Only fingerprints with two partners at least take part, and a
+variant whose members are one group by now offers nothing, so the rounds cost little.
 
 Defined results: null or wordless text has fingerprint zero and is linked like
 any other; fewer than three words make one shingle; repeated rows fall into one
@@ -47,7 +49,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +62,7 @@ SIMILARITY = 0.8
 TABLES = 5
 SYMBOLS = 5
 SYMBOL_BITS = 12
+QUIET = 2  # rounds that join nothing before groups are taken for whole
 _STEP = 1 << 15  # shingles counted at a time, so that one very long text stays small
 
 
@@ -244,15 +247,28 @@ def _set_prints(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) ->
     return slim.mapInArrow(run, schema)
 
 
-def _met(sets: DataFrame) -> DataFrame:
-    """(a, b) with a > b: each member of a variant with its first member and the one before it."""
+def _variants(sets: DataFrame, *keep: str) -> DataFrame:
+    """(variant, t, set_key, *keep): every fingerprint with each of its symbols left out."""
     low = lambda x, i: x.bitwiseAND(F.lit((1 << SYMBOL_BITS * i) - 1).cast("long"))
     without = lambda x, i: F.shiftleft(F.shiftright(x, SYMBOL_BITS * (i + 1)), SYMBOL_BITS * i).bitwiseOR(low(x, i))
-    each = _spread(sets, "set_key").select("set_key", F.posexplode("prints").alias("t", "fp"))
+    each = _spread(sets, "set_key").select("set_key", *keep, F.posexplode("prints").alias("t", "fp"))
     names = F.array(*[F.struct(F.lit(i).alias("i"), without(F.col("fp"), i).alias("rest")) for i in range(SYMBOLS)])
     tag = F.shiftleft((F.col("t") * SYMBOLS + F.col("e.i")).cast("long"), SYMBOL_BITS * (SYMBOLS - 1))
-    emitted = each.select("set_key", "t", F.explode(names).alias("e")).select(
-        tag.bitwiseOR(F.col("e.rest")).alias("variant"), F.xxhash64(F.col("t") % 2, "set_key").alias("place"), "set_key")
+    return each.select("set_key", *keep, "t", F.explode(names).alias("e")).select(tag.bitwiseOR(F.col("e.rest")).alias("variant"), "t", "set_key", *keep)
+
+
+def _met_groups(sets: DataFrame, turn: int) -> DataFrame:
+    """(a, b) with a > b: in every variant a member of each group of (set_key, prints, root) with one of the group before it."""
+    place = F.xxhash64(F.lit(turn), "variant", "set_key")
+    offered = _variants(sets, "root").groupBy("variant", "root").agg(F.min(F.struct(place.alias("place"), "set_key")).alias("m"))
+    order = Window.partitionBy("variant").orderBy(F.xxhash64(F.lit(turn), "root"), "root")
+    pairs = offered.select(F.col("m.set_key").alias("x"), F.lag("m.set_key").over(order).alias("y")).where("y IS NOT NULL")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _met(sets: DataFrame) -> DataFrame:
+    """(a, b) with a > b: each member of a variant with its first member and the one before it."""
+    emitted = _variants(sets).select("variant", F.xxhash64(F.col("t") % 2, "set_key").alias("place"), "set_key")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = emitted.repartition(n, F.xxhash64("variant")).sortWithinPartitions("variant", "place")
 
@@ -317,6 +333,21 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", keep: tuple[st
     prints = written(_set_prints(docs, text, key, keep), "set-prints")
     owners = prints.groupBy("set_key").agg(F.min(F.col(f"`{key}`")).alias("key"))
     pairs = written(_met(prints.select("set_key", "prints").dropDuplicates(["set_key"])), "met")
-    roots = components(_similar(pairs, docs, owners, text, key), "similar-links")
+    links = written(_similar(pairs, docs, owners, text, key), "similar-links")
+    roots = components(links, "similar-roots")
+    busy = (pairs.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").count().where("count > 1").select("set_key"))
+    busy = written(prints.select("set_key", "prints").join(busy.hint("merge"), "set_key", "left_semi").dropDuplicates(["set_key"]), "busy-sets")
+    turn = quiet = 0
+    while quiet < QUIET:
+        turn += 1
+        grouped = busy.join(roots.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").select("set_key", "prints", F.coalesce("root", "set_key").alias("root"))
+        offered = written(_met_groups(grouped, turn), "met-groups")
+        more = written(_similar(offered, docs, owners, text, key), "similar-links") if offered.limit(1).count() else None
+        if more is None:
+            break
+        quiet += 1
+        if more.limit(1).count():
+            quiet, links = 0, links.unionByName(more)
+            roots = components(links, "similar-roots")
     return prints.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         *[F.col(f"`{c}`") for c in (key, *keep)], F.coalesce("root", "set_key").alias("group"))

@@ -449,6 +449,57 @@ def test_a_cluster_of_near_copies_is_one_group(spark):
     assert len({r.group for r in simhash_dedup.similar_groups(df, "key").collect()}) == 1
 
 
+def test_loose_groups_come_together(spark):
+    """Groups of 250 whose members differ from each other by up to a fifth: nearly all pairs at 0.8 and above share a group, and none too many."""
+    rng = random.Random(29)
+    rows = []
+    for g, changes in enumerate(((1, 3), (2, 4), (3, 5))):
+        base = [f"w{g}x{i}" for i in range(200)]
+        for i in range(250):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randint(*changes)):
+                copy[at] = f"own{rng.random()}"
+            rows.append((g * 1000 + i, " ".join(copy)))
+    got = {r.key: r.group for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "key long, text string"), "key").collect()}
+    sets = {k: five_words(t) for k, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and a // 1000 == b // 1000 and jaccard(sets[a], sets[b]) >= 0.8]
+    kept = sum(got[a] == got[b] for a, b in pairs)
+    print("loose groups", len(pairs), kept / len(pairs), len(set(got.values())))
+    assert kept >= 0.99 * len(pairs)
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    true = len({find(k) for k in root})
+    assert true <= len(set(got.values())) <= true + 0.02 * len(rows)
+    assert all(len({find(k) for k in sets if got[k] == g}) == 1 for g in set(got.values()))
+
+
+def test_long_turns_take_bounded_memory(spark):
+    """A turn of 50 MB, and turns that add up to 50 MB: a few copies of a slice at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    for texts in (["a" * 50_000_000], ["b" * 200_000] * 250):
+        roles, contents = pa.array(["user"] * len(texts)), pa.array(texts)
+        tracemalloc.start()
+        size = 0
+        for a, n in chat_format._slices(contents):
+            made, _, _ = chat_format.assemble(roles.slice(a, n), contents.slice(a, n))
+            size += sum(len(x.as_buffer()) for x in made)
+            del made
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert size > 50_000_000 and peak < (120e6 if len(texts) == 1 else 30e6)
+
+
 def test_mix_of_hot_and_null_ids(spark):
     """A third of the rows share an id, others have none, sources share their first letters: every row is placed once."""
     rows = [(5 if i % 3 == 0 else None if i % 7 == 0 else i, "w " * (i % 9), "en", f"http://site{i % 25}") for i in range(900)]
