@@ -297,6 +297,74 @@ def test_pbf_source(spark, tmp_path):
     assert (w.id, w.refs, w.tags) == (10, [1, 2], {"highway": "residential"})
 
 
+def _pbf(*blocks):
+    """A file of a header block and data blocks."""
+    out = b""
+    for kind, block in (("OSMHeader", _msg(1, b"".join(_var(k << 3) + _var(v) for k, v in ((1, 3), (2, 8_000_000_000), (3, 6_000_000_000), (4, 1))))), *(("OSMData", b) for b in blocks)):
+        blob = _msg(3, zlib.compress(block))
+        head = _msg(1, kind.encode()) + _var(3 << 3) + _var(len(blob))
+        out += struct.pack(">I", len(head)) + head + blob
+    return out
+
+
+def _zig(v):
+    return _var((v << 1 ^ v >> 63) & (1 << 64) - 1)
+
+
+def _deltas(values):
+    return b"".join(_zig(b - a) for a, b in zip([0, *values], values))
+
+
+def _blocks(n, base=0):
+    """Dense nodes, plain nodes, ways and relations of n entities each, a block a kind."""
+    strings = _msg(1, b"".join(_msg(1, s) for s in (b"", b"highway", b"name", b"path", "Überweg".encode(), b"outer", _HEAD)))
+    ids = [base + k for k in range(n)]
+    dense = _msg(1, _deltas(ids)) + _msg(8, _deltas([k * 1000 - 500 for k in ids])) + _msg(9, _deltas([-k * 1000 for k in ids])) + _msg(10, b"".join(
+        (_var(1) + _var(3) + _var(2) + _var(4) if k % 3 == 0 else b"") + _var(0) for k in ids))
+    plain = b"".join(_msg(1, _var(1 << 3) + _zig(10**6 + k) + _msg(2, _var(2)) + _msg(3, _var(6)) + _var(8 << 3) + _zig(-k) + _var(9 << 3) + _zig(k)) for k in ids)
+    ways = b"".join(_msg(3, _var(1 << 3) + _var(k) + (_msg(2, _var(1)) + _msg(3, _var(3)) if k % 2 else b"") + _msg(8, _deltas([k + 3, k, k + 3][:k % 4]))) for k in ids)
+    rels = b"".join(_msg(4, _var(1 << 3) + _var(k) + _msg(8, _var(5) + _var(0)) + _msg(9, _deltas([k, k - 7])) + _msg(10, _var(1) + _var(2))) for k in ids)
+    return [strings + _msg(2, _msg(2, dense)) + _var(17 << 3) + _var(1000), strings + _msg(2, plain), strings + _msg(2, ways), strings + _msg(2, rels)]
+
+
+_HEAD = b"\x00\x00\x00\x0d\x0a\x07OSMData\x18\x05"  # what looks like a blob's header
+
+
+def test_pbf_splits_prunes_and_reads_many_files(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        (tmp_path / f"part{k}.osm.pbf").write_bytes(_pbf(*_blocks(200, 1000 * k), *_blocks(50, 1000 * k + 500)))
+    # an uncompressed blob whose content holds a header's bytes: splits must not take it for one
+    stored = _msg(1, _blocks(3, 9000)[2])
+    head = _msg(1, b"OSMData") + _var(3 << 3) + _var(len(stored))
+    (tmp_path / "last.osm.pbf").write_bytes(_pbf() + struct.pack(">I", len(head)) + head + stored + _pbf(*_blocks(1, 9500))[:0])
+    paths = [f"{tmp_path}/part*.osm.pbf", f"{tmp_path}/last.osm.pbf"]
+    whole = pbf._Reader(paths, frozenset(pbf.KINDS))
+    rows = lambda r: sorted((str(x) for p in r.partitions() for b in r.read(p) for x in b.to_pylist()))
+    want = rows(whole)
+    assert len(want) == 3 * 4 * 250 + 3
+    for split in (37, 500, 4096):
+        cut = pbf._Reader(paths, frozenset(pbf.KINDS), split)
+        assert len(cut.partitions()) > len(whole.partitions()) and rows(cut) == want
+    one = next(x for x in whole.read(whole.partitions()[0])).to_pylist()[3]
+    assert (one["id"], round(one["lat"], 9), round(one["lon"], 9), dict(one["tags"])) == (3, 0.0025, -0.003, {"highway": "path", "name": "Überweg"})
+    # a scan for relations decodes no node and no way
+    seen = []
+    monkeypatch.setattr(pbf, "_dense_nodes", lambda *a: seen.append("dense"))
+    group = pbf._group
+    monkeypatch.setattr(pbf, "_group", lambda found, *a: (seen.extend(n for n, _ in found), group(found, *a))[1])
+    some = pbf._PushingReader(paths, frozenset(pbf.KINDS))
+    assert list(some.pushFilters([pbf.EqualTo(("kind",), "relation"), pbf.EqualTo(("id",), 5)])) == [pbf.EqualTo(("id",), 5)]
+    assert len(rows(some)) == 750 and set(seen) == {4}
+    monkeypatch.undo()
+    df = pbf.entities_of(spark, *paths)
+    assert {r.kind: r.n for r in df.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"node": 1500, "way": 753, "relation": 750}
+    rel = df.where("kind = 'relation'")
+    assert "Filter (" not in rel._jdf.queryExecution().optimizedPlan().toString() and rel.count() == 750  # the reader has taken it
+    nodes, ways, rels = pbf.read_entities(df)
+    assert nodes.count() == 1500 and ways.where("id = 1001").first().refs == [1004] and [tuple(m) for m in rels.where("id = 2008").first().members] == [("way", 2008, "outer"), ("relation", 2001, "")]
+    assert pbf.read_header(str(tmp_path / "part0.osm.pbf")) == pytest.approx((-2.0, 4.0, 3.0, -1e-9))
+
+
 def test_geometry_blobs_round_trip(spark):
     ring = np.array([(0.0, 0.0), (2.0, 0.0), (1.0, 1.0), (0.0, 0.0)])
     for kind, parts in (("Point", [[ring[:1]]]), ("LineString", [[ring[:2]]]), ("MultiLineString", [[ring[:2]], [ring[1:3]]]), ("Polygon", [[ring]]), ("MultiPolygon", [[ring], [ring]])):
