@@ -362,7 +362,7 @@ def test_pbf_splits_prunes_and_reads_many_files(spark, tmp_path, monkeypatch):
     assert "Filter (" not in rel._jdf.queryExecution().optimizedPlan().toString() and rel.count() == 750  # the reader has taken it
     nodes, ways, rels = pbf.read_entities(df)
     assert nodes.count() == 1500 and ways.where("id = 1001").first().refs == [1004] and [tuple(m) for m in rels.where("id = 2008").first().members] == [("way", 2008, "outer"), ("relation", 2001, "")]
-    assert pbf.read_header(str(tmp_path / "part0.osm.pbf")) == pytest.approx((-2.0, 4.0, 3.0, -1e-9))
+    assert pbf.read_header(str(tmp_path / "part0.osm.pbf")) == pytest.approx((-2e-9, -1e-9, 4.0, 3.0))
 
 
 def test_geometry_blobs_round_trip(spark):
