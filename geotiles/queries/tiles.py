@@ -166,6 +166,40 @@ SELECT z, x, y, (count(*) + CASE WHEN z = 17 THEN count(*) FILTER (shown) ELSE 0
  (count(*) FILTER (shown) * CASE WHEN z = 17 THEN 2 ELSE 1 END)::BIGINT AS kept FROM t WHERE seen AND x >= 0 AND x < (1 << z) GROUP BY z, x, y"""
 
 
+def _stored_points(spark, d) -> str:
+    """Points and footprints as packed layers in a folder of the checkpoint directory."""
+    from ..operators.query import boxes_of_points
+    from ..sources import layers_io
+    from ..sources.scratch import fresh_folder
+
+    p = boxes_of_points(view(spark, d, "geo_points")).select(F.lit("points").alias("layer"), "fid", "minx", "miny", "maxx", "maxy")
+    b = view(spark, d, "geo_boxes").select(F.lit("boxes").alias("layer"), "fid", "minx", "miny", "maxx", "maxy")
+    path = fresh_folder(spark, "layers")
+    layers_io.write_layers(p.unionByName(b), path, rows=100)
+    return path
+
+
+def stored_box(spark, d):
+    """Features of two layers in a box, written by tiles and read back through the index."""
+    from ..sources import layers_io
+
+    path = _stored_points(spark, d)
+    return layers_io.read_layer(spark, path, "points", (-60.0, -40.0, 60.0, 40.0)).select("layer", "fid").unionByName(
+        layers_io.read_layer(spark, path, "boxes", (-60.0, -40.0, 60.0, 40.0)).select("layer", "fid"))
+
+
+def stored_joins(spark, d):
+    """Footprints with the stored points they hold: tiles meet the footprints first."""
+    from ..sources import layers_io
+
+    return layers_io.query_layer(spark, _stored_points(spark, d), "points", view(spark, d, "geo_boxes"))
+
+
+_STORED = f"""{with_views("geo_points", "geo_boxes")} SELECT 'points' AS layer, fid FROM geo_points WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -40 AND 40
+ UNION ALL SELECT 'boxes', fid FROM geo_boxes WHERE maxx >= -60 AND minx <= 60 AND maxy >= -40 AND miny <= 40"""
+_STOREDJ = f"""{with_views("geo_points", "geo_boxes")} SELECT b.fid AS box_fid, p.fid FROM geo_boxes b JOIN geo_points p ON lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy"""
+
+
 def layer_priorities(spark, d):
     """Priorities of the other layers from their properties, z14, and with the size of the box below z13."""
     p = view(spark, d, "geo_points")
@@ -300,12 +334,12 @@ _COVSEL = f"""{with_views("geo_points", "geo_boxes")} SELECT p.fid AS box, arg_m
  ON p.lon >= b.minx AND p.lon + 0.5 <= b.maxx AND p.lat >= b.miny AND p.lat + 0.5 <= b.maxy GROUP BY p.fid"""
 
 
-QUERIES = {f.__name__: f for f in (feature_tiles, tile_top, pyramid_stats, shape_stats, pyramid_tiles, pyramid_counts, poi_tiles, layer_priorities, aviation_labels, tile_directory, policy_table, road_priorities,
+QUERIES = {f.__name__: f for f in (feature_tiles, tile_top, pyramid_stats, shape_stats, pyramid_tiles, pyramid_counts, poi_tiles, stored_box, stored_joins, layer_priorities, aviation_labels, tile_directory, policy_table, road_priorities,
                                    poi_label_candidates, road_label_texts, decluttered, coverage_selection)}
 ORACLES = {
     "feature_tiles": f"{with_views('geo_points')}, {_buffered(6)} SELECT x, y, count(*) AS n FROM geo_points JOIN bt ON {_TOUCH} GROUP BY x, y",
     "shape_stats": _SHAPES, "pyramid_counts": _counts_sql(), "layer_priorities": _PRIO, "aviation_labels": _AVI,
-    "tile_top": _TILETOP, "poi_tiles": _poi_sql(), "pyramid_stats": _stats_sql(), "tile_directory": _dir_sql(), "policy_table": _POLICY,
+    "tile_top": _TILETOP, "poi_tiles": _poi_sql(), "stored_box": _STORED, "stored_joins": _STOREDJ, "pyramid_stats": _stats_sql(), "tile_directory": _dir_sql(), "policy_table": _POLICY,
     "road_priorities": f"{with_views('geo_ways')} SELECT highway, count(*) AS n, CASE highway WHEN 'motorway' THEN 1000 WHEN 'primary' THEN 920 WHEN 'tertiary' THEN 740 WHEN 'residential' THEN 460 ELSE 160 END::DOUBLE AS priority FROM geo_ways GROUP BY highway",
     "poi_label_candidates": _PL, "road_label_texts": _RL, "coverage_selection": _COVSEL,
 }

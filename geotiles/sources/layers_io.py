@@ -14,7 +14,9 @@ from ..functions import geometry as g
 from ..functions.arrays import Parts, geometries, to_arrow
 from ..schema import BOX, LayerSpec, conform
 
-CELL = 1.0  # degrees of a partition cell
+#: Features of a file, and the folder of the index of tiles inside a layer folder (readers of the folder pass over it).
+FILE_ROWS = 500_000
+INDEX = "_tiles"
 
 
 def ingest_features(df: DataFrame, spec: LayerSpec, column: str = "feature") -> DataFrame:
@@ -45,23 +47,71 @@ def ingest_features(df: DataFrame, spec: LayerSpec, column: str = "feature") ->
     return conform(out.withColumn("fid", F.xxhash64("geom", *[F.col(f"`{k}`") for k in spec.columns])), spec)
 
 
-def write_layers(features: DataFrame, path: str, cell: float = CELL) -> None:
-    """Rows (layer, ..., minx..maxy) as one Parquet folder per layer, near rows in the same files.
+def _packed(features: DataFrame, rows: int) -> DataFrame:
+    """Adds ``tile``: sort-tile-recursive packing of box centres, some ``rows`` features a tile.
 
-    Rows are dealt by ranges of layer, a grid cell and a hash of the row's box: a crowded cell is cut into as many files as it needs,
-    and the box columns' minima and maxima let a box read skip files.
+    A layer is cut at quantiles of x into as many slices as each slice then is at quantiles of y.  Quantiles are approximate and combined on the map
+    side over narrow columns; the cuts of a layer are a few numbers that join back.
     """
-    df = features.withColumns({"cell_x": F.floor(F.col("minx") / cell).cast("int"), "cell_y": F.floor(F.col("miny") / cell).cast("int")})
-    order = ("layer", "cell_x", "cell_y", "minx", "miny")
-    (df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("layer").parquet(path))
+    df = features.withColumns({"_cx": (F.col("minx") + F.col("maxx")) / 2, "_cy": (F.col("miny") + F.col("maxy")) / 2})
+    sides = F.greatest(F.lit(0), F.ceil(F.log2(F.ceil(F.col("n") / rows)) / 2)).cast("int")
+    counts = features.groupBy("layer").agg(F.count("*").alias("n")).select("layer", F.least(F.lit(9), sides).alias("_side")).collect()  # a row a layer
+    known = features.sparkSession.createDataFrame([(r[0], r["_side"]) for r in counts], "layer string, _side int")
+    cuts = lambda c: F.coalesce(*[F.when(F.first("_side") == k, F.percentile_approx(c, [i / (1 << k) for i in range(1, 1 << k)], 10000)) for k in sorted({r["_side"] for r in counts if r["_side"]})],
+                                F.array().cast("array<double>"))
+    number = lambda bounds, c: F.size(F.filter(bounds, lambda b: b < F.col(c)))
+    df = df.join(known, "layer")
+    df = df.join(df.groupBy("layer").agg(cuts("_cx").alias("_xs")), "layer").withColumn("_slice", number("_xs", "_cx")).drop("_xs")
+    df = df.join(df.groupBy("layer", "_slice").agg(cuts("_cy").alias("_ys")), ["layer", "_slice"])
+    return df.withColumn("tile", F.col("_slice") * 512 + number("_ys", "_cy")).drop("_cx", "_cy", "_side", "_slice", "_ys")
+
+
+def write_layers(features: DataFrame, path: str, rows: int = FILE_ROWS) -> None:
+    """Rows (layer, ..., minx..maxy) as a Parquet folder per layer and tile of near features, with an index of the tiles' boxes beside them.
+
+    Rows are dealt by ranges of layer, tile and box, so a crowded place is written by as many tasks as it needs.
+    """
+    df = _packed(features, rows)
+    order = ("layer", "tile", "minx", "miny")
+    dealt = df.withColumn("_salt", F.xxhash64(*BOX, *(["fid"] if "fid" in df.columns else []))).repartitionByRange("layer", "tile", "_salt").drop("_salt")
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy("layer", "tile").parquet(path)
+    box = [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), BOX)]
+    index = features.sparkSession.read.parquet(path).groupBy("layer", "tile").agg(F.count("*").alias("features"), *box)
+    index.write.mode("overwrite").parquet(f"{path}/{INDEX}")
+
+
+def layer_index(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """(tile, features, minx..maxy) of a layer's tiles."""
+    return spark.read.parquet(f"{path}/{INDEX}").where(F.col("layer") == layer).drop("layer")
+
+
+def read_layer(spark: SparkSession, path: str, layer: str, box: Sequence[float] | None = None, most_tiles: int = 10_000) -> DataFrame:
+    """A layer's features; with a box only those that overlap it.
 
+    The index names the tiles that the box touches, and only their files are opened; where they are more than ``most_tiles``, their
+    names are not listed and the box columns' minima and maxima alone let Parquet skip row groups.
+    """
+    df = spark.read.parquet(path).where(F.col("layer") == layer)
+    if box is not None:
+        touch = lambda d: d.where((F.col("maxx") >= box[0]) & (F.col("minx") <= box[2]) & (F.col("maxy") >= box[1]) & (F.col("miny") <= box[3]))
+        tiles = [r[0] for r in touch(layer_index(spark, path, layer)).select("tile").limit(most_tiles + 1).collect()]
+        df = touch(df.where(F.col("tile").isin(tiles)) if len(tiles) <= most_tiles else df)
+    return df.drop("tile")
+
+
+def query_layer(spark: SparkSession, path: str, layer: str, boxes: DataFrame) -> DataFrame:
+    """(box_fid, fid): every box (fid, minx..maxy) with the layer's features that it overlaps.
+
+    Boxes meet the tiles' boxes first, in the grid; a feature lies in one tile, so features meet the boxes of their tile by an equi join
+    and no pair twice.
+    """
+    from ..operators.query import bbox_overlaps, query_boxes
 
-def read_layer(spark: SparkSession, path: str, layer: str, box: Sequence[float] | None = None) -> DataFrame:
-    """A layer's features; with a box only those that overlap it, by comparisons that reach the Parquet files."""
-    df = spark.read.parquet(path).where(F.col("layer") == layer).drop("cell_x", "cell_y")
-    if box is None:
-        return df
-    return df.where((F.col("maxx") >= box[0]) & (F.col("minx") <= box[2]) & (F.col("maxy") >= box[1]) & (F.col("miny") <= box[3]))
+    tiles = layer_index(spark, path, layer).withColumnRenamed("tile", "fid")
+    near = query_boxes(tiles, boxes).withColumnRenamed("fid", "tile").join(
+        boxes.select(F.col("fid").alias("box_fid"), *[F.col(c).alias(f"b{c}") for c in BOX]), "box_fid")
+    features = spark.read.parquet(path).where(F.col("layer") == layer).select("tile", "fid", *BOX)
+    return features.join(near, "tile").where(bbox_overlaps([F.col(c) for c in BOX], [F.col(f"b{c}") for c in BOX])).select("box_fid", "fid")
 
 
 def describe_layers(spark: SparkSession, path: str, specs: Iterable[LayerSpec]) -> DataFrame:

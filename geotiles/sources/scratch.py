@@ -5,25 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder of spark.checkpoint.dir and read back; lost executors cost nothing that is written.
-
-    Without the setting a temporary folder serves where all runs on this machine.
-    """
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which every executor and the driver reach; a temporary one only where all run on this machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         top = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a fresh folder and read back; lost executors cost nothing that is written."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled = True
     return out
 

@@ -663,3 +663,28 @@ def test_box_reads_of_a_layer(spark, tmp_path):
     layers_io.write_layers(f, str(tmp_path / "l"))
     got = layers_io.read_layer(spark, str(tmp_path / "l"), "a", (3.0, 4.0, 6.0, 9.0))
     assert got.count() == f.where("minx between 3 and 6 and miny between 4 and 9").count() and layers_io.read_layer(spark, str(tmp_path / "l"), "a").count() == 500
+
+
+def test_a_city_opens_few_files(spark, tmp_path):
+    """Half the features lie in one city, a tenth at one point: tiles stay of one size, and a read of a city block opens only files of its tiles."""
+    n = 20_000
+    spot = lambda seed: F.when(F.col("id") % 10 == 0, 2.5).when(F.col("id") % 2 == 0, 2 + F.rand(seed)).otherwise(F.rand(seed + 1) * 300 - 150)
+    f = spark.range(n).select(F.lit("a").alias("layer"), F.col("id").alias("fid"), spot(1).alias("minx"), (spot(3) / 2).alias("miny"))
+    f = f.withColumns({"maxx": F.col("minx") + 0.001, "maxy": F.col("miny") + 0.001}).unionByName(f.limit(3).withColumns({"layer": F.lit("b"), "maxx": F.col("minx"), "maxy": F.col("miny")})).cache()
+    path = str(tmp_path / "l")
+    layers_io.write_layers(f, path, rows=250)
+    index = layers_io.layer_index(spark, path, "a").collect()
+    sizes = sorted(r.features for r in index)
+    assert sum(sizes) == n and len(sizes) > 40 and sizes[-2] < 4 * sizes[len(sizes) // 2]  # all but the one point
+    box = (2.7, 1.3, 2.8, 1.4)
+    got = layers_io.read_layer(spark, path, "a", box)
+    assert got.count() == f.where("layer = 'a' and maxx >= 2.7 and minx <= 2.8 and maxy >= 1.3 and miny <= 1.4").count()
+    whole = layers_io.read_layer(spark, path, "a")
+    assert len(got.inputFiles()) == len(whole.inputFiles())  # of the folder: tiles are chosen when the read is planned
+    opened = lambda df: df.select(F.input_file_name().alias("f")).distinct().count()
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(layer" in scan and "tile#" in scan and opened(got) <= 8 < 40 < opened(whole)
+    assert sorted(r.fid for r in layers_io.read_layer(spark, path, "a", box, most_tiles=1).collect()) == sorted(r.fid for r in got.collect())
+    boxes = spark.createDataFrame([(1, 2.7, 1.3, 2.8, 1.4), (2, -150.0, -80.0, 150.0, 80.0), (3, 2.5, 1.25, 2.5, 1.25)], "fid long, minx double, miny double, maxx double, maxy double")
+    met = {r.box_fid: r.n for r in layers_io.query_layer(spark, path, "a", boxes).groupBy("box_fid").agg(F.count("*").alias("n")).collect()}
+    assert met[1] == got.count() and met[2] == n and met[3] >= n // 10
