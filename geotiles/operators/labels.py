@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -15,6 +15,8 @@ from ..functions.arrays import Parts, geometries
 from ..functions.policy import LABEL_LIMITS, ROAD_PRIORITY, ROADS
 from ..functions.text import clean_text, filled, first_label, first_text, is_label, title_case
 from ..plans.pyramid import top_per_layer
+from ..schema import BOX
+from ..sources.scratch import settled
 from .classify import Tags, poi_category_stored
 
 # What names a feature, and the classes that are labelled at a zoom.
@@ -277,21 +279,32 @@ def with_anchors(df: DataFrame) -> DataFrame:
 def declutter(df: DataFrame, keys: tuple[str, ...], max_labels: int) -> DataFrame:
     """Per tile: priority, then key; each key once; labels that overlap a chosen one go; at most max_labels.
 
-    Rows (keys, key, priority, minx, miny, maxx, maxy).  Top-k labels per tile bound a group.
+    Rows (keys, key, priority, minx, miny, maxx, maxy), any number a tile.  The result is that of taking labels one by one, found in rounds: labels lie in
+    the cells of a grid of their mean size, and one that no undecided label of any of its cells outranks is kept; what overlaps it goes.  A
+    cell's best is a minimum combined on the map side, kept labels do not overlap, so a cell holds few of them, and no tile or crowd is gathered.
+    Every round decides the best of each tile at least, and about as many as there are crowds apart from each other.
     """
-    names = df.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority", "key"], ascending=[False, True], kind="stable").drop_duplicates("key")
-        chosen: list[int] = []
-        boxes: list[tuple] = []
-        for at, a in enumerate(pdf[["minx", "miny", "maxx", "maxy"]].itertuples(index=False)):
-            if any(a[0] < b[2] and a[2] > b[0] and a[1] < b[3] and a[3] > b[1] for b in boxes):
-                continue
-            chosen.append(at)
-            boxes.append(tuple(a))
-            if len(chosen) >= max_labels:
-                break
-        return pdf.iloc[chosen][names]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    rank = [F.desc("priority"), "key", *[F.col(c) for c in BOX]]
+    alone = F.row_number().over(Window.partitionBy(*keys, "key").orderBy(*rank))
+    labels = settled(df.withColumn("_n", alone).where("_n = 1").drop("_n").withColumn("_id", F.monotonically_increasing_id()), "labels")
+    mean = labels.agg(F.avg(F.col("maxx") - F.col("minx")), F.avg(F.col("maxy") - F.col("miny"))).first()
+    cell = lambda c, size: F.floor(F.col(c) / (size or 1.0))
+    place = ["_tile", "_cx", "_cy"]
+    best = F.struct((-F.col("priority")).alias("p"), "key", "_id")
+    undecided = settled(labels.select("_id", F.to_json(F.struct(*keys)).alias("_tile"), best.alias("_rank"), *BOX,
+                                      F.explode(F.sequence(cell("minx", mean[0]), cell("maxx", mean[0]))).alias("_cx")).withColumn(
+                        "_cy", F.explode(F.sequence(cell("miny", mean[1]), cell("maxy", mean[1])))), "undecided")
+    kept: list[DataFrame] = []
+    while undecided.limit(1).count():
+        first = undecided.groupBy(*place).agg(F.min("_rank").alias("_first"))
+        wins = settled(undecided.join(first, place).groupBy("_id").agg(F.bool_and(F.col("_rank._id") == F.col("_first._id")).alias("wins")).where("wins").select("_id"), "kept-labels")
+        kept.append(wins)
+        held = undecided.join(wins, "_id", "left_semi").select(*place, *[F.col(c).alias(f"_{c}") for c in BOX])
+        over = (F.col("minx") < F.col("_maxx")) & (F.col("maxx") > F.col("_minx")) & (F.col("miny") < F.col("_maxy")) & (F.col("maxy") > F.col("_miny"))
+        gone = undecided.join(held, place).where(over).select("_id").unionByName(wins)
+        undecided = settled(undecided.join(gone, "_id", "left_anti"), "undecided")
+    if not kept:
+        return df.limit(0)
+    chosen = labels.join(reduce(DataFrame.unionByName, kept), "_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))
+    return chosen.withColumn("_n", place).where(F.col("_n") <= max_labels).select(*df.columns)

@@ -302,6 +302,25 @@ def decluttered(spark, d):
     return lab.declutter(lab.top_labels(p, "poi_labels", 17), ("x", "y"), 40).select("x", "y", "fid")
 
 
+def crowded_labels(spark, d):
+    """Labels left of all points of a z1 tile, however many."""
+    p = view(spark, d, "geo_points").select("fid", F.col("name").alias("key"), "priority", (F.col("lon") - 6).alias("minx"), (F.col("lat") - 3).alias("miny"), (F.col("lon") + 6).alias("maxx"),
+                                            (F.col("lat") + 3).alias("maxy"), tm.tile_x(F.col("lon"), 1).alias("x"), tm.tile_y(F.col("lat"), 1).alias("y"))
+    return lab.declutter(p, ("x", "y"), 60).select("x", "y", "fid")
+
+
+def _greedy_sql(z: int, wide: float, high: float, best: str, most: int) -> str:
+    """Labels one by one, in order of rank, kept while they overlap none that is kept."""
+    return f"""{with_views("geo_points").replace("WITH", "WITH RECURSIVE", 1)}, t AS (SELECT {_tx(z)} AS x, {_ty(z)} AS y, fid, name, priority, lon, lat FROM geo_points),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY priority DESC, fid) AS k FROM t) WHERE {best}),
+c AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY priority DESC, name) AS n FROM b),
+s AS (SELECT x, y, 0::BIGINT AS n, []::STRUCT(fid BIGINT, lon DOUBLE, lat DOUBLE)[] AS kept FROM c GROUP BY x, y
+ UNION ALL SELECT s.x, s.y, c.n, CASE WHEN len(kept) < {most} AND len(list_filter(kept, lambda q: abs(q.lon - c.lon) < {wide} AND abs(q.lat - c.lat) < {high})) = 0
+  THEN list_append(kept, {{'fid': c.fid::BIGINT, 'lon': c.lon, 'lat': c.lat}}) ELSE kept END FROM s JOIN c ON c.x = s.x AND c.y = s.y AND c.n = s.n + 1),
+l AS (SELECT x, y, arg_max(kept, n) AS kept FROM s GROUP BY x, y)
+SELECT x, y, unnest(kept).fid AS fid FROM l"""
+
+
 def aviation_labels(spark, d):
     """Labels of runways and the like at z12 and z14."""
     w = view(spark, d, "geo_ways")
@@ -335,11 +354,11 @@ _COVSEL = f"""{with_views("geo_points", "geo_boxes")} SELECT p.fid AS box, arg_m
 
 
 QUERIES = {f.__name__: f for f in (feature_tiles, tile_top, pyramid_stats, shape_stats, pyramid_tiles, pyramid_counts, poi_tiles, stored_box, stored_joins, layer_priorities, aviation_labels, tile_directory, policy_table, road_priorities,
-                                   poi_label_candidates, road_label_texts, decluttered, coverage_selection)}
+                                   poi_label_candidates, road_label_texts, decluttered, crowded_labels, coverage_selection)}
 ORACLES = {
     "feature_tiles": f"{with_views('geo_points')}, {_buffered(6)} SELECT x, y, count(*) AS n FROM geo_points JOIN bt ON {_TOUCH} GROUP BY x, y",
     "shape_stats": _SHAPES, "pyramid_counts": _counts_sql(), "layer_priorities": _PRIO, "aviation_labels": _AVI,
     "tile_top": _TILETOP, "poi_tiles": _poi_sql(), "stored_box": _STORED, "stored_joins": _STOREDJ, "pyramid_stats": _stats_sql(), "tile_directory": _dir_sql(), "policy_table": _POLICY,
     "road_priorities": f"{with_views('geo_ways')} SELECT highway, count(*) AS n, CASE highway WHEN 'motorway' THEN 1000 WHEN 'primary' THEN 920 WHEN 'tertiary' THEN 740 WHEN 'residential' THEN 460 ELSE 160 END::DOUBLE AS priority FROM geo_ways GROUP BY highway",
-    "poi_label_candidates": _PL, "road_label_texts": _RL, "coverage_selection": _COVSEL,
+    "poi_label_candidates": _PL, "decluttered": _greedy_sql(2, 8, 2, "k <= 50", 40), "crowded_labels": _greedy_sql(1, 12, 6, "true", 60), "road_label_texts": _RL, "coverage_selection": _COVSEL,
 }
