@@ -42,15 +42,48 @@ def _cells_of_box(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumn("_cx", F.explode(line("minx", "maxx"))).withColumn("_cy", F.explode(line("miny", "maxy")))
 
 
+#: Edges of a polygon's band, about.
+BAND_EDGES = 64
+
+
+def _banded_edges(polygons: DataFrame) -> DataFrame:
+    """(ord, band, edges): the edges of polygons (ord, geom, miny, maxy, bands) by the bands of latitude they reach into."""
+    rings = polygons.select("ord", "miny", "maxy", "bands", F.posexplode("geom.parts").alias("part", "rings")).select(
+        "ord", "miny", "maxy", "bands", "part", F.posexplode("rings").alias("ring", "c"))
+    pairs = F.when(F.size("c") >= 2, F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(
+        F.get("c", i)["x"].alias("px"), F.get("c", i)["y"].alias("py"), F.get("c", i - 1)["x"].alias("qx"), F.get("c", i - 1)["y"].alias("qy"))))
+    edges = rings.select("ord", "miny", "maxy", "bands", "part", "ring", F.explode(pairs).alias("e")).where("e.py <> e.qy")  # a level edge is never crossed
+    at = lambda y: _band(y, F.col("miny"), F.col("maxy"), F.col("bands"))
+    dealt = edges.select("ord", "part", "ring", "e.*", F.explode(F.sequence(at(F.least("e.py", "e.qy")), at(F.greatest("e.py", "e.qy")))).alias("band"))
+    return dealt.groupBy("ord", "band").agg(F.collect_list(F.struct("part", "ring", "px", "py", "qx", "qy")).alias("edges"))
+
+
+def _band(y: Column, low: Column, high: Column, bands: Column) -> Column:
+    share = F.when(high > low, (y - low) / (high - low)).otherwise(0.0)
+    return F.least(F.floor(share * bands), bands - 1)
+
+
 def containing(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(fid, by_area): for points (fid, lon, lat) the polygon ord (ord, geom) of smallest box that holds them."""
-    boxed = polygons.where(F.col("geom.kind").isin("Polygon", "MultiPolygon")).withColumn("_b", g.bbox(F.col("geom"))).select("ord", "geom", "_b.*")
+    """(fid, by_area): for points (fid, lon, lat) the polygon ord (ord, geom) of smallest box that holds them.
+
+    Polygons are never copied to where points are: boxes meet points in grid cells; the edges of a polygon are dealt once to bands of
+    latitude of some ``BAND_EDGES`` each, and a point casts its ray over the edges of its own band, ring by ring.
+    """
+    boxed = polygons.where(F.col("geom.kind").isin("Polygon", "MultiPolygon")).withColumn("_b", g.bbox(F.col("geom"))).select(
+        "ord", "geom", "_b.*", F.greatest(F.lit(1), F.ceil(g.vertex_count(F.col("geom")) / BAND_EDGES)).alias("bands"))
     area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
-    tiles = _cells_of_box(boxed.withColumn("area", area), cell)
+    tiles = _cells_of_box(boxed.select("ord", area.alias("area"), "minx", "miny", "maxx", "maxy", "bands"), cell)
     at = points.select("fid", "lon", "lat").withColumns({"_cx": F.floor(F.col("lon") / cell), "_cy": F.floor(F.col("lat") / cell)})
-    met = at.join(tiles, ["_cx", "_cy"])
-    inside = F.exists(F.col("geom.parts"), lambda rings: g.point_in_rings(F.col("lon"), F.col("lat"), rings))
-    return met.where(inside).groupBy("fid").agg(F.min(F.struct("area", "ord")).alias("m")).select("fid", F.col("m.ord").alias("by_area"))
+    near = at.join(tiles, ["_cx", "_cy"]).where((F.col("lon") >= F.col("minx")) & (F.col("lon") <= F.col("maxx")) & (F.col("lat") >= F.col("miny")) & (F.col("lat") <= F.col("maxy")))
+    near = near.select("fid", "lon", "lat", "ord", "area", _band(F.col("lat"), F.col("miny"), F.col("maxy"), F.col("bands")).alias("band"))
+    met = near.join(_banded_edges(boxed), ["ord", "band"])
+    x, y = F.col("lon"), F.col("lat")
+    crossed = F.transform(F.filter("edges", lambda e: ((e["py"] > y) != (e["qy"] > y)) & (x < (e["qx"] - e["px"]) * (y - e["py"]) / (e["qy"] - e["py"]) + e["px"])),
+                          lambda e: F.struct(e["part"].alias("part"), e["ring"].alias("ring")))
+    odd = F.filter(F.array_distinct("crossed"), lambda r: F.size(F.filter("crossed", lambda c: c == r)) % 2 == 1)
+    inside = F.exists("odd", lambda r: (r["ring"] == 0) & ~F.exists("odd", lambda h: (h["part"] == r["part"]) & (h["ring"] > 0)))
+    held = met.withColumn("crossed", crossed).withColumn("odd", odd).where(inside)
+    return held.groupBy("fid").agg(F.min(F.struct("area", "ord")).alias("m")).select("fid", F.col("m.ord").alias("by_area"))
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, metres: float = NEAREST_M) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..schema import BOX
 
 STEPS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -40,26 +41,32 @@ def point_in_ring_wrapped(x: Column, y: Column, ring: Column) -> Column:
     return g.let(unwrapped(ring), test)
 
 
+def touching(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
+    """(box, id): boxes (box, minx..maxy) with the extracts (id, minx..maxy) whose box they touch; a pair only in the cell of its lower-left common corner."""
+    cell = 10.0
+    cells = lambda df, x, y: df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(f"{x}minx") / cell), F.floor(F.col(f"{x}maxx") / cell)))).withColumn(
+        "_cy", F.explode(F.sequence(F.floor(F.col(f"{y}miny") / cell), F.floor(F.col(f"{y}maxy") / cell))))
+    b = cells(boxes.select("box", *BOX), "", "")
+    e = cells(extracts.select("id", *[F.col(c).alias("e" + c) for c in BOX]), "e", "e")
+    own = (F.col("_cx") == F.floor(F.greatest("minx", "eminx") / cell)) & (F.col("_cy") == F.floor(F.greatest("miny", "eminy") / cell))
+    return b.join(e, ["_cx", "_cy"]).where(own & (F.col("minx") <= F.col("emaxx")) & (F.col("maxx") >= F.col("eminx")) & (F.col("miny") <= F.col("emaxy")) & (F.col("maxy") >= F.col("eminy"))).select("box", "id")
+
+
 def sample_hits(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
-    """(box, id, hits): how many of a box's 25 sample points each intersecting extract holds.
+    """(box, id, hits, points): which of a box's 25 sample points each extract (id, minx..maxy, rings) that it touches holds.
 
-    ``boxes`` (box, minx..maxy) meet ``extracts`` (id, minx..maxy, rings) on whole-degree cells of ten.
+    The samples are an array in one row a pair, so an extract's rings are joined once a pair.
     """
-    cell = 10.0
-    cells = lambda df: df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("minx") / cell), F.floor(F.col("maxx") / cell)))).withColumn(
-        "_cy", F.explode(F.sequence(F.floor(F.col("miny") / cell), F.floor(F.col("maxy") / cell))))
-    e = extracts.select("id", "rings", *[F.col(c).alias("e" + c) for c in ("minx", "miny", "maxx", "maxy")], "minx", "miny", "maxx", "maxy")
-    met = cells(boxes).drop("minx", "miny", "maxx", "maxy").join(cells(e).drop("minx", "miny", "maxx", "maxy"), ["_cx", "_cy"]).select("box", "id").distinct()
-    full = met.join(boxes, "box").join(e.drop("minx", "miny", "maxx", "maxy"), "id").where(
-        (F.col("minx") <= F.col("emaxx")) & (F.col("maxx") >= F.col("eminx")) & (F.col("miny") <= F.col("emaxy")) & (F.col("maxy") >= F.col("eminy")))
+    full = touching(boxes, extracts).join(boxes.select("box", *BOX), "box").join(extracts.select("id", "rings"), "id")
     grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in STEPS for b in STEPS])
-    s = full.select("*", F.explode(grid).alias("s"))
-    px = F.col("minx") + (F.col("maxx") - F.col("minx")) * F.col("s.a")
-    py = F.col("miny") + (F.col("maxy") - F.col("miny")) * F.col("s.b")
-    inside = F.exists("rings", lambda poly: point_in_ring_wrapped(px, py, poly[0]) & ~F.exists(
-        F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), lambda h: point_in_ring_wrapped(px, py, h)))
-    return s.withColumn("hit", inside).groupBy("box", "id").agg(
-        F.count_if("hit").alias("hits"), F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct(F.col("s.a"), F.col("s.b"))))).alias("points"))
+
+    def inside(s: Column) -> Column:
+        px = F.col("minx") + (F.col("maxx") - F.col("minx")) * s["a"]
+        py = F.col("miny") + (F.col("maxy") - F.col("miny")) * s["b"]
+        return F.exists("rings", lambda poly: point_in_ring_wrapped(px, py, poly[0]) & ~F.exists(
+            F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), lambda h: point_in_ring_wrapped(px, py, h)))
+
+    return full.select("box", "id", F.filter(grid, inside).alias("points")).select("box", "id", F.size("points").cast("long").alias("hits"), "points")
 
 
 def select_coverage(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
@@ -98,7 +105,7 @@ def select_coverage(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
 def list_coverage(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
     """(box, id, area): intersecting extracts; children of a root only, where there are any."""
     roots = extracts.where("parent IS NULL").select(F.col("id").alias("parent")).withColumn("top", F.lit(True))
-    cell = sample_hits(boxes, extracts).select("box", "id").join(extracts.select("id", "parent", "area"), "id").join(roots, "parent", "left")
+    cell = touching(boxes, extracts).join(extracts.select("id", "parent", "area"), "id").join(roots, "parent", "left")
     some = cell.groupBy("box").agg(F.max(F.coalesce("top", F.lit(False))).alias("some"))
     return cell.join(some, "box").where(~F.col("some") | F.coalesce("top", F.lit(False))).select("box", "id", "area")
 
@@ -106,5 +113,5 @@ def list_coverage(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
 def coverage_by_id(boxes: DataFrame, extracts: DataFrame, wanted: list[str]) -> DataFrame:
     """(box, id, ok): whether each wanted extract exists and intersects the box."""
     w = boxes.select("box", F.explode(F.array(*map(F.lit, wanted))).alias("id"))
-    met = sample_hits(boxes, extracts).select("box", "id").withColumn("ok", F.lit(True))
+    met = touching(boxes, extracts).withColumn("ok", F.lit(True))
     return w.join(met, ["box", "id"], "left").select("box", "id", F.coalesce("ok", F.lit(False)).alias("ok"))

@@ -187,6 +187,31 @@ def test_declutter_equals_one_by_one(spark):
     assert lab.declutter(df.limit(0), ("t",), 3).count() == 0
 
 
+def test_banded_polygons_equal_the_ray_cast(spark):
+    """Points on vertices, edges and inside holes of jagged polygons, one of many vertices: bands say what the whole ring says."""
+    import random
+
+    rng = random.Random(9)
+
+    def jagged(n, cx, cy, r):
+        ring = [(cx + r * math.cos(2 * math.pi * k / n) * rng.uniform(.5, 1), round(cy + r * math.sin(2 * math.pi * k / n) * rng.uniform(.5, 1), 1 if n < 100 else 9)) for k in range(n)]
+        return ring + ring[:1]
+
+    polygons = [(1, [[jagged(40, 0, 0, 8), jagged(12, 0, 0, 2)], [jagged(9, 12, 3, 3)]]), (2, [[jagged(5000, 2, 1, 6)]]), (3, [[[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]]),
+                (4, [[[(1.0, 2.0), (5.0, 2.0), (1.0, 2.0)]]])]
+    points = [(rng.uniform(-10, 16), rng.uniform(-9, 9)) for _ in range(500)] + [p for _, parts in polygons for rings in parts for r in rings for p in r[:60]]
+    points += [(x, y) for x in (0.0, 2.0, 4.0) for y in (0.0, 2.0, 4.0)]
+    pts = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "fid long, lon double, lat double")
+    df = spark.createDataFrame([(k, ("MultiPolygon", [[[{"x": x, "y": y} for x, y in r] for r in rings] for rings in parts])) for k, parts in polygons], f"ord long, geom {g.GEOMETRY}")
+    held = pts.join(df).where(F.exists("geom.parts", lambda rings: g.point_in_rings(F.col("lon"), F.col("lat"), rings)))
+    box = held.withColumn("b", g.bbox(F.col("geom"))).withColumn("area", (F.col("b.maxx") - F.col("b.minx")) * (F.col("b.maxy") - F.col("b.miny")))
+    want = {r.fid: r.o for r in box.groupBy("fid").agg(F.min(F.struct("area", "ord")).alias("m")).select("fid", F.col("m.ord").alias("o")).collect()}
+    got = {r.fid: r.by_area for r in cat.containing(pts, df, 1.0).collect()}
+    assert got == want and len(set(want.values())) == 3
+    edges = cat._banded_edges(df.withColumn("_b", g.bbox(F.col("geom"))).select("ord", "geom", "_b.*", F.greatest(F.lit(1), F.ceil(g.vertex_count(F.col("geom")) / 64)).alias("bands")))
+    assert edges.where("ord = 2").agg(F.max(F.size("edges"))).first()[0] < 1000 and edges.where("ord = 2").count() > 50
+
+
 def test_catalogue_of_one_airport(spark):
     ring = pts((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))
     a = cat.airports(spark.createDataFrame([(1, "way/1", "TEST", None, None, None, None, "100", 0.0, 0.0)], "ord long, id string, icao string, ident string, iata string, ref string, name string, ele string, lon double, lat double").withColumn("geom", g.polygon(ring)))
