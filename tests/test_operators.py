@@ -156,6 +156,52 @@ def test_theme_labels(spark, layer, z, props, want):
     assert lab.describe_labels(df, layer, z, {**THEME, "enabled": False}).count() == 0
 
 
+def test_flat_shaping_equals_plain_loops():
+    """Random lines, rings, holes and points, inside, across and outside of the square, with and without tolerance: the same commands."""
+    from geotiles.functions.arrays import to_arrow
+    from geotiles.plans import shaping
+
+    from . import plain_shapes as plain
+
+    rng = np.random.default_rng(5)
+    rows, tol = [], []
+    for _ in range(600):
+        kind = ["Point", "LineString", "MultiLineString", "Polygon", "MultiPolygon"][rng.integers(5)]
+        parts = []
+        for _ in range(1 if kind in ("Point", "LineString", "Polygon") else rng.integers(1, 4)):
+            rings = []
+            for _ in range(rng.integers(1, 4) if "Polygon" in kind else 1):
+                n = 1 if kind == "Point" else int(rng.choice([1, 2, 3, 4, 5, 8, 20, 90, 300]))
+                p = np.cumsum(rng.integers(-6, 7, (n, 2)) * rng.choice([1.0, 30.0, 300.0]), axis=0) + rng.integers(-500, 4600, 2)
+                if "Polygon" in kind:
+                    p = np.vstack([p, p[:1]])
+                rings.append(np.repeat(p, rng.integers(1, 3, len(p)), axis=0) if rng.random() < .2 and kind != "Point" else p)
+            parts.append(rings)
+        rows.append((kind, parts))
+        tol.append(float(rng.choice([0.0, 3.0, 40.0, 900.0])))
+    tol = np.array(tol)
+    rings, kinds = shaping.read(to_arrow([*rows, None]))
+    some = shaping.simplified(rings, kinds, np.append(tol, 1.0))
+    at = 0
+    for k, (kind, parts) in enumerate(rows):
+        want = plain.simplify_parts(kind, parts, tol[k])
+        flat = [r for p in want for r in p]
+        for r in flat:
+            assert some.geom[at] == k and (some.xy[some.at[at]:some.at[at + 1]] == r).all()
+            at += 1
+    assert at == len(some.geom)
+    lo, hi = pyramid.SQUARE
+    got = shaping.clipped(some, kinds, lo, hi)
+    said = shaping.commands(got, kinds)
+    differ = 0
+    for k, (kind, parts) in enumerate(rows):
+        want = plain.commands(kind, plain.clip_units(kind, [[r for r in rings if len(r)] for rings in plain.simplify_parts(kind, parts, tol[k]) if any(len(r) for r in rings)]))
+        if said[k] != want:  # the plain version breaks a line where rounding moves a vertex by its last bit
+            differ += 1
+            assert "Line" in kind
+    assert differ < 30 and said[-1] == b"" and (got.xy >= lo).all() and (got.xy <= hi).all()
+
+
 def test_declutter(spark):
     rows = [(0, "high", 9.0, 0, 0, 2, 2), (0, "hit", 8.0, 1, 1, 3, 3), (0, "next", 7.0, 2, 0, 4, 2), (0, "next", 6.0, 9, 9, 10, 10), (0, "far", 1.0, 20, 20, 21, 21)]
     df = spark.createDataFrame(rows, "t int, key string, priority double, minx int, miny int, maxx int, maxy int")
