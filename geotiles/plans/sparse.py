@@ -99,20 +99,26 @@ def coverage_advice(boxes: DataFrame) -> DataFrame:
     return boxes.select("fid", F.round(area, 3).alias("area_km2"), ((area >= 2500) | (w >= 1.5) | (h >= 1.5)).alias("regional"))
 
 
-def advice_texts(zmin: int, zmax: int, tiles: int, area_km2: float, regional: bool) -> list[str]:
-    """Recommendations for one export, in order."""
-    said = ["Regional extents work best up to z12-z13." if regional else "City extents work best at z14-z16."]
-    if regional and zmax > 13:
-        said.append("Export cities separately for z14 and above.")
-    if tiles > HIGH:
-        said.append("Many tiles: lower the maximum zoom, narrow the box or split the export.")
-    if tiles > VERY_HIGH:
-        said.append("Very many tiles: this takes long even with empty tiles left out.")
-    if zmax >= 15 and area_km2 > 2500:
-        said.append("Export overview tiles first, then detailed cities.")
-    if zmin > 8:
-        said.append("Keep z8-z10 for overview navigation.")
-    return said
+#: Advice in its order, by name.
+ADVICE = {
+    "overview": "Regional extents work best up to z12-z13.",
+    "city": "City extents work best at z14-z16.",
+    "split_cities": "Export cities separately for z14 and above.",
+    "many": "Many tiles: lower the maximum zoom, narrow the box or split the export.",
+    "very_many": "Very many tiles: this takes long even with empty tiles left out.",
+    "overview_first": "Export overview tiles first, then detailed cities.",
+    "keep_low": "Keep z8-z10 for overview navigation.",
+}
+
+
+def export_advice(boxes: DataFrame, zmin: int, zmax: int) -> DataFrame:
+    """(fid, tiles, area_km2, advice): the tiles of each box in all zooms, its area, and what to do about them (texts of ``ADVICE``)."""
+    totals = estimate_tiles(boxes, zmin, zmax).where("z IS NULL").select("fid", "tiles", "high", "very_high")
+    large, regional = F.col("area_km2") > 2500, F.col("regional")
+    when = {"overview": regional, "city": ~regional, "split_cities": regional & F.lit(zmax > 13), "many": F.col("high"), "very_many": F.col("very_high"),
+            "overview_first": large & F.lit(zmax >= 15), "keep_low": F.lit(zmin > 8)}
+    said = F.filter(F.array(*[F.when(c, F.lit(ADVICE[k])) for k, c in when.items()]), lambda x: x.isNotNull())
+    return totals.join(coverage_advice(boxes), "fid").select("fid", "tiles", "area_km2", said.alias("advice"))
 
 
 def cumulative_candidates(per_zoom: DataFrame, limit: int = HIGH) -> DataFrame:
@@ -140,7 +146,3 @@ def tile_report(tiles: DataFrame) -> DataFrame:
         F.count("*").alias("estimated"), n(~F.col("planned")).alias("excluded"), n(F.col("planned")).alias("candidates"),
         n(F.col("planned") & ~F.col("visited")).alias("pruned"), n(F.col("visited")).alias("visited"),
         n(~done).alias("skipped"), n(done).alias("written")))
-
-
-def tile_box_of(z, x: Column, y: Column, buffer: int = 0) -> Column:
-    return tile_bbox(z, x, y, buffer)

@@ -210,6 +210,22 @@ def _est_sql() -> str:
 SELECT fid, z, tiles, tiles > 100000 AS high, tiles > 500000 AS very_high FROM s"""
 
 
+def export_advice(spark, d):
+    """What to do about exports of footprints, every third of them shrunk to a city, z9 to z15."""
+    b = view(spark, d, "geo_boxes").withColumns({"maxx": F.when(F.col("fid") % 3 == 0, F.col("minx") + 0.05).otherwise(F.col("maxx")),
+                                                 "maxy": F.when(F.col("fid") % 3 == 0, F.col("miny") + 0.05).otherwise(F.col("maxy"))})
+    return sparse.export_advice(b, 9, 15).select("fid", "tiles", F.array_join("advice", "|").alias("advice"))
+
+
+def _advice_sql() -> str:
+    say = sparse.ADVICE
+    rows = " UNION ALL ".join(f"SELECT fid, (x1 - x0 + 1) * (y1 - y0 + 1) AS n FROM (SELECT fid, {_range_sql(z)} FROM bb)" for z in range(9, 16))
+    return f"""{with_views("geo_boxes")}, bb AS (SELECT fid, minx, miny, CASE WHEN fid % 3 = 0 THEN minx + 0.05 ELSE maxx END AS maxx, CASE WHEN fid % 3 = 0 THEN miny + 0.05 ELSE maxy END AS maxy FROM geo_boxes),
+p AS ({rows}), s AS (SELECT fid, sum(n)::BIGINT AS tiles FROM p GROUP BY fid)
+SELECT fid, tiles, CASE WHEN fid % 3 = 0 THEN '{say["city"]}' ELSE '{say["overview"]}|{say["split_cities"]}' END || CASE WHEN tiles > 100000 THEN '|{say["many"]}' ELSE '' END
+ || CASE WHEN tiles > 500000 THEN '|{say["very_many"]}' ELSE '' END || CASE WHEN fid % 3 <> 0 THEN '|{say["overview_first"]}' ELSE '' END || '|{say["keep_low"]}' AS advice FROM s"""
+
+
 def coverage_estimate(spark, d):
     return sparse.coverage_advice(view(spark, d, "geo_boxes"))
 
@@ -302,7 +318,7 @@ def _fallback_sql() -> str:
 
 QUERIES = {f.__name__: f for f in (
     pyramid_top_features, tile_counts_z8, tile_ids, tile_boxes, box_query, box_overlaps, zoom_windows, property_filters,
-    span_filter, layer_extents, index_audit, sparse_tiles, occupied_tiles, tile_estimate, coverage_estimate,
+    span_filter, layer_extents, index_audit, sparse_tiles, occupied_tiles, tile_estimate, export_advice, coverage_estimate,
     tile_accounting, cumulative_guard, number_prefix, plan_fallback)}
 
 ORACLES = {
@@ -312,6 +328,6 @@ ORACLES = {
     "tile_boxes": _BOXES, "box_query": _BOX_Q, "box_overlaps": _OVER, "zoom_windows": _ZOOM, "property_filters": _FILTERS,
     "span_filter": _WB + " SELECT fid FROM wb WHERE maxx - minx >= 0.25 OR maxy - miny >= 0.25",
     "layer_extents": _EXT, "index_audit": _AUDIT, "sparse_tiles": _SPARSE, "occupied_tiles": _OCC,
-    "tile_estimate": _est_sql(), "coverage_estimate": _COV, "tile_accounting": _acc_sql(), "cumulative_guard": _guard_sql(),
+    "tile_estimate": _est_sql(), "export_advice": _advice_sql(), "coverage_estimate": _COV, "tile_accounting": _acc_sql(), "cumulative_guard": _guard_sql(),
     "number_prefix": _NUM, "plan_fallback": _fallback_sql(),
 }

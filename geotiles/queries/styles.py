@@ -183,10 +183,10 @@ _CSIB = f"""{with_views("geo_boxes")} SELECT fid AS box, CASE WHEN fid % 3 = 0 T
 
 def tolerances(spark, d):
     """Simplification tolerance of every layer, geometry and zoom in use."""
-    z = view(spark, d, "geo_obs").select(F.coalesce("last_zoom", F.lit(7)).cast("int").alias("z")).distinct()
+    z = view(spark, d, "geo_obs").select(F.coalesce("last_zoom", F.lit(7)).cast("int").alias("z"))
     rows = z.select("z", F.explode(F.array(*map(F.lit, ("roads", "water", "landuse", "boundaries", "buildings", "other")))).alias("layer"))
     rows = rows.select("z", "layer", F.explode(F.array(F.lit("LineString"), F.lit("Polygon"))).alias("kind"))
-    return rows.select("z", "layer", "kind", F.round(pol.tolerance(F.col("layer"), F.col("kind"), F.col("z"), tm.detail_for_zoom(F.col("z"))), 2).alias("tolerance"))
+    return rows.select("z", "layer", "kind", F.round(pol.tolerance(F.col("layer"), F.col("kind"), F.col("z"), tm.detail_for_zoom(F.col("z"))), 2).alias("tolerance")).distinct()
 
 
 _TOL = f"""{with_views("geo_obs")}, z AS (SELECT DISTINCT coalesce(last_zoom, 7)::INTEGER AS z FROM geo_obs),
@@ -312,8 +312,9 @@ def natural_order(spark, d):
     """Rank of designators in natural order."""
     from pyspark.sql.window import Window
 
-    s = table(spark, d, "supplier").select(F.concat((F.col("s_suppkey") % 37).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "L").otherwise("")).alias("d")).distinct()
-    return s.select("d", F.row_number().over(Window.partitionBy(F.substring("d", -1, 1) == "L").orderBy(natural_key(F.col("d")))).alias("rank"))
+    s = table(spark, d, "supplier").select(F.concat((F.col("s_suppkey") % 37).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "L").otherwise("")).alias("d"))
+    keyed = s.select("d", natural_key(F.col("d")).alias("key")).distinct()
+    return keyed.select("d", F.row_number().over(Window.partitionBy(F.substring("d", -1, 1) == "L").orderBy("key")).alias("rank"))
 
 
 _NAT = """WITH s AS (SELECT DISTINCT (s_suppkey % 37) || CASE WHEN s_suppkey % 2 = 0 THEN 'L' ELSE '' END AS d FROM supplier)

@@ -242,11 +242,11 @@ SELECT tile_id, coalesce(sum(length) OVER (ORDER BY tile_id ROWS BETWEEN UNBOUND
 
 def policy_table(spark, d):
     """Limits, tolerances and sizes of every layer and zoom in use."""
-    z = view(spark, d, "geo_obs").select(F.coalesce("last_zoom", F.lit(7)).cast("int").alias("z")).distinct()
+    z = view(spark, d, "geo_obs").select(F.coalesce("last_zoom", F.lit(7)).cast("int").alias("z"))
     rows = z.select("z", F.explode(F.array(*map(F.lit, ("roads", "buildings", "water", "landuse", "pois", "other")))).alias("layer"))
     kind = F.when(F.col("layer") == "roads", "LineString").otherwise("Polygon")
     return rows.select("z", "layer", pol.layer_limit(F.col("layer"), F.col("z")).alias("n"), pol.tile_budget(F.col("z")).cast("int").alias("budget"),
-                       pol.min_size(F.col("layer"), kind, F.col("z")).alias("smallest"), tm.detail_for_zoom(F.col("z")).alias("detail"))
+                       pol.min_size(F.col("layer"), kind, F.col("z")).alias("smallest"), tm.detail_for_zoom(F.col("z")).alias("detail")).distinct()
 
 
 _POLICY = f"""{with_views("geo_obs")}, z AS (SELECT DISTINCT coalesce(last_zoom, 7)::INTEGER AS z FROM geo_obs),
@@ -266,7 +266,7 @@ def road_priorities(spark, d):
     w = view(spark, d, "geo_ways")
     zero = F.struct(*[F.lit(0.0).alias(c) for c in pyr.BOX])
     get = lambda k: F.col("highway") if k == "highway" else F.lit(None).cast("string")
-    return w.groupBy("highway").agg(F.count("*").alias("n")).select("highway", "n", pol.priority(F.lit("roads"), get, F.lit("LineString"), zero, F.lit(13)).alias("priority"))
+    return w.select("highway", pol.priority(F.lit("roads"), get, F.lit("LineString"), zero, F.lit(13)).alias("priority")).groupBy("highway", "priority").agg(F.count("*").alias("n"))
 
 
 def poi_label_candidates(spark, d):
