@@ -300,8 +300,8 @@ def _met(sets: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, owners: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY at least."""
+def _shingle_sets(pairs: DataFrame, docs: DataFrame, owners: DataFrame, text: str, key: str) -> DataFrame:
+    """(set_key, hashes), written: the shingle sets of all members of pairs; the only time that texts are read again."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(owners, "set_key").select("set_key", "key"), "wanted")
     slim = (docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(wanted, "key")
             .select("set_key", "text"))
@@ -311,6 +311,11 @@ def _similar(pairs: DataFrame, docs: DataFrame, owners: DataFrame, text: str, ke
             sets = [_shingle_set(t.as_py(), SIMILAR_WORDS).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["set_key", "hashes"])
 
+    return written(slim.mapInArrow(hashed, "set_key binary, hashes binary").dropDuplicates(["set_key"]), "shingle-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY at least."""
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -320,11 +325,21 @@ def _similar(pairs: DataFrame, docs: DataFrame, owners: DataFrame, text: str, ke
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(slim.mapInArrow(hashed, "set_key binary, hashes binary").dropDuplicates(["set_key"]), "shingle-sets")
     side = lambda c: sets.select(F.col("set_key").alias(c), F.col("hashes").alias(f"h{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(checked, "a binary, b binary")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b): only the groups that they touch are contracted."""
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = written(links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
+        "a", "b", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y")), "group-links")
+    moved = components(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "joined-groups")
+    alone = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("root")), F.struct(F.col("b").alias("node"), F.col("y").alias("root")))).alias("e"))
+    every = roots.unionByName(alone.select("e.*")).distinct()
+    return written(every.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "similar-roots")
+
+
 def similar_groups(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, group), a row per row: rows linked by shingle sets of Jaccard >= SIMILARITY share a group.
 
@@ -333,21 +348,18 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", keep: tuple[st
     prints = written(_set_prints(docs, text, key, keep), "set-prints")
     owners = prints.groupBy("set_key").agg(F.min(F.col(f"`{key}`")).alias("key"))
     pairs = written(_met(prints.select("set_key", "prints").dropDuplicates(["set_key"])), "met")
-    links = written(_similar(pairs, docs, owners, text, key), "similar-links")
-    roots = components(links, "similar-roots")
+    sets = _shingle_sets(pairs, docs, owners, text, key)
+    roots = components(_similar(pairs, sets), "similar-links")
     busy = (pairs.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").count().where("count > 1").select("set_key"))
     busy = written(prints.select("set_key", "prints").join(busy.hint("merge"), "set_key", "left_semi").dropDuplicates(["set_key"]), "busy-sets")
     turn = quiet = 0
     while quiet < QUIET:
         turn += 1
         grouped = busy.join(roots.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").select("set_key", "prints", F.coalesce("root", "set_key").alias("root"))
-        offered = written(_met_groups(grouped, turn), "met-groups")
-        more = written(_similar(offered, docs, owners, text, key), "similar-links") if offered.limit(1).count() else None
-        if more is None:
-            break
-        quiet += 1
-        if more.limit(1).count():
-            quiet, links = 0, links.unionByName(more)
-            roots = components(links, "similar-roots")
+        links = written(_similar(written(_met_groups(grouped, turn), "met-groups"), sets), "similar-links")
+        if links.limit(1).count():
+            quiet, roots = 0, _joined(roots, links)
+        else:
+            quiet += 1
     return prints.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         *[F.col(f"`{c}`") for c in (key, *keep)], F.coalesce("root", "set_key").alias("group"))
