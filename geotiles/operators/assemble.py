@@ -9,6 +9,7 @@ from functools import reduce
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -119,16 +120,23 @@ def way_geometry(layer: Column, aeroway: Column, refs: Column, coords: Column) -
 
 
 _RING = "rel_id long, role string, ring int, first_pos long, refs array<long>, xs array<double>, ys array<double>"
+#: Points of a batch of rings, about.
+_BATCH_POINTS = 200_000
 
 
 def _join_ends(pdf: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple[float, float]]]]:
-    """Greedy end-to-end joining of one relation's member ways by their refs, first match in member order.
+    """``_joined`` of one relation's member ways (pos, refs, xs, ys) in order of pos."""
+    pdf = pdf.sort_values("pos", kind="stable")
+    yield from _joined([(int(p), list(r), list(zip(x, y))) for p, r, x, y in zip(pdf["pos"], pdf["refs"], pdf["xs"], pdf["ys"])])
+
+
+def _joined(members: list[tuple[int, list[int], list[tuple[float, float]]]]) -> Iterator[tuple[int, list[int], list[tuple[float, float]]]]:
+    """Greedy end-to-end joining of one relation's member ways (pos, refs, points) by their refs, first match in member order.
 
     A ring has four refs at least; points of missing nodes (NaN) and repeated ones are left out, and what is left of a ring
     counts if four points, with the closing one, remain.  Ways are found by the nodes at their ends, so the work grows with the ways.
     """
-    pdf = pdf.sort_values("pos", kind="stable")
-    ways = [(int(p), list(r), list(zip(x, y))) for p, r, x, y in zip(pdf["pos"], pdf["refs"], pdf["xs"], pdf["ys"]) if len(r) >= 2]
+    ways = [m for m in members if len(m[1]) >= 2]
     used = [False] * len(ways)
     ends: dict[int, deque[int]] = {}
     for k, (_, r, _) in enumerate(ways):
@@ -175,18 +183,32 @@ def _join_ends(pdf: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple[f
 def assemble_rings(members: DataFrame) -> DataFrame:
     """(rel_id, role, ring, first_pos, refs, coords) of members (rel_id, role, pos, refs, points): closed rings of every relation and role.
 
-    Order matters inside a relation, so one relation's member ways of a role meet in one
-    group; its size is that of the relation itself.
+    Order matters inside a relation, so one relation's member ways of a role stand one after another in a task, which streams
+    them; it holds one relation at a time.
     """
     flat = members.select("rel_id", F.when(F.col("role") == "inner", "inner").otherwise("outer").alias("role"), "pos", "refs",
                           *[F.transform("points", lambda p: F.coalesce(p[c], F.lit(float("nan")))).alias(f"{c}s") for c in ("x", "y")])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf["rel_id"].iloc[0], pdf["role"].iloc[0], k, pos, refs, [p[0] for p in pts], [p[1] for p in pts])
-                for k, (pos, refs, pts) in enumerate(_join_ends(pdf))]
-        return pd.DataFrame(rows, columns=["rel_id", "role", "ring", "first_pos", "refs", "xs", "ys"])
-
-    return flat.groupBy("rel_id", "role").applyInPandas(run, _RING).select(
+    schema = pa.schema([("rel_id", pa.int64()), ("role", pa.string()), ("ring", pa.int32()), ("first_pos", pa.int64()), ("refs", pa.list_(pa.int64())),
+                        ("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, points = [], 0
+        for (rel, role), ways in groupby(rows(batches), lambda w: (w[0], w[1])):
+            for k, (pos, refs, pts) in enumerate(_joined([(p, r, list(zip(x, y))) for _, _, p, r, x, y in ways])):
+                made.append((rel, role, k, pos, refs, [p[0] for p in pts], [p[1] for p in pts]))
+                points += len(pts)
+            if points > _BATCH_POINTS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), schema.types)], schema=schema)
+                made, points = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), schema.types)], schema=schema)
+
+    dealt = flat.select(F.col("rel_id").cast("long").alias("rel_id"), "role", F.col("pos").cast("long").alias("pos"), "refs", "xs", "ys")
+    return dealt.repartition("rel_id", "role").sortWithinPartitions("rel_id", "role", "pos").mapInArrow(run, _RING).select(
         "rel_id", "role", "ring", "first_pos", "refs", F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y")).alias("coords"))
 
 

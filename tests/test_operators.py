@@ -784,3 +784,19 @@ def test_a_city_opens_few_files(spark, tmp_path):
     boxes = spark.createDataFrame([(1, 2.7, 1.3, 2.8, 1.4), (2, -150.0, -80.0, 150.0, 80.0), (3, 2.5, 1.25, 2.5, 1.25)], "fid long, minx double, miny double, maxx double, maxy double")
     met = {r.box_fid: r.n for r in layers_io.query_layer(spark, path, "a", boxes).groupBy("box_fid").agg(F.count("*").alias("n")).collect()}
     assert met[1] == got.count() and met[2] == n and met[3] >= n // 10
+
+
+def test_rings_of_many_relations_stream_through_few_tasks(spark):
+    """Relations are told apart inside a task, whatever the batches; no group of its own is started for each of them."""
+    from geotiles.operators.assemble import assemble_rings
+
+    rows = [(rel, "outer", pos, [pos, (pos + 1) % 4], [(float(pos in (1, 2)), float(pos in (2, 3))), (float(pos in (0, 1)), float(pos in (1, 2)))])
+            for rel in range(60) for pos in range(4) if rel % 3 or pos != 2]
+    members = spark.createDataFrame(rows, "rel_id long, role string, pos long, refs array<long>, points array<struct<x:double,y:double>>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rings = assemble_rings(members)
+        assert "FlatMapGroups" not in rings._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["rel_id"], r["ring"], len(r["refs"]), len(r["coords"])) for r in rings.collect()) == [(k, 0, 5, 5) for k in range(60) if k % 3]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
