@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from ..sources.scratch import settled
+from ..sources.scratch import plain_unions, settled
 
 
 def finite(*cols: str) -> Column:
@@ -253,12 +253,8 @@ def relation_geometry(rels: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def union_features(*frames: DataFrame) -> DataFrame:
-    """Features of several kinds or extracts as one table; columns missing on one side are null.
-
-    Spark 4.1 may zip the partitions of a union's branches; where branches share a reused exchange that is coalesced in one of
-    them only, that loses rows (the layer build lost its relations), so it is switched off here.
-    """
-    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    """Features of several kinds or extracts as one table; columns missing on one side are null."""
+    plain_unions(frames[0].sparkSession)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -800,3 +800,12 @@ def test_rings_of_many_relations_stream_through_few_tasks(spark):
         assert sorted((r["rel_id"], r["ring"], len(r["refs"]), len(r["coords"])) for r in rings.collect()) == [(k, 0, 5, 5) for k in range(60) if k % 3]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_unions_are_plain_before_the_first_cut(spark):
+    """A plan that is cut runs before its last union is made, so zipped unions must be off by then."""
+    from geotiles.sources.scratch import settled
+
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    settled(spark.range(3), "cut")
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
