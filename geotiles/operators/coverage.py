@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..schema import BOX
+from ..sources.scratch import settled
+from .assemble import union_features
 
 STEPS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -35,38 +37,77 @@ def point_in_ring_wrapped(x: Column, y: Column, ring: Column) -> Column:
             dx, dy = b["x"] - a["x"], b["y"] - a["y"]
             cross = (px - a["x"]) * dy - (y - a["y"]) * dx
             dot = (px - a["x"]) * dx + (y - a["y"]) * dy
-            return (F.abs(cross) <= 1e-10) & (dot >= 0) & (dot <= dx * dx + dy * dy)
+            long = dx * dx + dy * dy
+            return (F.abs(cross) <= 1e-10) & (long > 0) & (dot >= 0) & (dot <= long)  # a repeated point is no edge
         return F.exists(F.sequence(F.lit(1), F.size(r) - 1), on)
 
     return g.let(unwrapped(ring), test)
 
 
-def touching(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
-    """(box, id): boxes (box, minx..maxy) with the extracts (id, minx..maxy) whose box they touch; a pair only in the cell of its lower-left common corner."""
+def _cell_pairs(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
+    """Boxes (box, minx..maxy) with the extracts (id, eminx..emaxy, ...) whose box they touch; a pair only in the cell of its lower-left common corner."""
     cell = 10.0
-    cells = lambda df, x, y: df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(f"{x}minx") / cell), F.floor(F.col(f"{x}maxx") / cell)))).withColumn(
-        "_cy", F.explode(F.sequence(F.floor(F.col(f"{y}miny") / cell), F.floor(F.col(f"{y}maxy") / cell))))
-    b = cells(boxes.select("box", *BOX), "", "")
-    e = cells(extracts.select("id", *[F.col(c).alias("e" + c) for c in BOX]), "e", "e")
+    cells = lambda df, x: df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(f"{x}minx") / cell), F.floor(F.col(f"{x}maxx") / cell)))).withColumn(
+        "_cy", F.explode(F.sequence(F.floor(F.col(f"{x}miny") / cell), F.floor(F.col(f"{x}maxy") / cell))))
     own = (F.col("_cx") == F.floor(F.greatest("minx", "eminx") / cell)) & (F.col("_cy") == F.floor(F.greatest("miny", "eminy") / cell))
-    return b.join(e, ["_cx", "_cy"]).where(own & (F.col("minx") <= F.col("emaxx")) & (F.col("maxx") >= F.col("eminx")) & (F.col("miny") <= F.col("emaxy")) & (F.col("maxy") >= F.col("eminy"))).select("box", "id")
+    return cells(boxes.select("box", *BOX), "").join(cells(extracts, "e"), ["_cx", "_cy"]).where(
+        own & (F.col("minx") <= F.col("emaxx")) & (F.col("maxx") >= F.col("eminx")) & (F.col("miny") <= F.col("emaxy")) & (F.col("maxy") >= F.col("eminy"))).drop("_cx", "_cy")
 
 
-def sample_hits(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
-    """(box, id, hits, points): which of a box's 25 sample points each extract (id, minx..maxy, rings) that it touches holds.
+def touching(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
+    """(box, id): boxes (box, minx..maxy) with the extracts (id, minx..maxy) whose box they touch."""
+    return _cell_pairs(boxes, extracts.select("id", *[F.col(c).alias("e" + c) for c in BOX])).select("box", "id")
 
-    The samples are an array in one row a pair, so an extract's rings are joined once a pair.
-    """
-    full = touching(boxes, extracts).join(boxes.select("box", *BOX), "box").join(extracts.select("id", "rings"), "id")
-    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in STEPS for b in STEPS])
 
-    def inside(s: Column) -> Column:
-        px = F.col("minx") + (F.col("maxx") - F.col("minx")) * s["a"]
-        py = F.col("miny") + (F.col("maxy") - F.col("miny")) * s["b"]
+_GRID = [(a, b) for a in STEPS for b in STEPS]
+
+
+def _sample(s: Column) -> tuple[Column, Column]:
+    return (F.col("minx") + (F.col("maxx") - F.col("minx")) * s["a"], F.col("miny") + (F.col("maxy") - F.col("miny")) * s["b"])
+
+
+def _plain(rings: Column) -> Column:
+    """Whether an extract's rings are its box."""
+    ring = F.get(F.get(rings, F.lit(0)), F.lit(0))
+    xs, ys = (F.transform(ring, lambda p: p[c]) for c in ("x", "y"))
+    same = (F.array_min(xs) == F.col("minx")) & (F.array_max(xs) == F.col("maxx")) & (F.array_min(ys) == F.col("miny")) & (F.array_max(ys) == F.col("maxy"))
+    return F.coalesce(g.is_box(rings) & same, F.lit(False))
+
+
+def _hits(pairs: DataFrame, extracts: DataFrame) -> DataFrame:
+    """Adds hits and points to pairs (box, id, minx..maxy, eminx..emaxy, plain, ...): which of the 25 samples of the box the extract holds.
+
+    An extract that is its box, and so near that nothing wraps, is asked by comparisons, with the ray cast's tolerance on its edges; only the
+    others' rings are joined.
+    """
+    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _GRID])
+    easy = F.col("plain") & ((F.col("maxx") - F.col("minx")) + (F.col("emaxx") - F.col("eminx")) < 180.0)
+    wide, high = F.col("emaxx") - F.col("eminx"), F.col("emaxy") - F.col("eminy")
+
+    def in_box(s: Column) -> Column:
+        px, py = _sample(s)
+        in_x, in_y = px.between(F.col("eminx"), F.col("emaxx")), py.between(F.col("eminy"), F.col("emaxy"))
+        on = lambda v, length, *ends: F.least(*[F.abs(v - e) for e in ends]) * length <= 1e-10
+        return (in_x & in_y) | (in_y & on(px, high, F.col("eminx"), F.col("emaxx"))) | (in_x & on(py, wide, F.col("eminy"), F.col("emaxy")))
+
+    def in_rings(s: Column) -> Column:
+        px, py = _sample(s)
         return F.exists("rings", lambda poly: point_in_ring_wrapped(px, py, poly[0]) & ~F.exists(
             F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), lambda h: point_in_ring_wrapped(px, py, h)))
 
-    return full.select("box", "id", F.filter(grid, inside).alias("points")).select("box", "id", F.size("points").cast("long").alias("hits"), "points")
+    boxed = pairs.where(easy).withColumn("points", F.when(_within(), grid).otherwise(F.filter(grid, in_box)))
+    ringed = pairs.where(~easy).join(extracts.where("rings IS NOT NULL").select("id", "rings"), "id").withColumn("points", F.filter(grid, in_rings)).drop("rings")
+    return union_features(boxed, ringed).withColumn("hits", F.size("points").cast("long"))
+
+
+def _within() -> Column:
+    return (F.col("minx") >= F.col("eminx")) & (F.col("maxx") <= F.col("emaxx")) & (F.col("miny") >= F.col("eminy")) & (F.col("maxy") <= F.col("emaxy"))
+
+
+def sample_hits(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
+    """(box, id, hits, points): which of a box's 25 sample points each extract (id, minx..maxy, rings) that it touches holds."""
+    ex = extracts.select("id", *[F.col(c).alias("e" + c) for c in BOX], _plain(F.col("rings")).alias("plain"))
+    return _hits(_cell_pairs(boxes, ex), extracts).select("box", "id", "hits", "points")
 
 
 def select_coverage(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
@@ -78,14 +119,16 @@ def select_coverage(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
     ``extracts``: (id, parent, admin ARRAY<STRING>, cached, area, minx..maxy, rings).
     """
     n = len(STEPS) ** 2
-    hits = sample_hits(boxes, extracts).where("hits > 0").join(
-        extracts.select("id", "parent", F.size("admin").alias("codes"), "cached", "area", *[F.col(c).alias("e" + c) for c in ("minx", "miny", "maxx", "maxy")]), "id")
-    within = hits.join(boxes, "box").where(
-        (F.col("hits") == n) & (F.col("minx") >= F.col("eminx")) & (F.col("maxx") <= F.col("emaxx")) & (F.col("miny") >= F.col("eminy")) & (F.col("maxy") <= F.col("emaxy")))
+    ex = extracts.select("id", "parent", F.size("admin").alias("codes"), "cached", "area", *[F.col(c).alias("e" + c) for c in BOX], _plain(F.col("rings")).alias("plain"))
+    # only siblings count where they hold a part of the box; of the others only those that contain it
+    is_sibling = F.coalesce(F.col("parent").isNotNull() & (F.col("codes") > 0), F.lit(False))
+    pairs = _cell_pairs(boxes, ex).where(is_sibling | _within())
+    hits = _hits(pairs, extracts).where("hits > 0")
+    within = hits.where((F.col("hits") == n) & _within())
     order = F.struct("area", "id")
     best = within.groupBy("box").agg(F.min(F.struct("area", "id", "parent", "codes")).alias("small"),
                                      F.min(F.when(F.coalesce("codes", F.lit(0)) <= 0, order)).alias("plain"), F.collect_list(F.when(F.col("cached"), order)).alias("cached"))
-    siblings = hits.where("parent IS NOT NULL AND codes > 0")
+    siblings = settled(hits.where(is_sibling).select("box", "id", "parent", "area", "points"), "siblings")  # read for groups and for neighbours
     groups = siblings.groupBy("box", "parent").agg(
         F.count("*").alias("members"), F.sum("area").alias("total"), F.size(F.array_distinct(F.flatten(F.collect_list("points")))).alias("covered"),
         F.array_sort(F.collect_list(order)).alias("ids"))

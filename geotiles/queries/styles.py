@@ -178,7 +178,27 @@ def coverage_siblings(spark, d):
     return cov.select_coverage(boxes, ex).select("box", F.array_join("ids", "+").alias("ids"))
 
 
-_CSIB = f"""{with_views("geo_boxes")} SELECT fid AS box, CASE WHEN fid % 3 = 0 THEN fid || 'a+' || fid || 'b' WHEN fid % 2 = 0 THEN fid::VARCHAR ELSE fid || 'a' END AS ids FROM geo_boxes"""
+def _siblings_sql() -> str:
+    """Rule of ``select_coverage`` over extracts that are boxes: 25 samples a box, edges inside (to 1e-11 degrees)."""
+    px = lambda i: f"(q.minx + (q.maxx - q.minx) * {i / 4})"
+    py = lambda i: f"(q.miny + (q.maxy - q.miny) * {i / 4})"
+    bits = lambda p, lo, hi, step: " + ".join(f"CASE WHEN {p(i)} >= {lo} - 1e-11 AND {p(i)} <= {hi} + 1e-11 THEN {1 << step * i} ELSE 0 END" for i in range(5))
+    return f"""{with_views("geo_boxes")},
+q AS (SELECT fid AS box, minx + dx AS minx, miny + 4 AS miny, minx + dx + 2 AS maxx, miny + 6 AS maxy FROM (SELECT *, CASE WHEN fid % 3 = 0 THEN 4.0 ELSE 1.0 END::DOUBLE AS dx FROM geo_boxes)),
+ex AS (SELECT fid::VARCHAR AS id, NULL::VARCHAR AS parent, 0 AS codes, fid % 2 = 0 AS cached, 100.0::DOUBLE AS area, minx AS x0, miny AS y0, maxx AS x1, maxy AS y1 FROM geo_boxes
+ UNION ALL SELECT fid || s, fid::VARCHAR, 1, false, 50.0, minx + 5 * k, miny, minx + 5 * k + 5, maxy FROM geo_boxes, (VALUES ('a', 0), ('b', 1)) r(s, k)),
+h AS (SELECT *, bit_count(points) AS hits FROM (SELECT q.box, ex.*, q.minx >= x0 AND q.maxx <= x1 AND q.miny >= y0 AND q.maxy <= y1 AS within,
+  (({bits(px, "x0", "x1", 5)}) * ({bits(py, "y0", "y1", 1)}))::BIGINT AS points FROM q JOIN ex ON q.minx <= x1 AND q.maxx >= x0 AND q.miny <= y1 AND q.maxy >= y0) WHERE points > 0),
+best AS (SELECT box, arg_min(struct_pack(area := area, id := id, parent := parent, codes := codes), (area, id)) AS small, arg_min(struct_pack(area := area, id := id), (area, id)) FILTER (codes <= 0) AS plain
+ FROM h WHERE hits = 25 AND within GROUP BY box),
+sb AS (SELECT * FROM h WHERE parent IS NOT NULL AND codes > 0),
+gr AS (SELECT box, parent, sum(area) AS total, string_agg(id, '+' ORDER BY area, id) AS ids, count(*) AS members FROM sb GROUP BY box, parent HAVING count(*) > 1 AND bit_count(bit_or(points)) = 25),
+plan AS (SELECT box, arg_min(struct_pack(ids := ids, members := members), (total, parent)) AS plan FROM gr GROUP BY box),
+beside AS (SELECT DISTINCT b.box FROM best b JOIN sb ON sb.box = b.box AND sb.parent = b.small.parent AND sb.id <> b.small.id),
+safe AS (SELECT b.box, CASE WHEN b.small.codes > 0 AND b.small.parent IS NOT NULL AND e.box IS NOT NULL AND b.plain IS NOT NULL THEN b.plain ELSE struct_pack(area := b.small.area, id := b.small.id) END AS safe
+ FROM best b LEFT JOIN beside e ON e.box = b.box),
+ca AS (SELECT s.box, arg_min(h.id, (h.area, h.id)) AS id FROM safe s JOIN h ON h.box = s.box WHERE h.cached AND h.hits = 25 AND h.within AND h.area >= s.safe.area AND h.area <= s.safe.area * 6 GROUP BY s.box)
+SELECT s.box, CASE WHEN plan.members BETWEEN 2 AND 4 THEN plan.ids ELSE coalesce(ca.id, s.safe.id) END AS ids FROM safe s LEFT JOIN plan ON plan.box = s.box LEFT JOIN ca ON ca.box = s.box"""
 
 
 def tolerances(spark, d):
@@ -324,7 +344,7 @@ QUERIES = {f.__name__: f for f in (active_layers, layer_order, tile_metadata, la
                                    title_cases, coverage_list, coverage_siblings, tolerances,
                                    coverage_candidates, attributes_3d, delivery_summary, regions, small_features, ingested_features, conformed_columns, natural_order)}
 ORACLES = {
-    "theme_roads": _TROADS, "label_anchors": _ANCH, "title_cases": _TITLE, "coverage_list": _CLIST, "coverage_siblings": _CSIB, "tolerances": _TOL,
+    "theme_roads": _TROADS, "label_anchors": _ANCH, "title_cases": _TITLE, "coverage_list": _CLIST, "coverage_siblings": _siblings_sql(), "tolerances": _TOL,
     "active_layers": f"WITH {_LAY} SELECT 'layer' || k AS id FROM ly WHERE coalesce(lo, 0) <= 4 AND coalesce(hi, 24) >= 4 AND k % 6 <> 0",
     "layer_order": f"WITH {_LAY} SELECT id, CASE id WHEN 'layer11' THEN 0 WHEN 'roads' THEN 1 WHEN 'layer7' THEN 2 ELSE 999 END::BIGINT AS place, (k % 3)::INTEGER AS rule_order, k AS ord FROM ly",
     "tile_metadata": f"WITH {_LAY} SELECT id, 2::INTEGER AS fields, greatest(5, coalesce(lo, 5))::INTEGER AS min_zoom, least(12, coalesce(hi, 12))::INTEGER AS max_zoom FROM ly WHERE greatest(5, coalesce(lo, 5)) <= least(12, coalesce(hi, 12))",

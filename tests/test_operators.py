@@ -856,3 +856,23 @@ def test_points_meet_few_of_many_polygons_over_one_another(spark):
         if inside:
             want.setdefault(f, min(inside)[1])
     assert {r.fid: r.by_area for r in containing(points, polygons).collect()} == want
+
+
+def test_boxes_are_asked_by_comparisons_and_rings_by_rays(spark):
+    """Extracts that are their box give the samples that the ray cast over their ring gives, edges and the seam of halves included."""
+    import random
+
+    from geotiles.operators import coverage
+
+    random.seed(3)
+    corner = [(x / 2, y / 2) for x in range(-4, 5) for y in range(-4, 5)]
+    ring = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    sides = [(*a, a[0] + random.choice((0.5, 1.1, 3)), a[1] + random.choice((0.5, 1.1, 3))) for a in random.sample(corner, 30)]
+    kinds = "id string, minx double, miny double, maxx double, maxy double, rings array<array<array<struct<x:double,y:double>>>>"
+    plain = spark.createDataFrame([(str(k), *s, [[ring(*s)]]) for k, s in enumerate(sides)], kinds)
+    # a doubled first corner makes the same shape, which is asked by its ring
+    bent = spark.createDataFrame([(str(k), *s, [[ring(*s)[:1] + ring(*s)]]) for k, s in enumerate(sides)], kinds)
+    boxes = spark.createDataFrame([(k, x, y, x + w, y + w) for k, ((x, y), w) in enumerate(zip(corner, [0.5, 0.3, 2.0] * 27))], "box long, minx double, miny double, maxx double, maxy double")
+    got, want = ({(r.box, r.id): [tuple(p) for p in r.points] for r in coverage.sample_hits(boxes, e).collect()} for e in (plain, bent))
+    assert got == want and len({len(p) for p in got.values()}) > 5
+    assert [r.plain for r in plain.select(coverage._plain(F.col("rings")).alias("plain")).distinct().collect()] == [True]
