@@ -50,7 +50,10 @@ def _cell_pairs(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
     cells = lambda df, x: df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(f"{x}minx") / cell), F.floor(F.col(f"{x}maxx") / cell)))).withColumn(
         "_cy", F.explode(F.sequence(F.floor(F.col(f"{x}miny") / cell), F.floor(F.col(f"{x}maxy") / cell))))
     own = (F.col("_cx") == F.floor(F.greatest("minx", "eminx") / cell)) & (F.col("_cy") == F.floor(F.greatest("miny", "eminy") / cell))
-    return cells(boxes.select("box", *BOX), "").join(cells(extracts, "e"), ["_cx", "_cy"]).where(
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of their own: both sides are small beside their pairs, and would be put together into few tasks
+    dealt = lambda df: df.repartition(n, "_cx", "_cy")
+    return dealt(cells(boxes.select("box", *BOX), "")).join(dealt(cells(extracts, "e")).hint("shuffle_hash"), ["_cx", "_cy"]).where(
         own & (F.col("minx") <= F.col("emaxx")) & (F.col("maxx") >= F.col("eminx")) & (F.col("miny") <= F.col("emaxy")) & (F.col("maxy") >= F.col("eminy"))).drop("_cx", "_cy")
 
 
@@ -81,7 +84,7 @@ def _hits(pairs: DataFrame, extracts: DataFrame) -> DataFrame:
     others' rings are joined.
     """
     grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _GRID])
-    easy = F.col("plain") & ((F.col("maxx") - F.col("minx")) + (F.col("emaxx") - F.col("eminx")) < 180.0)
+    easy = _easy()
     wide, high = F.col("emaxx") - F.col("eminx"), F.col("emaxy") - F.col("eminy")
 
     def in_box(s: Column) -> Column:
@@ -100,6 +103,10 @@ def _hits(pairs: DataFrame, extracts: DataFrame) -> DataFrame:
     return union_features(boxed, ringed).withColumn("hits", F.size("points").cast("long"))
 
 
+def _easy() -> Column:
+    return F.col("plain") & ((F.col("maxx") - F.col("minx")) + (F.col("emaxx") - F.col("eminx")) < 180.0)
+
+
 def _within() -> Column:
     return (F.col("minx") >= F.col("eminx")) & (F.col("maxx") <= F.col("emaxx")) & (F.col("miny") >= F.col("eminy")) & (F.col("maxy") <= F.col("emaxy"))
 
@@ -122,9 +129,11 @@ def select_coverage(boxes: DataFrame, extracts: DataFrame) -> DataFrame:
     ex = extracts.select("id", "parent", F.size("admin").alias("codes"), "cached", "area", *[F.col(c).alias("e" + c) for c in BOX], _plain(F.col("rings")).alias("plain"))
     # only siblings count where they hold a part of the box; of the others only those that contain it
     is_sibling = F.coalesce(F.col("parent").isNotNull() & (F.col("codes") > 0), F.lit(False))
-    pairs = _cell_pairs(boxes, ex).where(is_sibling | _within())
-    hits = _hits(pairs, extracts).where("hits > 0")
-    within = hits.where((F.col("hits") == n) & _within())
+    pairs = _cell_pairs(boxes, ex)
+    # an extract that is its box holds all samples of what it contains: nothing to be asked
+    sure = ~is_sibling & _within() & _easy()
+    hits = _hits(pairs.where((is_sibling | _within()) & ~sure), extracts).where("hits > 0")
+    within = union_features(pairs.where(sure), hits.where((F.col("hits") == n) & _within()).drop("hits", "points"))
     order = F.struct("area", "id")
     best = within.groupBy("box").agg(F.min(F.struct("area", "id", "parent", "codes")).alias("small"),
                                      F.min(F.when(F.coalesce("codes", F.lit(0)) <= 0, order)).alias("plain"), F.collect_list(F.when(F.col("cached"), order)).alias("cached"))
