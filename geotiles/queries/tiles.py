@@ -91,17 +91,18 @@ def _bent_lines(spark, d):
 
 
 def shape_stats(spark, d):
-    """Vertices before and after simplification, and the tolerance, of lines and polygons, z3."""
+    """Vertices before and after simplification, and the tolerance, of the lines and polygons that z3 tiles keep: 6 500 at most, in order of fid."""
     _, stats = pyr.tile_pyramid(_bent_lines(spark, d), 3, 3)
     return stats.select("x", "y", "original", "dropped", "vertices", "simplified", F.round("tolerance", 6).alias("tolerance"))
 
 
 _SHAPES = f"""{with_views("geo_points")}, {_buffered(3)},
 f AS (SELECT fid, lon * 0.9 AS x0, lat * 0.9 AS y0, fid % 5 = 0 AS area, fid % 2 = 0 AS flat FROM geo_points),
-b AS (SELECT *, x0 + 2 AS x1, CASE WHEN area THEN y0 - 0.05 ELSE y0 END AS lo, CASE WHEN area THEN y0 + 2.0 WHEN flat THEN y0 + 0.05 ELSE y0 + 0.5 END AS hi FROM f)
-SELECT x, y, count(*) AS original, 0::BIGINT AS dropped, sum(CASE WHEN area THEN 6 ELSE 3 END)::BIGINT AS vertices,
- sum(CASE WHEN area THEN 5 WHEN flat THEN 2 ELSE 3 END)::BIGINT AS simplified,
- round(max(CASE WHEN area THEN 11.55 ELSE 10.01 END::DOUBLE) * 45 / 4096, 6) AS tolerance FROM b JOIN bt ON x1 >= bx0 AND x0 <= bx1 AND hi >= by0 AND lo <= by1 GROUP BY x, y"""
+b AS (SELECT *, x0 + 2 AS x1, CASE WHEN area THEN y0 - 0.05 ELSE y0 END AS lo, CASE WHEN area THEN y0 + 2.0 WHEN flat THEN y0 + 0.05 ELSE y0 + 0.5 END AS hi FROM f),
+t AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY fid) <= 6500 AS kept FROM b JOIN bt ON x1 >= bx0 AND x0 <= bx1 AND hi >= by0 AND lo <= by1)
+SELECT x, y, count(*) AS original, count(*) FILTER (NOT kept) AS dropped, sum(CASE WHEN area THEN 6 ELSE 3 END) FILTER (kept)::BIGINT AS vertices,
+ sum(CASE WHEN area THEN 5 WHEN flat THEN 2 ELSE 3 END) FILTER (kept)::BIGINT AS simplified,
+ round(max(CASE WHEN area THEN 11.55 ELSE 10.01 END::DOUBLE) FILTER (kept) * 45 / 4096, 6) AS tolerance FROM t GROUP BY x, y"""
 
 
 def way_features(spark, d):

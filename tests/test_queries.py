@@ -67,3 +67,13 @@ def test_limits_are_cut_twice(spark, sf):
     one, two = (pyramid.top_per_layer(keys, F.lit(20), most=m).select("z", "x", "y", "fid") for m in (None, 20))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     assert "WindowGroupLimit" in two._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shape_stats_of_tiles_beyond_their_budget(spark, tmp_path):
+    """7 000 shapes in one place: the SQL drops what the tile budget of z3 drops."""
+    spark.range(1, 7001).selectExpr("id * 61200000 AS c_custkey", "'C' AS c_name", "CAST(1.0 AS DECIMAL(15, 2)) AS c_acctbal", "'BUILDING' AS c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = sorted(tuple(map(text, r)) for r in QUERIES["shape_stats"](spark, str(tmp_path)).select("x", "y", "original", "dropped", "vertices", "simplified", "tolerance").collect())
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert rows == sorted(tuple(map(text, r)) for r in con.execute(f"SELECT x, y, original, dropped, vertices, simplified, tolerance FROM ({ORACLES['shape_stats']})").fetchall())
+    assert sum(int(r[3]) for r in rows) >= 500
