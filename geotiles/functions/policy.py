@@ -59,6 +59,17 @@ def tile_budget(z: Column, requested: int | None = None) -> Column:
     return F.least(F.lit(asked), _steps(z, BUDGET, MAX_BUDGET))
 
 
+def greatest_budget(zooms: Sequence[int], requested: int | None = None) -> int:
+    """The greatest ``tile_budget`` of some zooms."""
+    asked = requested if isinstance(requested, int) and requested > 0 else DEFAULT_FEATURES
+    return min(asked, max(next((n for top, n in BUDGET if z <= top), MAX_BUDGET) for z in zooms))
+
+
+def greatest_limit(zooms: Sequence[int]) -> int:
+    """The greatest ``layer_limit`` of some zooms, over all layers."""
+    return max(max(LIMITS[max(10, z)].values()) if z <= 12 else NO_LIMIT for z in zooms)
+
+
 def layer_limit(layer: Column, z: Column) -> Column:
     """Most features of a layer in a tile."""
     def of(table: dict) -> Column:
@@ -215,6 +226,7 @@ class LayerPolicy:
     enrich: Callable[[DataFrame], DataFrame] = lambda df: df
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
     limit: Callable[[Column, Column], Column] = lambda layer, z: F.lit(NO_LIMIT).cast("long")
+    most: Callable[[Sequence[int]], int] = lambda zooms: NO_LIMIT  # no limit of these zooms is greater
     priority: Callable[[Column, Column, Column, Column], Column] = lambda layer, kind, box, z: F.lit(100.0)
     min_size: Callable[[Column, Column, Column], Column] = lambda layer, kind, z: F.lit(0.0)
     tolerance_scale: Callable[[Column, Column, Column], Column] = plain_scale
@@ -254,5 +266,5 @@ def osm_policy(get: Callable[[str], Column] | None = None, style: Mapping | None
         return df.withColumn("props", F.when(F.col("layer") == "pois", F.map_concat(other, F.create_map(F.lit("poi_category"), value))).otherwise(F.col("props")))
 
     return LayerPolicy(aliases={"aviation": "aip"}, source_layers={"road_labels": "roads", "aip_labels": "aip", "poi_labels": "pois"},
-                       shown=shown, wide=wide_enough, limit=layer_limit, min_size=min_size, visible=lambda layer: (layer != "pois") | pois.visible(tags), enrich=enrich,
+                       shown=shown, wide=wide_enough, limit=layer_limit, most=greatest_limit, min_size=min_size, visible=lambda layer: (layer != "pois") | pois.visible(tags), enrich=enrich,
                        priority=lambda layer, kind, box, z: priority(layer, get, kind, box, z), tolerance_scale=tolerance_scale)

@@ -47,6 +47,25 @@ def tile_range(minx: Column, miny: Column, maxx: Column, maxy: Column, z, margin
         clamp(tile_y(miny, z) + margin, zero, top).alias("max_y"))
 
 
+def buffered_range(minx: Column, miny: Column, maxx: Column, maxy: Column, z) -> Column:
+    """Struct like ``tile_range``'s that holds every tile whose buffered box the box may touch, and few others.
+
+    A buffer is 1/32 of a tile in degrees.  Eastwards that is 1/32 of a column; northwards a degree is a share of a row that grows
+    towards the poles, so that a quarter of a row bounds it at every zoom.
+    """
+    n = tiles_across(z)
+    zero, top = F.lit(0).cast("long"), n - 1
+    column = lambda lon: (lon + 180.0) / 360.0 * n
+
+    def row(lat: Column) -> Column:
+        rad = F.radians(clamp(lat, -MAX_LAT, MAX_LAT))
+        return (1 - F.log(F.tan(rad) + 1 / F.cos(rad)) / math.pi) / 2 * n
+
+    whole = lambda v: clamp(F.floor(v), zero, top)
+    return F.struct(whole(column(minx) - 0.04).alias("min_x"), whole(column(maxx) + 0.04).alias("max_x"),
+                    whole(row(maxy) - 0.25).alias("min_y"), whole(row(miny) + 0.25).alias("max_y"))
+
+
 def clip_range(r: Column, coverage: Column) -> Column:
     """Intersection of two ranges, null if empty."""
     lo = lambda f: F.greatest(r[f], coverage[f])

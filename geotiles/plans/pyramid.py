@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,24 +36,28 @@ BOX = ("minx", "miny", "maxx", "maxy")
 def assign_tiles(features: DataFrame, z: int | Column) -> DataFrame:
     """One row per feature and tile whose buffered box it touches: adds z, x, y, tile, qbox."""
     zc = F.lit(z) if isinstance(z, int) else z
-    r = tm.tile_range(*[F.col(c) for c in BOX], zc)
+    r = tm.buffered_range(*[F.col(c) for c in BOX], zc)
     df = features.withColumn("z", zc.cast("int")).withColumn("_r", r)
-    df = df.withColumn("x", F.explode(F.sequence("_r.min_x", "_r.max_x"))).withColumn("y", F.explode(F.sequence("_r.min_y", "_r.max_y"))).drop("_r")
-    df = df.withColumn("qbox", tm.tile_bbox(F.col("z"), F.col("x"), F.col("y"), tm.BUFFER))
-    q = F.col("qbox")
-    return df.where((F.col("maxx") >= q["minx"]) & (F.col("minx") <= q["maxx"]) & (F.col("maxy") >= q["miny"]) & (F.col("miny") <= q["maxy"]))
+    # rows of tiles first: their edges take trigonometry, those of columns do not
+    rows = df.withColumn("y", F.explode(F.sequence("_r.min_y", "_r.max_y"))).withColumn("_q", tm.tile_bbox(F.col("z"), F.lit(0), F.col("y"), tm.BUFFER))
+    rows = rows.withColumns({"_y0": F.col("_q.miny"), "_y1": F.col("_q.maxy")}).drop("_q").where("maxy >= _y0 AND miny <= _y1")
+    df = rows.withColumn("x", F.explode(F.sequence("_r.min_x", "_r.max_x"))).withColumn("_q", tm.tile_bbox(F.col("z"), F.col("x"), F.lit(0), tm.BUFFER))
+    qbox = F.struct(F.col("_q.minx").alias("minx"), F.col("_y0").alias("miny"), F.col("_q.maxx").alias("maxx"), F.col("_y1").alias("maxy"))
+    df = df.withColumn("qbox", qbox).drop("_r", "_q", "_y0", "_y1")
+    return df.where((F.col("maxx") >= F.col("qbox.minx")) & (F.col("minx") <= F.col("qbox.maxx")))
 
 
 def top_per_layer(df: DataFrame, limit: Column, priority: str = "priority", order: str = "fid", most: int | None = None) -> DataFrame:
     """Best features of each (tile, layer) by priority, ties by order.
 
     ``most`` is a literal upper bound of the limit.  With it rows are cut twice, first inside (tile, layer, salt): a tile that
-    holds a planet of features is ranked by ``SALTS`` tasks, of which at most ``most`` rows each go on.
+    holds a planet of features is ranked by ``SALTS`` tasks, of which at most ``most`` rows each go on.  The salt is the task that made the
+    rows, so that Spark's cut before the shuffle leaves ``most`` rows of a tile and layer in each.
     """
     tile = ["z", "x", "y", "layer"]
     best = [F.desc(priority), order]
     if most:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
         first = F.row_number().over(Window.partitionBy(*tile, "_salt").orderBy(*best))
         df = salted.withColumn("_n", first).where(F.col("_n") <= most).drop("_n", "_salt")
     place = F.row_number().over(Window.partitionBy(*tile).orderBy(*best))
@@ -207,17 +211,22 @@ def encode_tiles(df: DataFrame) -> DataFrame:
     return full.groupBy("z", "x", "y").applyInPandas(run, "z int, x long, y long, payload binary")
 
 
-def limited(keys: DataFrame, policy: pol.LayerPolicy, max_features: int | None = None) -> DataFrame:
-    """Tile rows (z, x, y, layer, layer_order, fid, kind, box columns, props) cut to layer limits, then to the tile budget.
+def cut_early(spark: SparkSession, most: int) -> None:
+    """Lets Spark cut rankings of up to ``most`` rows a group before their shuffle (it does so up to 1 000), so that a task sends a bounded number of rows a tile."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(key, str(max(most, int(spark.conf.get(key)))))
+
+
+def limited(keys: DataFrame, policy: pol.LayerPolicy, zooms: Sequence[int], max_features: int | None = None) -> DataFrame:
+    """Tile rows (z, x, y, layer, layer_order, fid, kind, box columns, props, priority) cut to layer limits, then to the tile budget.
 
     A feature with as many of its own layer before it as a tile may hold never survives, so the budget also bounds a layer.
     """
-    box = F.struct(*BOX)
-    asked = max_features if isinstance(max_features, int) and max_features > 0 else pol.DEFAULT_FEATURES
-    most = min(asked, pol.MAX_BUDGET)
+    most = pol.greatest_budget(zooms, max_features)
+    first = min(most, policy.most(zooms))
+    cut_early(keys.sparkSession, most)
     name = policy.named(F.col("layer"))
-    ranked = keys.withColumn("priority", policy.priority(name, F.col("kind"), box, F.col("z")))
-    cut = top_per_layer(ranked, policy.limit(name, F.col("z")), most=most)
+    cut = top_per_layer(keys, policy.limit(name, F.col("z")), most=first)
     return top_per_tile(cut, pol.tile_budget(F.col("z"), max_features), most=most)
 
 
@@ -244,20 +253,30 @@ def _typed_props(props: Column, dtype: str) -> Column:
 
 
 def tile_rows(features: DataFrame, zooms: Sequence[int], policy: pol.LayerPolicy) -> DataFrame:
-    """(z, x, y, layer, layer_order, fid, kind, box, props) of every feature a tile reads: zoom windows, layer rules, buffered box."""
+    """(z, x, y, layer, layer_order, fid, kind, box, props, priority, seen) of every feature a tile reads: zoom windows, layer rules, buffered box.
+
+    What a policy says of a feature at a zoom (properties, priority, visibility) is asked once, before its tiles are known.
+    """
     have = features.columns
     windows = [c for c in ("first_zoom", "last_zoom") if c in have]
     slim = features.select("layer", "layer_order", "fid", *BOX, F.col("geom.kind").alias("kind"), "props", *windows)
+    # a feature is many rows from here on: dealt out evenly, however few files hold the features
+    slim = slim.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("layer", "fid"))
     name = policy.named(F.col("layer"))
+
+    def tiles(df: DataFrame) -> DataFrame:
+        df = policy.enrich(df.withColumn("seen", F.lit(True) if policy.visible is None else policy.visible(name)))
+        return assign_tiles(df.withColumn("priority", policy.priority(name, F.col("kind"), F.struct(*BOX), F.col("z"))), F.col("z"))
+
     if policy.read is None:  # one pass over the features for all zooms
-        every = slim.withColumn("_z", F.explode(F.array(*map(F.lit, zooms)))).where(policy.shown(name, F.col("_z"), zooms))
+        every = slim.withColumn("z", F.explode(F.array(*map(F.lit, zooms)))).where(policy.shown(name, F.col("z"), zooms))
         if "first_zoom" in windows:
-            every = every.where(F.col("first_zoom").isNull() | (F.col("first_zoom") <= F.col("_z")))
+            every = every.where(F.col("first_zoom").isNull() | (F.col("first_zoom") <= F.col("z")))
         if "last_zoom" in windows:
-            every = every.where(F.col("last_zoom").isNull() | (F.col("last_zoom") >= F.col("_z")))
-        keys = assign_tiles(every, F.col("_z")).drop("_z")
+            every = every.where(F.col("last_zoom").isNull() | (F.col("last_zoom") >= F.col("z")))
+        keys = tiles(every)
     else:
-        keys = reduce(DataFrame.unionByName, [assign_tiles(policy.read(slim, z), z) for z in zooms])
+        keys = reduce(DataFrame.unionByName, [tiles(policy.read(slim, z).withColumn("z", F.lit(z))) for z in zooms])
     return keys.where(policy.wide(name, F.struct(*BOX), F.col("qbox"), F.col("z"))).drop("qbox", *windows)
 
 
@@ -277,14 +296,13 @@ def tile_pyramid(features: DataFrame, zmin: int, zmax: int, policy: pol.LayerPol
         features = with_anchors(features)
     if not getattr(features, "settled", False):
         features = settled(features, "tile-features")
-    keys = tile_rows(features, range(zmin, zmax + 1), policy)
+    zooms = range(zmin, zmax + 1)
+    keys = tile_rows(features, zooms, policy)
     dtype = dict(features.dtypes)["props"]
     # a tile counts what it has read, and goes on with what is visible of it
     read = keys
-    if policy.visible is not None:
-        keys = keys.where(policy.visible(policy.named(F.col("layer"))))
-    keys = policy.enrich(keys)
-    kept = limited(keys, policy, max_features).withColumns({"source": F.col("layer"), "props": _typed_props(F.col("props"), dtype)})
+    keys = keys.where("seen").drop("seen")
+    kept = limited(keys, policy, zooms, max_features).withColumns({"source": F.col("layer"), "props": _typed_props(F.col("props"), dtype)})
     counted = read.select("z", "x", "y")
     text_of = (lambda k: F.col("props")[k]) if dtype == "map<string,string>" else (lambda k: F.col("props")[k]["text"])
     said = label_rows(keys, policy, labels, text_of)
@@ -293,8 +311,7 @@ def tile_pyramid(features: DataFrame, zmin: int, zmax: int, policy: pol.LayerPol
         most = max(n for t in pol.LABEL_LIMITS.values() for _, n in t)
         best = top_per_layer(said, F.col("label_limit"), most=most).drop("label_limit")
         # the tile budget holds over all layers, label layers last
-        asked = max_features if isinstance(max_features, int) and max_features > 0 else pol.DEFAULT_FEATURES
-        kept = top_per_tile(kept.unionByName(best), pol.tile_budget(F.col("z"), max_features), most=min(asked, pol.MAX_BUDGET))
+        kept = top_per_tile(kept.unionByName(best), pol.tile_budget(F.col("z"), max_features), most=pol.greatest_budget(zooms, max_features))
     original = counted.groupBy("z", "x", "y").agg(F.count("*").alias("original"))
     tile = tm.tile_bbox(F.col("z"), F.col("x"), F.col("y"))
     kept = kept.withColumn("_t", tile)
@@ -303,7 +320,8 @@ def tile_pyramid(features: DataFrame, zmin: int, zmax: int, policy: pol.LayerPol
     span = F.greatest(F.abs(F.col("_t.maxx") - F.col("_t.minx")), F.abs(F.col("_t.maxy") - F.col("_t.miny")))
     how = F.lit(detail) if detail else tm.detail_for_zoom(F.col("z"))
     tol = span / tm.EXTENT * pol.tolerance(name, F.col("kind"), F.col("z"), how, policy.tolerance_scale)
-    ready = kept.withColumns({"small": small, "tol": tol}).drop("_t", *BOX, "priority")
+    # written, so that Spark knows how few they are: then they go to the geometry, not all geometry to them
+    ready = settled(kept.withColumns({"small": small, "tol": tol}).drop("_t", *BOX, "priority"), "tile-survivors")
     shapes = features.select(F.col("layer").alias("source"), "fid", "geom", *(["anchor"] if "anchor" in features.columns else []))
     met = ready.join(shapes, ["source", "fid"])
     if "anchor" in features.columns:

@@ -2,6 +2,7 @@
 
 import math
 import os
+from functools import reduce
 
 import duckdb
 import pytest
@@ -77,3 +78,28 @@ def test_shape_stats_of_tiles_beyond_their_budget(spark, tmp_path):
     con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
     assert rows == sorted(tuple(map(text, r)) for r in con.execute(f"SELECT x, y, original, dropped, vertices, simplified, tolerance FROM ({ORACLES['shape_stats']})").fetchall())
     assert sum(int(r[3]) for r in rows) >= 500
+
+
+def test_features_go_to_the_tiles_whose_buffer_they_touch(spark):
+    """Narrow ranges of tiles, narrower than a tile on each side, lose none at any zoom; a ranking of thousands is cut before its shuffle."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from geotiles.functions import tilemath as tm
+    from geotiles.functions.policy import osm_policy
+    from geotiles.plans import pyramid
+
+    rng = random.Random(5)
+    boxes = [(i, lon, lat, lon + rng.choice([0, 3]), lat + rng.choice([0, 2])) for i, (lon, lat) in enumerate((rng.uniform(-180, 177), rng.uniform(-85, 83)) for _ in range(60))]
+    boxes += [(100 + i, -180 + 45 * i - 45 / 32, 84.9, -180 + 45 * i - 45 / 32, 85.0) for i in range(1, 8)]
+    df = spark.createDataFrame(boxes, "fid long, minx double, miny double, maxx double, maxy double")
+    got = pyramid.assign_tiles(df.crossJoin(spark.createDataFrame([(z,) for z in range(6)], "_z int")), F.col("_z")).select("fid", "z", "x", "y")
+    every = reduce(lambda a, b: a.union(b), [spark.range(1 << 2 * z).selectExpr(f"{z} AS z", f"id div {1 << z} AS x", f"id % {1 << z} AS y") for z in range(6)])
+    q = tm.tile_bbox(F.col("z"), F.col("x"), F.col("y"), tm.BUFFER)
+    want = every.withColumn("q", q).join(df, F.expr("maxx >= q.minx AND minx <= q.maxx AND maxy >= q.miny AND miny <= q.maxy")).select("fid", "z", "x", "y")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    f = df.withColumns({"layer": F.lit("roads"), "layer_order": F.lit(0), "props": F.create_map(F.lit("highway"), F.lit("primary")), "geom": F.struct(F.lit("LineString").alias("kind"))})
+    keys = pyramid.tile_rows(f, range(9, 12), osm_policy())
+    plan = pyramid.limited(keys, osm_policy(), range(9, 12))._jdf.queryExecution().executedPlan().toString()
+    assert "3500, Partial" in plan and "REPARTITION_BY_NUM" in plan
