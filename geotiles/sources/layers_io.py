@@ -17,6 +17,8 @@ from ..schema import BOX, LayerSpec, conform
 #: Features of a file, and the folder of the index of tiles inside a layer folder (readers of the folder pass over it).
 FILE_ROWS = 500_000
 INDEX = "_tiles"
+#: Folders of a layer: at most 1 << FOLDER_SIDE squared, so that their number does not grow with the features.
+FOLDER_SIDE = 4
 
 
 def ingest_features(df: DataFrame, spec: LayerSpec, column: str = "feature") -> DataFrame:
@@ -48,7 +50,7 @@ def ingest_features(df: DataFrame, spec: LayerSpec, column: str = "feature") ->
 
 
 def _packed(features: DataFrame, rows: int) -> DataFrame:
-    """Adds ``tile``: sort-tile-recursive packing of box centres, some ``rows`` features a tile.
+    """Adds ``tile`` and its ``block``, tiles that are neighbours in both directions: sort-tile-recursive packing of box centres, some ``rows`` features a tile.
 
     A layer is cut at quantiles of x into as many slices as each slice then is at quantiles of y.  Quantiles are approximate and combined on the map
     side over narrow columns; the cuts of a layer are a few numbers that join back.
@@ -63,40 +65,45 @@ def _packed(features: DataFrame, rows: int) -> DataFrame:
     df = df.join(known, "layer")
     df = df.join(df.groupBy("layer").agg(cuts("_cx").alias("_xs")), "layer").withColumn("_slice", number("_xs", "_cx")).drop("_xs")
     df = df.join(df.groupBy("layer", "_slice").agg(cuts("_cy").alias("_ys")), ["layer", "_slice"])
-    return df.withColumn("tile", F.col("_slice") * 512 + number("_ys", "_cy")).drop("_cx", "_cy", "_side", "_slice", "_ys")
+    df = df.withColumn("_row", number("_ys", "_cy")).withColumn("_wide", F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.col("_side") - FOLDER_SIDE)))
+    block = F.floor(F.col("_slice") / F.col("_wide")) * 512 + F.floor(F.col("_row") / F.col("_wide"))
+    return df.withColumns({"tile": F.col("_slice") * 512 + F.col("_row"), "block": block.cast("int")}).drop("_cx", "_cy", "_side", "_slice", "_ys", "_row", "_wide")
 
 
 def write_layers(features: DataFrame, path: str, rows: int = FILE_ROWS) -> None:
-    """Rows (layer, ..., minx..maxy) as a Parquet folder per layer and tile of near features, with an index of the tiles' boxes beside them.
+    """Rows (layer, ..., minx..maxy) as a Parquet folder per layer and block of near tiles, with an index of the tiles' boxes beside them.
+
+    Few tiles are a folder each; of many, neighbours share one, in the order of their numbers, so that Parquet tells them apart by its minima and maxima.
 
     Rows are dealt by ranges of layer, tile and box, so a crowded place is written by as many tasks as it needs.
     """
     df = _packed(features, rows)
-    order = ("layer", "tile", "minx", "miny")
-    dealt = df.withColumn("_salt", F.xxhash64(*BOX, *(["fid"] if "fid" in df.columns else []))).repartitionByRange("layer", "tile", "_salt").drop("_salt")
-    dealt.sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy("layer", "tile").parquet(path)
+    order = ("layer", "block", "tile", "minx", "miny")
+    dealt = df.withColumn("_salt", F.xxhash64(*BOX, *(["fid"] if "fid" in df.columns else []))).repartitionByRange("layer", "block", "tile", "_salt").drop("_salt")
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", max(rows, FILE_ROWS)).partitionBy("layer", "block").parquet(path)
     box = [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), BOX)]
-    index = features.sparkSession.read.parquet(path).groupBy("layer", "tile").agg(F.count("*").alias("features"), *box)
+    index = features.sparkSession.read.parquet(path).groupBy("layer", "block", "tile").agg(F.count("*").alias("features"), *box)
     index.write.mode("overwrite").parquet(f"{path}/{INDEX}")
 
 
 def layer_index(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """(tile, features, minx..maxy) of a layer's tiles."""
+    """(block, tile, features, minx..maxy) of a layer's tiles."""
     return spark.read.parquet(f"{path}/{INDEX}").where(F.col("layer") == layer).drop("layer")
 
 
 def read_layer(spark: SparkSession, path: str, layer: str, box: Sequence[float] | None = None, most_tiles: int = 10_000) -> DataFrame:
     """A layer's features; with a box only those that overlap it.
 
-    The index names the tiles that the box touches, and only their files are opened; where they are more than ``most_tiles``, their
+    The index names the tiles that the box touches, and only the files of their blocks are opened; where they are more than ``most_tiles``, their
     names are not listed and the box columns' minima and maxima alone let Parquet skip row groups.
     """
     df = spark.read.parquet(path).where(F.col("layer") == layer)
     if box is not None:
         touch = lambda d: d.where((F.col("maxx") >= box[0]) & (F.col("minx") <= box[2]) & (F.col("maxy") >= box[1]) & (F.col("miny") <= box[3]))
-        tiles = [r[0] for r in touch(layer_index(spark, path, layer)).select("tile").limit(most_tiles + 1).collect()]
-        df = touch(df.where(F.col("tile").isin(tiles)) if len(tiles) <= most_tiles else df)
-    return df.drop("tile")
+        tiles = touch(layer_index(spark, path, layer)).select("block", "tile").limit(most_tiles + 1).collect()
+        named = F.col("block").isin(sorted({r["block"] for r in tiles})) & F.col("tile").isin([r["tile"] for r in tiles])
+        df = touch(df.where(named) if len(tiles) <= most_tiles else df)
+    return df.drop("block", "tile")
 
 
 def query_layer(spark: SparkSession, path: str, layer: str, boxes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import dataclasses
 import gzip
 import math
+import os
 import re
 import struct
 import zlib
@@ -786,6 +787,18 @@ def test_a_city_opens_few_files(spark, tmp_path):
     assert met[1] == got.count() and met[2] == n and met[3] >= n // 10
 
 
+def test_folders_of_a_layer_do_not_grow_with_its_tiles(spark, tmp_path):
+    """Some 2 500 tiles lie in 256 folders at most, and a box read opens few of them and loses nothing."""
+    f = spark.range(3000).select(F.lit("a").alias("layer"), F.col("id").alias("fid"), (F.rand(1) * 300 - 150).alias("minx"), (F.rand(2) * 160 - 80).alias("miny"))
+    f = f.withColumns({"maxx": F.col("minx"), "maxy": F.col("miny")}).cache()
+    path = str(tmp_path / "l")
+    layers_io.write_layers(f, path, rows=2)
+    assert layers_io.layer_index(spark, path, "a").count() > 1000 and len(os.listdir(tmp_path / "l" / "layer=a")) <= 256
+    got = layers_io.read_layer(spark, path, "a", (-20.0, -10.0, 10.0, 5.0))
+    assert sorted(r.fid for r in got.collect()) == sorted(r.fid for r in f.where("minx BETWEEN -20 AND 10 AND miny BETWEEN -10 AND 5").collect())
+    assert got.select(F.input_file_name()).distinct().count() < 30 and "block" not in got.columns
+
+
 def test_rings_of_many_relations_stream_through_few_tasks(spark):
     """Relations are told apart inside a task, whatever the batches; no group of its own is started for each of them."""
     from geotiles.operators.assemble import assemble_rings
