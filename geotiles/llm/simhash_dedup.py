@@ -20,21 +20,18 @@
    alternating large-star and small-star rounds, each written to the shared
    folder; the smallest doc_id of a component names it.
 
-``similar_groups`` serves documents at an exact similarity instead of a radius:
-five-word shingle sets with Jaccard >= 0.8.  Bits do not serve there: at 0.8 a bit
-differs with probability 0.1, and balls that meet often enough are too many (330
-variants a document) and too crowded.  So a fingerprint is made of ``SYMBOLS`` symbols of
-``SYMBOL_BITS`` bits, each taken from the least shingle hash in an order of its own, so that it differs
-with the Jaccard distance; the radius is one symbol, and half of it is one erasure:
-every fingerprint emits its variants with one symbol left out, and two fingerprints
-that differ in one symbol at most meet in one of them.  With ``TABLES`` independent
-fingerprints a pair at 0.8 meets with probability 0.999, at 0.9 with 0.99999.
-Documents are shuffled on variants and sorted inside them, in one of two orders; each meets
-the first and the one before it, and each pair met is checked on the whole shingle
-sets.  No pair below 0.8 is linked.  Variants of up to three members compare all pairs.  In larger ones the groups found
-are joined in further rounds: every variant offers a member of each of its groups, another one every round, to the next group in an order of
-the round; they end when no round of ``QUIET`` in a row joins anything.  Only fingerprints with two partners at least take part, and a
-variant whose members are one group by now offers nothing, so the rounds cost little.
+``similar_groups`` serves documents at an exact similarity instead of a radius: five-word shingle sets with
+Jaccard >= 0.8.  Every pair at 0.8 ends in one group, and none below is linked:
+
+1. Crowds: most copies are found by chance and cheaply.  A fingerprint is made of ``SYMBOLS`` symbols of
+   ``SYMBOL_BITS`` bits, each taken from the least shingle hash in an order of its own; every fingerprint emits its
+   variants with one symbol left out, and a document meets the first and the one before it in each variant, in one of two orders.
+   Pairs met are checked on the whole sets and contracted.  This round need not be complete; it keeps the next one small.
+2. The rest, exactly: in any order of shingles that all documents share, two sets at 0.8 have one in common among the first
+   ``n // 5 + 1`` of each.  Shingles that many documents begin with are put last, as rare ones meet few (the order decides the work, not the result).
+   Rows of shingles that several sets begin with are kept; in each, all pairs of different groups are compared by size and position.
+   A pair goes on if the beginnings share so many shingles that the sets can be at 0.8, and is checked on the whole sets.
+   A crowded shingle is dealt out as blocks against blocks.  Only pairs of one group are left out, whose link changes nothing.
 
 Defined results: null or wordless text has fingerprint zero and is linked like
 any other; fewer than three words make one shingle; repeated rows fall into one
@@ -58,11 +55,13 @@ from .common import discard, written
 SHINGLE_WORDS = 3
 RADIUS = 3
 SIMILAR_WORDS = 5
-SIMILARITY = 0.8
+SIMILARITY = (4, 5)  # 0.8
 TABLES = 5
 SYMBOLS = 5
 SYMBOL_BITS = 12
-QUIET = 2  # rounds that join nothing before groups are taken for whole
+CROWD = 32  # documents beginning with a shingle from which on it is put last; a share of 1 / CROWD_SHARE on larger tables
+CROWD_SHARE = 20_000
+BLOCK = 2048  # rows of a shingle that are compared with each other in one go
 _STEP = 1 << 15  # shingles counted at a time, so that one very long text stays small
 
 
@@ -257,15 +256,6 @@ def _variants(sets: DataFrame, *keep: str) -> DataFrame:
     return each.select("set_key", *keep, "t", F.explode(names).alias("e")).select(tag.bitwiseOR(F.col("e.rest")).alias("variant"), "t", "set_key", *keep)
 
 
-def _met_groups(sets: DataFrame, turn: int) -> DataFrame:
-    """(a, b) with a > b: in every variant a member of each group of (set_key, prints, root) with one of the group before it."""
-    place = F.xxhash64(F.lit(turn), "variant", "set_key")
-    offered = _variants(sets, "root").groupBy("variant", "root").agg(F.min(F.struct(place.alias("place"), "set_key")).alias("m"))
-    order = Window.partitionBy("variant").orderBy(F.xxhash64(F.lit(turn), "root"), "root")
-    pairs = offered.select(F.col("m.set_key").alias("x"), F.lag("m.set_key").over(order).alias("y")).where("y IS NOT NULL")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-
-
 def _met(sets: DataFrame) -> DataFrame:
     """(a, b) with a > b: each member of a variant with its first member and the one before it."""
     emitted = _variants(sets).select("variant", F.xxhash64(F.col("t") % 2, "set_key").alias("place"), "set_key")
@@ -322,7 +312,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+                keep.append(SIMILARITY[1] * both >= SIMILARITY[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: sets.select(F.col("set_key").alias(c), F.col("hashes").alias(f"h{c}"))
@@ -340,6 +330,106 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "similar-roots")
 
 
+def _begun(docs: DataFrame, text: str, last: np.ndarray | None) -> DataFrame:
+    """(token, set_id, size, place): the first n // 5 + 1 shingles of every set, those in ``last`` after all others.
+
+    Without ``last`` they are a quarter more, as many as move up when some are put last.  token and set_id are 48 and 64 bits.
+    """
+    more, less = SIMILARITY[1], SIMILARITY[1] - SIMILARITY[0]
+
+    def columns(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["token", "set_id", "size", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, n = [], 0
+            for t in b.column(0):
+                hashes = _shingle_set(t.as_py(), SIMILAR_WORDS)
+                size = len(hashes)
+                first = size * less // more + 1
+                token = (hashes >> np.uint64(16)).astype(np.int64)
+                if last is None:
+                    token = token[:first + first // 4 + 1]
+                elif len(last) and size:
+                    late = last[np.minimum(np.searchsorted(last, token), len(last) - 1)] == token
+                    token = np.concatenate((token[~late], token[late]))[:first]
+                else:
+                    token = token[:first]
+                held.append((token, np.full(len(token), xxhash.xxh3_128_intdigest(hashes.tobytes(), 42) >> 64, np.uint64).view(np.int64),
+                             np.full(len(token), size, np.int32), np.arange(len(token), dtype=np.int32)))
+                n += len(token)
+                if n > _STEP:
+                    yield columns(held)
+                    held, n = [], 0
+            if held:
+                yield columns(held)
+
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token long, set_id long, size int, place int")
+
+
+def _crowded(docs: DataFrame, text: str, n: int) -> np.ndarray:
+    """Sorted tokens that many documents begin with: at most some CROWD_SHARE times the shingles that a document begins with, however many documents."""
+    counts = _begun(docs, text, None).groupBy("token").count()
+    many = counts.where(F.col("count") > max(CROWD, n // CROWD_SHARE)).select("token")
+    return np.sort(many.toArrow().column(0).to_numpy())
+
+
+def _set_id(set_key: str) -> Column:
+    """The 64 bits of a set_key that name it in ``_begun``."""
+    return F.conv(F.hex(F.substring(set_key, 1, 8)), 16, -10).cast("long")
+
+
+def _unmet(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(x, y): the pairs of sets of different groups that may be at SIMILARITY, from (token, set_id, size, place) and (set_id, root)."""
+    marked = shared.join(roots.select("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    tokens = marked.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    # block i of a crowded token meets block j: a row goes to the cells of its block with every other
+    dealt = marked.join(tokens.select("token", "n"), "token").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
+        "block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    cells = dealt.select("token", "set_id", "size", "place", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "size", "place", "root")
+    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cells.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    more = SIMILARITY[1]
+    both = sum(SIMILARITY)  # of sizes a and b, sets at SIMILARITY share 4 (a + b) / 9 shingles
+
+    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The pairs of one cell."""
+        size, place, root, own, block = (rows.column(c).to_numpy() for c in ("size", "place", "root", "set_id", "block"))
+        size, place = size.astype(np.int64), place.astype(np.int64)
+        alike = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        for at in range(0, len(own), 256):
+            k = np.arange(at, min(at + 256, len(own)))[:, None]
+            reach = np.minimum(place[k], place) + np.minimum(size[k] - place[k], size - place)  # shared before, and from here on
+            some = (own[k] < own) & (root[k] != root) & (both * reach >= SIMILARITY[0] * (size[k] + size))
+            some &= more * np.minimum(size[k], size) >= SIMILARITY[0] * np.maximum(size[k], size)
+            if not alike:
+                some &= block[k] != block
+            a, b = np.nonzero(some)
+            a += at
+            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), pa.array(size[a]), pa.array(size[b])], ["x", "y", "nx", "ny"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b])
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            at = [rows.column(c).to_numpy() for c in ("token", "i", "j")]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in at])) + 1
+            for start, end in zip([0, *cuts[:-1]], cuts):
+                yield from compared(rows.slice(start, end - start))
+            held = rows.slice(cuts[-1] if len(cuts) else 0)
+        if held is not None:
+            yield from compared(held)
+
+    pairs = ordered.mapInArrow(run, "x long, y long, nx long, ny long").groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("common"))
+    # what is shared beyond the beginnings of both is at most the rest of one of them
+    rest = lambda c: F.col(c) - F.floor(F.col(c) * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]) - 1
+    return pairs.where(both * (F.col("common") + F.greatest(rest("nx"), rest("ny"))) >= SIMILARITY[0] * (F.col("nx") + F.col("ny"))).select("x", "y")
+
+
 def similar_groups(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, group), a row per row: rows linked by shingle sets of Jaccard >= SIMILARITY share a group.
 
@@ -349,17 +439,19 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", keep: tuple[st
     owners = prints.groupBy("set_key").agg(F.min(F.col(f"`{key}`")).alias("key"))
     pairs = written(_met(prints.select("set_key", "prints").dropDuplicates(["set_key"])), "met")
     sets = _shingle_sets(pairs, docs, owners, text, key)
-    roots = components(_similar(pairs, sets), "similar-links")
-    busy = (pairs.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").count().where("count > 1").select("set_key"))
-    busy = written(prints.select("set_key", "prints").join(busy.hint("merge"), "set_key", "left_semi").dropDuplicates(["set_key"]), "busy-sets")
-    turn = quiet = 0
-    while quiet < QUIET:
-        turn += 1
-        grouped = busy.join(roots.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").select("set_key", "prints", F.coalesce("root", "set_key").alias("root"))
-        links = written(_similar(written(_met_groups(grouped, turn), "met-groups"), sets), "similar-links")
-        if links.limit(1).count():
-            quiet, roots = 0, _joined(roots, links)
-        else:
-            quiet += 1
+    links = written(_similar(pairs, sets), "similar-links")
+    for used in (pairs, sets):
+        discard(used)
+    roots = written(components(links, "similar-groups"), "similar-roots")
+
+    holders = Window.partitionBy("token")
+    begun = _begun(docs, text, _crowded(docs, text, prints.count()))
+    shared = written(begun.withColumn("lo", F.min("set_id").over(holders)).withColumn("hi", F.max("set_id").over(holders))
+                     .where("lo <> hi").select("token", "set_id", "size", "place").distinct(), "shared-shingles")
+    found = written(_unmet(shared, roots.select(_set_id("node").alias("set_id"), _set_id("root").alias("root"))), "unmet")
+    names = owners.select("set_key", _set_id("set_key").alias("set_id"))
+    side = lambda c, name: names.select(F.col("set_id").alias(c), F.col("set_key").alias(name))
+    pairs = written(found.join(side("x", "a"), "x").join(side("y", "b"), "y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "unmet-sets")
+    roots = _joined(roots, written(_similar(pairs, _shingle_sets(pairs, docs, owners, text, key)), "similar-links"))
     return prints.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         *[F.col(f"`{c}`") for c in (key, *keep)], F.coalesce("root", "set_key").alias("group"))

@@ -512,3 +512,54 @@ def test_mix_of_hot_and_null_ids(spark):
     for s, rs in by.items():
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= 64 and rs[0].source_size == sum(r.size for r in rs)
     assert all((by[a][0].target / weights[a] - by[b][0].target / weights[b]) < 1e-6 or by[b][0].target == 2 * by[b][0].source_size for a in by for b in by)
+
+
+def brute_groups(sets):
+    """The smallest key that each key reaches over pairs at 0.8 and above."""
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in sets}
+
+
+def as_partition(groups):
+    by = {}
+    for k, g in groups.items():
+        by.setdefault(g, []).append(k)
+    return sorted(sorted(v) for v in by.values())
+
+
+@pytest.mark.parametrize("block", [2048, 20])
+def test_similar_groups_are_those_of_all_pairs(spark, monkeypatch, block):
+    """Loose copies, pairs at exactly 0.8 and at just less, a passage that many hold: the groups are those that all pairs make."""
+    rng = random.Random(31)
+    rows = []
+    for g, changes in enumerate(((2, 4), (3, 5))):
+        base = [f"w{g}x{i}" for i in range(200)]
+        for i in range(120):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randint(*changes)):
+                copy[at] = f"own{rng.random()}"
+            rows.append((g * 1000 + i, " ".join(copy)))
+    for i in range(60):  # of a + b shingles either shares 4 (a + b) / 9, or one less
+        words = [f"p{i}y{k}" for k in range(49)]
+        rows += [(5000 + 2 * i, " ".join(words[:-(5 if i % 2 else 4)])), (5001 + 2 * i, " ".join([*words[9 - 4:], *[f"q{i}y{k}" for k in range(i % 2)]]))]
+    for i in range(12):  # 36 shingles of 45
+        words = [f"z{i}y{k}" for k in range(49)]
+        rows += [(6000 + 2 * i, " ".join(words)), (6001 + 2 * i, " ".join(words[:40]))]
+    passage = " ".join(f"said{k}" for k in range(40))
+    rows += [(7000 + i, passage + " " + " ".join(f"o{i}y{k}" for k in range(rng.randint(5, 60)))) for i in range(100)]
+    rows += [(8000, ""), (8001, None), (8002, "one"), (8003, "one two"), (8004, "ONE two")]
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    got = {r.key: r.group for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "key long, text string"), "key").collect()}
+    want = brute_groups({k: five_words(t) for k, t in rows})
+    assert len(set(want.values())) > 200 and as_partition(got) == as_partition(want)
