@@ -61,6 +61,7 @@ SYMBOLS = 5
 SYMBOL_BITS = 12
 CROWD = 32  # documents beginning with a shingle from which on it is put last; a share of 1 / CROWD_SHARE on larger tables
 CROWD_SHARE = 20_000
+SENT = 2_000_000  # keys of texts that are sent to all tasks at most
 BLOCK = 2048  # rows of a shingle that are compared with each other in one go
 _STEP = 1 << 15  # shingles counted at a time, so that one very long text stays small
 
@@ -293,6 +294,8 @@ def _met(sets: DataFrame) -> DataFrame:
 def _shingle_sets(pairs: DataFrame, docs: DataFrame, owners: DataFrame, text: str, key: str) -> DataFrame:
     """(set_key, hashes), written: the shingle sets of all members of pairs; the only time that texts are read again."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(owners, "set_key").select("set_key", "key"), "wanted")
+    if wanted.count() <= SENT:  # a few MB are sent to the texts; texts move only where that list is long
+        wanted = F.broadcast(wanted)
     slim = (docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(wanted, "key")
             .select("set_key", "text"))
 
