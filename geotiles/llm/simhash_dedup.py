@@ -29,7 +29,9 @@ Jaccard >= 0.8.  Every pair at 0.8 ends in one group, and none below is linked:
    Pairs met are checked on the whole sets and contracted.  This round need not be complete; it keeps the next one small.
 2. The rest, exactly: in any order of shingles that all documents share, two sets at 0.8 have one in common among the first
    ``n // 5 + 1`` of each.  Shingles that many documents begin with are put last, as rare ones meet few (the order decides the work, not the result).
-   Rows of shingles that several sets begin with are kept; in each, all pairs of different groups are compared by size and position.
+   Rows of shingles that several sets begin with are kept; in each, all pairs of different groups are compared by size, position and
+   parities: of every bit that shingles hash to, whether an odd number of the set's did.  Each parity that differs is a shingle that only one
+   of the two has; of those, sets at 0.8 have a ninth of both sizes at most.  Texts that share a passage stop there.
    A pair goes on if the beginnings share so many shingles that the sets can be at 0.8, and is checked on the whole sets.
    A crowded shingle is dealt out as blocks against blocks.  Only pairs of one group are left out, whose link changes nothing.
 
@@ -63,6 +65,7 @@ CROWD = 32  # documents beginning with a shingle from which on it is put last; a
 CROWD_SHARE = 20_000
 SENT = 2_000_000  # keys of texts that are sent to all tasks at most
 BLOCK = 2048  # rows of a shingle that are compared with each other in one go
+PARITIES = 4096  # bits of a set at most; sets of twice as many shingles and more are hardly told apart, which costs work and no pair
 _STEP = 1 << 15  # shingles counted at a time, so that one very long text stays small
 
 
@@ -227,22 +230,51 @@ def _symbols(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np
     return (symbol << SYMBOL_BITS * np.arange(SYMBOLS)).sum(axis=1)
 
 
+def _parities(hashes: np.ndarray) -> bytes:
+    """A bit for each shingle at least (a power of two, 64 to PARITIES), set where an odd number of hashes fall."""
+    n = min(PARITIES, max(64, 1 << (len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _least_apart(parities: pa.BinaryArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows a and b, shingles that only one set has, at least: the parities that differ, the longer ones folded onto the shorter."""
+    at = np.frombuffer(parities.buffers()[1], np.int32)[parities.offset:parities.offset + len(parities) + 1] // 8
+    words = np.frombuffer(parities.buffers()[2], np.uint64, int(at[-1]))
+    length, out = np.diff(at), np.zeros(len(a), np.int64)
+    shorter = np.minimum(length[a], length[b])
+
+    def folded(rows: np.ndarray, n: int) -> np.ndarray:
+        made = np.empty((len(rows), n), np.uint64)
+        for m in np.unique(length[rows]):
+            k = np.flatnonzero(length[rows] == m)
+            whole = words[at[rows[k], None] + np.arange(m)]
+            made[k] = np.bitwise_xor.reduce(whole.reshape(len(k), m // n, n), axis=1)
+        return made
+
+    for n in np.unique(shorter):
+        k = np.flatnonzero(shorter == n)
+        out[k] = np.bitwise_count(folded(a[k], n) ^ folded(b[k], n)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _set_prints(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> DataFrame:
-    """(key, *keep, set_key, prints): rows of equal shingle sets share set_key (128 bits)."""
+    """(key, *keep, set_key, prints, parities): rows of equal shingle sets share set_key (128 bits)."""
     slim = docs.select(*[F.col(f"`{c}`") for c in (key, *keep)], F.col(f"`{text}`").alias("_text"))
     schema = T.StructType([*slim.schema.fields[:-1], T.StructField("set_key", T.BinaryType()),
-                           T.StructField("prints", T.ArrayType(T.LongType()))])
+                           T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("parities", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = _orders(TABLES * SYMBOLS)
         for b in batches:
-            keys, prints = [], []
+            keys, prints, parities = [], [], []
             for t in b.column(b.num_columns - 1):
                 hashes = _shingle_set(t.as_py(), SIMILAR_WORDS)
                 keys.append(xxhash.xxh3_128_digest(hashes.tobytes(), 42))
                 prints.append(_symbols(hashes, *orders))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
-                                             schema.names)
+                parities.append(_parities(hashes))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64())),
+                                              pa.array(parities, pa.binary())], schema.names)
 
     return slim.mapInArrow(run, schema)
 
@@ -382,8 +414,8 @@ def _set_id(set_key: str) -> Column:
     return F.conv(F.hex(F.substring(set_key, 1, 8)), 16, -10).cast("long")
 
 
-def _unmet(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(x, y): the pairs of sets of different groups that may be at SIMILARITY, from (token, set_id, size, place) and (set_id, root)."""
+def _unmet(shared: DataFrame, roots: DataFrame, parities: DataFrame) -> DataFrame:
+    """(x, y): the pairs of sets of different groups that may be at SIMILARITY, from (token, set_id, size, place), (set_id, root) and (set_id, parities)."""
     marked = shared.join(roots.select("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     tokens = marked.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     # block i of a crowded token meets block j: a row goes to the cells of its block with every other
@@ -392,28 +424,34 @@ def _unmet(shared: DataFrame, roots: DataFrame) -> DataFrame:
     cells = dealt.select("token", "set_id", "size", "place", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "size", "place", "root")
     n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cells.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    ordered = cells.join(parities, "set_id").repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     more = SIMILARITY[1]
-    both = sum(SIMILARITY)  # of sizes a and b, sets at SIMILARITY share 4 (a + b) / 9 shingles
+    both = sum(SIMILARITY)  # of sizes a and b, sets at SIMILARITY share 4 (a + b) / 9 shingles and differ in (a + b) / 9
 
-    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """The pairs of one cell."""
+    def compared(rows: pa.Table, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The pairs of whole cells; ``end`` is where each row's cell ends."""
         size, place, root, own, block = (rows.column(c).to_numpy() for c in ("size", "place", "root", "set_id", "block"))
-        size, place = size.astype(np.int64), place.astype(np.int64)
-        alike = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-        for at in range(0, len(own), 256):
-            k = np.arange(at, min(at + 256, len(own)))[:, None]
-            reach = np.minimum(place[k], place) + np.minimum(size[k] - place[k], size - place)  # shared before, and from here on
-            some = (own[k] < own) & (root[k] != root) & (both * reach >= SIMILARITY[0] * (size[k] + size))
-            some &= more * np.minimum(size[k], size) >= SIMILARITY[0] * np.maximum(size[k], size)
-            if not alike:
-                some &= block[k] != block
-            a, b = np.nonzero(some)
-            a += at
-            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), pa.array(size[a]), pa.array(size[b])], ["x", "y", "nx", "ny"])
+        size, place, parities = size.astype(np.int64), place.astype(np.int64), rows.column("parities").combine_chunks()
+        alike = rows.column("i").to_numpy() == rows.column("j").to_numpy()
+        live = np.arange(len(own))
+        for step in range(1, len(own)):  # every row with the one so many rows below
+            live = live[live + step < end[live]]
+            if not len(live):
+                break
+            a, b = live, live + step
+            total = size[a] + size[b]
+            reach = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])  # shared before, and from here on
+            some = (root[a] != root[b]) & (both * reach >= SIMILARITY[0] * total) & (alike[a] | (block[a] != block[b]))
+            some &= more * np.minimum(size[a], size[b]) >= SIMILARITY[0] * np.maximum(size[a], size[b])
+            a, b, total = a[some], b[some], total[some]
+            some = both * _least_apart(parities, a, b) <= (more - SIMILARITY[0]) * total
+            a, b = a[some], b[some]
+            if len(a):
+                a, b = np.where(own[a] < own[b], a, b), np.where(own[a] < own[b], b, a)
+                yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), pa.array(size[a]), pa.array(size[b])], ["x", "y", "nx", "ny"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = None  # the cell that goes on
         for b in batches:
             if not b.num_rows:
                 continue
@@ -421,11 +459,11 @@ def _unmet(shared: DataFrame, roots: DataFrame) -> DataFrame:
             rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
             at = [rows.column(c).to_numpy() for c in ("token", "i", "j")]
             cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in at])) + 1
-            for start, end in zip([0, *cuts[:-1]], cuts):
-                yield from compared(rows.slice(start, end - start))
+            if len(cuts):
+                yield from compared(rows.slice(0, cuts[-1]).combine_chunks(), np.repeat(cuts, np.diff(cuts, prepend=0)))
             held = rows.slice(cuts[-1] if len(cuts) else 0)
         if held is not None:
-            yield from compared(held)
+            yield from compared(held.combine_chunks(), np.full(held.num_rows, held.num_rows))
 
     pairs = ordered.mapInArrow(run, "x long, y long, nx long, ny long").groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("common"))
     # what is shared beyond the beginnings of both is at most the rest of one of them
@@ -451,7 +489,8 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", keep: tuple[st
     begun = _begun(docs, text, _crowded(docs, text, prints.count()))
     shared = written(begun.withColumn("lo", F.min("set_id").over(holders)).withColumn("hi", F.max("set_id").over(holders))
                      .where("lo <> hi").select("token", "set_id", "size", "place").distinct(), "shared-shingles")
-    found = written(_unmet(shared, roots.select(_set_id("node").alias("set_id"), _set_id("root").alias("root"))), "unmet")
+    parities = prints.select(_set_id("set_key").alias("set_id"), "parities").dropDuplicates(["set_id"])
+    found = written(_unmet(shared, roots.select(_set_id("node").alias("set_id"), _set_id("root").alias("root")), parities), "unmet")
     names = owners.select("set_key", _set_id("set_key").alias("set_id"))
     side = lambda c, name: names.select(F.col("set_id").alias(c), F.col("set_key").alias(name))
     pairs = written(found.join(side("x", "a"), "x").join(side("y", "b"), "y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "unmet-sets")

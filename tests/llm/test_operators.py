@@ -563,3 +563,38 @@ def test_similar_groups_are_those_of_all_pairs(spark, monkeypatch, block):
     got = {r.key: r.group for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "key long, text string"), "key").collect()}
     want = brute_groups({k: five_words(t) for k, t in rows})
     assert len(set(want.values())) > 200 and as_partition(got) == as_partition(want)
+
+
+def test_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    """Sets that have a passage and little else in common are told apart before their pairs are listed; copies among them are not."""
+    rng = random.Random(37)
+    rows = []
+    for g in range(8):
+        passage = [f"said{g}x{k}" for k in range(60)]
+        rows += [(100 * g + i, " ".join(passage + [f"own{g}x{i}x{k}" for k in range(rng.randint(30, 50))])) for i in range(30)]
+        rows.append((100 * g + 50, rows[-1][1].replace(" said", " Said ", 1) + " end"))
+    listed, unmet = [], simhash_dedup._unmet
+    monkeypatch.setattr(simhash_dedup, "_met", lambda sets: sets.limit(0).select(F.col("set_key").alias("a"), F.col("set_key").alias("b")))
+    monkeypatch.setattr(simhash_dedup, "_unmet", lambda *given: listed.append(unmet(*given).cache()) or listed[-1])
+    got = {r.key: r.group for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "key long, text string"), "key").collect()}
+    assert as_partition(got) == as_partition(brute_groups({k: five_words(t) for k, t in rows}))
+    assert len(set(got.values())) == 240 and listed[0].count() < 100
+
+
+def test_parities_never_tell_more_apart_than_there_is():
+    """Sets of all sizes, folded and cut short: the parities that differ are at most the hashes that only one set has, and few of strangers are missed."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(41)
+    sets = [np.array([], np.uint64), np.array([5], np.uint64)]
+    for n in (1, 60, 64, 65, 130, 700, 4000, 9000):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        sets += [np.unique(base[:m]) for m in (n, n - n // 9, n - n // 5)] + [np.unique(rng.integers(0, 1 << 63, n, np.uint64))]
+    held = pa.array([b"x" * 8] + [simhash_dedup._parities(s) for s in sets], pa.binary()).slice(1)
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    least = simhash_dedup._least_apart(held, a, b)
+    true = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(a, b)])
+    size = np.array([len(s) for s in sets])
+    assert (least <= true).all() and (least[a == b] == 0).all()
+    strangers = (true == size[a] + size[b]) & (size[a] == size[b]) & (size[a] >= 60) & (size[a] <= 4000)
+    assert strangers.any() and (9 * least > size[a] + size[b])[strangers].all()
