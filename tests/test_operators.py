@@ -889,3 +889,75 @@ def test_boxes_are_asked_by_comparisons_and_rings_by_rays(spark):
     got, want = ({(r.box, r.id): [tuple(p) for p in r.points] for r in coverage.sample_hits(boxes, e).collect()} for e in (plain, bent))
     assert got == want and len({len(p) for p in got.values()}) > 5
     assert [r.plain for r in plain.select(coverage._plain(F.col("rings")).alias("plain")).distinct().collect()] == [True]
+
+
+_EXTRACTS = ("id string, parent string, admin array<string>, cached boolean, area double, minx double, miny double, maxx double, maxy double, "
+             "rings array<array<array<struct<x:double,y:double>>>>")
+
+
+def _extract(k, parent, admin, cached, area, x0, y0, x1, y1, bent=False):
+    """An extract that is its box; bent: with its first corner twice, which is asked by its ring."""
+    ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    return (k, parent, admin, cached, area, x0, y0, x1, y1, [[ring[:1] * bent + ring]])
+
+
+def _covered(boxes, extracts):
+    """The choice of select_coverage among all pairs."""
+    rank = lambda area, k: (area is not None, area or 0.0, k)
+    out = {}
+    for box, x0, y0, x1, y1 in boxes:
+        samples = [(x0 + (x1 - x0) * a, y0 + (y1 - y0) * b) for a in cov.STEPS for b in cov.STEPS]
+        hits = {e[0]: {p for p in samples if e[5] <= p[0] <= e[7] and e[6] <= p[1] <= e[8]} for e in extracts}
+        within = [e for e in extracts if len(hits[e[0]]) == len(set(samples)) and e[5] <= x0 and e[6] <= y0 and x1 <= e[7] and y1 <= e[8]]
+        if not within:
+            continue
+        crowds = {}
+        for e in extracts:
+            if e[1] is not None and e[2] and hits[e[0]]:
+                crowds.setdefault(e[1], []).append(e)
+        whole = []
+        for parent, es in crowds.items():
+            if len(es) > 1 and set().union(*[hits[e[0]] for e in es]) == set(samples):
+                known = [e[4] for e in es if e[4] is not None]
+                whole.append((rank(sum(known) if known else None, parent), [e[0] for e in sorted(es, key=lambda e: rank(e[4], e[0]))]))
+        first = lambda es: min(es, key=lambda e: rank(e[4], e[0]), default=None)
+        safe = first(within)
+        if safe[2] and safe[1] is not None and any(e[0] != safe[0] for e in crowds.get(safe[1], [])):
+            safe = first([e for e in within if not e[2]]) or safe
+        kept = first([e for e in within if e[3] and None not in (e[4], safe[4]) and safe[4] <= e[4] <= safe[4] * 6])
+        plan = min(whole)[1] if whole else []
+        out[box] = plan if 2 <= len(plan) <= 4 else [(kept or safe)[0]]
+    return out
+
+
+def test_coverage_is_that_of_all_pairs(spark):
+    """Boxes and extracts of many sizes, ties, unknown areas, rings, cached ones and parents of one to five children."""
+    import random
+
+    rng = random.Random(11)
+    at = lambda lo, hi: rng.randrange(lo * 4, hi * 4) / 4
+    extracts = [_extract("all", None, [], True, 60.0, -40.0, -40.0, 60.0, 60.0)]
+    for k in range(50):
+        x, y, w, h = at(-20, 20), at(-20, 20), rng.choice((0.5, 4.0, 10.0, 16.0)), rng.choice((0.5, 4.0, 10.0, 16.0))
+        extracts.append(_extract(f"w{k}", rng.choice((None, "all")), [], k % 3 == 0, rng.choice((1.0, 7.0, 9.5, 30.0, None)), x, y, x + w, y + h, k % 10 == 0))
+        n = rng.randrange(1, 6)
+        cuts = sorted({x, x + w, *[x + w * rng.randrange(8) / 8 for _ in range(n - 1)]})
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            extracts.append(_extract(f"w{k}{'abcde'[i]}", f"w{k}", ["XX"], k % 7 == 0, rng.choice((0.1, 0.2, 0.7, 3.0, None if k % 5 == 0 else 2.0)), a, y, b, y + h, k % 9 == 0))
+    boxes = [(k, x, y, x + w, y + w * rng.choice((1, 2))) for k, (x, y, w) in enumerate((at(-22, 22), at(-22, 22), rng.choice((0.0, 0.25, 1.0, 3.0, 9.0))) for _ in range(200))]
+    got = cov.select_coverage(spark.createDataFrame(boxes, "box long, minx double, miny double, maxx double, maxy double"), spark.createDataFrame(extracts, _EXTRACTS))
+    got, want = {r.box: r.ids for r in got.collect()}, _covered(boxes, extracts)
+    assert got == want
+    assert {1, 2, 3} <= {len(v) for v in want.values()} and len({v[0] for v in want.values()}) > 40
+
+
+def test_coverage_asks_few_pairs_of_many(spark, monkeypatch):
+    """Hundreds of extracts over every box: each box meets those only that can be chosen in its cell."""
+    boxes = spark.range(400).selectExpr("id AS box", "id % 20 / 10D AS minx", "id div 20 / 10D AS miny").selectExpr("*", "minx + 0.5 AS maxx", "miny + 0.5 AS maxy")
+    extracts = [_extract(f"{k:03}", None, [], False, 100.0 + k, -4.0 - k % 7 / 4, -4.0 - k % 5 / 4, 6.0 + k % 7 / 4, 6.0 + k % 5 / 4) for k in range(300)]
+    asked = []
+    ask = cov._containers
+    monkeypatch.setattr(cov, "_containers", lambda pairs, *rest: asked.append(pairs.count()) or ask(pairs, *rest))
+    got = cov.select_coverage(boxes, spark.createDataFrame(extracts, _EXTRACTS)).select("box", F.col("ids")[0].alias("id")).collect()
+    assert len(got) == 400 and {r.id for r in got} == {"000"}
+    assert sum(asked) <= 4 * 400  # of 120000
