@@ -221,22 +221,29 @@ def _sibling_pairs(blocks: DataFrame, placed: DataFrame, reach: DataFrame) -> Da
         f"{slack(c)} + coalesce(try_divide(2e-10D, emax{o} - emin{o}), 0) AS _n{c}" for c, o in ("xy", "yx")])
     early = lambda c, w, edge, by: f"CASE WHEN min{c}_{w} >= {edge} THEN 0 WHEN max{c}_{w} < {edge} THEN {last + 1} ELSE ceil(({edge} - min{c}_{w}) * {last} / (max{c}_{w} - min{c}_{w}) {by} 1e-9D) END"
     late = lambda c, w, edge, by: f"CASE WHEN max{c}_{w} <= {edge} THEN 0 WHEN min{c}_{w} > {edge} THEN {last + 1} ELSE ceil((max{c}_{w} - {edge}) * {last} / (max{c}_{w} - min{c}_{w}) {by} 1e-9D) END"
-    asked = asked.selectExpr(*PART, "cx", "cy", "area", "easy", *[f"CAST({v} AS INT) AS {n}{c}" for c in "xy" for n, v in (
+    # two that meet, each across the whole cell's reach the other way, hold all between them wherever their seam is
+    spans = lambda c: f"easy AND emin{c} <= min{c}_lo - _s{c} AND emax{c} >= max{c}_hi + _s{c}"
+    ends = [f"IF({spans(o)} AND {v}, {e}, NULL) AS {n}" for c, o in ("xy", "yx") for n, e, v in (
+        (f"_low{c}", f"emax{c}", f"emin{c} <= min{c}_lo - _s{c}"), (f"_high{c}", f"emin{c}", f"emax{c} >= max{c}_hi + _s{c}"))]
+    reached = ["_lowx", "_highx", "_lowy", "_highy"]
+    asked = asked.selectExpr(*PART, "cx", "cy", "area", "easy", *ends, *[f"CAST({v} AS INT) AS {n}{c}" for c in "xy" for n, v in (
         ("_a", early(c, "lo", f"(emin{c} + _s{c})", "+")), ("_b", late(c, "hi", f"(emax{c} - _s{c})", "+")), ("_c", early(c, "hi", f"(emin{c} - _n{c})", "-")), ("_d", late(c, "lo", f"(emax{c} + _n{c})", "-")))])
     kept = lambda a, b, c, unit: f"greatest(0L, (shiftleft(1L, {unit} * ({last + 1} - {b}{c})) - shiftleft(1L, {unit} * {a}{c})) div {(1 << unit) - 1})"
     both = lambda a, b: f"{kept(a, b, 'x', last + 1)} * {kept(a, b, 'y', 1)}"
-    asked = asked.selectExpr(*PART, "cx", "cy", "area", f"IF(easy, {both('_a', '_b')}, 0) AS _sure", f"IF(easy, {both('_c', '_d')}, {ALL}) AS _may")
+    asked = asked.selectExpr(*PART, "cx", "cy", "area", *reached, f"IF(easy, {both('_a', '_b')}, 0) AS _sure", f"IF(easy, {both('_c', '_d')}, {ALL}) AS _may")
     asked = _once(_once(asked, "sure", F.col("_sure")), "may", F.col("_may")).where("may != 0")
     sure = F.col("sure") != 0
     found = asked.groupBy(*PART, "cx", "cy").agg(
         F.bit_or("sure").alias("sure"), F.bit_or("may").alias("may"), F.count("*").alias("n"), F.count_if(sure).alias("n_sure"), F.min("area").alias("least"),
-        F.sum("area").alias("total"), F.sum(F.when(sure, F.col("area"))).alias("total_sure"), F.bool_and(F.coalesce(F.col("area") >= 0, F.lit(False))).alias("weighed"))
+        F.sum("area").alias("total"), F.sum(F.when(sure, F.col("area"))).alias("total_sure"), F.bool_and(F.coalesce(F.col("area") >= 0, F.lit(False))).alias("weighed"),
+        *[(F.max if "low" in c else F.min)(c).alias(c) for c in reached])
+    shared = F.coalesce(F.bit_count("sure") == len(_GRID), F.lit(False)) | F.coalesce(F.expr("_lowx >= _highx"), F.lit(False)) | F.coalesce(F.expr("_lowy >= _highy"), F.lit(False))
     # sums of two are exact in any order, longer ones to a rounding
     most = F.col("total") * F.when(F.col("n") <= 2, 1.0).otherwise(1 + 1e-9)
     fewest = F.greatest(F.col("least") * 2, F.col("total_sure") * F.when(F.col("n_sure") <= 2, 1.0).otherwise(1 - 1e-9))
     weigh = lambda total: F.struct(total.alias("total"), F.col("parent").alias("parent"))
     groups = settled(found.where((F.bit_count("may") == len(_GRID)) & (F.col("n") > 1)).select(
-        *PART, "cx", "cy", "weighed", fewest.alias("fewest"), F.when(F.col("weighed") & (F.bit_count("sure") == len(_GRID)) & (F.col("n_sure") > 1), most).alias("most")), "groups")
+        *PART, "cx", "cy", "weighed", fewest.alias("fewest"), F.when(F.col("weighed") & shared & (F.col("n_sure") > 1), most).alias("most")), "groups")
     bounds = settled(groups.where("most IS NOT NULL").groupBy(*KEY).agg(F.min(weigh(F.col("most"))).alias("bound")), "bounds")
     left = groups.join(bounds, [*KEY], "left").where(F.col("bound").isNull() | ~F.col("weighed") | (weigh(F.col("fewest")) <= F.col("bound"))).select(*PART, "cx", "cy")
     members = blocks.join(left, [*PART]).where("cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1").drop("bx", "by", "x0", "x1", "y0", "y1")

@@ -934,7 +934,7 @@ def test_coverage_is_that_of_all_pairs(spark):
     """Boxes and extracts of many sizes, ties, unknown areas, rings, cached ones and parents of one to five children."""
     import random
 
-    rng = random.Random(11)
+    rng = random.Random(12)
     at = lambda lo, hi: rng.randrange(lo * 4, hi * 4) / 4
     extracts = [_extract("all", None, [], True, 60.0, -40.0, -40.0, 60.0, 60.0)]
     for k in range(50):
@@ -944,11 +944,11 @@ def test_coverage_is_that_of_all_pairs(spark):
         cuts = sorted({x, x + w, *[x + w * rng.randrange(8) / 8 for _ in range(n - 1)]})
         for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
             extracts.append(_extract(f"w{k}{'abcde'[i]}", f"w{k}", ["XX"], k % 7 == 0, rng.choice((0.1, 0.2, 0.7, 3.0, None if k % 5 == 0 else 2.0)), a, y, b, y + h, k % 9 == 0))
-    boxes = [(k, x, y, x + w, y + w * rng.choice((1, 2))) for k, (x, y, w) in enumerate((at(-22, 22), at(-22, 22), rng.choice((0.0, 0.25, 1.0, 3.0, 9.0))) for _ in range(200))]
+    boxes = [(k, x, y, x + w, y + w * rng.choice((1, 2))) for k, (x, y, w) in enumerate((at(-22, 22), at(-22, 22), rng.choice((0.0, 0.25, 1.0, 3.0, 9.0))) for _ in range(300))]
     got = cov.select_coverage(spark.createDataFrame(boxes, "box long, minx double, miny double, maxx double, maxy double"), spark.createDataFrame(extracts, _EXTRACTS))
     got, want = {r.box: r.ids for r in got.collect()}, _covered(boxes, extracts)
     assert got == want
-    assert {1, 2, 3} <= {len(v) for v in want.values()} and len({v[0] for v in want.values()}) > 40
+    assert {len(v) for v in want.values()} == {1, 2, 3, 4} and len({v[0] for v in want.values()}) > 40
 
 
 def test_coverage_asks_few_pairs_of_many(spark, monkeypatch):
@@ -961,3 +961,18 @@ def test_coverage_asks_few_pairs_of_many(spark, monkeypatch):
     got = cov.select_coverage(boxes, spark.createDataFrame(extracts, _EXTRACTS)).select("box", F.col("ids")[0].alias("id")).collect()
     assert len(got) == 400 and {r.id for r in got} == {"000"}
     assert sum(asked) <= 4 * 400  # of 120000
+
+
+def test_coverage_asks_few_siblings_of_many(spark, monkeypatch):
+    """Hundreds of pairs of siblings over every box: the seams that all boxes of a cell lie across bound the others, wherever in the cell they are."""
+    boxes = spark.range(400).selectExpr("id AS box", "id % 20 / 20D AS minx", "id div 20 / 20D AS miny").selectExpr("*", "minx + 2 AS maxx", "miny + 2 AS maxy")
+    extracts = [_extract("all", None, [], False, 1000.0, -9.0, -9.0, 12.0, 12.0)]
+    for k in range(200):
+        x, y = 1.2 + k % 30 / 50, k % 7 / 10
+        extracts += [_extract(f"{k:03}a", f"p{k:03}", ["XX"], False, 50.0, x - 5, -5.0 + y, x, 5.0 + y), _extract(f"{k:03}b", f"p{k:03}", ["XX"], False, 50.0, x, -5.0 + y, x + 5, 5.0 + y)]
+    asked = []
+    ask = cov._hits
+    monkeypatch.setattr(cov, "_hits", lambda pairs, *rest: asked.append(pairs.count()) or ask(pairs, *rest))
+    got = cov.select_coverage(boxes, spark.createDataFrame(extracts, _EXTRACTS)).collect()
+    assert len(got) == 400 and {tuple(r.ids) for r in got} == {("000a", "000b")}
+    assert sum(asked) <= 4 * 400  # of 160000
